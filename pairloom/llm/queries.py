@@ -3,8 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .additive_ann import nearest_neighbours
+from .decontamination import benchmark_hits, hit_count
+from .html_text import extract_text
+from .licences import scan_licences
 from .ngram_jaccard import ngram_jaccard_join
+from .packing import pack, token_pieces
+from .pii import pseudonymise
+from .sparse_suffix import repeated_passages
+from .toxicity import score_toxicity, train
+from .url_filter import filter_urls
+
+#: The listed rules of op6.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +34,85 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), F.array_join(F.transform("pii", lambda f: f["kind"]), ",").alias("kinds"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = benchmark_hits(docs, _table(spark, sf_dir, "benchmark"), into="found").select("doc_id", "found")
+    hits, names = hit_count(F.col("found")), F.array_sort(F.transform("found.items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id",
+        F.col("found.n_words").alias("n_words"),
+        hits.alias("n_hit"),
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        (hits > 0).alias("contaminated"),
+    )
+
+
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licences(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join(F.transform("licences", lambda h: h["licence"]), ",").alias("licences"), "licence", F.round("score", 6).alias("score"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"), URL_RULES)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_pieces(_table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, train(docs, _table(spark, sf_dir, "labels")), into="score")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_pii": op2_pii,
+    "op3_html_text": op3_html_text,
+    "op4_decontamination": op4_decontamination,
+    "op5_licences": op5_licences,
+    "op6_url_filter": op6_url_filter,
+    "op7_packing": op7_packing,
+    "op8_ann": op8_ann,
+    "op9_repeated_passages": op9_repeated_passages,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+n AS (SELECT item_id, w, least(10, len(w)) AS k FROM i WHERE len(w) > 0),
+p AS (SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM n)),
+ks AS (SELECT DISTINCT k FROM p),
+g AS (SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, ks WHERE len(w) >= k)),
+m AS (SELECT g.doc_id, g.k, g.s, p.item_id FROM g JOIN p USING (k, g)),
+h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + k)) AS pos FROM (SELECT DISTINCT doc_id, k, s FROM m)) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM m) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+}
