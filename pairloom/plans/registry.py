@@ -27,8 +27,14 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _ORACLES
+
+
+def _load() -> None:
+    from . import edit_queries, evaluation_queries, feature_queries, text_queries  # noqa: F401
