@@ -23,17 +23,22 @@ def append_once(stream: DataFrame, path: str, key: str, checkpoint: str):
 
 def first_of_key(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
     """Rows with keys not seen within the watermark."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    return _timed(stream, time, delay).dropDuplicatesWithinWatermark(keys)
+
+
+def _timed(stream: DataFrame, time: str, delay: str) -> DataFrame:
+    """With a watermark; times without zone are taken in the session's zone."""
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
 
 
 def windowed_counts(stream: DataFrame, time: str, length: str, slide: str | None, by: list[str], delay: str, value: str) -> DataFrame:
     """Counts and sums in tumbling or sliding event-time windows; late rows within the delay count."""
     window = F.window(time, length, slide) if slide else F.window(time, length)
-    return stream.withWatermark(time, delay).groupBy(window, *by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    return _timed(stream, time, delay).groupBy(window, *by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
 def sessions(stream: DataFrame, time: str, gap: str, by: list[str], delay: str) -> DataFrame:
-    return stream.withWatermark(time, delay).groupBy(F.session_window(time, gap), *by).agg(F.count("*").alias("n"))
+    return _timed(stream, time, delay).groupBy(F.session_window(time, gap), *by).agg(F.count("*").alias("n"))
 
 
 def last_write_wins(stream: DataFrame, key: str, order: str, value: str) -> DataFrame:
