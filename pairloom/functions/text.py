@@ -17,6 +17,11 @@ TERMINAL = r"[.!?。！？…‼⁇⁈⁉][\"'”’)\]》]*$"
 SENTENCE = r"[^.!?\n]+[.!?]*"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once for each row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(s: Column) -> Column:
     """Without white space at either end, white space as in Unicode."""
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
@@ -104,18 +109,22 @@ def _f1(p: Column, r: Column) -> Column:
 
 def sari(source: Column, output: Column, reference: Column) -> Column:
     """SARI over sets of 1- to 4-grams with one reference, 0 to 100."""
-    total = F.lit(0.0)
-    for n in range(1, 5):
-        s, o, r = (ngrams(words(F.lower(x)), n) for x in (source, output, reference))
-        count = lambda x: F.size(x).cast("double")
-        kept, keep = F.array_intersect(s, o), F.array_intersect(s, r)
-        added, add = F.array_except(o, s), F.array_except(r, s)
-        dropped, drop = F.array_except(s, o), F.array_except(s, r)
-        both = lambda x, y: count(F.array_intersect(x, y))
-        keep_f = _f1(_share(both(kept, keep), count(kept), count(keep)), _share(both(kept, keep), count(keep), count(kept)))
-        add_f = _f1(_share(both(added, add), count(added), count(add)), _share(both(added, add), count(add), count(added)))
-        total = total + (keep_f + add_f + _share(both(dropped, drop), count(dropped), count(drop))) / 3
-    return total / 4 * 100
+
+    def counts(g: Column) -> Column:
+        s, o, r = g["s"], g["o"], g["r"]
+        sets = {"k": (F.array_intersect(s, o), F.array_intersect(s, r)), "a": (F.array_except(o, s), F.array_except(r, s)), "d": (F.array_except(s, o), F.array_except(s, r))}
+        size = lambda x: F.size(x).cast("double")
+        return F.struct(*(c for name, (x, y) in sets.items() for c in (size(x).alias(f"{name}1"), size(y).alias(f"{name}2"), size(F.array_intersect(x, y)).alias(f"{name}0"))))
+
+    def score(c: Column) -> Column:
+        f = lambda n: _f1(_share(c[f"{n}0"], c[f"{n}1"], c[f"{n}2"]), _share(c[f"{n}0"], c[f"{n}2"], c[f"{n}1"]))
+        return (f("k") + f("a") + _share(c["d0"], c["d1"], c["d2"])) / 3
+
+    def mean(w: Column) -> Column:
+        grams = lambda n: F.struct(*(ngrams(w[x], n).alias(x) for x in "sor"))
+        return sum((let(let(grams(n), counts), score) for n in range(1, 5)), F.lit(0.0)) / 4 * 100
+
+    return let(F.struct(*(words(F.lower(x)).alias(n) for n, x in zip("sor", (source, output, reference), strict=True))), mean)
 
 
 def jaccard(a: Column, b: Column, empty: float | None = None) -> Column:

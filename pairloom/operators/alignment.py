@@ -9,6 +9,7 @@ opcodes or slots is native.  A slot is struct(a0, a1), null for a blank; kinds a
 from __future__ import annotations
 
 import difflib
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -243,51 +244,58 @@ def state_tokens(slots_: Column, landed_: Column) -> Column:
     return F.transform(slots_, lambda s, k: F.when(F.array_contains(landed_, k), s["a1"]).otherwise(s["a0"]))
 
 
-def state_position(state: Column, slot: Column) -> Column:
-    """Position in the state of a slot that holds a token."""
-    return F.size(F.filter(F.slice(state, 1, slot), lambda x: x.isNotNull()))
+def compact(state: Column) -> Column:
+    return F.filter(state, lambda x: x.isNotNull())
 
 
-def left_anchor(state: Column, slot: Column) -> Column:
-    """Position of the nearest token left of a slot, null if none."""
-    p = state_position(state, slot) - 1
-    return F.when(p >= 0, p)
+_PENDING = ArrayType(StructType([StructField("kind", IntegerType()), StructField("pos", IntegerType()), StructField("tgt", LongType()), StructField("op", IntegerType()), StructField("dst_pos", IntegerType())]))
 
 
-def compact(state: Column) -> Column:
-    return F.filter(state, lambda x: x.isNotNull())
+def _places(state: list) -> list[int]:
+    """For each slot, the number of tokens of the state before it."""
+    return [0, *accumulate(int(x is not None) for x in state)]
 
 
-def pending(state: Column, ops: Column, fired: Column) -> Column:
+@F.arrow_udf(_PENDING)
+def pending(state: pa.Array, ops: pa.Array, fired: pa.Array) -> pa.Array:
     """array<struct<kind, pos, tgt, op, dst_pos>> still to fire.
 
     Of insertions at one anchor only the leftmost; insertions and moves without a token to their left are left out.
     """
-    indexed = F.transform(F.arrays_zip(ops.alias("op"), fired.alias("fired")), lambda p, i: F.struct(p["op"].alias("op"), p["fired"].alias("fired"), i.alias("i")))
-    waiting = F.filter(indexed, lambda p: ~p["fired"])
-
-    def made(p: Column) -> Column:
-        o = p["op"]
-        dst = F.when(o["kind"] == MOV, left_anchor(state, o["dst"]))
-        pos = F.when(o["kind"] == INS, left_anchor(state, o["slot"])).otherwise(state_position(state, o["slot"]))
-        return F.struct(o["kind"].alias("kind"), pos.alias("pos"), o["tgt"].alias("tgt"), p["i"].alias("op"), dst.alias("dst_pos"))
-
-    known = F.filter(F.transform(waiting, made), lambda p: p["pos"].isNotNull() & ((p["kind"] != MOV) | p["dst_pos"].isNotNull()))
-    return F.filter(known, lambda p: (p["kind"] != INS) | ~F.exists(known, lambda q: (q["kind"] == INS) & (q["pos"] == p["pos"]) & (q["op"] < p["op"])))
+    out = []
+    for tokens, todo, done in zip(state.to_pylist(), ops.to_pylist(), fired.to_pylist(), strict=True):
+        before, row, anchors = _places(tokens), [], set()
+        for number, (o, f) in enumerate(zip(todo, done, strict=True)):
+            if f:
+                continue
+            here, there = before[o["slot"]], None
+            if o["kind"] == INS:
+                here -= 1
+                if here < 0 or here in anchors:
+                    continue
+                anchors.add(here)
+            elif o["kind"] == MOV:
+                there = before[o["dst"]] - 1
+                if there < 0:
+                    continue
+            row.append({"kind": o["kind"], "pos": here, "tgt": o["tgt"], "op": number, "dst_pos": there})
+        out.append(row)
+    return pa.array(out, pa.list_(pa.struct([("kind", pa.int32()), ("pos", pa.int32()), ("tgt", pa.int64()), ("op", pa.int32()), ("dst_pos", pa.int32())])))
 
 
-def edit_marks(state: Column, ops: Column, fired: Column) -> Column:
+@F.arrow_udf(ArrayType(IntegerType()))
+def edit_marks(state: pa.Array, ops: pa.Array, fired: pa.Array) -> pa.Array:
     """Sorted positions of the state that carry a fired edit; deletions mark the token to their left."""
-    done = F.transform(F.filter(F.arrays_zip(ops.alias("op"), fired.alias("fired")), lambda p: p["fired"]), lambda p: p["op"])
-    marks = F.flatten(
-        F.transform(
-            done,
-            lambda o: F.when(o["kind"].isin(SUB, INS), F.array(state_position(state, o["slot"])))
-            .when(o["kind"] == MOV, F.array(state_position(state, o["dst"]), left_anchor(state, o["slot"])))
-            .otherwise(F.array(left_anchor(state, o["slot"]))),
-        )
-    )
-    return F.array_sort(F.array_distinct(F.filter(marks, lambda m: m.isNotNull())))
+    out = []
+    for tokens, all_ops, done in zip(state.to_pylist(), ops.to_pylist(), fired.to_pylist(), strict=True):
+        before, marks = _places(tokens), set()
+        for o, f in zip(all_ops, done, strict=True):
+            if f and o["kind"] in (DEL, MOV):
+                marks.add(before[o["slot"]] - 1)
+            if f and o["kind"] != DEL:
+                marks.add(before[o["dst"] if o["kind"] == MOV else o["slot"]])
+        out.append(sorted(m for m in marks if m >= 0))
+    return pa.array(out, pa.list_(pa.int32()))
 
 
 def adjacency(marks: Column, length: Column) -> Column:

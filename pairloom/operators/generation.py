@@ -199,18 +199,17 @@ def quote_inversion(text: Column) -> Column:
 
 
 def contraction(text: Column, pairs: tuple[tuple[str, str], ...] = CONTRACTIONS) -> Column:
-    """The first occurrence of each full or contracted form turned into the other."""
+    """The first occurrence of each full or contracted form turned into the other, over one table of forms."""
     import re
 
-    out = []
-    for full, short in pairs:
-        forms = {(full, short), (full[:1].upper() + full[1:], short[:1].upper() + short[1:])}
-        for a, b in sorted(forms):
-            for old, new, kind in ((a, b, "CTR:FUSE"), (b, a, "CTR:SPLIT")):
-                pattern = rf"\b{re.escape(old)}\b"
-                at = F.regexp_instr(text, F.lit(pattern))
-                out.append(_proposal(text.rlike(pattern), kind, "CONTRACT", F.concat(F.substr(text, F.lit(1), at - 1), F.lit(new), F.substr(text, at + len(old)))))
-    return F.flatten(F.array(*out))
+    upper = lambda s: s[:1].upper() + s[1:]
+    forms = sorted({(full, short) for full, short in pairs} | {(upper(full), upper(short)) for full, short in pairs})
+    rows = [(old, new, kind) for a, b in forms for old, new, kind in ((a, b, "CTR:FUSE"), (b, a, "CTR:SPLIT"))]
+    table = F.array(*(F.struct(F.lit(old).alias("old"), F.lit(new).alias("new"), F.lit(kind).alias("kind"), F.lit(rf"\b{re.escape(old)}\b").alias("pattern")) for old, new, kind in rows))
+    near = F.filter(table, lambda p: F.contains(text, p["old"]))
+    placed = F.filter(F.transform(near, lambda p: F.struct(p.alias("p"), F.regexp_instr(text, p["pattern"]).alias("at"))), lambda x: x["at"] > 0)
+    made = lambda x: F.concat(F.substr(text, F.lit(1), x["at"] - 1), x["p"]["new"], F.substr(text, x["at"] + F.length(x["p"]["old"])))
+    return F.transform(placed, lambda x: F.struct(x["p"]["kind"].alias("t_type"), F.lit("CONTRACT").alias("family"), made(x).alias("out_text")))
 
 
 def split_join(text: Column) -> Column:

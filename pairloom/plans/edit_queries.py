@@ -82,10 +82,10 @@ def e12_e13_states(spark, d):
     ops = F.transform(A.slot_operations(F.col("slots")), lambda o: F.struct(o["slot"].alias("slot"), o["kind"].alias("kind"), o["tgt"].alias("tgt"), F.lit(None).cast("int").alias("dst")))
     s = s.withColumn("o", ops).withColumn("fired", F.transform("o", lambda o: uniform(F.col("conv_id") * 4096 + o["slot"], 5) < 0.5))
     s = s.withColumn("state", A.state_tokens(F.col("slots"), A.landed(F.col("o"), F.col("fired"))))
-    s = s.withColumn("marks", A.edit_marks(F.col("state"), F.col("o"), F.col("fired")))
+    s = s.withColumns({"marks": A.edit_marks("state", "o", "fired"), "todo": A.pending("state", "o", "fired")})
     x = A.compact(F.col("state"))
     near = F.aggregate(A.adjacency(F.col("marks"), F.size(x)), F.lit(0), lambda n, v: n + v)
-    return s.select("conv_id", "turn", F.size(x).alias("n"), F.size(A.pending(F.col("state"), F.col("o"), F.col("fired"))).alias("pending"), F.size("marks").alias("n_marks"), near.alias("near"))
+    return s.select("conv_id", "turn", F.size(x).alias("n"), F.size("todo").alias("pending"), F.size("marks").alias("n_marks"), near.alias("near"))
 
 
 @query("e14_e15_gold_sites")
