@@ -9,6 +9,7 @@ opcodes or slots is native.  A slot is struct(a0, a1), null for a blank; kinds a
 from __future__ import annotations
 
 import difflib
+import re
 from itertools import accumulate
 
 import pyarrow as pa
@@ -448,12 +449,17 @@ def token_distance(source: pa.Array, target: pa.Array) -> pa.Array:
 # Spans
 
 
-def words_with_offsets(text: Column) -> Column:
+_WORDS = ArrayType(StructType([StructField("w", StringType()), StructField("cs", IntegerType()), StructField("ce", IntegerType())]))
+
+
+@F.arrow_udf(_WORDS)
+def _words_with_offsets(texts: pa.Array) -> pa.Array:
     """array<struct<w, cs, ce>> of non-space runs."""
-    pieces = F.regexp_extract_all(text, F.lit(r"(?U)(\s+|\S+)"), F.lit(1))
-    walk = lambda s, w: F.struct((s["at"] + F.length(w)).alias("at"), F.concat(s["out"], F.array(F.struct(w.alias("w"), s["at"].alias("cs"), (s["at"] + F.length(w)).alias("ce")))).alias("out"))
-    empty = F.filter(F.array(F.struct(F.lit("").alias("w"), F.lit(0).alias("cs"), F.lit(0).alias("ce"))), lambda _: F.lit(False))
-    return F.filter(F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("out")), walk, lambda s: s["out"]), lambda x: x["w"].rlike(r"(?U)\S"))
+    rows = [[{"w": m.group(), "cs": m.start(), "ce": m.end()} for m in re.finditer(r"\S+", t)] if t is not None else None for t in texts.to_pylist()]
+    return pa.array(rows, pa.list_(pa.struct([("w", pa.string()), ("cs", pa.int32()), ("ce", pa.int32())])))
+
+
+words_with_offsets = _words_with_offsets.asNondeterministic()
 
 
 def _special(token: Column) -> Column:
