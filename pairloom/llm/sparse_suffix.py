@@ -22,7 +22,7 @@ texts have no passages.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,7 +104,7 @@ def _suffix_rows(least: int, gram: int):
     return run
 
 
-def _common(a: list[str], b: list[str]) -> int:
+def _common(a: array, b: array) -> int:
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
         return n
@@ -123,7 +123,9 @@ def repeated_windows(group: list[tuple], least: int) -> list[tuple[int, int, int
 
     A row: right, left (from the suffix backwards), doc_id, place, low, high.
     """
-    rights, lefts = [r[0].split(" ") for r in group], [r[1].split(" ") if r[1] else [] for r in group]
+    numbers: dict[str, int] = {}
+    coded = lambda text: array("i", [numbers.setdefault(w, len(numbers)) for w in text.split(" ")] if text else [])
+    rights, lefts = [coded(r[0]) for r in group], [coded(r[1]) for r in group]
     docs = [r[2] for r in group]
     if len(set(docs)) < 2:
         return []
@@ -135,13 +137,17 @@ def repeated_windows(group: list[tuple], least: int) -> list[tuple[int, int, int
         low, high = max(group[i][4], least - right), group[i][5]
         return range(low, min(high, _common(lefts[i], lefts[j])) + 1) if low <= high else range(0)
 
-    def compared() -> dict[tuple, int]:
+    def value(i: int, k: int) -> int:
+        """Hash of the words of the window that starts k words before suffix i."""
+        return hash((k, lefts[i][:k].tobytes(), rights[i][: least - k].tobytes()))
+
+    def compared() -> dict[int, int]:
         """Windows by value: their document, or -1 for several."""
-        seen: dict[tuple, int] = {}
-        for right, left, (*_, doc, _p, low, high) in zip(rights, lefts, group, strict=True):
+        seen: dict[int, int] = {}
+        for i, (*_, doc, _p, low, high) in enumerate(group):
             for k in range(low, high + 1):
-                value = hash((k, *left[:k])), hash(tuple(right[: least - k])), left[k - 1] if k else "", right[least - k - 1]
-                seen[value] = doc if seen.get(value, doc) == doc else -1
+                v = value(i, k)
+                seen[v] = doc if seen.get(v, doc) == doc else -1
         return seen
 
     for i, (_, _, doc, place, low, high) in enumerate(group):
@@ -156,10 +162,7 @@ def repeated_windows(group: list[tuple], least: int) -> list[tuple[int, int, int
                         shared.update(reach(i, j))
             else:
                 values = compared() if values is None else values
-                for k in range(low, high + 1):
-                    left, right = lefts[i][:k], rights[i][: least - k]
-                    if values[hash((k, *left)), hash(tuple(right)), left[-1] if left else "", right[-1]] == -1:
-                        shared.add(k)
+                shared.update(k for k in range(low, high + 1) if values[value(i, k)] == -1)
         run: list[int] = []
         for k in sorted(shared):
             if run and k != run[-1] + 1:
