@@ -1,4 +1,4 @@
-"""Sending this package to the executors."""
+"""Sending this package to the executors, and the size of the batches that Python gets."""
 
 from __future__ import annotations
 
@@ -10,8 +10,19 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Texts are long: batches of Spark's default 10,000 rows would hold tens of megabytes several times over in each worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
 def ship(spark: SparkSession) -> None:
-    """Make the package importable in Python workers, once for each Spark context."""
+    """Make the package importable in Python workers, once for each Spark context; bound Arrow batches unless the session does so itself."""
+    for key, (default, own) in BATCH.items():
+        try:
+            found = spark.conf.get(key)
+        except Exception:  # not a setting of this version
+            continue
+        if found == default:
+            spark.conf.set(key, own)
     context = spark.sparkContext
     if getattr(context, "_pairloom_shipped", False):
         return
