@@ -142,12 +142,12 @@ def repeated_windows(group: list[tuple], least: int) -> list[tuple[int, int, int
         return hash((k, lefts[i][:k].tobytes(), rights[i][: least - k].tobytes()))
 
     def compared() -> dict[int, int]:
-        """Windows by value: their document, or -1 for several."""
-        seen: dict[int, int] = {}
+        """Windows by value: their document, or None for several."""
+        seen: dict[int, int | None] = {}
         for i, (*_, doc, _p, low, high) in enumerate(group):
             for k in range(low, high + 1):
                 v = value(i, k)
-                seen[v] = doc if seen.get(v, doc) == doc else -1
+                seen[v] = doc if seen.get(v, doc) == doc else None
         return seen
 
     for i, (_, _, doc, place, low, high) in enumerate(group):
@@ -162,7 +162,7 @@ def repeated_windows(group: list[tuple], least: int) -> list[tuple[int, int, int
                         shared.update(reach(i, j))
             else:
                 values = compared() if values is None else values
-                shared.update(k for k in range(low, high + 1) if values[value(i, k)] == -1)
+                shared.update(k for k in range(low, high + 1) if values[value(i, k)] is None)
         run: list[int] = []
         for k in sorted(shared):
             if run and k != run[-1] + 1:
