@@ -7,9 +7,9 @@ forms, notices, adverts and comments are cut by their tags, roles and class
 names.  For each path the text length and the punctuation are aggregated over its
 blocks; both ratios are fused (with the share of text outside links), smoothed
 over neighbouring blocks in page order, and paths whose mean stays above a share
-of the best are content paths.  Of the elements above content paths, the deepest
-that holds most of the content weight is the container (an `article` or `main`
-wins over other elements); all its blocks are the text.
+of the best are content paths.  On pages without `article` and `main`, all blocks
+of all elements that hold a block of a content path are the text; on others those
+of the heaviest `article` or `main`.
 
 Defined results: a null or empty page gives an empty text; a page without tags is
 one block; markup that is never closed runs to where the next block starts or
@@ -45,8 +45,11 @@ KEEPS_P = {"p", *INLINE}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "p": {"div", "article", "section", "main", "body", "blockquote", "td", "th", "li"}}
 ARTICLE = {"article", "main"}
 
-#: Share of the best path's smoothed ratio from which a path is content, and share of the weight that a container holds.
-PATH_SHARE, CONTAINER_SHARE = 0.2, 0.7
+#: Elements of one block of text; the element around them is the container.
+LEAVES = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "blockquote", "pre"}
+
+#: Share of the best path's smoothed ratio from which a path is content.
+PATH_SHARE = 0.2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -72,20 +75,24 @@ def _is_cut(tag: str, attributes: str, by_name: bool) -> bool:
     return False
 
 
-def blocks(page: str, by_name: bool = True) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters of it in links) of each block that is not cut, in page order."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, its name in paths, cut
+#: (path, text, characters of it in links, numbers of the elements of the path).
+Block = tuple[tuple[str, ...], str, int, tuple[int, ...]]
+
+
+def blocks(page: str, by_name: bool = True) -> list[Block]:
+    """Each block that is not cut, in page order."""
+    out: list[Block] = []
+    stack: list[tuple[str, str, bool, int]] = []  # tag, its name in paths, cut, number
     inline: list[tuple[str, bool]] = []
     pieces: list[str] = []
-    cut, links, link_chars, count = 0, 0, 0, 0
+    cut, links, link_chars, count, opened = 0, 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal link_chars
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append((tuple(s[1] for s in stack), text, link_chars))
+                out.append((tuple(s[1] for s in stack), text, link_chars, tuple(s[3] for s in stack)))
             pieces.clear()
         link_chars = 0
 
@@ -164,48 +171,49 @@ def blocks(page: str, by_name: bool = True) -> list[tuple[tuple[str, ...], str,
         was_cut = _is_cut(tag, attributes, by_name)
         if not attributes.rstrip().endswith("/") or tag in ("p", "div", "article", "section"):
             count += tag in ARTICLE
-            stack.append((tag, f"{tag}#{count}" if tag in ARTICLE else tag, was_cut))
+            opened += 1
+            stack.append((tag, f"{tag}#{count}" if tag in ARTICLE else tag, was_cut, opened))
             cut += was_cut
     flush()
     return out
 
 
-def path_scores(found: list[tuple[tuple[str, ...], str, int]]) -> tuple[list[float], dict[tuple[str, ...], float]]:
+def path_scores(found: list[Block]) -> tuple[list[float], dict[tuple[str, ...], float]]:
     """Smoothed fused ratio of each block and its mean for each path."""
     chars, marks, plain, nodes = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text, linked in found:
+    for path, text, linked, _ in found:
         nodes[path] += 1
         chars[path] += len(text)
         plain[path] += max(len(text) - linked, 0)
         marks[path] += len(_PUNCTUATION.findall(text))
     fused = {p: (chars[p] / nodes[p]) * (1 + marks[p] / nodes[p]) * plain[p] / max(chars[p], 1) for p in nodes}
-    raw = [fused[p] for p, _, _ in found]
+    raw = [fused[p] for p, *_ in found]
     smooth = [(raw[max(k - 1, 0)] + 2 * x + raw[min(k + 1, len(raw) - 1)]) / 4 for k, x in enumerate(raw)]
     sums = defaultdict(float)
-    for (path, _, _), x in zip(found, smooth, strict=True):
+    for (path, *_), x in zip(found, smooth, strict=True):
         sums[path] += x
     return smooth, {p: sums[p] / nodes[p] for p in nodes}
 
 
-def _content(found: list[tuple[tuple[str, ...], str, int]]) -> list[str]:
+def _container(path: tuple[str, ...], elements: tuple[int, ...]) -> int:
+    """Number of the deepest element around a block that can hold several; 0 is the page."""
+    return next((e for tag, e in zip(reversed(path), reversed(elements), strict=True) if tag not in LEAVES), 0)
+
+
+def _content(found: list[Block]) -> list[str]:
     smooth, scores = path_scores(found)
     best = max(scores.values(), default=0)
     weight: dict[tuple[str, ...], float] = defaultdict(float)
-    total = 0.0
-    inside = any(part.split("#")[0] in ARTICLE for path, _, _ in found for part in path)
-    for (path, text, _), x in zip(found, smooth, strict=True):
-        if scores[path] >= PATH_SHARE * best or inside:
-            total += len(text) * x
-            for k in range(len(path) + 1):
-                weight[path[:k]] += len(text) * x
+    for (path, text, *_), x in zip(found, smooth, strict=True):
+        for k in range(len(path) + 1):
+            weight[path[:k]] += len(text) * x
     articles = {p: w for p, w in weight.items() if p and p[-1].split("#")[0] in ARTICLE}
     if articles:
         # an article inside a main element is the narrower choice
         container = max(articles, key=lambda p: (p[-1].startswith("article"), articles[p], -len(p)))
-    else:
-        rows = [p for p, w in weight.items() if w >= CONTAINER_SHARE * total and (not p or p[-1] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "blockquote", "pre"))]
-        container = max(rows, key=lambda p: (len(p), weight[p]), default=())
-    return [text for path, text, _ in found if path[: len(container)] == container]
+        return [text for path, text, *_ in found if path[: len(container)] == container]
+    containers = {_container(path, elements) for path, _, _, elements in found if scores[path] >= PATH_SHARE * best}
+    return [text for _, text, _, elements in found if not containers.isdisjoint((0, *elements))]
 
 
 def main_text(page: str | None) -> str:

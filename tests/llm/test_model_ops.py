@@ -35,6 +35,15 @@ def test_main_text(page, text):
     assert H.main_text(page) == text
 
 
+LONG = "A long sentence of the body, with some commas, and a stop. " * 8
+
+
+def test_main_text_outside_the_heaviest_element():
+    page = f"<body><div><h1>The title, here.</h1><p>{LONG[:240]}</p><section><p>{LONG * 2}</p><p>{LONG * 2}</p><p>{LONG * 2}</p></section><p>{LONG[:300]}</p></div></body>"
+    found = H.main_text(page).split("\n")
+    assert len(found) == 6 and found[0] == "The title, here." and found[1] == LONG[:240].strip() and found[5] == LONG[:300].strip()
+
+
 def test_extract_text_frame(spark):
     df = spark.createDataFrame([(1, PAGE, "x"), (1, PAGE, "x"), (2, None, "y"), (3, "<p>" + "long text, yes. " * 50_000 + "</p>", "z")], "page_id int, html string, text string")
     got = H.extract_text(df).collect()
