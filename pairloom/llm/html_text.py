@@ -1,15 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read as a sequence of blocks, each with the path of structural tags
-from the root (inline tags are left out, `article` and `main` are told apart by
-number).  Scripts, styles and other raw text, menus, headers, footers, sidebars,
+from the root (inline tags are left out).  Scripts, styles and other raw text, menus, headers, footers, sidebars,
 forms, notices, adverts and comments are cut by their tags, roles and class
 names.  For each path the text length and the punctuation are aggregated over its
 blocks; both ratios are fused (with the share of text outside links), smoothed
 over neighbouring blocks in page order, and paths whose mean stays above a share
-of the best are content paths.  On pages without `article` and `main`, all blocks
-of all elements that hold a block of a content path are the text; on others those
-of the heaviest `article` or `main`.
+of the best are content paths.  All blocks of all elements that hold a block of a
+content path are the text; `article` and `main` are tags like others.
 
 Defined results: a null or empty page gives an empty text; a page without tags is
 one block; markup that is never closed runs to where the next block starts or
@@ -43,7 +41,6 @@ LAYOUT_WORDS = {"has", "no", "with", "without", "two", "left", "right"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 KEEPS_P = {"p", *INLINE}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "p": {"div", "article", "section", "main", "body", "blockquote", "td", "th", "li"}}
-ARTICLE = {"article", "main"}
 
 #: Elements of one block of text; the element around them is the container.
 LEAVES = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "blockquote", "pre"}
@@ -82,17 +79,17 @@ Block = tuple[tuple[str, ...], str, int, tuple[int, ...]]
 def blocks(page: str, by_name: bool = True) -> list[Block]:
     """Each block that is not cut, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, int]] = []  # tag, its name in paths, cut, number
+    stack: list[tuple[str, bool, int]] = []  # tag, cut, number
     inline: list[tuple[str, bool]] = []
     pieces: list[str] = []
-    cut, links, link_chars, count, opened = 0, 0, 0, 0, 0
+    cut, links, link_chars, opened = 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal link_chars
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append((tuple(s[1] for s in stack), text, link_chars, tuple(s[3] for s in stack)))
+                out.append((tuple(s[0] for s in stack), text, link_chars, tuple(s[2] for s in stack)))
             pieces.clear()
         link_chars = 0
 
@@ -100,7 +97,7 @@ def blocks(page: str, by_name: bool = True) -> list[Block]:
         nonlocal cut
         flush()
         while len(stack) > depth:
-            cut -= stack.pop()[2]
+            cut -= stack.pop()[1]
 
     def end_inline(depth: int) -> None:
         nonlocal cut, links
@@ -170,9 +167,8 @@ def blocks(page: str, by_name: bool = True) -> list[Block]:
                 break
         was_cut = _is_cut(tag, attributes, by_name)
         if not attributes.rstrip().endswith("/") or tag in ("p", "div", "article", "section"):
-            count += tag in ARTICLE
             opened += 1
-            stack.append((tag, f"{tag}#{count}" if tag in ARTICLE else tag, was_cut, opened))
+            stack.append((tag, was_cut, opened))
             cut += was_cut
     flush()
     return out
@@ -201,17 +197,8 @@ def _container(path: tuple[str, ...], elements: tuple[int, ...]) -> int:
 
 
 def _content(found: list[Block]) -> list[str]:
-    smooth, scores = path_scores(found)
+    _, scores = path_scores(found)
     best = max(scores.values(), default=0)
-    weight: dict[tuple[str, ...], float] = defaultdict(float)
-    for (path, text, *_), x in zip(found, smooth, strict=True):
-        for k in range(len(path) + 1):
-            weight[path[:k]] += len(text) * x
-    articles = {p: w for p, w in weight.items() if p and p[-1].split("#")[0] in ARTICLE}
-    if articles:
-        # an article inside a main element is the narrower choice
-        container = max(articles, key=lambda p: (p[-1].startswith("article"), articles[p], -len(p)))
-        return [text for path, text, *_ in found if path[: len(container)] == container]
     containers = {_container(path, elements) for path, _, _, elements in found if scores[path] >= PATH_SHARE * best}
     return [text for _, text, _, elements in found if not containers.isdisjoint((0, *elements))]
 

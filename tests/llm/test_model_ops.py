@@ -44,6 +44,16 @@ def test_main_text_outside_the_heaviest_element():
     assert len(found) == 6 and found[0] == "The title, here." and found[1] == LONG[:240].strip() and found[5] == LONG[:300].strip()
 
 
+def test_main_text_takes_article_for_a_tag_like_others():
+    body = "".join(f"<p>{LONG}</p>" for _ in range(3))
+    card = "<article><h3>More</h3></article><hr><div><a href=/x>all</a></div>"
+    found = H.main_text(f"<body>{card}<div>{body}</div></body>").split("\n")
+    assert found.count(LONG.strip()) == 3 and "More" not in found
+    assert H.main_text(f"<body><main>{body}<article><p>Card</p></article></main></body>").count(LONG.strip()) == 3
+    parts = f"<article><h2>One.</h2><p>{LONG}</p></article><article><p>{LONG[:120]}</p></article><article><p>{LONG}</p><p>{LONG}</p></article>"
+    assert len(H.main_text(f"<body><main>{parts}</main></body>").split("\n")) == 5
+
+
 def test_extract_text_frame(spark):
     df = spark.createDataFrame([(1, PAGE, "x"), (1, PAGE, "x"), (2, None, "y"), (3, "<p>" + "long text, yes. " * 50_000 + "</p>", "z")], "page_id int, html string, text string")
     got = H.extract_text(df).collect()
