@@ -2,8 +2,8 @@
 
 A page is read as a sequence of blocks, each with the path of structural tags
 from the root (inline tags are left out).  Scripts, styles and other raw text, menus, headers, footers, sidebars,
-forms, notices, adverts and comments are cut by their tags, roles and class
-names.  For each path the text length and the punctuation are aggregated over its
+notices, adverts and comments are cut by their tags, roles and class names, and
+forms unless they hold most of the page's text weighted by its ratios.  For each path the text length and the punctuation are aggregated over its
 blocks; both ratios are fused (with the share of text outside links), smoothed
 over neighbouring blocks in page order, and paths whose mean stays above a share
 of the best are content paths.  All blocks of all elements that hold a block of a
@@ -29,8 +29,8 @@ from pyspark.sql.types import StringType
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "audio", "video", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
-CUT_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "option", "fieldset"}
-CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
+CUT_TAGS = {"nav", "header", "footer", "aside", "menu", "dialog", "button", "select", "option"}
+CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 CUT_NAMES = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "adbox", "alert", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "consent",
     "cookie", "cookies", "copyright", "disclaimer", "disqus", "footer", "foot", "gdpr", "header", "legal", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter",
@@ -39,6 +39,7 @@ CUT_NAMES = {
 }
 LAYOUT_WORDS = {"has", "no", "with", "without", "two", "left", "right"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+FORMS = {"form", "fieldset"}
 KEEPS_P = {"p", *INLINE}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "p": {"div", "article", "section", "main", "body", "blockquote", "td", "th", "li"}}
 
@@ -72,14 +73,20 @@ def _is_cut(tag: str, attributes: str, by_name: bool) -> bool:
     return False
 
 
-#: (path, text, characters of it in links, numbers of the elements of the path).
-Block = tuple[tuple[str, ...], str, int, tuple[int, ...]]
+#: (path, text, characters of it in links, numbers of the elements of the path, whether it is in a form).
+Block = tuple[tuple[str, ...], str, int, tuple[int, ...], bool]
+
+
+def _is_form(tag: str, attributes: str) -> bool:
+    if tag in FORMS:
+        return True
+    return "role" in attributes.lower() and any(name.lower() == "role" and (a or b or c).strip().lower() == "form" for name, a, b, c in _ATTRIBUTE.findall(attributes))
 
 
 def blocks(page: str, by_name: bool = True) -> list[Block]:
     """Each block that is not cut, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, cut, number
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, cut, number, form
     inline: list[tuple[str, bool]] = []
     pieces: list[str] = []
     cut, links, link_chars, opened = 0, 0, 0, 0
@@ -89,7 +96,7 @@ def blocks(page: str, by_name: bool = True) -> list[Block]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append((tuple(s[0] for s in stack), text, link_chars, tuple(s[2] for s in stack)))
+                out.append((tuple(s[0] for s in stack), text, link_chars, tuple(s[2] for s in stack), any(s[3] for s in stack)))
             pieces.clear()
         link_chars = 0
 
@@ -168,7 +175,7 @@ def blocks(page: str, by_name: bool = True) -> list[Block]:
         was_cut = _is_cut(tag, attributes, by_name)
         if not attributes.rstrip().endswith("/") or tag in ("p", "div", "article", "section"):
             opened += 1
-            stack.append((tag, was_cut, opened))
+            stack.append((tag, was_cut, opened, _is_form(tag, attributes)))
             cut += was_cut
     flush()
     return out
@@ -177,7 +184,7 @@ def blocks(page: str, by_name: bool = True) -> list[Block]:
 def path_scores(found: list[Block]) -> tuple[list[float], dict[tuple[str, ...], float]]:
     """Smoothed fused ratio of each block and its mean for each path."""
     chars, marks, plain, nodes = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text, linked, _ in found:
+    for path, text, linked, *_ in found:
         nodes[path] += 1
         chars[path] += len(text)
         plain[path] += max(len(text) - linked, 0)
@@ -199,8 +206,18 @@ def _container(path: tuple[str, ...], elements: tuple[int, ...]) -> int:
 def _content(found: list[Block]) -> list[str]:
     _, scores = path_scores(found)
     best = max(scores.values(), default=0)
-    containers = {_container(path, elements) for path, _, _, elements in found if scores[path] >= PATH_SHARE * best}
-    return [text for _, text, _, elements in found if not containers.isdisjoint((0, *elements))]
+    containers = {_container(path, elements) for path, _, _, elements, _ in found if scores[path] >= PATH_SHARE * best}
+    return [text for _, text, _, elements, _ in found if not containers.isdisjoint((0, *elements))]
+
+
+def _without_forms(found: list[Block]) -> list[Block]:
+    """The blocks outside forms, or all when those in forms are the bulk of the page."""
+    if not any(b[4] for b in found):
+        return found
+    smooth, _ = path_scores(found)
+    weights = [len(b[1]) * x for b, x in zip(found, smooth, strict=True)]
+    inside = sum(w for b, w in zip(found, weights, strict=True) if b[4])
+    return found if 2 * inside > sum(weights) else [b for b in found if not b[4]]
 
 
 def main_text(page: str | None) -> str:
@@ -208,6 +225,8 @@ def main_text(page: str | None) -> str:
         return ""
     for by_name in (True, False):
         found = blocks(page, by_name)
+        if by_name:
+            found = _without_forms(found)
         if found:
             return "\n".join(_content(found))
     return ""

@@ -54,6 +54,16 @@ def test_main_text_takes_article_for_a_tag_like_others():
     assert len(H.main_text(f"<body><main>{parts}</main></body>").split("\n")) == 5
 
 
+def test_main_text_in_forms():
+    body = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+    whole = ["Title", LONG.strip(), LONG.strip()]
+    assert H.main_text(f'<body><form id="aspnetForm"><div>{body}</div></form></body>').split("\n") == whole
+    assert H.main_text(f"<body><p>Top.</p><form><fieldset>{body}</fieldset></form></body>").split("\n")[-3:] == whole
+    assert H.main_text(f'<body><div role="form">{body}</div></body>').split("\n") == whole
+    assert H.main_text(f"<body><div>{body}<form><p>Your name?</p></form></div></body>").split("\n") == whole
+    assert H.main_text("<body><form><a href=/x>all in links</a></form></body>") == "all in links"
+
+
 def test_extract_text_frame(spark):
     df = spark.createDataFrame([(1, PAGE, "x"), (1, PAGE, "x"), (2, None, "y"), (3, "<p>" + "long text, yes. " * 50_000 + "</p>", "z")], "page_id int, html string, text string")
     got = H.extract_text(df).collect()
