@@ -4,8 +4,9 @@ Lines, paragraphs and the whole text are normalised (lower case, words of
 letters, digits and dots between digits, joined by one space) and compared with
 the templates: 2 * |A n B| / (|A| + |B|) over their sets of word bigrams.  A
 coefficient of d needs sizes within [d / (2 - d), (2 - d) / d] of each other, so
-only templates within these bounds are compared, and a passage that no
-template's size allows never gets its bigrams made.
+only templates within these bounds are compared, and at least d / (2 - d) of the
+passage's bigrams in the template, so a passage with fewer in all templates
+together is compared with none.
 
 Defined results: null and empty texts have no passages and no licence; equal
 coefficients go to the first licence by name; repeated rows each come out.
@@ -76,27 +77,27 @@ def scan_licences(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id"
     passage; licence and score are the best of them, null without any.
     """
     listed = sorted((name, grams) for name, texts in (templates or TEMPLATES).items() for grams in map(_template_bigrams, texts) if grams)
-    factor = (2 - dice) / dice
+    factor = (2 - dice) / dice + 1e-9  # what stands exactly on a bound is compared
     most = int(max((len(g) for _, g in listed), default=0) * factor)  # distinct bigrams of a passage that can match
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     passages = F.array_distinct(F.concat(F.split(body, r"\R"), F.split(body, r"\R{2,}"), F.array(body)))
-    # distinct bigrams may be fewer than words; passages that repeat themselves more than so often match no template
-    near = F.filter(passages, lambda p: (F.length(p) > 0) & (F.size(F.split(p, r"\s+", 2 * most + 8)) < 2 * most + 8))
-    worded = F.filter(F.transform(near, words), lambda w: F.size(w) > 0)
-    ready = F.filter(F.transform(worded, lambda w: F.struct(bigrams(w).alias("grams"), F.array_join(w, " ").alias("passage"))), lambda p: F.size(p["grams"]) <= most)
+    worded = F.filter(F.transform(F.filter(passages, lambda p: F.length(p) > 0), words), lambda w: F.size(w) > 0)
+    ready = F.filter(F.transform(worded, lambda w: F.struct(bigrams(w).alias("grams"), w.alias("words"))), lambda p: F.size(p["grams"]) <= most)
+    known = ", ".join(f"'{g}'" for g in sorted({g for _, grams in listed for g in grams})) or "''"  # words hold no quotes
+    near = F.expr(f"filter(ready, p -> size(filter(p.grams, g -> g in ({known}))) * {factor!r}D >= size(p.grams))")
 
     def score(passage: Column, template: list[str]) -> Column:
         size = F.size(passage["grams"])
         fits = (size * factor >= len(template)) & (size <= len(template) * factor)
-        common = F.size(F.array_intersect(passage["grams"], F.array(*map(F.lit, template))))
+        common = F.size(F.array_intersect(passage["grams"], F.split(F.lit("\n".join(template)), "\n")))
         return F.when(fits, 2.0 * common / (size + len(template)))
 
     def scores(passage: Column) -> Column:
-        each = [F.struct(F.lit(name).alias("licence"), score(passage, template).alias("score"), passage["passage"].alias("passage")) for name, template in listed]
+        each = [F.struct(F.lit(name).alias("licence"), score(passage, template).alias("score"), F.array_join(passage["words"], " ").alias("passage")) for name, template in listed]
         return F.slice(F.array_sort(F.filter(F.array(*each), lambda s: s["score"] >= dice), _better), 1, 1)
 
-    hits = F.flatten(F.transform(ready, scores)) if listed else F.array().cast("array<struct<licence:string,score:double,passage:string>>")
-    out = docs.select(F.col(doc_id).alias("doc_id"), hits.alias("hits"))
+    hits = F.flatten(F.transform(near, scores)) if listed else F.array().cast("array<struct<licence:string,score:double,passage:string>>")
+    out = docs.select(F.col(doc_id).alias("doc_id"), ready.alias("ready")).select("doc_id", hits.alias("hits"))
     names = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["licence"])))
     best_of = lambda name: F.element_at(F.array_sort(F.filter("hits", lambda h: h["licence"] == name), _better), 1)
     out = out.select("doc_id", F.transform(names, best_of).alias("licences"))

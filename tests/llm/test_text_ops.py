@@ -222,6 +222,16 @@ def test_licences(spark):
     assert [x.licence for x in by[3, "Apache-2.0"].licences] == ["Apache-2.0", "CC-BY-NC-4.0"] and by[2, "GPL-3.0"].score == 1.0
 
 
+def test_licences_of_long_passages(spark):
+    notice = "Released under the MIT License."
+    rows = [(1, " ".join([notice] * 30)), (2, "* " * 200 + notice + " - - -" * 200), (3, " ".join(f"w{k}" for k in range(20_000)))]
+    got = {r.doc_id: (r.licence, r.score) for r in L.scan_licences(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {1: ("MIT", pytest.approx(8 / 9)), 2: ("MIT", 1.0), 3: (None, None)}
+    # sizes 2 and 3 stand exactly on the bound of 0.8
+    edge = L.scan_licences(spark.createDataFrame([(1, "a b c")], "doc_id int, text string"), templates={"X": ["a b c d"]}).first()
+    assert edge.score == 0.8
+
+
 def test_licence_scores_against_brute_force(spark):
     text = "licensed under the apache license version two zero"
     grams = lambda t: set(zip(t, t[1:], strict=False))
