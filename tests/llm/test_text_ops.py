@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -232,6 +233,62 @@ def test_licences_of_long_passages(spark):
     assert edge.score == 0.8
 
 
+REAL = {
+    "MIT": """Copyright (c) 2019 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+
+* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.""",
+    "BSD-2-Clause": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "GPL-3.0": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,""",
+}
+
+
+def test_real_licence_texts(spark):
+    files = sorted(Path(L.__file__).parent.joinpath("licence_texts").glob("*.txt"))
+    assert len(files) == 11
+    rows = [(name, f"Some words of prose before it.\n\n{text}\n\nand some after it, with no notice at all.") for name, text in REAL.items()]
+    rows += [(f.stem, f"Copyright (c) 2020 Somebody\n\n{f.read_text(encoding='utf-8')}") for f in files]
+    got = L.scan_licences(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [(r.doc_id, r.licence) for r in got if r.licence != r.doc_id] == []
+
+
 def test_licence_scores_against_brute_force(spark):
     text = "licensed under the apache license version two zero"
     grams = lambda t: set(zip(t, t[1:], strict=False))
