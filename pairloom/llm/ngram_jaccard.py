@@ -19,6 +19,9 @@ shingle; a null text or one without words has an empty set and no links).
    go on as join the cell's components, which is linear in its rows.  What the
    hashed bitmaps of small cells leave is compared on whole sets.
 4. All links are closed to connected components.
+5. Steps 2 and 3 find as many links as join the components.  All links lie within
+   components, so those of each document are counted there, on whole sets: block
+   against block of a component, by exact bitmaps, with counts as the only output.
 
 The order of the shingles, which decides prefixes, puts the most frequent ones
 last; they are found by counts within each task and bounded to `FREQUENT`
@@ -345,6 +348,92 @@ def _search_large(percent: int):
     return _units(find)
 
 
+def _bitmaps(sets: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+    """A row of 64-bit words for each set, with a bit for each of the sorted `values`."""
+    width = 64 * max(1, -(-len(values) // 64))
+    maps = np.zeros((len(sets), width // 64), np.uint64)
+    for k, own in enumerate(sets):
+        at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+        flags = np.zeros(width, bool)
+        flags[at[values[at] == own]] = True
+        maps[k] = np.packbits(flags, bitorder="little").view(np.uint64)
+    return maps
+
+
+def _linked(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], percent: int) -> tuple[list[int], list[int], np.ndarray]:
+    """Documents of both sides of (document, set) rows, and which of them link; a document does not link with itself."""
+    ids = [list(dict.fromkeys(d for d, _ in side)) for side in (left, right)]
+    place = [{d: k for k, d in enumerate(side)} for side in ids]
+    found = np.zeros((len(ids[0]), len(ids[1])), bool)
+    values, counts = np.unique(np.concatenate([t for _, t in left] + ([] if right is left else [t for _, t in right])), return_counts=True)
+    values = values[counts > 1]
+    if not len(values):
+        return *ids, found
+    first = _bitmaps([t for _, t in left], values)
+    second = first if right is left else _bitmaps([t for _, t in right], values)
+    sizes = np.array([len(t) for _, t in right], np.int64)
+    at = np.array([place[1][d] for d, _ in right])
+    for (doc, tokens), own in zip(left, first, strict=True):
+        common = np.zeros(len(right), np.int64)
+        for cut in range(0, len(own), 4096):
+            common += np.bitwise_count(second[:, cut : cut + 4096] & own[cut : cut + 4096]).sum(axis=1, dtype=np.int64)
+        hits = at[100 * common >= percent * (len(tokens) + sizes - common)]
+        found[place[0][doc], hits] = True
+        if doc in place[1]:
+            found[place[0][doc], place[1][doc]] = False
+    return *ids, found
+
+
+def _counts(n: int, percent: int):
+    """(rep, n_links) of each unit, from texts sorted by unit (component, blocks i and j) and side."""
+    schema = pa.schema([("rep", pa.int64()), ("n_links", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides, out = None, ({}, {}), []
+
+        def count() -> None:
+            left, right = ([(d, t) for d, sets in side.items() for t in sets.values()] for side in sides)
+            if key and left and (right or key[1] == key[2]):
+                a, b, found = _linked(left, right or left, percent)
+                out.extend(zip(a, found.sum(axis=1).tolist(), strict=True))
+                if right:
+                    out.extend(zip(b, found.sum(axis=0).tolist(), strict=True))
+
+        def made() -> pa.RecordBatch:
+            rows = [r for r in out if r[1]]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], schema=schema)
+
+        for batch in batches:
+            for *k, side, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    count()
+                    key, sides = k, ({}, {})
+                tokens = shingle_set(text, n)
+                if len(tokens):
+                    sides[side].setdefault(doc, {})[tokens.tobytes()] = tokens
+            if len(out) > 10_000:
+                yield made()
+        count()
+        yield made()
+
+    return run
+
+
+def _degrees(label: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(rep, n_links): with how many other nodes of `label` (node, component) each node links."""
+    sized = label.groupBy("component").agg(F.count("*").alias("size"))
+    placed = label.join(sized, "component").withColumn("blocks", F.ceil(F.col("size") / UNIT)).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    two = placed.where("size = 2").select(F.col("node").alias("rep"), F.lit(1).cast("long").alias("n_links"))
+    partner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    units = placed.where("size > 2").select("node", "component", "block", partner)
+    unit = F.struct("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    wanted = units.groupBy(F.col("node").alias("doc_id")).agg(F.collect_set(unit).alias("units"))
+    held = _texts(docs, wanted).select(F.explode("units").alias("u"), "doc_id", "text").select("u.component", "u.i", "u.j", "u.side", "doc_id", "text")
+    parts = held.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "doc_id").mapInArrow(_counts(n, percent), "rep long, n_links long")
+    return two.union(parts.groupBy("rep").agg(F.sum("n_links").alias("n_links")))
+
+
 def _apart(cells: DataFrame, percent: int) -> DataFrame:
     """Rows of cells that have a row of another component in reach of their size."""
     cell = Window.partitionBy("token")
@@ -400,11 +489,12 @@ def _grouped(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("component", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b")
 
 
-def ngram_jaccard_join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int = 5, percent: int = 80, large_cell: int = LARGE) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int = 5, percent: int = 80, large_cell: int = LARGE, count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for each row of `docs`.
 
-    n_links counts the verified links that joined the document's class to other
-    classes; documents of one class (equal sets) are linked as such.
+    n_links is the number of all other classes that the document's class links
+    with (a class by its smallest doc_id and all texts of that); documents of one
+    class (equal sets) are linked as such.  Without `count_links` it is left out.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), binary(text).alias("text"))
     schema = "kind byte, doc_id long, n int, sig binary, keys array<long>"
@@ -447,10 +537,15 @@ def ngram_jaccard_join(docs: DataFrame, *, text: str = "text", doc_id: str = "do
 
     # 4. components of all links
     label = components(all_links).withColumnRenamed("node", "rep")
-    degree = all_links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    known = rows.join(classes.select("sig", "rep"), "sig", "left").join(label, "rep", "left").join(degree, "rep", "left")
+    known = rows.join(classes.select("sig", "rep"), "sig", "left").join(label, "rep", "left")
     own = F.coalesce("component", "rep", "doc_id")
-    return known.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = ["doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id")]
+    if not count_links:
+        return known.select(*out)
+
+    # 5. all links within the components
+    degree = _degrees(label.withColumnRenamed("rep", "node"), docs, n, percent)
+    return known.join(degree, "rep", "left").select(*out, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int = 5, percent: int = 80) -> DataFrame:
@@ -458,7 +553,7 @@ def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n:
 
     Rows with a null doc_id stay.  Of rows that share the kept doc_id, all stay.
     """
-    found = ngram_jaccard_join(docs, text=text, doc_id=doc_id, n=n, percent=percent)
+    found = ngram_jaccard_join(docs, text=text, doc_id=doc_id, n=n, percent=percent, count_links=False)
     rest = stash(found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct(), "others")
     if rest.count() <= BROADCAST_IDS:
         rest = F.broadcast(rest)

@@ -99,6 +99,32 @@ def test_jaccard_hot_group(spark):
     assert got == _components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("unit", [256, 7])
+def test_jaccard_counts_all_links(spark, monkeypatch, unit):
+    monkeypatch.setattr(J, "UNIT", unit)
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"{c}{i}" for i in range(40)) + f" end{k}") for k, c in enumerate("aaabbc")]
+    base = [f"w{k}" for k in range(60)]
+    for i in range(60):
+        t = list(base)
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randint(0, 59)] = f"y{rng.randint(0, 999)}"
+        rows.append((100 + i, " ".join(t)))
+    rows += [(i + 1000, t) for i, t in rows[::5]] + [(500, rows[0][1]), (500, rows[3][1])]
+    got = {r.doc_id: r.n_links for r in J.ngram_jaccard_join(_frame(spark, rows), n=4, percent=85, large_cell=16).collect() if r.doc_id != 500}
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, set()).add(frozenset(_shingles(t, 4)))
+    reps = {}
+    for i, sets in texts.items():
+        for s in sets:
+            reps[s] = min(i, reps.get(s, i))
+    linked = lambda a, b: any(100 * len(x & y) >= 85 * len(x | y) for x in texts[a] for y in texts[b])
+    nodes = set(reps.values())
+    want = {i: sum(linked(reps[s], b) for b in nodes if b != reps[s]) for i, sets in texts.items() if i != 500 for s in sets}
+    assert got == want and [got[k] for k in range(6)] == [2, 2, 2, 1, 1, 0] and max(want.values()) > 10
+
+
 def test_jaccard_empty(spark):
     assert J.ngram_jaccard_join(_frame(spark, [])).count() == 0
     assert J.keep_one(_frame(spark, [])).columns == SCHEMA.replace(",", "").split()[::2]
