@@ -6,7 +6,7 @@ documents and different values different ones:
 
 - payment cards: 13 to 19 digits (or groups of 4-4-4-4 or 4-6-5) that pass Luhn;
   the first digit stays and the last is the new Luhn digit;
-- IBANs that pass modulo 97; country and letters stay, check digits are new;
+- IBANs that pass modulo 97, in one piece or in groups of four; country and letters stay, check digits are new;
 - IPv4 addresses with octets up to 255;
 - telephone numbers (international, or with an area code); a leading country code stays;
 - US social security numbers that can exist, permuted among those that can;
@@ -33,6 +33,14 @@ ROUNDS = 10
 
 _EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z])"
 _IBAN = r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)"
+#: Countries by the length of their IBANs; in groups of four the end is not seen otherwise.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_GROUPED = "|".join(f"(?:{c.replace(' ', '|')})\\d{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in _IBAN_LENGTHS.items())
+#: Candidates in groups of four, also where they overlap.
+_GROUPED_IBAN = rf"(?<!\w)(?=((?:{_GROUPED}|(?!{'|'.join(_IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}\d{{2}}(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?)(?!\w)))"
 _CARD = r"(?<![\w])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)"
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 _DATE = r"(?<![\w/-])\d{4}-\d{2}-\d{2}(?![\w/-])|(?<![\w.])\d{2}\.\d{2}\.\d{4}(?!\w|\.\d)|(?<![\w/])\d{2}/\d{2}/\d{4}(?![\w/])"
@@ -115,10 +123,18 @@ def _card(key: str, m: Column, invert: bool) -> Column:
     return _let(_digits(m), body)
 
 
+def _joined(m: Column) -> Column:
+    return F.replace(m, F.lit(" "), F.lit(""))
+
+
+def _is_iban(m: Column) -> Column:
+    return _let(_joined(m), lambda j: _mod97(F.concat(F.substr(j, F.lit(5)), F.substring(j, 1, 4))) == 1)
+
+
 def _iban(key: str, m: Column, invert: bool) -> Column:
     country, body = F.substring(m, 1, 2), F.substr(m, F.lit(5))
-    moved = _refill(body, _permuted_digits(key, "iban", _digits(body), invert, F.concat(country, F.regexp_replace(body, "[0-9]", "0"))), "[0-9]")
-    return _let(moved, lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
+    moved = _refill(body, _permuted_digits(key, "iban", _digits(body), invert, F.concat(country, F.regexp_replace(_joined(body), "[0-9]", "0"))), "[0-9]")
+    return _let(moved, lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(_joined(b), country, F.lit("00")))).cast("string"), 2, "0"), b))
 
 
 def _phone(key: str, m: Column, invert: bool) -> Column:
@@ -201,7 +217,7 @@ def finding(m: Column) -> Column:
     digits = _digits(m)
     return (
         F.when(m.contains("@"), "email")
-        .when(m.rlike(r"^[A-Z]"), F.when(_mod97(F.concat(F.substr(m, F.lit(5)), F.substring(m, 1, 4))) == 1, "iban"))
+        .when(m.rlike(r"^[A-Z]"), F.when(_is_iban(m), "iban"))
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.when(F.forall(octets, lambda o: o <= 255), "ip"))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(~m.rlike(r"^(000|666|9)|-00-|-0000$"), "ssn"))
         .when(m.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})$"), F.when(F.coalesce(*(F.when(m.rlike(rx), _date_in(m, shape)) for rx, shape in _DATE_FORMATS)).isNotNull(), "date"))
@@ -223,11 +239,14 @@ def pseudonymise(docs: DataFrame, *, text: str = "text", key: str = "pairloom",
     A column of the name `into` is replaced; `invert` turns pseudonyms back.
     """
     body = F.col(text).cast("string")
-    matches = F.when(body.rlike("[0-9@]"), F.regexp_extract_all(body, F.lit(FOUND), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    # only those that validate, so that what else stands in such groups is found as before
+    grouped = F.when(body.rlike(r"[A-Z]{2}[0-9]{2} [A-Z0-9]{4} "), F.filter(F.regexp_extract_all(body, F.lit(_GROUPED_IBAN), F.lit(1)), _is_iban))
+    docs = docs.withColumn("_pattern", F.when(F.size(grouped) > 0, F.concat(F.lit(r"(?<!\w)(?:"), F.array_join(grouped, "|"), F.lit(rf")(?!\w)|{FOUND}"))).otherwise(F.lit(FOUND)))
+    matches = F.when(body.rlike("[0-9@]"), F.regexp_extract_all(body, F.col("_pattern"), F.lit(0))).otherwise(F.array().cast("array<string>"))
     judged = F.transform("_found", lambda m: F.struct(m.alias("match"), finding(m).alias("kind")))
     made = F.transform("_found", lambda f: F.struct(f["kind"].alias("kind"), _pseudonym(key, f["match"], f["kind"], invert).alias("pseudonym")))
-    gaps = F.split(body, FOUND, -1)
+    gaps = F.split(body, F.col("_pattern"), -1)
     new = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size("_found")), "_found", lambda g, f: F.concat(g, f["pseudonym"])), ""), F.element_at(gaps, -1))
     out = docs.withColumn("_found", F.coalesce(matches, F.array().cast("array<string>"))).withColumn("_found", judged).withColumn("_found", made)
     out = out.withColumn(text, F.when(F.exists("_found", lambda f: f["kind"].isNotNull()), new).otherwise(body))
-    return out.withColumn(into, F.filter("_found", lambda f: f["kind"].isNotNull())).drop("_found")
+    return out.withColumn(into, F.filter("_found", lambda f: f["kind"].isNotNull())).drop("_found", "_pattern")

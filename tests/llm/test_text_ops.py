@@ -183,6 +183,18 @@ def test_pii_round_trip_and_formats(spark):
     assert re.sub(r"\d", "9", rows[1].text) == re.sub(r"\d", "9", PII_TEXTS[1])
 
 
+def test_pii_grouped_ibans(spark):
+    texts = ["pay DE89 3704 0044 0532 0130 00 now", "ES91 2100 0418 4502 0005 1332 2024 BE12 4111 1111 1111 1111 x", "XX11 GB82 WEST 1234 5698 7654 32, 16.120.181.235", "DE89 3704 0044 0532 0130 01", "DE89370400440532013000"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    hidden = P.pseudonymise(docs)
+    rows = hidden.orderBy("doc_id").collect()
+    assert [[f.kind for f in r.pii] for r in rows] == [["iban"], ["iban", "card"], ["iban", "ip"], [], ["iban"]]
+    for r, t in zip(rows[:3], texts, strict=False):
+        assert re.sub(r"\d", "9", r.pii[0].pseudonym) in re.sub(r"\d", "9", t) and r.pii[0].pseudonym not in t
+    assert rows[0].pii[0].pseudonym.replace(" ", "") == rows[4].pii[0].pseudonym
+    assert [r.text for r in P.pseudonymise(hidden.select("doc_id", "text"), invert=True).orderBy("doc_id").collect()] == texts
+
+
 def test_pii_links_equal_values_and_keys_differ(spark):
     docs = spark.createDataFrame([(1, "a 10.0.0.1 b"), (2, "10.0.0.1"), (3, "10.0.0.2")], "doc_id int, text string")
     one = {r.doc_id: r.pii[0].pseudonym for r in P.pseudonymise(docs).collect()}
