@@ -48,3 +48,6 @@ def test_against_oracle(spark, entry, name):
     assert got == want
 
 
+def test_interval_overlap_reads_all_tokens(spark, entry):
+    assert "< 60" not in entry.queries()["j10_interval_overlap"](spark, DATA)._jdf.queryExecution().toString()
+    test_against_oracle(spark, entry, "j10_interval_overlap")
