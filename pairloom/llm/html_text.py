@@ -1,24 +1,35 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read as a sequence of blocks, each with the path of structural tags
-from the root (inline tags are left out).  Scripts, styles and other raw text, menus, headers, footers, sidebars,
-notices, adverts and comments are cut by their tags, roles and class names, and
-forms unless they hold most of the page's text weighted by its ratios.  For each path the text length and the punctuation are aggregated over its
-blocks; both ratios are fused (with the share of text outside links), smoothed
-over neighbouring blocks in page order, and paths whose mean stays above a share
-of the best are content paths.  All blocks of all elements that hold a block of a
-content path are the text; `article` and `main` are tags like others.
+from the root (inline tags are left out); only what is no text at all (scripts,
+styles and other raw content, hidden elements, buttons and option lists) is passed
+over.  For each root-to-leaf path the text length, the punctuation and the text
+outside links are aggregated over its blocks and fused into one ratio.  Ratios are
+smoothed over neighbouring blocks in page order, a neighbour counting less the more
+of its path is not shared, and averaged for each path.  What the tags,
+roles and class names of a path's elements say (menu, header, footer, sidebar,
+notice, advert, form, comments) enters as a factor, `PRIOR`: it weighs a path down
+against others, but a page whose whole text lies in such elements keeps its text.
+Paths that reach a share of the best are content paths.
+
+The text holds all blocks of content paths, and of the elements around these all
+other blocks that no marked element parts from them; `article` and `main` are tags
+like others.
+
+Paths are nodes of a trie and elements point to their parents, so a page takes time
+and memory in proportion to its length, however deep it is nested.
 
 Defined results: a null or empty page gives an empty text; a page without tags is
 one block; markup that is never closed runs to where the next block starts or
-the page ends.
+the page ends; repeated rows each come out; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,9 +40,10 @@ from pyspark.sql.types import StringType
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "audio", "video", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
-CUT_TAGS = {"nav", "header", "footer", "aside", "menu", "dialog", "button", "select", "option"}
-CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
-CUT_NAMES = {
+NO_TEXT = {"button", "select", "option", "dialog"}
+MARKED_TAGS = {"nav", "header", "footer", "aside", "menu", "form", "fieldset"}
+MARKED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form"}
+MARKED_NAMES = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "adbox", "alert", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "consent",
     "cookie", "cookies", "copyright", "disclaimer", "disqus", "footer", "foot", "gdpr", "header", "legal", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter",
     "notice", "notices", "overlay", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar",
@@ -39,7 +51,6 @@ CUT_NAMES = {
 }
 LAYOUT_WORDS = {"has", "no", "with", "without", "two", "left", "right"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-FORMS = {"form", "fieldset"}
 KEEPS_P = {"p", *INLINE}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "p": {"div", "article", "section", "main", "body", "blockquote", "td", "th", "li"}}
 
@@ -47,75 +58,101 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table",
 LEAVES = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "blockquote", "pre"}
 
 #: Share of the best path's smoothed ratio from which a path is content.
-PATH_SHARE = 0.2
+PATH_SHARE = 0.05
+#: Factor on the ratio of a path with a marked element.
+PRIOR = 0.001
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，؟¿¡]")
 
 
-def _is_cut(tag: str, attributes: str, by_name: bool) -> bool:
-    if tag in CUT_TAGS:
-        return True
+def judge(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether the element is shown as text at all, and whether its tag, role or class name marks it."""
+    shown, marked = tag not in NO_TEXT, tag in MARKED_TAGS
     if not attributes or not attributes.strip(" /\t\r\n"):
-        return False
+        return shown, marked
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name == "role" and value.strip() in CUT_ROLES:
-            return True
-        if by_name and name in ("class", "id") and tag not in ("html", "body"):
+            shown = False
+        elif name == "role":
+            marked |= value.strip() in MARKED_ROLES
+        elif name in ("class", "id") and tag not in ("html", "body"):
             for token in value.split():
                 parts = [p for p in re.split(r"[-_]+", token) if p]
-                if CUT_NAMES.intersection(parts) and not LAYOUT_WORDS.intersection(parts):
-                    return True
-    return False
-
-
-#: (path, text, characters of it in links, numbers of the elements of the path, whether it is in a form).
-Block = tuple[tuple[str, ...], str, int, tuple[int, ...], bool]
-
-
-def _is_form(tag: str, attributes: str) -> bool:
-    if tag in FORMS:
-        return True
-    return "role" in attributes.lower() and any(name.lower() == "role" and (a or b or c).strip().lower() == "form" for name, a, b, c in _ATTRIBUTE.findall(attributes))
-
-
-def blocks(page: str, by_name: bool = True) -> list[Block]:
-    """Each block that is not cut, in page order."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, cut, number, form
-    inline: list[tuple[str, bool]] = []
+                marked |= bool(MARKED_NAMES.intersection(parts)) and not LAYOUT_WORDS.intersection(parts)
+    return shown, marked
+
+
+@dataclass
+class Page:
+    """Blocks of a page with its elements and paths; number 0 of each is the page itself."""
+
+    #: (text, characters of it in links, element, path)
+    blocks: list[tuple[str, int, int, int]] = field(default_factory=list)
+    #: of each element: parent, deepest element from it upwards that can hold several blocks, whether it is marked
+    parent: list[int] = field(default_factory=lambda: [0])
+    container: list[int] = field(default_factory=lambda: [0])
+    marked: list[bool] = field(default_factory=lambda: [False])
+    #: of each path: the path above, number of tags, whether an element of it is marked
+    above: list[int] = field(default_factory=lambda: [0])
+    depth: list[int] = field(default_factory=lambda: [0])
+    weighed_down: list[bool] = field(default_factory=lambda: [False])
+
+
+def read(page: str) -> Page:
+    out = Page()
+    paths: dict[tuple[int, str, bool], int] = {}
+    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, hidden, element, path
+    inline: list[tuple[str, int]] = []
+    open_tags: Counter[str] = Counter()
     pieces: list[str] = []
-    cut, links, link_chars, opened = 0, 0, 0, 0
+    hidden, links, link_chars = 0, 0, 0
 
     def flush() -> None:
         nonlocal link_chars
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append((tuple(s[0] for s in stack), text, link_chars, tuple(s[2] for s in stack), any(s[3] for s in stack)))
+                out.blocks.append((text, link_chars, stack[-1][2], stack[-1][3]))
             pieces.clear()
         link_chars = 0
 
     def pop(depth: int) -> None:
-        nonlocal cut
+        nonlocal hidden
         flush()
         while len(stack) > depth:
-            cut -= stack.pop()[1]
+            tag, was_hidden, *_ = stack.pop()
+            open_tags[tag] -= 1
+            hidden -= was_hidden
 
     def end_inline(depth: int) -> None:
-        nonlocal cut, links
+        nonlocal hidden, links
         while len(inline) > depth:
-            tag, was_cut = inline.pop()
-            cut -= was_cut
+            tag, was_hidden = inline.pop()
+            open_tags[tag] -= 1
+            hidden -= was_hidden
             links -= tag == "a"
 
+    def push(tag: str, was_hidden: bool, mark: bool) -> None:
+        _, _, element, path = stack[-1]
+        key = path, tag, mark
+        if key not in paths:
+            paths[key] = len(out.above)
+            out.above.append(path)
+            out.depth.append(out.depth[path] + 1)
+            out.weighed_down.append(mark or out.weighed_down[path])
+        own = len(out.parent)
+        out.parent.append(element)
+        out.container.append(out.container[element] if tag in LEAVES else own)
+        out.marked.append(mark)
+        stack.append((tag, int(was_hidden), own, paths[key]))
+        open_tags[tag] += 1
+
     def text_to(end: int) -> None:
         nonlocal link_chars
-        if end > at and not cut:
+        if end > at and not hidden:
             pieces.append(page[at:end])
             if links:
                 link_chars += end - at
@@ -133,17 +170,12 @@ def blocks(page: str, by_name: bool = True) -> list[Block]:
             continue
         tag = tag.lower()
         if close:
-            if tag in INLINE:
-                for k in range(len(inline) - 1, -1, -1):
-                    if inline[k][0] == tag:
-                        end_inline(k)
-                        break
-            else:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        pop(k)
-                        end_inline(0)
-                        break
+            if open_tags[tag] > 0:
+                held = inline if tag in INLINE else stack
+                k = next(k for k in range(len(held) - 1, -1, -1) if held[k][0] == tag)
+                if held is stack:
+                    pop(k)
+                end_inline(k if held is inline else 0)
             continue
         if tag in RAW:
             if not attributes.rstrip().endswith("/") or tag in ("script", "style", "title"):
@@ -153,83 +185,84 @@ def blocks(page: str, by_name: bool = True) -> list[Block]:
         if tag in VOID:
             if tag == "hr":
                 flush()
-            elif not cut and tag in ("br", "img", "wbr", "input") and tag != "wbr":
+            elif not hidden and tag in ("br", "img", "input"):
                 pieces.append(" ")
             continue
+        shown, mark = judge(tag, attributes)
         if tag in INLINE:
             if not attributes.rstrip().endswith("/"):
-                was_cut = _is_cut(tag, attributes, by_name)
-                inline.append((tag, was_cut))
-                cut += was_cut
+                # marked words within a line have no path of their own
+                inline.append((tag, int(not shown or mark)))
+                open_tags[tag] += 1
+                hidden += not shown or mark
                 links += tag == "a"
             continue
         flush()
         end_inline(0)
         ends = CLOSES.get(tag, set()) | (set() if tag in KEEPS_P else {"p"})
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in ends:
-                pop(k)
-                break
-            if stack[k][0] in SCOPE.get(tag, SCOPE["p"]):
-                break
-        was_cut = _is_cut(tag, attributes, by_name)
+        if any(open_tags[t] > 0 for t in ends):
+            scope = SCOPE.get(tag, SCOPE["p"])
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] in ends:
+                    pop(k)
+                    break
+                if stack[k][0] in scope:
+                    break
         if not attributes.rstrip().endswith("/") or tag in ("p", "div", "article", "section"):
-            opened += 1
-            stack.append((tag, was_cut, opened, _is_form(tag, attributes)))
-            cut += was_cut
+            push(tag, not shown, mark)
+            hidden += not shown
     flush()
     return out
 
 
-def path_scores(found: list[Block]) -> tuple[list[float], dict[tuple[str, ...], float]]:
-    """Smoothed fused ratio of each block and its mean for each path."""
-    chars, marks, plain, nodes = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text, linked, *_ in found:
-        nodes[path] += 1
-        chars[path] += len(text)
-        plain[path] += max(len(text) - linked, 0)
-        marks[path] += len(_PUNCTUATION.findall(text))
-    fused = {p: (chars[p] / nodes[p]) * (1 + marks[p] / nodes[p]) * plain[p] / max(chars[p], 1) for p in nodes}
-    raw = [fused[p] for p, *_ in found]
-    smooth = [(raw[max(k - 1, 0)] + 2 * x + raw[min(k + 1, len(raw) - 1)]) / 4 for k, x in enumerate(raw)]
-    sums = defaultdict(float)
-    for (path, *_), x in zip(found, smooth, strict=True):
-        sums[path] += x
-    return smooth, {p: sums[p] / nodes[p] for p in nodes}
-
-
-def _container(path: tuple[str, ...], elements: tuple[int, ...]) -> int:
-    """Number of the deepest element around a block that can hold several; 0 is the page."""
-    return next((e for tag, e in zip(reversed(path), reversed(elements), strict=True) if tag not in LEAVES), 0)
-
-
-def _content(found: list[Block]) -> list[str]:
-    _, scores = path_scores(found)
+def _nearness(page: Page, a: int, b: int) -> float:
+    """1 for equal paths, a tenth for each tag of the longer path that the other does not share."""
+    high, low = (a, b) if page.depth[a] >= page.depth[b] else (b, a)
+    steps = page.depth[high] - page.depth[low]
+    for _ in range(steps):
+        high = page.above[high]
+    while high != low:
+        high, low, steps = page.above[high], page.above[low], steps + 1
+    return 0.1 ** min(steps, 300)
+
+
+def path_scores(page: Page) -> dict[int, float]:
+    """Smoothed fused ratio of each path that has blocks."""
+    sums: dict[int, list[float]] = {}
+    for text, linked, _, path in page.blocks:
+        own = sums.setdefault(path, [0, 0, 0, 0])
+        own[0] += 1
+        own[1] += len(text)
+        own[2] += max(len(text) - linked, 0)
+        own[3] += len(_PUNCTUATION.findall(text))
+    fused = {p: (plain / nodes) * (1 + marks / nodes) for p, (nodes, _, plain, marks) in sums.items()}
+    order = [p for *_, p in page.blocks]
+    near: dict[tuple[int, int], float] = {}
+    total = dict.fromkeys(fused, 0.0)
+    for k, path in enumerate(order):
+        value, weight = 4 * fused[path], 4.0
+        for other in (order[k - 1] if k else path, order[k + 1] if k + 1 < len(order) else path):
+            if (path, other) not in near:
+                near[path, other] = near[other, path] = _nearness(page, path, other)
+            value += near[path, other] * fused[other]
+            weight += near[path, other]
+        total[path] += value / weight
+    return {p: (PRIOR if page.weighed_down[p] else 1.0) * total[p] / sums[p][0] for p in fused}
+
+
+def content(page: Page) -> list[str]:
+    scores = path_scores(page)
     best = max(scores.values(), default=0)
-    containers = {_container(path, elements) for path, _, _, elements, _ in found if scores[path] >= PATH_SHARE * best}
-    return [text for _, text, _, elements, _ in found if not containers.isdisjoint((0, *elements))]
-
-
-def _without_forms(found: list[Block]) -> list[Block]:
-    """The blocks outside forms, or all when those in forms are the bulk of the page."""
-    if not any(b[4] for b in found):
-        return found
-    smooth, _ = path_scores(found)
-    weights = [len(b[1]) * x for b, x in zip(found, smooth, strict=True)]
-    inside = sum(w for b, w in zip(found, weights, strict=True) if b[4])
-    return found if 2 * inside > sum(weights) else [b for b in found if not b[4]]
+    chosen = {p for p, x in scores.items() if x >= PATH_SHARE * best}
+    containers = {page.container[e] for _, _, e, p in page.blocks if p in chosen}
+    inside = [0 in containers]
+    for e in range(1, len(page.parent)):  # parents come first
+        inside.append(e in containers or inside[page.parent[e]] and not page.marked[e])
+    return [text for text, _, e, p in page.blocks if p in chosen or inside[e]]
 
 
 def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    for by_name in (True, False):
-        found = blocks(page, by_name)
-        if by_name:
-            found = _without_forms(found)
-        if found:
-            return "\n".join(_content(found))
-    return ""
+    return "\n".join(content(read(page))) if page else ""
 
 
 @F.arrow_udf(StringType())

@@ -1,6 +1,7 @@
 """HTML text, URL filter, packing, nearest neighbours, toxicity."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -64,6 +65,95 @@ def test_main_text_in_forms():
     assert H.main_text("<body><form><a href=/x>all in links</a></form></body>") == "all in links"
 
 
+def test_path_ratios_choose_without_names():
+    """No tag, role or class name tells the parts: link lists, a short line and a notice are left out by their ratios alone."""
+    links = "".join(f'<li><a href="/{k}">place {k}</a></li>' for k in range(9))
+    page = f"<body><div><ul>{links}</ul></div><div><em>Short line</em></div><div><div><h2>Title</h2><p>{LONG}</p><p>{LONG}</p></div></div><div><div><b>c 2020</b></div></div></body>"
+    assert H.main_text(page).split("\n") == ["Title", LONG.strip(), LONG.strip()]
+    page = f"<body><article><ul>{links}</ul></article><article><div><h2>Title</h2><p>{LONG}</p><p>{LONG}</p></div></article></body>"
+    assert H.main_text(page).split("\n") == ["Title", LONG.strip(), LONG.strip()]
+
+
+def test_constant_ratios_change_the_text(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+    with_ratios = [H.main_text(p) for p in pages]
+    monkeypatch.setattr(H, "path_scores", lambda page: {p: 1.0 for *_, p in page.blocks})
+    assert sum(a != H.main_text(p) for a, p in zip(with_ratios, pages, strict=True)) > len(pages) / 2
+
+
+def _random_page(rng):
+    """(html, blocks) of a random tree: a block's path holds (tag, marked, number) from the root; leaves hold text alone."""
+    parts, found, opened = [], [], [0]
+
+    def grow(tag, marked, above):
+        opened[0] += 1
+        path = (*above, (tag, marked, opened[0]))
+        parts.append(f'<{tag} class="{"sidebar" if marked else "x"}">')
+        if tag == "p":
+            text = " ".join(rng.choice(["ab", "cd.", "efg,", "h"]) for _ in range(rng.randint(1, 40)))
+            linked = rng.random() < 0.2
+            parts.append(f"<a>{text}</a>" if linked else text)
+            found.append((path, text, len(text) if linked else 0))
+        else:
+            for _ in range(rng.randint(0, 3)):
+                grow(rng.choice(["p", "p", "div", "section", "article"]) if len(path) < 5 else "p", rng.random() < 0.15, path)
+        parts.append(f"</{tag}>")
+
+    for _ in range(3):
+        grow("div", False, ())
+    return "".join(parts), found
+
+
+def _plain_content(found):
+    """The definition, on whole paths and without any numbering."""
+    kind = lambda path: tuple(x[:2] for x in path)
+    groups = defaultdict(list)
+    for path, text, linked in found:
+        groups[kind(path)].append((len(text), len(text) - linked, sum(text.count(c) for c in ".,")))
+    fused = {p: sum(x[1] for x in g) / len(g) * (1 + sum(x[2] for x in g) / len(g)) for p, g in groups.items()}
+
+    def common(a, b):
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        return 0.1 ** (max(len(a), len(b)) - n)
+
+    kinds, smooth = [kind(p) for p, *_ in found], defaultdict(list)
+    for k, own in enumerate(kinds):
+        near = [kinds[max(k - 1, 0)], kinds[min(k + 1, len(kinds) - 1)]]
+        smooth[own].append((4 * fused[own] + sum(common(own, o) * fused[o] for o in near)) / (4 + sum(common(own, o) for o in near)))
+    scores = {p: sum(x) / len(x) * (H.PRIOR if any(m for _, m in p) else 1) for p, x in smooth.items()}
+    chosen = {p for p, x in scores.items() if x >= H.PATH_SHARE * max(scores.values())}
+    around = {path[-2][2] for path, *_ in found if kind(path) in chosen}
+
+    def kept(path):
+        for k in range(len(path) - 1, -1, -1):
+            if path[k][2] in around:
+                return True
+            if path[k][1]:
+                return False
+        return False
+
+    return [text for path, text, _ in found if kind(path) in chosen or kept(path)]
+
+
+def test_content_against_the_definition():
+    rng = random.Random(6)
+    for _ in range(300):
+        page, found = _random_page(rng)
+        assert H.main_text(page) == "\n".join(_plain_content(found)), page
+
+
+def test_deep_pages_take_linear_time():
+    began = time.time()
+    deep = 100_000
+    assert H.main_text("<div>" * deep + "text") == "text"
+    assert H.main_text("<x-y>" * deep + "a" + "</q>" * deep + "</i>" * deep) == "a"
+    assert H.main_text("<b>" * deep + "a" + "</b>" * deep + "<li>b" * 1000).startswith("a")
+    H.main_text("".join(f"<x-{k}>t, t." for k in range(deep)))
+    assert time.time() - began < 30
+
+
 def test_extract_text_frame(spark):
     df = spark.createDataFrame([(1, PAGE, "x"), (1, PAGE, "x"), (2, None, "y"), (3, "<p>" + "long text, yes. " * 50_000 + "</p>", "z")], "page_id int, html string, text string")
     got = H.extract_text(df).collect()
