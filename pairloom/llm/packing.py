@@ -7,7 +7,13 @@ available lengths (with their counts) finds the fullest feasible combination;
 it is applied as often as the counts allow, at one go, and removed.  A pattern
 therefore uses up at least one length (to below its need), which bounds the
 number of patterns by a multiple of the capacity.  Pieces then take places by their rank
-within (length, salt): no task ever holds all pieces of a length.
+within (length, salt); a length has as many salts as its count asks for, so that a task
+ranks about `PER_SALT` pieces, however many there are of one length.
+
+Defined results: a null or empty text is the end id alone; a very long one is cut,
+whole, into pieces; rows of one doc_id and repeated rows are packed each for itself;
+a null doc_id stays null; equal lengths take places by a hash of the row, which ties
+leave free; an empty table gives no sequences; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import stash
+from .shared import BROADCAST_IDS, stash
 
-#: Salts over which the pieces of one length are dealt.
-SALTS = 64
+#: Pieces of one length that one task ranks.
+PER_SALT = 50_000
 #: Fixed value: the pre-tokenizer's pattern of byte-level vocabularies of this kind.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -38,7 +44,8 @@ def byte_symbols() -> dict[str, int]:
 
 
 class TokenBytes:
-    """Ids of whole texts as little-endian 32-bit bytes; special tokens' strings are ordinary text.
+    """Ids of whole texts as little-endian 32-bit bytes: what `tokenizers` gives by default without
+    adding special tokens; a special token's string in a text gets that token's id.
 
     A byte-level BPE file whose merges stand in the order of their ids is run by
     the faster of the two public BPE libraries, on ranks read from that same
@@ -47,42 +54,50 @@ class TokenBytes:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            ranks = self._ranks(json.load(file))
+            made = json.load(file)
+        found = self._ranks(made)
         self.fast = self.tokenizer = None
-        if ranks:
+        if found:
             import tiktoken
 
-            self.fast = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+            self.fast = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL, mergeable_ranks=found[0], special_tokens=found[1])
         else:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True
 
     @staticmethod
-    def _ranks(made: dict) -> dict[bytes, int] | None:
-        model, before = made.get("model", {}), made.get("pre_tokenizer") or {}
+    def _ranks(made: dict) -> tuple[dict[bytes, int], dict[str, int]] | None:
+        """Ranks and added tokens, where the file asks for nothing else that the faster library does not do."""
+        model, before, added = made.get("model", {}), made.get("pre_tokenizer") or {}, made.get("added_tokens", [])
         plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
-        if model.get("type", "BPE") != "BPE" or not plain or made.get("normalizer") or model.get("dropout") or model.get("ignore_merges"):
+        if model.get("type", "BPE") != "BPE" or not plain or made.get("normalizer") or made.get("truncation") or made.get("padding"):
+            return None
+        if any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")) or any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+            return None
+        symbols, special = byte_symbols(), {t["content"]: t["id"] for t in added}
+        if any(a != b and a in b for a in special for b in special):  # which of two that overlap is taken differs
             return None
-        symbols = byte_symbols()
-        special = {t["content"] for t in made.get("added_tokens", [])}
         try:
             ranks = {bytes(symbols[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
         except KeyError:
             return None
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         ids = [model["vocab"].get(a + b, -1) for a, b in merges]
-        return ranks if ids == sorted(set(ids)) and len(ids) == len(ranks) - 256 and min(ids, default=256) >= 256 else None
+        fits = ids == sorted(set(ids)) and len(ids) == len(ranks) - 256 and min(ids, default=256) >= 256
+        return (ranks, special) if fits else None
 
     def __call__(self, text: str) -> bytes:
         if self.fast is not None:
-            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+_PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+_PIECE_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
 def _pieces(path: str, capacity: int, end_id: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +111,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                 cuts = [0, *range(first, size + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     rows.append((doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.types[k]) for k in range(5)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _PIECE.types[k]) for k in range(5)], schema=_PIECE)
 
     return run
 
@@ -104,7 +119,7 @@ def _pieces(path: str, capacity: int, end_id: int):
 def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): whole documents, longer ones cut, the first piece taking what is over."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(_pieces(tokenizer, capacity, end_id), _PIECE_SQL)
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:
@@ -183,21 +198,25 @@ def _placed(places: dict[int, np.ndarray]):
     return run
 
 
-def pack(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = 2048, per_salt: int = PER_SALT) -> DataFrame:
     """`pieces` with sequence_id and offset.  Equal rows take different places; no rows: no sequences."""
     spark = pieces.sparkSession
-    salted = stash(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")), "pieces")
-    per_salt = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    counted = stash(per_salt, "lengths")  # at most capacity * SALTS rows
-    counts = {int(r[0]): int(r[1]) for r in counted.groupBy("length").agg(F.sum("n")).collect()}  # at most capacity rows
+    # a row's own number is written down with it, so that it is the same whenever the row is read again
+    held_pieces = stash(pieces.withColumn("own", F.monotonically_increasing_id()), "pieces")
+    counts = {int(r[0]): int(r[1]) for r in held_pieces.groupBy("length").agg(F.count("*")).collect()}  # at most capacity rows
     places = plan(counts, capacity)
+    many = {k: -(-n // per_salt) for k, n in counts.items() if n > per_salt}  # at most capacity values
+    salts = F.coalesce(F.create_map(*(F.lit(x) for pair in many.items() for x in pair))[F.col("length").cast("int")], F.lit(1)) if many else F.lit(1)
+    salted = held_pieces.withColumn("salt", F.pmod(F.xxhash64("own"), salts).cast("int"))
+    counted = stash(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")  # a row for each length and each per_salt pieces
     before = counted.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("within", F.row_number().over(own) - 1).join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within"))
+    own = Window.partitionBy("length", "salt").orderBy("own")
+    before = F.broadcast(before) if sum(many.values()) + len(counts) <= BROADCAST_IDS else before
+    ranked = salted.withColumn("within", F.row_number().over(own) - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within"))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     held = spark.sparkContext.broadcast(places)
 
     def run(batches):
         yield from _placed(held.value)(batches)
 
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(run, f"{_PIECE_SQL}, sequence_id long, offset long")

@@ -179,17 +179,18 @@ def test_urls_without_labels(spark):
     assert U.filter_urls(pages, labels).first().verdict == "allow" and U.filter_urls(pages.limit(0), labels).count() == 0
 
 
-ODD = ["", None, "  \n\t x", "<|endoftext|> a", "日本語 テスト 123", "a b c", "é́ ñ ½ Ⅷ ²", "😀👍🏽 it's I'LL we've", "\x1c\x1d x", "a" * 3000, " " * 500 + "x", "don’t ''s 's", "word " * 5000]
+ODD = ["", None, "  \n\t x", "<|endoftext|> a", "a <|endoftext|> b", "x  <|endoftext|><|endoftext|>  \n<|endoftext", "<|endoftext|>", "日本語 テスト 123", "a b c", "é́ ñ ½ Ⅷ ²", "😀👍🏽 it's I'LL we've", "\x1c\x1d x", "a" * 3000, " " * 500 + "x", "don’t ''s 's", "word " * 5000]
 
 
 def test_token_bytes_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     fast = K.TokenBytes(tokenizer_path())
     assert fast.fast is not None
-    for text in ODD:
+    rng = random.Random(3)
+    planes = ["".join(chr(c) + rng.choice(["", " ", "a", "1"]) for c in range(p, p + 256) if not 0xD800 <= c < 0xE000) for p in range(0, 0x20000, 256)]
+    for text in [*ODD, *planes]:
         assert np.array(tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes() == fast(text or "")
 
 
@@ -206,14 +207,17 @@ def test_fullest_against_brute_force():
         assert sum(found) == best and not Counter(found) - counts
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("per_salt", [50_000, 7])
+def test_packing(spark, per_salt):
+    from tokenizers import Tokenizer
+
     rng = random.Random(4)
     texts = [*ODD, *(" ".join(rng.choice(["alpha", "be", "gam"]) for _ in range(rng.randint(1, 900))) for _ in range(200)), *["same text"] * 100]
     docs = spark.createDataFrame([(k % 290, t) for k, t in enumerate(texts)], "doc_id long, text string").withColumn("length", F.lit(0))
-    rows = K.pack(K.token_pieces(docs, tokenizer_path())).collect()
-    fast, want = K.TokenBytes(tokenizer_path()), Counter()
+    rows = K.pack(K.token_pieces(docs, tokenizer_path()), per_salt=per_salt).collect()
+    tokenizer, want = Tokenizer.from_file(tokenizer_path()), Counter()
     for k, t in enumerate(texts):
-        ids = fast(t or "") + b"\0\0\0\0"
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
         n = len(ids) // 4
         at = [0, *range(n % 2048 or 2048, n + 1, 2048)]
         want.update((k % 290, p, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for p, (a, b) in enumerate(zip(at, at[1:], strict=False)))
