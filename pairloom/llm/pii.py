@@ -8,30 +8,43 @@ documents and different values different ones:
   the first digit stays and the last is the new Luhn digit;
 - IBANs that pass modulo 97, in one piece or in groups of four; country and letters stay, check digits are new;
 - IPv4 addresses with octets up to 255;
-- telephone numbers (international, or with an area code); a leading country code stays;
+- telephone numbers (international, or of ten digits with an area code, which count
+  as +1): the country code stays, the national number is permuted by its digits
+  alone, so that +49 30 123456 and +4930123456 stay one number;
 - US social security numbers that can exist, permuted among those that can;
-- calendar dates (2024-01-31, 31.01.2024, 01/31/2024 or 31/01/2024) that exist,
-  permuted within blocks of 73,000 days;
-- e-mail addresses: up to 24 letters and digits of the local part, permuted as
-  numbers to base 36; the domain stays.
-
-The round function is SHA-256 of key, kind, round and the other half.  Texts
-without digit and without @ are passed through.
+- calendar dates from the year 100 on (2024-01-31, 31.01.2024, 01/31/2024 or
+  31/01/2024) that exist, whatever their format, as one day: permuted within blocks
+  of 200 years, days of the month up to 12 among themselves and later ones among
+  themselves, so that 31/01/2024 is not mistaken for month and day afterwards;
+- e-mail addresses: the letters and digits of the local part, in lower case,
+  permuted as numbers to base 36 in parts of 24, each part keyed by the one before;
+  the domain stays.
+
+The round function is SHA-256 of key, kind, round and the other half.  The key is an
+argument, or the session's `spark.pairloom.pii.secret`; where neither is given each
+Spark application draws one of its own, so its pseudonyms are linked among themselves
+and nobody can turn them back.  The key stands in the query plan: who may read plans
+and event logs may know it.
+
+Texts without digit and without @ are passed through.
 
 Defined results: a null text stays null, an empty one empty; what does not
-validate stays as it is; a text without findings comes out unchanged.
+validate stays as it is; a text without findings comes out unchanged; repeated rows
+each come out; texts of any length are searched whole (repetitions in the patterns
+are bounded or possessive, so no text exhausts the matcher's stack).
 """
 
 from __future__ import annotations
 
+import secrets
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
 
-_EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z])"
+_EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,24}(?![A-Za-z])"
 _IBAN = r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)"
 #: Countries by the length of their IBANs; in groups of four the end is not seen otherwise.
 _IBAN_LENGTHS = {
@@ -45,12 +58,16 @@ _CARD = r"(?<![\w])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 _DATE = r"(?<![\w/-])\d{4}-\d{2}-\d{2}(?![\w/-])|(?<![\w.])\d{2}\.\d{2}\.\d{4}(?!\w|\.\d)|(?<![\w/])\d{2}/\d{2}/\d{4}(?![\w/])"
 _PHONE = r"(?<!\w)(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?![.-]?\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
+#: Country calling codes of one or two digits (all others have three).
+_CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _IP = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"
 FOUND = "|".join((_EMAIL, _IBAN, _CARD, _SSN, _DATE, _PHONE, _IP))
 
 
-def _pow10(n: Column) -> Column:
-    return F.pow(F.lit(10.0), n).cast("long")
+def _power(base: int, n: Column) -> Column:
+    """base ** n, exactly, for results below 2 ** 63."""
+    values = [base**k for k in range(64) if base**k < 2**63]
+    return F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), n + 1)
 
 
 def feistel(key: str, kind: str, left: Column, right: Column, left_size: Column, right_size: Column, tweak: Column, invert: bool = False) -> Column:
@@ -86,7 +103,7 @@ def _permuted_digits(key: str, kind: str, digits: Column, invert: bool, tweak: C
         u = F.floor(F.length(d) / 2).cast("int")
         v = F.length(d) - u
         left, right = F.substr(d, F.lit(1), u).cast("long"), F.substr(d, u + 1).cast("long")
-        out = feistel(key, kind, left, right, _pow10(u), _pow10(v), tweak if tweak is not None else F.lit(""), invert)
+        out = feistel(key, kind, left, right, _power(10, u), _power(10, v), tweak if tweak is not None else F.lit(""), invert)
         joined = _let(out, lambda s: F.concat(F.lpad(s["l"].cast("string"), u, F.lit("0")), F.lpad(s["r"].cast("string"), v, F.lit("0"))))
         return F.when(F.length(d) < 2, d).otherwise(joined)
 
@@ -138,9 +155,9 @@ def _iban(key: str, m: Column, invert: bool) -> Column:
 
 
 def _phone(key: str, m: Column, invert: bool) -> Column:
-    code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)
-    rest = F.substr(m, F.length(code) + 1)
-    return F.concat(code, _refill(rest, _permuted_digits(key, "phone", _digits(rest), invert, code), "[0-9]"))
+    code = F.regexp_extract(m, _CODE, 0)
+    shown = F.substr(m, F.length(code) + 1)
+    return F.concat(code, _let(_digits(shown), lambda d: _refill(shown, _permuted_digits(key, "phone", d, invert, F.when(code == "", F.lit("+1")).otherwise(code)), "[0-9]")))
 
 
 def _ip(key: str, m: Column, invert: bool) -> Column:
@@ -173,21 +190,52 @@ def _date_in(m: Column, shape: str) -> Column:
     """The date, if it exists in this format."""
     at = {part: shape.index(part) + 1 for part in ("yyyy", "MM", "dd")}
     year, month, day = (F.substring(m, at[part], len(part)).try_cast("int") for part in ("yyyy", "MM", "dd"))
-    return F.when((year >= 1) & month.between(1, 12) & day.between(1, 31), F.concat_ws("-", *(F.lpad(x.cast("string"), n, "0") for x, n in ((year, 4), (month, 2), (day, 2)))).try_cast("date"))
+    return F.when((year >= 100) & month.between(1, 12) & day.between(1, 31), F.concat_ws("-", *(F.lpad(x.cast("string"), n, "0") for x, n in ((year, 4), (month, 2), (day, 2)))).try_cast("date"))
+
+
+#: Years of a block in which dates are permuted, and the radices for its days of the month up to 12 and after 12:
+#: there are 44,249 of the latter in a block (44,248 where both of its century years are common ones), and
+#: 250 * 177 = 44,250; the one or two numbers without a day are walked past.
+_YEARS, _EARLY, _LATE = 200, (160, 180), (250, 177)
+
+
+def _moved_day(key: str, d: Column, invert: bool) -> Column:
+    """The date that date `d` becomes."""
+    first = F.floor((F.year(d) - 1900) / _YEARS) * _YEARS + 1900
+    start = F.make_date(first.cast("int"), F.lit(1), F.lit(1))
+
+    def walk(number: Column, radices: tuple[int, int], size: Column, kind: str) -> Column:
+        def once(n: Column) -> Column:
+            out = feistel(key, kind, F.floor(n / radices[1]), n % radices[1], F.lit(radices[0]), F.lit(radices[1]), first.cast("string"), invert)
+            return _let(out, lambda s: s["l"] * radices[1] + s["r"])
+
+        again = lambda n: F.when(n < size, n).otherwise(once(n))
+        return _let(_let(once(number), again), again)
+
+    month = (F.year(d) - first) * 12 + F.month(d) - 1
+    early = walk(month * 12 + F.dayofmonth(d) - 1, _EARLY, F.lit(_YEARS * 144), "date")
+    # days after the 12th, counted from the block's start: all days less 12 for each month begun
+    days = F.datediff(F.make_date((first + _YEARS).cast("int"), F.lit(1), F.lit(1)), start)
+    late = walk(F.datediff(d, start) - 12 * (month + 1), _LATE, days - _YEARS * 144, "late date")
+
+    def early_day(n: Column) -> Column:
+        return F.date_add(F.add_months(start, F.floor(n / 12).cast("int")), (n % 12).cast("int"))
+
+    def late_day(n: Column) -> Column:
+        # 18.4 such days a month: the month is within one or two of this guess
+        guess = F.floor(n * (_YEARS * 12) / (days - _YEARS * 144))
+        before = lambda k: F.datediff(F.add_months(start, k.cast("int")), start) - 12 * k
+        found = F.array_max(F.filter(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda x: guess + x), lambda k: (k >= 0) & (k < _YEARS * 12) & (before(k) <= n)))
+        return _let(found, lambda k: F.date_add(F.add_months(start, k.cast("int")), (12 + n - before(k)).cast("int")))
+
+    return F.when(F.dayofmonth(d) <= 12, _let(early, early_day)).otherwise(_let(late, late_day))
 
 
 def _date(key: str, m: Column, invert: bool) -> Column:
     """Null if it is no date."""
 
     def moved(shape: str):
-        def body(d: Column) -> Column:
-            day = F.datediff(d, F.lit("1900-01-01").cast("date")).cast("long")
-            block = F.floor(day / 73000)
-            inside = F.pmod(day, F.lit(73000))
-            out = feistel(key, "date", F.floor(inside / 292), inside % 292, F.lit(250), F.lit(292), F.concat(block.cast("string"), F.lit(shape)), invert)
-            return _let(out, lambda s: F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), (block * 73000 + s["l"] * 292 + s["r"]).cast("int")), shape))
-
-        return body
+        return lambda d: F.date_format(_moved_day(key, d, invert), shape)
 
     found = [F.when(m.rlike(rx) & _date_in(m, shape).isNotNull(), _let(_date_in(m, shape), moved(shape))) for rx, shape in _DATE_FORMATS]
     return F.coalesce(*found)
@@ -195,17 +243,21 @@ def _date(key: str, m: Column, invert: bool) -> Column:
 
 def _email(key: str, m: Column, invert: bool) -> Column:
     local, domain = F.substring_index(m, "@", 1), F.substr(m, F.locate("@", m))
+    number = lambda s: F.coalesce(F.conv(s, 36, 10).cast("long"), F.lit(0))
+    text = lambda x, n: F.lpad(F.lower(F.conv(x.cast("string"), 10, 36)), n, F.lit("0"))
+
+    def part(state: Column, p: Column) -> Column:
+        """The pseudonym so far, and what keys the next part: the pseudonym of this one."""
+        u = F.floor(F.length(p) / 2).cast("int")
+        v = F.length(p) - u
+        out = feistel(key, "email", number(F.substr(p, F.lit(1), u)), number(F.substr(p, u + 1)), _power(36, u), _power(36, v), F.concat_ws("|", state["before"], F.lower(domain)), invert)
+        joined = _let(out, lambda s: F.concat(F.when(u > 0, text(s["l"], u)).otherwise(""), text(s["r"], v)))
+        return _let(joined, lambda j: F.struct(F.concat(state["out"], j).alias("out"), (p if invert else j).alias("before")))
 
     def body(symbols: Column) -> Column:
-        head, tail = F.substring(symbols, 1, 24), F.substr(symbols, F.lit(25))
-        u = F.floor(F.length(head) / 2).cast("int")
-        v = F.length(head) - u
-        number = lambda s: F.coalesce(F.conv(s, 36, 10).cast("long"), F.lit(0))
-        size = lambda n: F.pow(F.lit(36.0), n).cast("long")
-        out = feistel(key, "email", number(F.substr(head, F.lit(1), u)), number(F.substr(head, u + 1)), F.greatest(size(u), F.lit(1)), size(v), F.concat_ws("|", tail, F.lower(domain)), invert)
-        text = lambda x, n: F.lpad(F.lower(F.conv(x.cast("string"), 10, 36)), n, F.lit("0"))
-        joined = _let(out, lambda s: F.concat(F.when(u > 0, text(s["l"], u)).otherwise(""), text(s["r"], v), tail))
-        return F.when(F.length(symbols) == 0, F.lit("")).otherwise(joined)
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(symbols) - 1) / 24).cast("int")), lambda k: F.substr(symbols, k * 24 + 1, F.lit(24)))
+        made = F.aggregate(parts, F.struct(F.lit("").alias("out"), F.lit("").alias("before")), part, lambda s: s["out"])
+        return F.when(F.length(symbols) == 0, F.lit("")).otherwise(made)
 
     moved = _let(F.lower(F.regexp_replace(local, "[^A-Za-z0-9]", "")), body)
     return F.concat(_refill(local, moved, "[A-Za-z0-9]"), domain)
@@ -232,12 +284,24 @@ def _pseudonym(key: str, m: Column, kind: Column, invert: bool) -> Column:
     return F.coalesce(choose, m)
 
 
-def pseudonymise(docs: DataFrame, *, text: str = "text", key: str = "pairloom", into: str = "pii", invert: bool = False) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The configured key, else one that this Spark application draws once."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.pairloom.pii.secret", None)
+    if not found:
+        found = context._pairloom_key = getattr(context, "_pairloom_key", None) or secrets.token_hex(16)
+    return found
+
+
+def pseudonymise(docs: DataFrame, *, text: str = "text", key: str | None = None, into: str = "pii", invert: bool = False) -> DataFrame:
     """`docs` with the findings in column `text` replaced and a column `into`:
     array<struct<kind, pseudonym>> in text order (empty without findings).
 
-    A column of the name `into` is replaced; `invert` turns pseudonyms back.
+    A column of the name `into` is replaced; `invert` turns pseudonyms back.  It finds
+    them by the same patterns, so it may err where one that stands against other digits
+    validates together with these.
     """
+    key = key or session_key(docs.sparkSession)
     body = F.col(text).cast("string")
     # only those that validate, so that what else stands in such groups is found as before
     grouped = F.when(body.rlike(r"[A-Z]{2}[0-9]{2} [A-Z0-9]{4} "), F.filter(F.regexp_extract_all(body, F.lit(_GROUPED_IBAN), F.lit(1)), _is_iban))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from datetime import date, datetime, timedelta
 from pathlib import Path
 
 import pytest
@@ -164,8 +165,8 @@ def _luhn(digits):
 
 def test_pii_round_trip_and_formats(spark):
     docs = spark.createDataFrame(list(enumerate(PII_TEXTS)), "doc_id int, text string").withColumn("pii", F.lit("clash"))
-    hidden = P.pseudonymise(docs)
-    back = P.pseudonymise(hidden.select("doc_id", "text"), invert=True)
+    hidden = P.pseudonymise(docs, key="pairloom")
+    back = P.pseudonymise(hidden.select("doc_id", "text"), key="pairloom", invert=True)
     assert [r.text for r in back.orderBy("doc_id").collect()] == PII_TEXTS
     rows = hidden.orderBy("doc_id").collect()
     assert [[f.kind for f in r.pii] for r in rows] == [["card"], ["phone", "card"], ["card", "ip"], ["email"], ["date"] * 4, ["ssn"], ["iban", "iban"], ["card"], ["phone", "phone"], [], [], [], []]
@@ -186,13 +187,13 @@ def test_pii_round_trip_and_formats(spark):
 def test_pii_grouped_ibans(spark):
     texts = ["pay DE89 3704 0044 0532 0130 00 now", "ES91 2100 0418 4502 0005 1332 2024 BE12 4111 1111 1111 1111 x", "XX11 GB82 WEST 1234 5698 7654 32, 16.120.181.235", "DE89 3704 0044 0532 0130 01", "DE89370400440532013000"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    hidden = P.pseudonymise(docs)
+    hidden = P.pseudonymise(docs, key="pairloom")
     rows = hidden.orderBy("doc_id").collect()
     assert [[f.kind for f in r.pii] for r in rows] == [["iban"], ["iban", "card"], ["iban", "ip"], [], ["iban"]]
     for r, t in zip(rows[:3], texts, strict=False):
         assert re.sub(r"\d", "9", r.pii[0].pseudonym) in re.sub(r"\d", "9", t) and r.pii[0].pseudonym not in t
     assert rows[0].pii[0].pseudonym.replace(" ", "") == rows[4].pii[0].pseudonym
-    assert [r.text for r in P.pseudonymise(hidden.select("doc_id", "text"), invert=True).orderBy("doc_id").collect()] == texts
+    assert [r.text for r in P.pseudonymise(hidden.select("doc_id", "text"), key="pairloom", invert=True).orderBy("doc_id").collect()] == texts
 
 
 def test_pii_links_equal_values_and_keys_differ(spark):
@@ -202,6 +203,171 @@ def test_pii_links_equal_values_and_keys_differ(spark):
     assert one[1] == one[2] != one[3] and one[1] != other[1]
 
 
+def _plain_feistel(key, kind, left, right, sizes, tweak):
+    state = [left, right]
+    for i in range(P.ROUNDS):
+        own, other = i % 2, state[1 - i % 2]
+        digest = hashlib.sha256(f"{key}|{kind}|{tweak}|{sizes[0]}|{sizes[1]}|{i}|{other}".encode()).hexdigest()
+        state[own] = (state[own] + int(digest[:15], 16)) % sizes[own]
+    return state
+
+
+def _plain_digits(key, kind, digits, tweak):
+    if len(digits) < 2:
+        return digits
+    u = len(digits) // 2
+    x, y = _plain_feistel(key, kind, int(digits[:u]), int(digits[u:]), (10**u, 10 ** (len(digits) - u)), tweak)
+    return f"{x:0{u}d}{y:0{len(digits) - u}d}"
+
+
+def _fill(shape, symbols, slot):
+    left = iter(symbols)
+    return "".join(next(left) if re.fullmatch(slot, c) else c for c in shape)
+
+
+def _base36(text):
+    return int(text, 36) if text else 0
+
+
+def _to36(n, width):
+    out = ""
+    while n:
+        n, r = divmod(n, 36)
+        out = "0123456789abcdefghijklmnopqrstuvwxyz"[r] + out
+    return out.rjust(width, "0") if width else ""
+
+
+def _plain_day(key, d):
+    """By a list of all days of the block."""
+    first = (d.year - 1900) // 200 * 200 + 1900
+    days = [date(first, 1, 1) + timedelta(k) for k in range((date(first + 200, 1, 1) - date(first, 1, 1)).days)]
+    own = [x for x in days if (x.day <= 12) == (d.day <= 12)]
+    kind, (a, b) = ("date", (160, 180)) if d.day <= 12 else ("late date", (250, 177))
+    n = own.index(d)
+    while True:
+        x, y = _plain_feistel(key, kind, n // b, n % b, (a, b), str(first))
+        n = x * b + y
+        if n < len(own):
+            return own[n]
+
+
+def _mod97(text):
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+def _plain_pseudonym(key, m):
+    """(kind, pseudonym) of a match, or None."""
+    digits = re.sub(r"\D", "", m)
+    if "@" in m:
+        local, domain = m.split("@", 1)
+        symbols, out, before = re.sub("[^A-Za-z0-9]", "", local).lower(), "", ""
+        for cut in range(0, len(symbols), 24):
+            part = symbols[cut : cut + 24]
+            u, v = len(part) // 2, len(part) - len(part) // 2
+            x, y = _plain_feistel(key, "email", _base36(part[:u]), _base36(part[u:]), (max(36**u, 1), 36**v), f"{before}|{domain.lower()}")
+            before = _to36(x, u) + _to36(y, v)
+            out += before
+        return "email", f"{_fill(local, out, '[A-Za-z0-9]')}@{domain}"
+    if m[0].isalpha():
+        if _mod97(m[4:] + m[:4]) != 1:
+            return None
+        body = m[4:]
+        moved = _fill(body, _plain_digits(key, "iban", re.sub(r"\D", "", body), m[:2] + re.sub(r"\d", "0", body)), r"\d")
+        return "iban", f"{m[:2]}{98 - _mod97(moved + m[:2] + '00'):02d}{moved}"
+    if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", m):
+        o = [int(x) for x in m.split(".")]
+        if max(o) > 255:
+            return None
+        x, y = _plain_feistel(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], (65536, 65536), "")
+        return "ip", f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", m):
+        a, g, n = int(m[:3]), int(m[4:6]), int(m[7:])
+        if a in (0, 666) or a >= 900 or not g or not n:
+            return None
+        areas = [k for k in range(1, 900) if k != 666]
+        x, y = _plain_feistel(key, "ssn", areas.index(a) * 99 + g - 1, n - 1, (898 * 99, 9999), "")
+        return "ssn", f"{areas[x // 99]:03d}-{x % 99 + 1:02d}-{y + 1:04d}"
+    if re.fullmatch(r"\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4}", m):
+        for shape in {"-": ["%Y-%m-%d"], ".": ["%d.%m.%Y"], "/": ["%m/%d/%Y", "%d/%m/%Y"]}[re.search(r"\D", m)[0]]:
+            try:
+                return "date", _plain_day(key, datetime.strptime(m, shape).date()).strftime(shape)
+            except ValueError:
+                continue
+        return None
+    if re.fullmatch(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5}", m):
+        if not _luhn(digits):
+            return None
+        moved = digits[0] + _plain_digits(key, "card", digits[1:-1], digits[0])
+        return "card", _fill(m, moved + next(c for c in "0123456789" if _luhn(moved + c)), r"\d")
+    if (m[0] in "+(" or re.fullmatch(r"\d{3}[.-]\d{3}[.-]\d{4}", m)) and 7 <= len(digits) <= 18:
+        code = re.match(P._CODE, m)
+        code = code[0] if code else ""
+        rest = m[len(code) :]
+        return "phone", code + _fill(rest, _plain_digits(key, "phone", re.sub(r"\D", "", rest), code or "+1"), r"\d")
+    return None
+
+
+def test_pii_against_brute_force(spark):
+    rng = random.Random(4)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        n = "4" + number(rng.randint(11, 17))
+        return n + next(c for c in "0123456789" if _luhn(n + c))
+
+    make = [
+        card, lambda: number(16), lambda: f"{rng.randint(1600, 2299)}-{rng.randint(1, 13):02d}-{rng.randint(1, 31):02d}", lambda: f"{rng.randint(1, 31):02d}.{rng.randint(1, 12):02d}.19{number(2)}", lambda: f"{rng.randint(1, 31):02d}/{rng.randint(1, 31):02d}/20{number(2)}",
+        lambda: f"{number(3)}-{number(2)}-{number(4)}", lambda: ".".join(str(rng.randint(0, 280)) for _ in range(4)), lambda: f"+{rng.choice(['49', '1', '351'])} {number(3)} {number(4)}", lambda: f"+44{number(8)}", lambda: f"({number(3)}) {number(3)}-{number(4)}",
+        lambda: "".join(rng.choice("abcXYZ019._-") for _ in range(rng.randint(1, 64))) + "@Mail.example.org", lambda: rng.choice(["DE89370400440532013000", "GB82WEST12345698765432", "DE89370400440532013001"]), lambda: "word,", lambda: "7", lambda: "é",
+    ]
+    texts = [" ".join(rng.choice(make)() for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    want = []
+    for t in texts:
+        kinds, out, at = [], "", 0
+        for m in re.finditer(P.FOUND, t, re.ASCII):
+            found = _plain_pseudonym("k", m[0])
+            kinds += [found[0]] if found else []
+            out, at = out + t[at : m.start()] + (found[1] if found else m[0]), m.end()
+        want.append((out + t[at:], kinds))
+    docs = spark.createDataFrame([*enumerate(texts), *enumerate(texts[:3])], "doc_id int, text string")
+    got = [(r.doc_id, r.text, [f.kind for f in r.pii]) for r in P.pseudonymise(docs, key="k").collect()]
+    assert got == [(k, *want[k]) for k in [*range(300), 0, 1, 2]]
+    assert len({k for _, kinds in want for k in kinds}) == 7
+    assert P.pseudonymise(docs.limit(0)).count() == 0
+
+
+def test_pii_links_values_in_different_formats(spark):
+    rows = [(1, "2024-01-31 31.01.2024 31/01/2024 01/31/2024"), (2, "+49 30 123456, +4930123456, +49-30-123456"), (3, "(847) 555-7819 +1 847-555-7819 847.555.7819"), (4, "03/04/2021 2021-03-04"), (5, f"{'ab-9' * 16}@x.org and {'ab-9' * 15}ab-8@x.org")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    hidden = P.pseudonymise(docs, key="pairloom")
+    got = [[f.pseudonym for f in r.pii] for r in hidden.orderBy("doc_id").collect()]
+    day = date.fromisoformat(got[0][0])
+    assert got[0][1:] == [day.strftime(f) for f in ("%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y")] and day.day > 12
+    assert len({re.sub(r"\D", "", x) for x in got[1]}) == 1 and all(x.startswith("+49") for x in got[1])
+    assert len({re.sub(r"\D", "", x)[-10:] for x in got[2]}) == 1
+    assert date.fromisoformat(got[3][1]).strftime("%m/%d/%Y") == got[3][0]
+    assert "ab-9" not in got[4][0][40:] and "ab-9" not in got[4][1]
+    assert [r.text for r in P.pseudonymise(hidden.select("doc_id", "text"), key="pairloom", invert=True).orderBy("doc_id").collect()] == [t for _, t in rows]
+
+
+def test_pii_in_long_texts(spark):
+    big = 500_000
+    texts = ["x@" + "a." * big, "x@" + "a-" * big, "a." * big + "@", "1 " * big + "+1" * 1000, "0.0.0." * big, "DE89 3704 " * big, "1111-" * big, "(" * big + "+" * big, "word " * big + "10.0.0.1"]
+    got = P.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)).selectExpr("doc_id", "length(text) as n", "size(pii) as found").collect()
+    assert {(r.doc_id, r.found) for r in got} == {*((k, 0) for k in range(8)), (8, 1)} and all(r.n == len(texts[r.doc_id]) for r in got if r.doc_id < 8)
+
+
+def test_pii_key_comes_from_the_session(spark):
+    docs = spark.createDataFrame([(1, "10.0.0.1")], "doc_id int, text string")
+    own = P.pseudonymise(docs).first().text
+    assert own == P.pseudonymise(docs).first().text
+    spark.conf.set("spark.pairloom.pii.secret", "mine")
+    try:
+        assert P.pseudonymise(docs).first().text == P.pseudonymise(docs, key="mine").first().text != own
+    finally:
+        spark.conf.unset("spark.pairloom.pii.secret")
+
+
 def test_feistel_is_a_permutation(spark):
     out = spark.range(250 * 40).select(P.feistel("k", "t", F.floor(F.col("id") / 40), F.col("id") % 40, F.lit(250), F.lit(40), F.lit("")).alias("x")).distinct()
     assert out.count() == 10_000 and out.where("x.l < 0 or x.l >= 250 or x.r < 0 or x.r >= 40").count() == 0
