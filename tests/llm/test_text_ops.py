@@ -264,7 +264,7 @@ def _plain_pseudonym(key, m):
         for cut in range(0, len(symbols), 24):
             part = symbols[cut : cut + 24]
             u, v = len(part) // 2, len(part) - len(part) // 2
-            x, y = _plain_feistel(key, "email", _base36(part[:u]), _base36(part[u:]), (max(36**u, 1), 36**v), f"{before}|{domain.lower()}")
+            x, y = _plain_feistel(key, "email", _base36(part[:u]), _base36(part[u:]), (max(36**u, 1), 36**v), f"{before}|@{domain.lower()}")
             before = _to36(x, u) + _to36(y, v)
             out += before
         return "email", f"{_fill(local, out, '[A-Za-z0-9]')}@{domain}"
@@ -331,7 +331,7 @@ def test_pii_against_brute_force(spark):
         want.append((out + t[at:], kinds))
     docs = spark.createDataFrame([*enumerate(texts), *enumerate(texts[:3])], "doc_id int, text string")
     got = [(r.doc_id, r.text, [f.kind for f in r.pii]) for r in P.pseudonymise(docs, key="k").collect()]
-    assert got == [(k, *want[k]) for k in [*range(300), 0, 1, 2]]
+    assert [(g, texts[g[0]]) for g in got if g[1:] != want[g[0]]] == [] and [g[0] for g in got] == [*range(300), 0, 1, 2]
     assert len({k for _, kinds in want for k in kinds}) == 7
     assert P.pseudonymise(docs.limit(0)).count() == 0
 
