@@ -6,12 +6,15 @@ benchmark items; an item of fewer words, but not none, is one pattern.  For each
 pattern length, a table over hashed blocks of two words (one for one-word
 patterns) holds how far the search may move; where it says 0, the bucket of the
 block's hash holds the patterns that end so, and their words are compared one by
-one.  The benchmark is read in parts of at most `PART_WORDS` words, so what a
-task holds is bounded however large the benchmark is; each part adds its hits to
-those of the parts before.
-
-Defined results: a null or empty text or item has no words; equal windows of
-several items count for each; repeated rows each come out.
+one.  The benchmark is read in parts of `PART_WINDOWS` windows.  One part is sent to
+the tasks at a time: where there are several, the hits so far are written to the
+shared folder with the rows, and the next part adds its own, so neither a task nor the
+plan grows with the benchmark.  (The driver holds one part and one item's text.)
+
+Defined results: a null or empty text or item has no words, and items of a null id
+count for nothing; equal windows of several items, and several rows of one item, count
+for each item once; texts of any length are searched whole; repeated rows each come
+out; an empty benchmark hits nothing, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binary
+from .shared import binary, stash
 from .wordhash import _STEP, ALNUM_WORDS, hash_spans, mix, spans
 
-#: Benchmark words that are searched for at once (some 100 bytes each in a task).
-PART_WORDS = 400_000
+#: Benchmark windows that are searched for at once (some 400 bytes each in a task).
+PART_WINDOWS = 400_000
 _BITS = 18
 
 FOUND = "struct<n_words:long,hit:binary,items:array<long>>"
@@ -84,21 +87,21 @@ class WuManber:
 
 
 def _parts(benchmark: DataFrame, window: int) -> Iterator[list[WuManber]]:
-    """Searchers for the benchmark, in parts of bounded size."""
+    """Searchers for the benchmark, in parts of bounded size; at least one."""
     found: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
     size = 0
     for item, text in benchmark.toLocalIterator():
         data, start, end = words_of(bytes(text) if text is not None else None)
-        words = [data[a:b] for a, b in zip(start, end, strict=True)]
-        length = min(window, len(words))
-        for k in range(len(words) - length + 1 if words else 0):
-            owners = found.setdefault(length, {}).setdefault(tuple(words[k : k + length]), [])
+        length = min(window, len(start))
+        for k in range(len(start) - length + 1 if len(start) else 0):
+            if size == PART_WINDOWS:
+                yield [WuManber(n, p) for n, p in sorted(found.items())]
+                found, size = {}, 0
+            words = tuple(data[a:b] for a, b in zip(start[k : k + length].tolist(), end[k : k + length].tolist(), strict=True))
+            owners = found.setdefault(length, {}).setdefault(words, [])
             if item not in owners:
                 owners.append(item)
-        size += len(words)
-        if size >= PART_WORDS:
-            yield [WuManber(n, p) for n, p in sorted(found.items())]
-            found, size = {}, 0
+                size += 1
     yield [WuManber(n, p) for n, p in sorted(found.items())]
 
 
@@ -111,9 +114,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     spark = docs.sparkSession
     items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long"), binary(item_text))
 
-    def searcher(part: list[WuManber]):
-        held = spark.sparkContext.broadcast(part)
-
+    def searcher(held):
         @F.arrow_udf(FOUND)
         def search(texts: pa.Array, before: pa.Array) -> pa.Array:
             sizes, hits, found = [], [], []
@@ -135,8 +136,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
         return search
 
     out = docs.withColumn(into, F.lit(None).cast(FOUND))
+    last = None
     for part in _parts(items, window):
-        out = out.withColumn(into, searcher(part)(binary(text), F.col(into)))
+        if last is not None:
+            out = stash(out, "hits")
+            last.destroy()
+        last = spark.sparkContext.broadcast(part)
+        out = out.withColumn(into, searcher(last)(binary(text), F.col(into)))
     return out
 
 
