@@ -5,17 +5,20 @@ on the residuals, codebook after codebook.
 Every vector is encoded by a beam search over the codebooks; its code (one byte
 for each book) and the norm of its reconstruction are stored.  A query's inner
 products with all codewords make a lookup table, sums over which score all codes
-(squared distance needs the stored norm besides); the best `rerank` of each block
-of codes stay, and of these the best `rerank` of all are compared exactly on the
-original vectors in double precision.
+(squared distance needs the stored norm besides); the best `rerank` of each part
+of the codes are compared exactly on the original vectors in double precision, and the
+best `k` of each part go on.
 
-Queries and codes meet in blocks: each block of codes is paired with each block
-of queries, which is the stated query set against all rows.
+Codes and vectors are dealt out once, into parts of bounded size; the queries, a stated
+set that is smaller than the table, are sent to every part and pass through it in
+batches.  `rerank` bounds the candidates of a query in a part (it is an approximate
+search) and is at least `k`; what recall it leaves is measured in the tests.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite
 components, or are not of the sample's most frequent length, take no part; ties
 go to the smaller id; the query's own id is no candidate; of rows with one id the
-nearest counts.
+nearest counts, and a query's rows of one id count as one query by the first of its
+vectors; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,8 +36,10 @@ from .shared import stash
 #: Documented bound of the sample that fits the codebooks (vectors).
 SAMPLE = 16_384
 BOOKS, WORDS, BEAM = 32, 256, 4
-#: Vectors in a block of codes and in a block of queries.
-CODE_BLOCK, QUERY_BLOCK = 65_536, 512
+#: Vectors in a part of the codes at most; parts are made smaller, down to a sixteenth, while there are fewer than cores.
+CODE_BLOCK = 65_536
+#: Queries that are scored at a time.
+AT_ONCE = 64
 
 
 def _nearest(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -95,92 +100,114 @@ class AdditiveQuantiser:
         return 2 * total - norms[None, :] if metric == "l2" else total
 
 
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(rows, -1)
+
+
 def _encoded(held):
-    schema = pa.schema([("vec_id", pa.int64()), ("code", pa.binary()), ("norm", pa.float32())])
+    schema = pa.schema([("id", pa.int64()), ("code", pa.binary()), ("norm", pa.float32()), ("exact", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            codes = model.encode(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(model.norms(codes).astype(np.float32))], schema=schema)
+            codes = model.encode(_matrix(batch.column(1), batch.num_rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(model.norms(codes).astype(np.float32)), batch.column(1).cast(schema.types[3])], schema=schema)
 
     return run
 
 
-def _best(held, rerank: int, metric: str):
-    """The best of one block of codes for each query of one block."""
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("near", pa.float32())])
+def _best(held, k: int, rerank: int, metric: str):
+    """The k nearest of one part for each query, from rows (part, id, code, norm, exact) sorted by part: its codes, then the queries (without code)."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def scored(model: AdditiveQuantiser, names: np.ndarray, queries: np.ndarray, held_part: tuple) -> tuple[list, list, list]:
+        ids, codes, norms, vectors = held_part
+        near = model.scores(queries, codes, norms, metric)
+        q, v, s = [], [], []
+        for name, query, line in zip(names.tolist(), queries, near, strict=True):
+            line[ids == name] = -np.inf
+            if len(line) > rerank:
+                edge = -np.partition(-line, rerank - 1)[rerank - 1]
+                above = np.flatnonzero(line > edge)
+                chosen = np.concatenate([above, np.flatnonzero(line == edge)[: rerank - len(above)]])  # the smaller ids
+            else:
+                chosen = np.arange(len(line))
+            chosen = chosen[ids[chosen] != name]
+            if metric == "l2":
+                exact = -((vectors[chosen] - query) ** 2).sum(axis=1)
+            else:
+                exact = (vectors[chosen] * query).sum(axis=1)  # row by row alike: equal vectors get equal scores
+            first = np.lexsort((ids[chosen], -exact))
+            first = first[np.sort(np.unique(ids[chosen][first], return_index=True)[1])][:k]  # the nearest of each id
+            q.append(np.full(len(first), name))
+            v.append(ids[chosen][first])
+            s.append(exact[first])
+        return q, v, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
+        part, gathered, held_part = None, [], None
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.array([r["vec_id"] for r in row["codes"]], np.int64)
-                order = np.argsort(ids, kind="stable")
-                ids = ids[order]
-                codes = np.frombuffer(b"".join(r["code"] for r in row["codes"]), np.uint8).reshape(len(ids), -1)[order]
-                norms = np.array([r["norm"] for r in row["codes"]], np.float32)[order]
-                names = np.array([r["query_id"] for r in row["queries"]], np.int64)
-                queries = np.array([r["vector"] for r in row["queries"]], np.float32)
-                for cut in range(0, len(names), 64):
-                    near = model.scores(queries[cut : cut + 64], codes, norms, metric)
-                    keep = min(rerank + 1, near.shape[1])  # one more: the query itself may be among them
-                    edge = -np.partition(-near, keep - 1, axis=1)[:, keep - 1]
-                    q, v, s = [], [], []
-                    for k, line in enumerate(near):
-                        above = np.flatnonzero(line > edge[k])
-                        equal = np.flatnonzero(line == edge[k])[: keep - len(above)]  # the smaller ids
-                        chosen = np.concatenate([above, equal])
-                        q.append(np.full(len(chosen), names[cut + k]))
-                        v.append(ids[chosen])
-                        s.append(line[chosen])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (q, v, s)], schema=schema)
+            places, is_code = batch.column(0).to_numpy(), batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(places) != 0) | np.diff(is_code)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(places)], strict=True):
+                if a == b:
+                    continue
+                if places[a] != part:
+                    part, gathered, held_part = places[a], [], None
+                own = batch.slice(a, b - a)
+                vectors = _matrix(own.column(4), b - a)
+                if is_code[a]:
+                    codes = np.frombuffer(b"".join(own.column(2).to_pylist()), np.uint8).reshape(b - a, -1)
+                    gathered.append((own.column(1).to_numpy(), codes, own.column(3).to_numpy(), vectors))
+                    continue
+                if held_part is None and gathered:
+                    held_part, gathered = tuple(np.concatenate(x) for x in zip(*gathered, strict=True)), []
+                if held_part is None:  # a part without codes
+                    continue
+                names = own.column(1).to_numpy()
+                for cut in range(0, len(names), AT_ONCE):
+                    found = scored(model, names[cut : cut + AT_ONCE], vectors[cut : cut + AT_ONCE], held_part)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(found, schema.types, strict=True)], schema=schema)
 
     return run
 
 
 def valid_vectors(vectors: DataFrame, *, vec_id: str, vector: str) -> DataFrame:
-    """(vec_id, vector array<float>) of the rows that take part."""
+    """(vec_id, vector array<float>, exact array<double>) of the rows that take part."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(F.col(vec_id).isNotNull() & (F.size(vector) > 0)).where(F.coalesce(fine, F.lit(False))).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"))
+    fine = F.forall("exact", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("exact", lambda x: x != 0)
+    rows = vectors.where(F.col(vec_id).isNotNull() & (F.size(vector) > 0)).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("exact"))
+    return rows.where(F.coalesce(fine, F.lit(False))).select("vec_id", F.col("exact").cast("array<float>").alias("vector"), "exact")
 
 
-def nearest_neighbours(vectors: DataFrame, is_query, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, rerank: int = 200, metric: str = "inner", code_block: int = CODE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, rerank: int = 200, metric: str = "inner", code_block: int = CODE_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found of each row for which the column expression `is_query` (over vec_id) holds.
 
     metric: "inner" (largest inner product) or "l2" (score: minus the squared distance).
     """
     spark = vectors.sparkSession
+    rerank = max(rerank, k)
     rows = valid_vectors(vectors, vec_id=vec_id, vector=vector)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "exact").limit(SAMPLE).select("vector").collect()
     if not sample:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = np.bincount([len(r[0]) for r in sample])
     size = int(lengths.argmax())
     model = AdditiveQuantiser(np.array([r[0] for r in sample if len(r[0]) == size], np.float32))
     held = spark.sparkContext.broadcast(model)
-    rows = rows.where(F.size("vector") == size)
-    codes = stash(rows.mapInArrow(_encoded(held), "vec_id long, code binary, norm float"), "codes")
+    rows = rows.where(F.size("exact") == size)
+    codes = stash(rows.select("vec_id", "exact").mapInArrow(_encoded(held), "id long, code binary, norm float, exact array<double>"), "codes")
     count = codes.count()
-    parts = max(1, -(-count // code_block))
-    queries = rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "vector")
-    blocks = max(1, -(-queries.count() // query_block))
-    code_blocks = codes.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("vec_id", "code", "norm")).alias("codes"))
-    query_blocks = queries.groupBy(F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "vector")).alias("queries"))
-    code_blocks = code_blocks.select("codes", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    units = code_blocks.join(query_blocks, "block").select("part", "block", "codes", "queries").repartition(min(parts * blocks, 4096), "part", "block")
-    found = units.select("codes", "queries").mapInArrow(_best(held, rerank, metric), "query_id long, vec_id long, near float")
-    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    chosen = stash(found.where("query_id <> vec_id").withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).select("query_id", "vec_id"), "candidates")
-    full = rows.select("vec_id", F.col("vector").cast("array<double>").alias("v"))
-    pairs = chosen.join(full, "vec_id").join(queries.select("query_id", F.col("vector").cast("array<double>").alias("q")), "query_id")
-    add = lambda a, b: a + b
-    value = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), add) if metric == "inner" else -F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), add)
-    scored = pairs.select("query_id", "vec_id", value.alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    parts = max(1, -(-count // code_block), min(2 * spark.sparkContext.defaultParallelism, -(-16 * count // code_block)))
+    dealt = codes.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), "id", "code", "norm", "exact")
+    queries = rows.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("exact").alias("exact"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")
+    asked = queries.select(every, F.col("vec_id").alias("id"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("norm"), "exact")
+    units = dealt.union(asked).repartition(parts, "part").sortWithinPartitions("part", F.col("code").isNull(), "id")
+    found = units.mapInArrow(_best(held, k, rerank, metric), "query_id long, vec_id long, score double")
+    scored = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
