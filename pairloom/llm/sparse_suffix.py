@@ -12,12 +12,14 @@ all windows of a suffix, the windows of the group are compared by value, so the
 result is exact: it holds every word of every passage of at least `least` words
 that occurs in two documents.
 
-Groups of more than `HOT` suffixes with equal first words are not brought into
-one task: their windows are counted by a partially aggregated grouping instead.
+Groups of more than `HOT` suffixes with equal first words, of however few documents,
+are not brought into one task: their windows are counted by a partially aggregated
+grouping instead.  The rows are the same either way.
 
 Defined results: rows of one doc_id are one document (a passage repeated only
 within it does not count, nor do rows with a null doc_id); null, empty and short
-texts have no passages.
+texts have no passages; texts of any length are read whole; repeated rows give their
+passages once; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,20 +37,16 @@ from .shared import binary, keep_ids, stash
 from .wordhash import SPACE_WORDS, gram_hashes, word_hashes
 
 #: Suffixes with equal first words that one task compares.
-HOT = 20_000
+HOT = 4_000
 #: Groups up to this size compare all pairs where neighbours do not settle a suffix.
 SMALL = 12
-_PLACE = 24  # bits of a word position
+#: Bits of a place within a cut of a text, and windows of a cut.
+_PLACE, WINDOWS = 24, 1 << 23
 
 
-def anchors(words: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, position, first window, last window) of each retained suffix; windows by their first word."""
-    grams = gram_hashes(words, gram)
-    width = least - gram + 1
+def _least_at(grams: np.ndarray, width: int) -> np.ndarray:
+    """For each window of `width` grams the place of the leftmost smallest (by its first 40 bits) within `grams`."""
     count = len(grams) - width + 1
-    if count <= 0:
-        empty = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), empty, empty, empty
     place = np.uint64(_PLACE)
     value = ((grams >> place) << place) | np.arange(len(grams), dtype=np.uint64)
     padded = np.full(-(-len(value) // width) * width, np.uint64(2**64 - 1))
@@ -56,25 +54,37 @@ def anchors(words: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.nd
     rows = padded.reshape(-1, width)
     ahead = np.minimum.accumulate(rows, axis=1).ravel()
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    least_at = np.minimum(behind[:count], ahead[width - 1 : width - 1 + count]) & np.uint64((1 << _PLACE) - 1)
+    return (np.minimum(behind[:count], ahead[width - 1 : width - 1 + count]) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+
+
+def anchors(words: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, position, first window, last window) of each retained suffix; windows by their first word."""
+    grams = gram_hashes(words, gram)
+    width = least - gram + 1
+    count = len(grams) - width + 1
+    if count <= 0:
+        empty = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), empty, empty, empty
+    cuts = range(0, count, WINDOWS)  # places within a cut fit their bits, however long the text is
+    least_at = np.concatenate([a + _least_at(grams[a : min(a + WINDOWS, count) + width - 1], width) for a in cuts])
     position, first = np.unique(least_at, return_index=True)
-    position = position.astype(np.int64)
     last = np.append(first[1:], count) - 1
     return grams[position], position, first, last
 
 
 def _gram_rows(least: int, gram: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
+            ids, keys, times = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = np.unique(anchors(word_hashes(text.as_py(), SPACE_WORDS), least, gram)[0])
+                found, counts = np.unique(anchors(word_hashes(text.as_py(), SPACE_WORDS), least, gram)[0], return_counts=True)
                 ids.append(np.full(len(found), doc, np.int64))
                 keys.append(found.view(np.int64))
+                times.append(counts.astype(np.int64))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, keys, times)], schema=schema)
 
     return run
 
@@ -203,10 +213,10 @@ def _compare(least: int):
 def repeated_passages(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", least: int = 50, gram: int = 12, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word, n_words) of maximal runs of words in passages of at least `least` words that other documents hold too."""
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), binary(text).alias("text"))
-    grams = rows.mapInArrow(_gram_rows(least, gram), "doc_id long, key long").distinct()
-    grams = stash(grams, "grams")
-    common = grams.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > hot).alias("hot"))
-    wanted = stash(grams.join(common, "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.collect_list("hot").alias("hot")), "wanted")
+    grams = stash(rows.mapInArrow(_gram_rows(least, gram), "doc_id long, key long, n long"), "grams")
+    # a key of one document alone has equal ends; suffixes are counted, not documents: one text may hold a line a thousand times
+    common = grams.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum("n").alias("n")).where("a <> b").select("key", (F.col("n") > hot).alias("hot"))
+    wanted = stash(grams.join(common, "key").groupBy("doc_id").agg(F.collect_set(F.struct("key", "hot")).alias("k")).select("doc_id", F.col("k.key").alias("keys"), F.col("k.hot").alias("hot")), "wanted")
     ids = wanted.select("doc_id")
     held = keep_ids(rows, "doc_id", ids, ids.count()).join(wanted, "doc_id").select("doc_id", "text", "keys", "hot")
     suffixes = stash(held.mapInArrow(_suffix_rows(least, gram), _SUFFIX_SQL), "suffixes")

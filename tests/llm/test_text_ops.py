@@ -527,3 +527,24 @@ def test_repeated_passages_against_brute_force(spark, hot, vocabulary):
 def test_repeated_passages_empty(spark):
     assert S.repeated_passages(_frame(spark, [])).count() == 0
     assert S.repeated_passages(_frame(spark, [(1, "short"), (2, None), (2, None)])).count() == 0
+
+
+def test_repeated_line_within_few_documents_is_hot(spark, monkeypatch):
+    """Twenty texts with one line four hundred times: suffixes are counted, and none of the line's goes to the task that compares."""
+    rng = random.Random(2)
+    line = " ".join(f"l{k}" for k in range(30))
+    rows = [(i, " ".join([f"own{i}", *[line] * 400, f"end{rng.random()}"])) for i in range(20)]
+    taken = []
+    monkeypatch.setattr(S, "_compare", lambda least: lambda batches: (taken.append(1) or b.slice(0, 0).select(["doc_id", "place", "low"]).rename_columns(["doc_id", "start", "end"]) for b in batches))
+    got = S.repeated_passages(_frame(spark, rows), hot=100).collect()
+    assert {(r.doc_id, x) for r in got for x in range(r.start_word, r.end_word)} == _brute_spans(rows, 50)
+
+
+def test_anchors_of_texts_longer_than_a_cut(monkeypatch):
+    import numpy as np
+
+    words = np.random.default_rng(1).integers(0, 50, 5000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    whole = S.anchors(words, 50, 12)
+    for cut in (64, 1000, 4999):
+        monkeypatch.setattr(S, "WINDOWS", cut)
+        assert all((a == b).all() for a, b in zip(whole, S.anchors(words, 50, 12), strict=True))
