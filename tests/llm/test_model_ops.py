@@ -361,6 +361,30 @@ def test_toxicity_without_labels(spark):
     assert T.score_toxicity(d.limit(0), T.train(d, none)).count() == 0
 
 
+def test_calibration_texts_are_never_fitted(spark, monkeypatch):
+    docs, labels = _labelled(800, 2)
+    seen = {}
+    monkeypatch.setattr(T.Cnn, "fit", lambda self, texts, y: seen.update(fit=[t.tobytes() for t in texts]))
+    monkeypatch.setattr(T.Cnn, "calibrate", lambda self, texts, y: seen.update(check=[t.tobytes() for t, _ in texts]))
+    T.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    held = {T.features(t.encode())[0].tobytes() for i, t, _ in docs if zlib.crc32(str(i).encode()) % 5 == 0}
+    fit, check = set(seen["fit"]), set(seen["check"])
+    assert not fit & check and not (fit | check) & held and len(fit) + len(check) + len(held) == 800 and 100 < len(check) < 250
+
+
+def test_pooling_against_plain_convolution():
+    model = T.Cnn()
+    ids = np.random.default_rng(5).integers(0, T.BUCKETS, (40, 3)).astype(np.int32)
+    for n in (40, 2, 1, 0):
+        words = [sum(model.table[b].astype(float) for b in row) for row in ids[:n]] + [np.zeros(T.DIMS)] * max(0, 3 - n)
+        total = float(model.bias)
+        for k, kernel in enumerate(model.kernels):
+            for f in range(T.FILTERS):
+                responses = [sum(float(words[at + w] @ kernel[w, :, f]) for w in range(len(kernel))) for at in range(len(words) - len(kernel) + 1)]
+                total += max(responses) * float(model.out[k * T.FILTERS + f])
+        assert model.logit(ids[:n]) == pytest.approx(total, abs=1e-4)
+
+
 def test_long_texts_are_pooled_whole():
     model = T.Cnn()
     ids = np.random.default_rng(0).integers(0, T.BUCKETS, (500, 3)).astype(np.int32)
