@@ -12,9 +12,10 @@ all windows of a suffix, the windows of the group are compared by value, so the
 result is exact: it holds every word of every passage of at least `least` words
 that occurs in two documents.
 
-Groups of more than `HOT` suffixes with equal first words, of however few documents,
-are not brought into one task: their windows are counted by a partially aggregated
-grouping instead.  The rows are the same either way.
+Equal suffixes of one text (a line that it repeats) are one row with several places.
+Groups of more than `HOT` rows with equal first words are not brought into one task:
+their windows are counted by a partially aggregated grouping instead.  The result is
+the same either way.
 
 Defined results: rows of one doc_id are one document (a passage repeated only
 within it does not count, nor do rows with a null doc_id); null, empty and short
@@ -33,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import binary, keep_ids, stash
+from .shared import BROADCAST_IDS, binary, keep_ids, stash
 from .wordhash import SPACE_WORDS, gram_hashes, word_hashes
 
-#: Suffixes with equal first words that one task compares.
+#: Rows of suffixes with equal first words that one task compares.
 HOT = 4_000
 #: Groups up to this size compare all pairs where neighbours do not settle a suffix.
 SMALL = 12
@@ -73,47 +74,68 @@ def anchors(words: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.nd
 
 
 def _gram_rows(least: int, gram: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, times = [], [], []
+            ids, keys = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found, counts = np.unique(anchors(word_hashes(text.as_py(), SPACE_WORDS), least, gram)[0], return_counts=True)
+                found = np.unique(anchors(word_hashes(text.as_py(), SPACE_WORDS), least, gram)[0])
                 ids.append(np.full(len(found), doc, np.int64))
                 keys.append(found.view(np.int64))
-                times.append(counts.astype(np.int64))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, keys, times)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, keys)], schema=schema)
 
     return run
 
 
-_SUFFIX = pa.schema([("key", pa.int64()), ("hot", pa.bool_()), ("right", pa.string()), ("left", pa.string()), ("doc_id", pa.int64()), ("place", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
-_SUFFIX_SQL = "key long, hot boolean, right string, left string, doc_id long, place int, low int, high int"
+_SUFFIX = pa.schema([("key", pa.int64()), ("right", pa.string()), ("left", pa.string()), ("doc_id", pa.int64()), ("places", pa.list_(pa.int32())), ("low", pa.int32()), ("high", pa.int32())])
+_SUFFIX_SQL = "key long, right string, left string, doc_id long, places array<int>, low int, high int"
 
 
 def _suffix_rows(least: int, gram: int):
-    """Suffixes of the wanted keys: low and high bound how many words before it its windows start."""
+    """Suffixes of the wanted keys: low and high bound how many words before it its windows start.
+
+    Equal ones of a text (a line that it repeats) are one row with all their places.
+    """
+
+    def made(rows: dict[tuple, list[int]]) -> pa.RecordBatch:
+        columns = [*zip(*rows, strict=True)] if rows else [()] * 6
+        columns.insert(4, rows.values())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _SUFFIX.types, strict=True)], schema=_SUFFIX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text, keys, hot in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
+            rows: dict[tuple, list[int]] = {}
+            for doc, text, keys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 data = text.as_py()
-                wanted = dict(zip(keys.as_py(), hot.as_py(), strict=True))
+                wanted = set(keys.as_py())
                 grams, position, first, last = anchors(word_hashes(data, SPACE_WORDS), least, gram)
                 words = data.lower().split()
                 for g, p, a, b in zip(grams.view(np.int64).tolist(), position.tolist(), first.tolist(), last.tolist(), strict=True):
                     if g in wanted:
                         right = b" ".join(words[p : b + least]).decode("utf-8", "replace")
                         left = b" ".join(words[a:p][::-1]).decode("utf-8", "replace")
-                        rows.append((g, wanted[g], right, left, doc, p, p - b, p - a))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _SUFFIX.types[k]) for k in range(8)], schema=_SUFFIX)
+                        rows.setdefault((g, right, left, doc, p - b, p - a), []).append(p)
+                if len(rows) > 5_000:
+                    yield made(rows)
+                    rows = {}
+            yield made(rows)
 
     return run
 
 
+def merged_spans(places: list[int], backs: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """(first word, end) of the windows that start between back[0] and back[1] words before each place; what overlaps is one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted((p - high, p - low + least) for p in places for low, high in backs):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((start, end))
+    return out
+
+
 def _common(a: array, b: array) -> int:
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
@@ -131,7 +153,7 @@ def _common(a: array, b: array) -> int:
 def repeated_windows(group: list[tuple], least: int) -> list[tuple[int, int, int]]:
     """(doc_id, first word, end) of the repeated windows of suffixes with equal first words, sorted by `right`.
 
-    A row: right, left (from the suffix backwards), doc_id, place, low, high.
+    A row: right, left (from the suffix backwards), doc_id, places, low, high.
     """
     numbers: dict[str, int] = {}
     coded = lambda text: array("i", [numbers.setdefault(w, len(numbers)) for w in text.split(" ")] if text else [])
@@ -154,13 +176,13 @@ def repeated_windows(group: list[tuple], least: int) -> list[tuple[int, int, int
     def compared() -> dict[int, int]:
         """Windows by value: their document, or None for several."""
         seen: dict[int, int | None] = {}
-        for i, (*_, doc, _p, low, high) in enumerate(group):
+        for i, (_, _, doc, _, low, high) in enumerate(group):
             for k in range(low, high + 1):
                 v = value(i, k)
                 seen[v] = doc if seen.get(v, doc) == doc else None
         return seen
 
-    for i, (_, _, doc, place, low, high) in enumerate(group):
+    for i, (_, _, doc, places, low, high) in enumerate(group):
         shared: set[int] = set()
         for j in (i - 1, i + 1):
             if 0 <= j < len(group) and docs[j] != doc:
@@ -173,25 +195,19 @@ def repeated_windows(group: list[tuple], least: int) -> list[tuple[int, int, int
             else:
                 values = compared() if values is None else values
                 shared.update(k for k in range(low, high + 1) if values[value(i, k)] is None)
-        run: list[int] = []
+        runs: list[tuple[int, int]] = []
         for k in sorted(shared):
-            if run and k != run[-1] + 1:
-                out.append((doc, place - run[-1], place - run[0] + least))
-                run = []
-            run.append(k)
-        if run:
-            out.append((doc, place - run[-1], place - run[0] + least))
+            runs = [*runs[:-1], (runs[-1][0], k)] if runs and k == runs[-1][1] + 1 else [*runs, (k, k)]
+        out += [(doc, a, b) for a, b in merged_spans(places, runs, least)]
     return out
 
 
 def _compare(least: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, out = None, [], []
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], schema.types[k]) for k in range(3)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], _SPAN.types[k]) for k in range(3)], schema=_SPAN)
 
         for batch in batches:
             for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -210,28 +226,43 @@ def _compare(least: int):
     return run
 
 
+_SPAN = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+
+
+def _spans(least: int):
+    """Spans of rows (doc_id, places, back)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(doc, a, b) for doc, places, back in zip(*(c.to_pylist() for c in batch.columns), strict=True) for a, b in merged_spans(places, [(back, back)], least)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], _SPAN.types[k]) for k in range(3)], schema=_SPAN)
+
+    return run
+
+
 def repeated_passages(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", least: int = 50, gram: int = 12, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word, n_words) of maximal runs of words in passages of at least `least` words that other documents hold too."""
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), binary(text).alias("text"))
-    grams = stash(rows.mapInArrow(_gram_rows(least, gram), "doc_id long, key long, n long"), "grams")
-    # a key of one document alone has equal ends; suffixes are counted, not documents: one text may hold a line a thousand times
-    common = grams.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum("n").alias("n")).where("a <> b").select("key", (F.col("n") > hot).alias("hot"))
-    wanted = stash(grams.join(common, "key").groupBy("doc_id").agg(F.collect_set(F.struct("key", "hot")).alias("k")).select("doc_id", F.col("k.key").alias("keys"), F.col("k.hot").alias("hot")), "wanted")
+    grams = stash(rows.mapInArrow(_gram_rows(least, gram), "doc_id long, key long"), "grams")
+    common = grams.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("key")
+    wanted = stash(grams.join(common, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "wanted")
     ids = wanted.select("doc_id")
-    held = keep_ids(rows, "doc_id", ids, ids.count()).join(wanted, "doc_id").select("doc_id", "text", "keys", "hot")
+    held = keep_ids(rows, "doc_id", ids, ids.count()).join(wanted, "doc_id").select("doc_id", "text", "keys")
     suffixes = stash(held.mapInArrow(_suffix_rows(least, gram), _SUFFIX_SQL), "suffixes")
-    sorted_ = suffixes.where("not hot").select("key", "right", "left", "doc_id", "place", "low", "high").repartition("key").sortWithinPartitions("key", "right")
-    found = sorted_.mapInArrow(_compare(least), "doc_id long, start int, end int")
-
-    # hot groups: each window by its words
-    window = F.explode(F.sequence("low", "high")).alias("back")
-    exploded = suffixes.where("hot").select("key", "right", "left", "doc_id", "place", window)
-    value = F.expr(f"sha2(concat_ws('|', key, back, substring_index(concat(left, ' '), ' ', back), substring_index(concat(right, ' '), ' ', {int(least)} - back)), 256)")
-    windows = exploded.select(value.alias("value"), "doc_id", (F.col("place") - F.col("back")).alias("start"))
-    several = windows.groupBy("value").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("value")
-    more = windows.join(several, "value", "left_semi").select("doc_id", F.col("start").cast("int").alias("start"), (F.col("start") + least).cast("int").alias("end"))
-
-    spans = stash(found.union(more).distinct(), "spans")
+    many = stash(suffixes.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"), "hot")
+    n_many = many.count()
+    few = suffixes.join(F.broadcast(many) if n_many <= BROADCAST_IDS else many, "key", "left_anti") if n_many else suffixes
+    spans = few.select("key", "right", "left", "doc_id", "places", "low", "high").repartition("key").sortWithinPartitions("key", "right").mapInArrow(_compare(least), "doc_id long, start int, end int")
+
+    if n_many:  # hot groups: each window by its words
+        window = F.explode(F.sequence("low", "high")).alias("back")
+        exploded = keep_ids(suffixes, "key", many, n_many).select("key", "right", "left", "doc_id", "places", window)
+        value = F.expr(f"sha2(concat_ws('|', key, back, substring_index(concat(left, ' '), ' ', back), substring_index(concat(right, ' '), ' ', {int(least)} - back)), 256)")
+        windows = exploded.select(value.alias("value"), "doc_id", "places", "back")
+        several = windows.groupBy("value").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("value")
+        spans = spans.union(windows.join(several, "value", "left_semi").select("doc_id", "places", "back").mapInArrow(_spans(least), "doc_id long, start int, end int"))
+
+    spans = stash(spans.distinct(), "spans")
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     opened = spans.withColumn("opens", (F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int"))

@@ -529,15 +529,21 @@ def test_repeated_passages_empty(spark):
     assert S.repeated_passages(_frame(spark, [(1, "short"), (2, None), (2, None)])).count() == 0
 
 
-def test_repeated_line_within_few_documents_is_hot(spark, monkeypatch):
-    """Twenty texts with one line four hundred times: suffixes are counted, and none of the line's goes to the task that compares."""
+@pytest.mark.parametrize("hot", [4000, 15])
+def test_repeated_line_within_few_documents(spark, hot):
+    """Twenty texts with one line four hundred times: a row for each text, not for each place."""
     rng = random.Random(2)
     line = " ".join(f"l{k}" for k in range(30))
     rows = [(i, " ".join([f"own{i}", *[line] * 400, f"end{rng.random()}"])) for i in range(20)]
-    taken = []
-    monkeypatch.setattr(S, "_compare", lambda least: lambda batches: (taken.append(1) or b.slice(0, 0).select(["doc_id", "place", "low"]).rename_columns(["doc_id", "start", "end"]) for b in batches))
-    got = S.repeated_passages(_frame(spark, rows), hot=100).collect()
+    got = S.repeated_passages(_frame(spark, rows), hot=hot).collect()
     assert {(r.doc_id, x) for r in got for x in range(r.start_word, r.end_word)} == _brute_spans(rows, 50)
+    import pyarrow as pa
+
+    text = rows[0][1].encode()
+    keys = S.anchors(S.word_hashes(text, S.SPACE_WORDS), 50, 12)[0].view("int64").tolist()
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([text]), pa.array([keys])], ["doc_id", "text", "keys"])
+    made = next(S._suffix_rows(50, 12)([batch]))
+    assert made.num_rows < 30 and sum(map(len, made.column("places").to_pylist())) > 390
 
 
 def test_anchors_of_texts_longer_than_a_cut(monkeypatch):
