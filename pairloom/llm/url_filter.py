@@ -2,18 +2,25 @@
 
 Tokens are the words (letters, at least `MIN_LETTERS`) of the host's labels and
 of the path; web prefixes, the last host label and file endings say nothing and
-are left out.  FP-growth over the labelled URLs' tokens together with their label
-finds the combinations; rules that conclude "bad" stay if support and confidence
-reach their thresholds and no rule on a part of their tokens concludes the same.
-Rules match by an inverted index: each distinct set of tokens is joined on its
-tokens with the rules' tokens, and a rule fires when all of its tokens were met.
+are left out.  Labelled URLs are those whose page `labels` marks: bad for quality 0
+or toxic 1, good otherwise; besides, a URL with a seed word is bad.  FP-growth over
+their tokens together with their labels finds the combinations.  A rule that
+concludes "bad" stays if its confidence reaches `min_confidence` and at least
+`MIN_COUNT` labelled URLs bear it out (fewer agree by chance); a rule that concludes
+"seed" needs its confidence alone.  Both need `min_support`, and a rule goes when
+another on a part of its tokens stays.  Rules match by an inverted index: each distinct
+set of tokens is joined on its tokens with the rules' tokens, and a rule fires when all
+of its tokens were met.
 
 Listed (host, path) rules are stronger: a rule fits its host and all subdomains
-when the URL's path starts with the rule's; the longest wins.
+when the URL's path starts with the rule's; the longest wins, of equally long ones
+the first by name.
 
 Defined results: a null URL or one without `://` has an empty host and path, fits
-no listed rule and is allowed; repeated rows each come out; without labelled bad
-URLs there are no mined rules.
+no listed rule and is allowed; URLs of any length are read whole; repeated rows each
+come out; labels of a null id, and null labels, say nothing, and of several labels of
+one page a bad one counts; without bad URLs there are no mined rules; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +33,12 @@ from pyspark.sql import functions as F
 
 from .shared import stash
 
-#: Seed words that label a URL as bad, and tokens that carry no meaning.
+#: Labelled URLs that a rule from `labels` needs at least.
+MIN_COUNT = 8
+#: Firing token sets are broadcast up to this many (some 100 bytes each), else shuffled.
+BROADCAST_SETS = 100_000
+
+#: Seed words that label a URL as bad, tokens that carry no meaning.
 SEED_WORDS = ("ads", "adult", "bet", "bets", "betting", "casino", "gambling", "pills", "poker", "porn", "spam", "viagra", "warez", "xxx")
 PLAIN_TOKENS = ("www", "blog", "html", "htm", "php", "index")
 MIN_LETTERS = 2
@@ -61,15 +73,19 @@ def listed_rule(host_: Column, path_: Column, rules: Sequence[tuple[str, str]])
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def mined_rules(labelled: DataFrame, *, min_support: float = 0.0005, min_confidence: float = 0.8) -> DataFrame:
-    """(rule long, items array<string>) from (tokens array<string>, bad boolean)."""
-    bad, good = "label=bad", "label=good"
-    baskets = labelled.select(F.concat("tokens", F.array(F.when(F.col("bad"), bad).otherwise(good))).alias("items"))
+def mined_rules(labelled: DataFrame, *, min_support: float = 0.0005, min_confidence: float = 0.8, min_count: int = MIN_COUNT) -> DataFrame:
+    """(rule long, items array<string>) from (tokens array<string>, bad boolean, seed boolean)."""
+    bad, good, seed = "label=bad", "label=good", "label=seed"
     spark = labelled.sparkSession
-    if not labelled.where("bad").limit(1).count():
+    known = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("bad").cast("int")), F.lit(0)).alias("bad")).first()
+    if not known["bad"]:
         return spark.createDataFrame([], "rule long, items array<string>")
+    marks = F.concat(F.array(F.when(F.col("bad"), bad).otherwise(good)), F.when(F.col("seed"), F.array(F.lit(seed))).otherwise(F.array().cast("array<string>")))
+    baskets = labelled.select(F.concat("tokens", marks).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(bad))).where(~F.array_contains("antecedent", good))
+    concluded = F.col("consequent")[0]
+    borne_out = (concluded == seed) | (concluded == bad) & (F.col("support") * known["n"] > min_count - 0.5)
+    rules = model.associationRules.where(borne_out).where(~F.arrays_overlap("antecedent", F.array(F.lit(bad), F.lit(good), F.lit(seed))))
     rules = stash(rules.select(F.array_sort("antecedent").alias("items")).distinct().withColumn("rule", F.xxhash64("items")), "rules")
     # a rule is not needed when one on some of its tokens fires already
     single = F.explode("items").alias("token")
@@ -87,19 +103,17 @@ def fired(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
     return met.groupBy("tokens", "rule", "need").count().where("count = need").select("tokens").distinct()
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = (), *, url: str = "url", page_id: str = "page_id", label_id: str = "doc_id") -> DataFrame:
-    """(page_id, host, path, rule, verdict) for each row of `pages`.
-
-    Labelled bad: URLs with a seed word among their tokens.  Labelled good: other
-    URLs whose page `labels` marks as of quality 1 and not toxic.
-    """
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = (), *, url: str = "url", page_id: str = "page_id", label_id: str = "doc_id", **mining) -> DataFrame:
+    """(page_id, host, path, rule, verdict) for each row of `pages`; `mining` goes to `mined_rules`."""
     parsed = pages.select(F.col(page_id).alias("page_id"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     parsed = parsed.withColumn("tokens", tokens(F.col("host"), F.col("path")))
     seeds = F.array(*map(F.lit, SEED_WORDS))
-    vouched = labels.where("quality = 1 and toxic = 0").select(F.col(label_id).alias("page_id")).distinct().withColumn("vouched", F.lit(True))
-    marked = parsed.join(vouched, "page_id", "left").withColumn("bad", F.arrays_overlap("tokens", seeds)).where("bad or vouched").select("tokens", "bad")
-    hits = fired(parsed, mined_rules(stash(marked, "labelled"))).withColumn("hit", F.lit(True))
+    judged = labels.where(F.col(label_id).isNotNull()).select(F.col(label_id).alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    judged = judged.where("bad is not null").groupBy("page_id").agg(F.max("bad").alias("marked"))
+    seeded = parsed.withColumn("seed", F.arrays_overlap("tokens", seeds))
+    labelled = seeded.join(judged, "page_id", "left").where("seed or marked is not null").select("tokens", (F.col("seed") | F.coalesce("marked", F.lit(False))).alias("bad"), "seed")
+    hits = stash(fired(parsed, mined_rules(stash(labelled, "labelled"), **mining)), "fired").withColumn("hit", F.lit(True))
     listed = listed_rule(F.col("host"), F.col("path"), rules)
-    judged = parsed.join(hits, "tokens", "left").withColumn("listed", listed)
+    judged = parsed.join(F.broadcast(hits) if hits.count() <= BROADCAST_SETS else hits, "tokens", "left").withColumn("listed", listed)
     own = F.when(F.col("hit"), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("listed.rule").alias("rule"), F.coalesce("listed.verdict", own).alias("verdict"))

@@ -1,6 +1,7 @@
 """HTML text, URL filter, packing, nearest neighbours, toxicity."""
 
 import random
+import re
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -173,6 +174,63 @@ def test_urls(spark):
     assert got[10][2] is None and got[11][2] == "net/" and got[12][2] is None and got[13][2] is None
 
 
+def _plain_url_filter(pages, labels, rules, min_support, min_confidence, min_count):
+    """Verdicts by trying every combination of tokens that occurs."""
+    from itertools import combinations
+
+    def parse(url):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        return (m[1].translate(LOWER), m[2]) if m else ("", "")
+
+    def token_set(host, path):
+        words = host.split(".")[:-1] + path.lower().split("/")
+        return frozenset(t for w in words for t in re.findall(r"[^\W\d_]+", w) if len(t) >= U.MIN_LETTERS and t not in U.PLAIN_TOKENS)
+
+    judged = {}
+    for i, quality, toxic in labels:
+        judged[i] = judged.get(i, False) or quality == 0 or toxic == 1
+    parsed = [(i, *parse(u)) for i, u in pages]
+    baskets = []
+    for i, h, p in parsed:
+        own = token_set(h, p)
+        seed = bool(own & set(U.SEED_WORDS))
+        if seed or i in judged:
+            baskets.append((own, seed or judged.get(i, False), seed))
+    counts, bad, seeds = Counter(), Counter(), Counter()
+    for own, is_bad, is_seed in baskets:
+        for n in range(1, len(own) + 1):
+            for c in map(frozenset, combinations(own, n)):
+                counts[c] += 1
+                bad[c] += is_bad
+                seeds[c] += is_seed
+    enough = lambda n: n >= max(1, min_support * len(baskets)) - 1e-9
+    mined = {c for c in counts if enough(bad[c]) and bad[c] >= min_count and bad[c] >= min_confidence * counts[c] or enough(seeds[c]) and seeds[c] >= min_confidence * counts[c]}
+    out = []
+    for i, h, p in parsed:
+        fits = [(r, v) for r, v in rules if (h == r.split("/")[0] or h.endswith("." + r.split("/")[0])) and p.startswith(r[r.index("/") :])]
+        rule, verdict = min(fits, key=lambda f: -len(f[0]), default=(None, "block" if any(c <= token_set(h, p) for c in mined) else "allow"))
+        out.append((i, h, p, rule, verdict))
+    return out, mined
+
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def test_urls_against_brute_force(spark):
+    rng = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "trap", "casino", "news", "blog"]
+    make = lambda: f"http://{rng.choice(['www.', '', 'A.'])}{rng.choice(words)}-{rng.choice(words)}.{rng.choice(['example.org', 'example.net', 'Example.com'])}/{rng.choice(['en', 'fr', 'de'])}/{rng.choice(words)}.html?x={rng.choice(words)}"
+    pages = [(k, make()) for k in range(400)] + [(400, None), (401, "no scheme"), (402, "http://x.org/" + "trap/" * 50_000), (0, "http://trap.example.org/")]
+    # "trap" with "beta" is what labels call bad; else some are bad by chance
+    labels = [(k, int(rng.random() > 0.1), int("trap" in u and "beta" in u)) for k, u in pages if u and k % 3 and k < 402] + [(None, 0, 1), (1, None, None), (4, 0, 0), (4, 1, 0)]
+    args = {"min_support": 0.01, "min_confidence": 0.8, "min_count": 5}
+    want, mined = _plain_url_filter(pages, [x for x in labels if x[0] is not None and x[1] is not None], URL_RULES, **args)
+    got = U.filter_urls(spark.createDataFrame(pages, "page_id long, url string").withColumn("tokens", F.lit(0)), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), URL_RULES, **args).collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    assert frozenset(["trap", "beta"]) in mined and any(r.verdict == "block" and r.rule is None and "casino" not in r.host + r.path for r in got)
+
+
 def test_urls_without_labels(spark):
     pages = spark.createDataFrame([(1, "http://fine.example.org/a")], "page_id long, url string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
