@@ -5,19 +5,21 @@ distinct n-word shingles (A-Z lower-cased; a text of fewer words is one
 shingle; a null text or one without words has an empty set and no links).
 
 1. Equal sets are one class (grouped by a 128-bit digest of the set).
-2. Members of a class family that share a minimum of one of several hash
-   orders are compared with one centre per minimum: a number of pairs that is
-   linear in the rows, however large a family is.  Verified pairs link.
-3. What is still apart is found exactly.  Classes meet in the cells of their
-   prefix shingles (two sets that link share one); cells within one component
-   need no search.  In the others a signature tree per block of a cell holds,
-   in each node, the OR of its members' token bitmaps and its size range, and a
-   dual traversal drops node pairs whose largest possible overlap is too small.
-   Cells larger than a block are split into pairs of blocks.  In large cells (near
-   copies by the hundred) the bitmaps come from the whole sets and have a bit for
-   each shared token, so a leaf pair that is left is a link; of these only as many
-   go on as join the cell's components, which is linear in its rows.  What the
-   hashed bitmaps of small cells leave is compared on whole sets.
+2. Signature trees find the links of close families.  Classes meet in the cells of
+   their minima under a few hash orders; a cell is dealt by a hash into blocks of
+   bounded size, and each block has a signature tree: every node holds the OR of its
+   members' token bitmaps and its size range, and a dual traversal of the tree with
+   itself drops node pairs whose largest possible overlap is too small.  Of the pairs
+   that are left a forest over the block, the likeliest first, is compared on whole
+   sets.  Each order deals a family anew, so its blocks grow together, at a cost that
+   is linear in the rows however large a family is.
+3. Signature trees find exactly what is still apart.  Classes meet in the cells of
+   their prefix shingles (two sets that link share one); cells, blocks and block pairs
+   within one component need no search, nor do sizes out of reach of each other.  In
+   large cells (near copies by the hundred) the bitmaps come from the whole sets and
+   have a bit for each shared token, so a leaf pair that is left is a link; of these
+   only as many go on as join the cell's components.  What the hashed bitmaps of small
+   cells leave is compared on whole sets.
 4. All links are closed to connected components.
 5. Steps 2 and 3 find as many links as join the components.  All links lie within
    components, so those of each document are counted there, on whole sets: block
@@ -25,11 +27,15 @@ shingle; a null text or one without words has an empty set and no links).
 
 The order of the shingles, which decides prefixes, puts the most frequent ones
 last; they are found by counts within each task and bounded to `FREQUENT`
-values, and any choice of them gives the same links.
+values, and any choice of them gives the same links.  Cells of shingles that these
+counts show to be hot are cut into blocks by their counts of each size, so that no
+task ever sorts all rows of one.  Blocks are bounded in rows and in shingles.
 
 Defined results: repeated rows each come out; rows of one doc_id with different
-texts count as one node; a null doc_id comes out with its own n_shingles and a
-null component_id; other columns are ignored.
+texts count as one node, which joins whatever any of them links with; a null doc_id
+comes out with its own n_shingles and a null component_id; ties need no rule, links
+being symmetric; texts of any length are read whole; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,10 +53,12 @@ from .components import components
 from .shared import BROADCAST_IDS, binary, stash
 from .wordhash import _STEP, mix, shingle_set
 
-#: Hash orders whose minima propose pairs in step 2.
-ORDERS = 6
-#: Rows of one block of a cell.
-BLOCK = 1024
+#: Hash orders whose minima make the cells of step 2.
+ORDERS = 3
+#: Rows and shingles of one block of a cell.
+BLOCK, BLOCK_SHINGLES = 1024, 524_288
+#: A shingle that the tasks' counts show this often has its cell cut by counts.
+HOT_CELL = 2048
 #: At most so many shingles are moved to the end of the order (8 bytes each, sent to every task).
 FREQUENT = 262_144
 #: A task reports shingles that it saw this often.
@@ -116,8 +124,12 @@ class SignatureTree:
             self.levels.append(level)
 
 
-def dual_traversal(left: SignatureTree, right: SignatureTree, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs that the bounds on overlap and size leave; pairs within one group are left out (group -1: mixed)."""
+def dual_traversal(left: SignatureTree, right: SignatureTree, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, largest possible overlap) of the pairs that the bounds on overlap and size leave.
+
+    Pairs within one group are left out (group -1: mixed); of a tree with itself each pair comes once.
+    """
+    same = left is right
     depth = max(len(left.levels), len(right.levels)) - 1
     at = lambda tree, d: tree.levels[min(d, len(tree.levels) - 1)]
     a, b = (x.ravel() for x in np.meshgrid(np.arange(len(at(left, depth)["low"])), np.arange(len(at(right, depth)["low"])), indexing="ij"))
@@ -125,16 +137,17 @@ def dual_traversal(left: SignatureTree, right: SignatureTree, percent: int) -> t
         x, y = at(left, depth), at(right, depth)
         keep = (x["group"][a] < 0) | (x["group"][a] != y["group"][b])
         keep &= (100 * x["high"][a] >= percent * y["low"][b]) & (100 * y["high"][b] >= percent * x["low"][a])
+        if same:
+            keep &= a <= b
         a, b = a[keep], b[keep]
-        kept = []
+        bound = np.zeros(len(a), np.int64)
         for cut in range(0, len(a), 4096):
             i, j = a[cut : cut + 4096], b[cut : cut + 4096]
-            common = np.bitwise_count(x["map"][i] & y["map"][j]).sum(axis=1) + np.minimum(x["spare"][i], y["spare"][j])
-            kept.append(common >= least_overlap(x["low"][i], y["low"][j], percent))
-        keep = np.concatenate(kept) if kept else np.zeros(0, bool)
-        a, b = a[keep], b[keep]
+            bound[cut : cut + 4096] = np.bitwise_count(x["map"][i] & y["map"][j]).sum(axis=1) + np.minimum(x["spare"][i], y["spare"][j])
+        keep = bound >= least_overlap(x["low"][a], y["low"][b], percent)
+        a, b, bound = a[keep], b[keep], bound[keep]
         if depth == 0:
-            return a, b
+            return a, b, bound
         depth -= 1
 
         def children(nodes: np.ndarray, tree: SignatureTree) -> tuple[np.ndarray, np.ndarray]:
@@ -150,9 +163,36 @@ def dual_traversal(left: SignatureTree, right: SignatureTree, percent: int) -> t
         b = np.broadcast_to(cb[:, None, :], shape).ravel()[ok]
 
 
+def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+    """Which pairs (a, b) make a spanning forest of them, the heaviest first (each part takes its best pair in turn)."""
+    rank = np.empty(len(a), np.int64)
+    rank[np.lexsort((b, a, -weight))] = np.arange(len(a))
+    label, chosen, left = np.arange(rows), np.zeros(len(a), bool), np.arange(len(a))
+    by_rank = np.argsort(rank)
+    while True:
+        x, y = label[a[left]], label[b[left]]
+        apart = x != y
+        left, x, y = left[apart], x[apart], y[apart]
+        if not len(left):
+            return chosen
+        best = np.full(rows, len(a))
+        np.minimum.at(best, x, rank[left])
+        np.minimum.at(best, y, rank[left])
+        own = by_rank[np.unique(best[best < len(a)])]
+        chosen[own] = True
+        for p, q in zip(label[a[own]].tolist(), label[b[own]].tolist(), strict=True):
+            while label[p] != p:
+                p = int(label[p])
+            while label[q] != q:
+                q = int(label[q])
+            label[max(p, q)] = min(p, q)
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def _profiles(n: int, percent: int):
     """Rows for each document (kind 0) and for shingles that one task saw often (kind 1)."""
-    schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64())), ("map", pa.binary())])
     factors = np.array([_STEP[k] for k in range(ORDERS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +208,7 @@ def _profiles(n: int, percent: int):
                 seen.clear()
 
         for batch in batches:
-            ids, sizes, sigs, keys = [], [], [], []
+            ids, sizes, sigs, keys, maps = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tokens = shingle_set(text.as_py(), n)
                 ids.append(doc)
@@ -176,29 +216,31 @@ def _profiles(n: int, percent: int):
                 if len(tokens):
                     sigs.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
                     keys.append([int(mix(tokens * f).min().view(np.int64)) for f in factors])
+                    maps.append(bitmap(tokens).tobytes())
                     part = tokens[: prefix_lengths(len(tokens), percent)[0]]
                     seen.append(part)
                     held += len(part)
                 else:
                     sigs.append(None)
                     keys.append([])
+                    maps.append(None)
                 if held > 2_000_000:
                     count()
                     held = 0
             k = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int8()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int8()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary())], schema=schema)
         count()
         if often:
             values = np.fromiter(often, np.uint64, len(often)).view(np.int64)
             k = len(values)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int8()), pa.array(values), pa.array(np.minimum(list(often.values()), 2**31 - 1).astype(np.int32)), pa.array([None] * k, pa.binary()), pa.array([None] * k, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int8()), pa.array(values), pa.array(np.minimum(list(often.values()), 2**31 - 1).astype(np.int32)), pa.array([None] * k, pa.binary()), pa.array([None] * k, pa.list_(pa.int64())), pa.array([None] * k, pa.binary())], schema=schema)
 
     return run
 
 
 def _prefixes(n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]):
-    """(doc_id, n, map, shingles of the prefix, how many of them serve as the smaller set's)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("map", pa.binary()), ("tokens", pa.list_(pa.int64())), ("first", pa.int32())])
+    """(doc_id, n, shingles of the prefix, how many of them serve as the smaller set's)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64())), ("first", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,8 +255,8 @@ def _prefixes(n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]):
                     rank = np.where(frequent[0][at] == tokens, frequent[1][at], -1)
                 larger, smaller = prefix_lengths(len(tokens), percent)
                 order = tokens[np.argsort(rank, kind="stable")][:larger]
-                rows.append((doc, len(tokens), bitmap(tokens).tobytes(), order.view(np.int64), smaller))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.types[k]) for k in range(5)], schema=schema)
+                rows.append((doc, len(tokens), order.view(np.int64), smaller))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.types[k]) for k in range(4)], schema=schema)
 
     return run
 
@@ -254,6 +296,42 @@ def _verified(n: int, percent: int):
     return run
 
 
+def _families(percent: int):
+    """(o, key, block, a, b): a forest over each block of rows (o, key, block, rep, n, map) sorted by block, by its signature tree."""
+    schema = pa.schema([("o", pa.int32()), ("key", pa.int64()), ("block", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def find(rows: list[tuple]) -> list[tuple[int, int]]:
+        rows.sort(key=lambda r: (r[1], r[0]))
+        sizes = np.array([r[1] for r in rows], np.int64)
+        width = min(len(r[2]) for r in rows) // 8
+        tree = SignatureTree(sizes, np.arange(len(rows)), np.stack([fold(np.frombuffer(r[2], np.uint64), width) for r in rows]))
+        a, b, bound = dual_traversal(tree, tree, percent)
+        keep = forest(a, b, bound / np.maximum(sizes[a] + sizes[b] - bound, 1), len(rows))
+        return [(rows[i][0], rows[j][0]) for i, j in zip(a[keep].tolist(), b[keep].tolist(), strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, rows, out = None, [], []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(schema.types)], schema=schema)
+
+        for batch in batches:
+            for *u, rep, n, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if u != unit:
+                    if len(rows) > 1:
+                        out += [(*unit, min(p), max(p)) for p in find(rows)]
+                    unit, rows = u, []
+                rows.append((rep, n, words))
+            if len(out) > 10_000:
+                yield made()
+                out = []
+        if len(rows) > 1:
+            out += [(*unit, min(p), max(p)) for p in find(rows)]
+        yield made()
+
+    return run
+
+
 def _units(find):
     """Applies `find` (rows of one unit to pairs) to rows sorted by unit (token, left block, right block)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -300,7 +378,7 @@ def _search_small(percent: int):
         side = _sides(rows)[0]
         maps = np.stack([fold(np.frombuffer(r[4], np.uint64), size) for r in side])
         tree = SignatureTree(np.array([r[1] for r in side], np.int64), np.array([r[3] for r in side], np.int64), maps)
-        found = ((side[i], side[j]) for i, j in zip(*dual_traversal(tree, tree, percent), strict=True))
+        found = ((side[i], side[j]) for i, j in zip(*dual_traversal(tree, tree, percent)[:2], strict=True))
         return {(min(x[2], y[2]), max(x[2], y[2])) for x, y in found if _met(x, y)}
 
     return _units(find)
@@ -310,21 +388,15 @@ def _search_large(percent: int):
     """Links by trees of exact bitmaps, from whole sets: as many as join the unit's components, not all pairs."""
 
     def find(rows: list[tuple]) -> set[tuple[int, int]]:
-        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
-        values, counts = np.unique(np.concatenate(sets), return_counts=True)
+        rows = [(r[0], len(r[4]) // 8, *r[2:]) for r in rows]  # a document of several texts has rows with each of their sets
+        values, counts = np.unique(np.concatenate([np.frombuffer(r[4], np.uint64) for r in rows]), return_counts=True)
         values = values[counts > 1]
-        width = 64 * max(1, -(-len(values) // 64))
         sides = _sides(rows)
         if not sides[0] or not len(values):
             return set()
 
         def tree(side: list[tuple]) -> SignatureTree:
-            flags = np.zeros((len(side), width), bool)
-            for k, r in enumerate(side):
-                own = np.frombuffer(r[4], np.uint64)
-                at = np.minimum(np.searchsorted(values, own), len(values) - 1)
-                flags[k, at[values[at] == own]] = True
-            maps = np.packbits(flags, axis=1, bitorder="little").view(np.uint64)
+            maps = _bitmaps([np.frombuffer(r[4], np.uint64) for r in side], values)
             return SignatureTree(np.array([r[1] for r in side], np.int64), np.array([r[3] for r in side], np.int64), maps, exact=True)
 
         first = tree(sides[0])
@@ -338,7 +410,7 @@ def _search_large(percent: int):
             return x
 
         out = set()
-        for i, j in zip(*dual_traversal(first, second, percent), strict=True):
+        for i, j in zip(*dual_traversal(first, second, percent)[:2], strict=True):
             x, y = sides[0][i], (sides[1] or sides[0])[j]
             if _met(x, y) and root(x[3]) != root(y[3]):
                 parent[root(x[3])] = root(y[3])
@@ -426,10 +498,9 @@ def _degrees(label: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     placed = label.join(sized, "component").withColumn("blocks", F.ceil(F.col("size") / UNIT)).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     two = placed.where("size = 2").select(F.col("node").alias("rep"), F.lit(1).cast("long").alias("n_links"))
     partner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    units = placed.where("size > 2").select("node", "component", "block", partner)
-    unit = F.struct("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    wanted = units.groupBy(F.col("node").alias("doc_id")).agg(F.collect_set(unit).alias("units"))
-    held = _texts(docs, wanted).select(F.explode("units").alias("u"), "doc_id", "text").select("u.component", "u.i", "u.j", "u.side", "doc_id", "text")
+    units = placed.where("size > 2").select(F.col("node").alias("doc_id"), "component", "block", partner)
+    wanted = units.select("doc_id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    held = _texts(docs, wanted).select("component", "i", "j", "side", "doc_id", "text")
     parts = held.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "doc_id").mapInArrow(_counts(n, percent), "rep long, n_links long")
     return two.union(parts.groupBy("rep").agg(F.sum("n_links").alias("n_links")))
 
@@ -447,22 +518,61 @@ def _apart(cells: DataFrame, percent: int) -> DataFrame:
     return mixed.where(reach).select("token", "n", "rep", "component", "first")
 
 
-def _by_unit(cells: DataFrame, payload: DataFrame, search) -> DataFrame:
-    """(a, b) that `search` finds in the units of all cells; payload (rep, map)."""
+#: What a row takes of a block: its shingles, or the block's share of them for a row if that is more.
+_SHARE = "greatest(n, {least})"
+
+
+def _share() -> str:
+    return _SHARE.format(least=max(1, BLOCK_SHINGLES // BLOCK))
+
+
+def _hot_units(cells: DataFrame, percent: int) -> DataFrame:
+    """Units (token, i, j, side, n, rep, component, first) of hot cells.
+
+    As `_apart` and `_cut` do it, but from the counts of each size: only these are sorted by cell.
+    """
+    sizes = cells.groupBy("token", "n").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("first").alias("any"), F.count("*").alias("rows"))
+    cell = Window.partitionBy("token")
+    sizes = sizes.withColumns({"cell_low": F.min("low").over(cell), "cell_high": F.max("high").over(cell), "cell_any": F.max("any").over(cell)}).where("cell_low <> cell_high and cell_any")
+    for side in (F.asc, F.desc):
+        order = cell.orderBy(side("n"))
+        other = (F.lag("low").over(order) != F.col("low")) | (F.lag("high").over(order) != F.col("high")) | (F.lag("low").over(order) != F.lag("high").over(order))
+        sizes = sizes.withColumn("turn", F.when(other, F.lag("n").over(order))).withColumn(f"near_{side.__name__}", F.last("turn", ignorenulls=True).over(order))
+    sizes = sizes.where(f"low <> high or 100 * near_asc >= {percent} * n or 100 * n >= {percent} * near_desc")
+    share = F.expr(_share()).cast("long")
+    before = F.coalesce(F.sum(F.col("rows") * share).over(cell.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = stash(sizes.select("token", "n", "rows", before.alias("before")), "sizes")
+    placed = cells.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes, ["token", "n"])
+    placed = placed.withColumn("block", F.floor((F.col("before") + F.pmod(F.xxhash64("rep"), "rows") * share) / BLOCK_SHINGLES).cast("int"))
+    placed = stash(placed.select("token", "n", "rep", "component", "first", "block"), "placed")
+    blocks = placed.groupBy("token", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("first").alias("any"))
+    left, right = blocks.alias("l"), blocks.alias("r")
+    both = (F.col("l.token") == F.col("r.token")) & (F.col("l.block") <= F.col("r.block")) & (100 * F.col("l.most") >= percent * F.col("r.least"))
+    apart = (F.col("l.low") != F.col("r.low")) | (F.col("l.high") != F.col("r.high")) | (F.col("l.low") != F.col("l.high"))
+    pairs = stash(left.join(right, both & apart & (F.col("l.any") | F.col("r.any"))).select("l.token", F.col("l.block").alias("i"), F.col("r.block").alias("j")), "pairs")
+    sides = [(placed.withColumnRenamed("block", "i"), pairs, ["token", "i"], 0), (placed.withColumnRenamed("block", "j"), pairs.where("i < j"), ["token", "j"], 1)]
+    first, second = (rows.join(own, on).select("token", "i", "j", F.lit(side).alias("side"), "n", "rep", "component", "first") for rows, own, on, side in sides)
+    return first.union(second)
+
+
+def _cut(cells: DataFrame) -> DataFrame:
+    """Units (token, i, j, side, n, rep, component, first): the pairs of a cell's blocks, which hold rows in the order of their sizes."""
     cell = Window.partitionBy("token")
-    blocked = cells.withColumn("block", F.floor((F.row_number().over(cell.orderBy("n", "rep")) - 1) / BLOCK).cast("int")).withColumn("blocks", F.max("block").over(cell))
+    before = F.sum(F.expr(_share()).cast("long")).over(cell.orderBy("n", "rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
+    blocked = cells.withColumn("block", F.floor(before / BLOCK_SHINGLES).cast("int")).withColumn("blocks", F.max("block").over(cell))
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks"))).alias("other")
-    units = (
-        blocked.select("token", "n", "rep", "component", "first", "block", partner)
-        .select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "n", "rep", "component", "first")
-        .join(payload, "rep")
-        .select("token", "i", "j", "side", "n", "rep", "component", "map", "first")
-    )
-    return units.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(search, "a long, b long").distinct()
+    units = blocked.select("token", "n", "rep", "component", "first", "block", partner)
+    return units.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "n", "rep", "component", "first")
+
+
+def _by_unit(units: DataFrame, payload: DataFrame, search) -> DataFrame:
+    """(a, b) that `search` finds in the units; payload (rep, map)."""
+    rows = units.join(payload, "rep").select("token", "i", "j", "side", "n", "rep", "component", "map", "first")
+    return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(search, "a long, b long").distinct()
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of `docs` with what `ids` (doc_id, ...) says of each: by broadcast when the ids are few, else by a shuffle."""
+    """Rows of `docs` with each row that `ids` (doc_id, and numbers) has for them: by broadcast when these are few, else by a shuffle."""
     ids = stash(ids, "ids")
     return docs.where("doc_id is not null").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id")
 
@@ -474,8 +584,8 @@ def _verify(asked: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
     """
     unit = ["component", "i", "j"]
     asked = stash(asked, "asked")
-    wanted = asked.select(F.struct(*unit).alias("unit"), F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.collect_set("unit").alias("units"))
-    held = _texts(docs, wanted).select(F.explode("units").alias("u"), "doc_id", "text").select("u.*", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    wanted = asked.select(*unit, F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    held = _texts(docs, wanted).select(*unit, F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     rows = held.unionByName(asked.select(*unit, F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("text")))
     return rows.repartition(*unit).sortWithinPartitions(*unit, "kind", "a", "b").mapInArrow(_verified(n, percent), "a long, b long").distinct()
 
@@ -497,49 +607,57 @@ def ngram_jaccard_join(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     class (equal sets) are linked as such.  Without `count_links` it is left out.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), binary(text).alias("text"))
-    schema = "kind byte, doc_id long, n int, sig binary, keys array<long>"
+    schema = "kind byte, doc_id long, n int, sig binary, keys array<long>, map binary"
     profiles = stash(docs.mapInArrow(_profiles(n, percent), schema), "profiles")
     rows = profiles.where("kind = 0")
-    classes = stash(rows.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
-
-    # 2. one centre for each minimum
-    keyed = classes.select("rep", "n", F.posexplode("keys").alias("o", "key"))
-    centre = F.min_by(F.struct("rep", "n"), F.when(F.col("o") == 0, F.col("rep")).otherwise(F.xxhash64("rep", "o")))
-    centres = keyed.groupBy("o", "key").agg(centre.alias("c"), F.count("*").alias("g")).where("g > 1")
-    pairs = keyed.join(centres, ["o", "key"]).where(f"c.rep <> rep and 100 * least(n, c.n) >= {percent} * greatest(n, c.n)")
-    # a unit is a centre with a block of those that are compared with it
-    stars = pairs.groupBy(F.col("c.rep").alias("component"), F.col("rep").alias("b")).agg(F.ceil(F.max("g") / UNIT).alias("blocks"))
-    asked = stars.select("component", F.lit(0).cast("long").alias("i"), F.pmod(F.xxhash64("b"), "blocks").alias("j"), F.col("component").alias("a"), "b")
-    links = stash(_verify(asked, docs, n, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    filled = rows.where("n > 0 and doc_id is not null")
+    one = F.min(F.struct("doc_id", "n", "keys", "map")).alias("one")
+    classes = stash(filled.groupBy("sig").agg(one).select("sig", F.col("one.doc_id").alias("rep"), "one.n", "one.keys", "one.map"), "classes")
+
+    # 2. trees of families
+    keyed = classes.select("rep", "n", "map", F.posexplode("keys").alias("o", "key"))
+    cells = keyed.groupBy("o", "key").agg(F.count("*").alias("g")).where("g > 1")
+    block = F.pmod(F.xxhash64("rep", "o"), F.ceil(F.col("g") / BLOCK))
+    dealt = keyed.join(cells, ["o", "key"]).select("o", "key", block.alias("block"), "rep", "n", "map")
+    pairs = dealt.repartition("o", "key", "block").sortWithinPartitions("o", "key", "block").mapInArrow(_families(percent), "o int, key long, block long, a long, b long")
+    asked = pairs.groupBy("a", "b").agg(F.min(F.struct(F.col("key").alias("component"), F.col("o").cast("long").alias("i"), F.col("block").alias("j"))).alias("u")).select("u.*", "a", "b")
+    links = stash(_verify(asked, docs, n, percent), "links")
     found = components(links)
 
     # 3. the rest, exactly
-    top = profiles.where("kind = 1").groupBy(F.col("doc_id").alias("token")).agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT)
-    found_often = np.array([r[0] for r in top.select("token").collect()], np.int64).view(np.uint64)[::-1]  # the most frequent last
+    top = stash(profiles.where("kind = 1").groupBy(F.col("doc_id").alias("token")).agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT), "top")
+    found_often = np.array([r[0] for r in top.orderBy("times", F.desc("token")).select("token").collect()], np.int64).view(np.uint64)  # the most frequent last
     by_value = np.argsort(found_often)
     frequent = found_often[by_value], by_value
-    prefixes = docs.mapInArrow(_prefixes(n, percent, frequent), "doc_id long, n int, map binary, tokens array<long>, first int")
-    members = classes.select("rep").distinct().join(found, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("component"))
-    prefixes = stash(prefixes.join(members, "doc_id"), "prefixes")
+    prefixes = docs.mapInArrow(_prefixes(n, percent, frequent), "doc_id long, n int, tokens array<long>, first int")
+    members = stash(classes.select("rep").distinct().join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component")), "members")
+    prefixes = prefixes.join(members.withColumnRenamed("rep", "doc_id"), "doc_id")
     cells = prefixes.select(F.posexplode("tokens").alias("at", "token"), "n", F.col("doc_id").alias("rep"), "component", "first").select("token", "n", "rep", "component", (F.col("at") < F.col("first")).alias("first"))
-    cells = stash(_apart(cells, percent), "cells")
-    cell = Window.partitionBy("token")
-    sized = cells.withColumn("size", F.count("*").over(cell))
-    large = stash(sized.where(F.col("size") > large_cell).drop("size"), "large")
+    hot = F.broadcast(top.where(F.col("times") >= HOT_CELL).select("token"))  # at most FREQUENT values
+    cells = stash(cells.join(hot.withColumn("hot", F.lit(True)), "token", "left"), "cells")
+    apart = stash(_apart(cells.where("hot is null").drop("hot"), percent), "apart")
+    sized = apart.withColumn("size", F.count("*").over(Window.partitionBy("token")))
+    large = stash(_cut(sized.where(F.col("size") > large_cell).drop("size")).union(_hot_units(cells.where("hot").drop("hot"), percent)), "large")
     sets = _texts(docs, large.select(F.col("rep").alias("doc_id")).distinct()).select("doc_id", "text").mapInArrow(_sets(n), "doc_id long, tokens binary").toDF("rep", "map")
     more = stash(_by_unit(large, sets, _search_large(percent)), "links")
     merged = components(more.join(members.toDF("a", "ca"), "a").join(members.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).toDF("component", "merged")
     small = sized.where(F.col("size") <= large_cell).join(merged, "component", "left").select("token", "n", "rep", F.coalesce("merged", "component").alias("component"), "first")
     small = stash(_apart(small, percent), "small")
-    maps = prefixes.select(F.col("doc_id").alias("rep"), "map")
-    candidates = stash(_by_unit(small, maps, _search_small(percent)), "candidates")
-    all_links = links.union(more).union(stash(_verify(_grouped(candidates), docs, n, percent), "links"))
+    candidates = stash(_by_unit(_cut(small), classes.select("rep", "map"), _search_small(percent)), "candidates")
+
+    # texts of one doc_id are one node
+    several = filled.groupBy("doc_id").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x <> y").select("doc_id")
+    reps = filled.join(several, "doc_id").select("doc_id", "sig").distinct().join(classes.select("sig", "rep"), "sig")
+    own = reps.join(reps.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
+    all_links = links.union(more).union(stash(_verify(_grouped(candidates), docs, n, percent), "links")).union(own)
 
     # 4. components of all links
     label = components(all_links).withColumnRenamed("node", "rep")
-    known = rows.join(classes.select("sig", "rep"), "sig", "left").join(label, "rep", "left")
-    own = F.coalesce("component", "rep", "doc_id")
-    out = ["doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id")]
+    known = rows.where("sig is not null").join(classes.select("sig", "rep"), "sig", "left").join(label, "rep", "left")
+    bare = rows.where("sig is null").select("doc_id", "n", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("component"))
+    known = known.select("doc_id", "n", "rep", "component").union(bare)
+    nearest = F.coalesce("component", "rep", "doc_id")
+    out = ["doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), nearest).alias("component_id")]
     if not count_links:
         return known.select(*out)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, else (unset, as in local tests) a folder of our own."""
+    """spark.checkpoint.dir; where it is unset and all runs in this one process, as in tests, a temporary folder."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = getattr(context, "_pairloom_shared", None) or tempfile.mkdtemp(prefix="pairloom-")
         context._pairloom_shared = found
     return found.rstrip("/")

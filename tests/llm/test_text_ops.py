@@ -70,8 +70,9 @@ def _components(rows, n, percent):
     return {i: root(i) for i in ids}
 
 
-@pytest.mark.parametrize(("n", "percent", "large"), [(4, 85, 64), (4, 85, 3), (5, 80, 64), (2, 60, 5)])
-def test_jaccard_against_brute_force(spark, n, percent, large):
+@pytest.mark.parametrize(("n", "percent", "large", "hot"), [(4, 85, 64, 2048), (4, 85, 3, 2), (5, 80, 64, 2048), (2, 60, 5, 2048), (2, 60, 5, 2)])
+def test_jaccard_against_brute_force(spark, monkeypatch, n, percent, large, hot):
+    monkeypatch.setattr(J, "HOT_CELL", hot)
     rows = _corpus(n, 90)
     got = J.ngram_jaccard_join(_frame(spark, rows), n=n, percent=percent, large_cell=large).collect()
     want = _components(rows, n, percent)
@@ -81,8 +82,12 @@ def test_jaccard_against_brute_force(spark, n, percent, large):
     assert {(r.doc_id, r.n_shingles) for r in got} == size
 
 
-def test_jaccard_hot_group(spark):
-    """Many near copies of one text: blocks of a large cell, and links that join rather than all pairs."""
+@pytest.mark.parametrize("hot", [2048, 2])
+@pytest.mark.parametrize("families", [True, False])
+def test_jaccard_hot_group(spark, monkeypatch, hot, families):
+    """Many near copies of one text: blocks of a large cell, and links that join rather than all pairs; the trees of step 3 find all without those of step 2."""
+    import pyarrow as pa
+
     rng = random.Random(5)
     base = [f"w{k}" for k in range(60)]
     rows = []
@@ -91,15 +96,45 @@ def test_jaccard_hot_group(spark):
         for _ in range(rng.randint(0, 3)):
             t[rng.randint(0, 59)] = f"y{rng.randint(0, 999)}"
         rows.append((i, " ".join(t)))
-    old = J.BLOCK
-    J.BLOCK = 64
-    try:
-        got = {r.doc_id: r.component_id for r in J.ngram_jaccard_join(_frame(spark, rows), n=4, percent=85, large_cell=16).collect()}
-    finally:
-        J.BLOCK = old
+    for name, value in (("BLOCK", 64), ("BLOCK_SHINGLES", 64 * 40), ("HOT_CELL", hot)):
+        monkeypatch.setattr(J, name, value)
+    if not families:
+        empty = pa.schema([("o", pa.int32()), ("key", pa.int64()), ("block", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+        monkeypatch.setattr(J, "_families", lambda percent: lambda batches: (pa.RecordBatch.from_arrays([pa.array([], t) for t in empty.types], schema=empty) for _ in batches))
+    got = {r.doc_id: r.component_id for r in J.ngram_jaccard_join(_frame(spark, rows), n=4, percent=85, large_cell=16, count_links=False).collect()}
     assert got == _components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("large", [64, 1])
+def test_jaccard_documents_of_several_texts(spark, large):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (3, b), (7, c + " " + a), (7, c), (9, c + " end"), (8, a + " " + b)]
+    got = {(r.doc_id, r.component_id) for r in J.ngram_jaccard_join(_frame(spark, rows), n=4, percent=85, large_cell=large).collect()}
+    assert got == set(_components(rows, 4, 85).items()) == {(1, 1), (5, 1), (3, 1), (7, 7), (9, 7), (8, 8)}
+
+
+def test_forest():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        n, m = 30, int(rng.integers(0, 60))
+        a = rng.integers(0, n - 1, m)
+        b = a + 1 + (rng.integers(0, n, m) % (n - 1 - a))
+        weight = rng.integers(0, 5, m)
+        keep = J.forest(a, b, weight, n)
+        whole = _closure(zip(a.tolist(), b.tolist(), strict=True), n)
+        assert whole == _closure(zip(a[keep].tolist(), b[keep].tolist(), strict=True), n) and keep.sum() == n - len(set(whole))
+
+
+def _closure(pairs, n):
+    label = list(range(n))
+    for a, b in pairs:
+        x, y = label[a], label[b]
+        label = [min(x, y) if v in (x, y) else v for v in label]
+    return label
+
+
 @pytest.mark.parametrize("unit", [256, 7])
 def test_jaccard_counts_all_links(spark, monkeypatch, unit):
     monkeypatch.setattr(J, "UNIT", unit)
@@ -144,7 +179,7 @@ def test_signature_tree_bounds():
     sets += [np.unique(np.concatenate([s[:38], rng.integers(0, 2**63, 2, np.uint64)])) for s in sets[:20]]
     size = min(len(J.bitmap(s)) for s in sets)
     tree = J.SignatureTree(np.array([len(s) for s in sets]), np.arange(len(sets)), np.stack([J.fold(J.bitmap(s), size) for s in sets]))
-    left = {(min(a, b), max(a, b)) for a, b in zip(*J.dual_traversal(tree, tree, 85), strict=True) if a != b}
+    left = {(min(a, b), max(a, b)) for a, b in zip(*J.dual_traversal(tree, tree, 85)[:2], strict=True)}
     true = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))}
     assert true and true <= left and len(left) < 60
 
