@@ -27,7 +27,7 @@ shingle; a null text or one without words has an empty set and no links).
 
 The order of the shingles, which decides prefixes, puts the most frequent ones
 last; they are found by counts within each task and bounded to `FREQUENT`
-values, and any choice of them gives the same links.  Cells of shingles that these
+values, and any choice of them gives the same links.  Cells of shingles that such
 counts show to be hot are cut into blocks by their counts of each size, so that no
 task ever sorts all rows of one.  Blocks are bounded in rows and in shingles.
 
@@ -58,7 +58,7 @@ ORDERS = 3
 #: Rows and shingles of one block of a cell.
 BLOCK, BLOCK_SHINGLES = 1024, 524_288
 #: A shingle that the tasks' counts show this often has its cell cut by counts.
-HOT_CELL = 2048
+HOT_CELL = 1024
 #: At most so many shingles are moved to the end of the order (8 bytes each, sent to every task).
 FREQUENT = 262_144
 #: A task reports shingles that it saw this often.
@@ -261,6 +261,22 @@ def _prefixes(n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]):
     return run
 
 
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, times) of tokens that this task reads `SEEN` times or more, by stretches of two million."""
+    seen: list[np.ndarray] = []
+
+    def counted() -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.int64), return_counts=True)
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(values[counts >= SEEN]), pa.array(counts[counts >= SEEN], pa.int64())], ["token", "times"])
+
+    for batch in batches:
+        seen.append(batch.column(0).to_numpy())
+        if sum(map(len, seen)) > 2_000_000:
+            yield counted()
+    yield counted()
+
+
 def _sets(n: int):
     schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.binary())])
 
@@ -625,19 +641,23 @@ def ngram_jaccard_join(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     found = components(links)
 
     # 3. the rest, exactly
-    top = stash(profiles.where("kind = 1").groupBy(F.col("doc_id").alias("token")).agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT), "top")
-    found_often = np.array([r[0] for r in top.orderBy("times", F.desc("token")).select("token").collect()], np.int64).view(np.uint64)  # the most frequent last
+    top = profiles.where("kind = 1").groupBy(F.col("doc_id").alias("token")).agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT)
+    found_often = np.array([r[0] for r in top.select("token").collect()], np.int64).view(np.uint64)[::-1]  # the most frequent last
     by_value = np.argsort(found_often)
     frequent = found_often[by_value], by_value
     prefixes = docs.mapInArrow(_prefixes(n, percent, frequent), "doc_id long, n int, tokens array<long>, first int")
     members = stash(classes.select("rep").distinct().join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component")), "members")
     prefixes = prefixes.join(members.withColumnRenamed("rep", "doc_id"), "doc_id")
     cells = prefixes.select(F.posexplode("tokens").alias("at", "token"), "n", F.col("doc_id").alias("rep"), "component", "first").select("token", "n", "rep", "component", (F.col("at") < F.col("first")).alias("first"))
-    hot = F.broadcast(top.where(F.col("times") >= HOT_CELL).select("token"))  # at most FREQUENT values
-    cells = stash(cells.join(hot.withColumn("hot", F.lit(True)), "token", "left"), "cells")
-    apart = stash(_apart(cells.where("hot is null").drop("hot"), percent), "apart")
+    cells = stash(cells, "cells")
+    often = cells.select("token").mapInArrow(_often, "token long, times long")
+    hot = stash(often.groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= HOT_CELL).select("token"), "hot")
+    n_hot = hot.count()
+    few = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
+    apart = stash(_apart(cells.join(few, "token", "left_anti") if n_hot else cells, percent), "apart")
     sized = apart.withColumn("size", F.count("*").over(Window.partitionBy("token")))
-    large = stash(_cut(sized.where(F.col("size") > large_cell).drop("size")).union(_hot_units(cells.where("hot").drop("hot"), percent)), "large")
+    large = _cut(sized.where(F.col("size") > large_cell).drop("size"))
+    large = stash(large.union(_hot_units(cells.join(few, "token", "left_semi"), percent)) if n_hot else large, "large")
     sets = _texts(docs, large.select(F.col("rep").alias("doc_id")).distinct()).select("doc_id", "text").mapInArrow(_sets(n), "doc_id long, tokens binary").toDF("rep", "map")
     more = stash(_by_unit(large, sets, _search_large(percent)), "links")
     merged = components(more.join(members.toDF("a", "ca"), "a").join(members.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).toDF("component", "merged")
