@@ -275,26 +275,46 @@ def _rewritable(spark, d):
     return p.select("p_partkey", text.alias("text"))
 
 
-@query("c11_families", """SELECT t_type, count(*) AS n FROM (SELECT unnest(CASE p_partkey % 6 WHEN 0 THEN ['TOUGH:IT->RAISED'] WHEN 1 THEN ['INV:IF->AUX'] WHEN 2 THEN ['CLEFT:-IT'] WHEN 3 THEN ['QI:VS->SV'] WHEN 4 THEN ['CTR:FUSE', 'DETQ:every->each'] ELSE ['SPLIT:,and->.'] END) AS t_type FROM part) GROUP BY 1""")
+def _first_upper(s: str) -> str:
+    return f"upper(substr({s}, 1, 1)) || substr({s}, 2)"
+
+
+#: The proposals on these sentences, written out: (p_partkey, text, t_type, family, out_text).
+_SQL_WORD = "split_part(p_name, ' ', 1)"
+_SQL_REWRITTEN = f"""(SELECT p_partkey, 'It is hard to find ' || w || '.' AS text, 'TOUGH:IT->RAISED' AS t_type, 'TOUGH' AS family, {_first_upper('w')} || ' is hard to find.' AS out_text FROM z WHERE k = 0
+UNION ALL SELECT p_partkey, 'If she had ' || w || ', we left.', 'INV:IF->AUX', 'INVERSION', 'Had she ' || w || ', we left.' FROM z WHERE k = 1
+UNION ALL SELECT p_partkey, 'It was ' || w || ' who came.', 'CLEFT:-IT', 'CLEFT', {_first_upper('w')} || ' came.' FROM z WHERE k = 2
+UNION ALL SELECT p_partkey, '"Go now," said Anna.', 'QI:VS->SV', 'QUOTINV', '"Go now," Anna said.' FROM z WHERE k = 3
+UNION ALL SELECT p_partkey, 'They do not sing every song here.', 'CTR:FUSE', 'CONTRACT', 'They don''t sing every song here.' FROM z WHERE k = 4
+UNION ALL SELECT p_partkey, 'They do not sing every song here.', 'DETQ:every->each', 'DETQUANT', 'They do not sing each song here.' FROM z WHERE k = 4
+UNION ALL SELECT p_partkey, 'We saw the ' || w || ', and they saw us.', 'SPLIT:,and->.', 'SPLITJOIN', 'We saw the ' || w || '. They saw us.' FROM z WHERE k = 5)"""
+_SQL_Z = f"z AS (SELECT p_partkey, p_partkey % 6 AS k, {_SQL_WORD} AS w FROM part)"
+
+
+@query("c11_families", f"WITH {_SQL_Z} SELECT p_partkey, t_type, family, out_text FROM {_SQL_REWRITTEN}")
 def c11_families(spark, d):
-    return G.proposals(_rewritable(spark, d), "text").groupBy("t_type").agg(F.count("*").alias("n"))
+    return G.proposals(_rewritable(spark, d), "text").select("p_partkey", "t_type", "family", "out_text")
 
 
-@query("c12_round_trips", """SELECT family, count(*) AS n FROM (SELECT unnest(CASE p_partkey % 6 WHEN 0 THEN ['TOUGH'] WHEN 1 THEN ['INVERSION'] WHEN 3 THEN ['QUOTINV'] WHEN 4 THEN ['CONTRACT', 'DETQUANT'] WHEN 5 THEN ['SPLITJOIN'] ELSE [] END) AS family FROM part) GROUP BY 1""")
+@query("c12_round_trips", f"WITH {_SQL_Z} SELECT p_partkey, family, out_text FROM {_SQL_REWRITTEN} WHERE family <> 'CLEFT' AND text <> out_text")
 def c12_round_trips(spark, d):
     text = _rewritable(spark, d)
-    return G.round_trips(G.proposals(text, "text"), "p_partkey", "text").groupBy("family").agg(F.count("*").alias("n"))
+    return G.round_trips(G.proposals(text, "text"), "p_partkey", "text").select("p_partkey", "family", "out_text")
 
 
-@query("c13_composed", "SELECT t_type, count(*) AS n FROM (SELECT unnest(['CTR:FUSE+DETQ:every->each', 'DETQ:every->each+CTR:FUSE']) AS t_type FROM part WHERE p_partkey % 6 = 4) GROUP BY 1")
+@query("c13_composed", f"""WITH {_SQL_Z} SELECT p_partkey, unnest(['CTR:FUSE+DETQ:every->each', 'DETQ:every->each+CTR:FUSE']) AS t_type, 'They don''t sing each song here.' AS out_text FROM z WHERE k = 4""")
 def c13_composed(spark, d):
-    found = G.proposals(_rewritable(spark, d).where("p_partkey % 6 = 4"), "text")
-    return G.composed(found, "p_partkey", "text").groupBy("t_type").agg(F.count("*").alias("n"))
+    found = G.proposals(_rewritable(spark, d), "text")
+    return G.composed(found, "p_partkey", "text").select("p_partkey", "t_type", "out_text")
 
 
-@query("c14_balanced_pick", "SELECT count(*) AS n FROM part")
+@query("c14_balanced_pick", f"""WITH {_SQL_Z}, o AS (SELECT p_partkey, count(DISTINCT family) AS families FROM {_SQL_REWRITTEN} GROUP BY 1) SELECT p_partkey, CAST(families AS BIGINT) AS families, true AS offered FROM o""")
 def c14_balanced_pick(spark, d):
-    return G.balanced_pick(G.proposals(_rewritable(spark, d), "text"), "p_partkey").agg(F.count("*").alias("n"))
+    """Each row's pick is one of its own proposals; which one, a test compares with a plain version."""
+    found = G.proposals(_rewritable(spark, d), "text")
+    offered = found.groupBy("p_partkey").agg(F.count_distinct("family").alias("families"), F.collect_set(F.struct("family", "t_type", "out_text")).alias("all"))
+    picked = G.balanced_pick(found, "p_partkey").select("p_partkey", F.struct("family", "t_type", "out_text").alias("one"))
+    return picked.join(offered, "p_partkey").select("p_partkey", "families", F.array_contains("all", F.col("one")).alias("offered"))
 
 
 @query("c16_unigrams", f"WITH c AS (SELECT token, count(*) AS c FROM {B.SQL_TOKENS} GROUP BY token), z AS (SELECT sum(c) AS total, count(*) AS v FROM c) SELECT token, round(ln((c + 1.0) / (total + v + 1)), 6) AS log_prob, round(ln(1.0 / (total + v + 1)), 6) AS unk_log_prob FROM c, z")
