@@ -111,3 +111,18 @@ class DecodeSpec:
                 raise ValueError(f"unknown option {option!r}")
             values[{"cfg": "guidance", "temp": "temperature"}[part[1]]] = float(part[2])
         return cls(found[1], float(found[2]) if found[2] else None, **values)
+
+
+@dataclass(frozen=True)
+class FillMode:
+    """`parallel`, `seq-ltr`, `seq-conf`, or `cmlm8` with its number of passes."""
+
+    mode: str
+    passes: int = 1
+
+    @classmethod
+    def parse(cls, text: str) -> FillMode:
+        found = re.fullmatch(r"(parallel|seq-ltr|seq-conf|cmlm)(\d*)", text.strip())
+        if not found or (found[1] == "cmlm") != bool(found[2]) or found[2] and int(found[2]) < 1:
+            raise ValueError(f"no fill mode: {text!r}")
+        return cls(found[1], int(found[2] or 1))

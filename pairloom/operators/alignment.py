@@ -428,22 +428,15 @@ def partial_application(ops: Column, source: Column, target: Column, fire: Colum
     return F.flatten(F.transform(F.arrays_zip(ops.alias("o"), fire.alias("f")), lambda x: F.when((x["o"]["tag"] != "equal") & x["f"], part(target, x["o"]["j1"], x["o"]["j2"])).otherwise(part(source, x["o"]["i1"], x["o"]["i2"]))))
 
 
-@F.arrow_udf(IntegerType())
-def token_distance(source: pa.Array, target: pa.Array) -> pa.Array:
-    """Levenshtein distance of two token arrays with unit costs."""
-    out = []
-    for a, b in zip(source, target, strict=True):
-        if not (a.is_valid and b.is_valid):
-            out.append(None)
-            continue
-        a, b = a.as_py(), b.as_py()
-        line = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            diagonal, line[0] = line[0], i
-            for j, y in enumerate(b, 1):
-                diagonal, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, diagonal + (x != y))
-        out.append(line[-1])
-    return pa.array(out, pa.int32())
+def token_distance(source: Column, target: Column) -> Column:
+    """Levenshtein distance of two token arrays with unit costs: each distinct token becomes one character (from U+10000 on) of two strings."""
+    known = F.array_distinct(F.concat(source, target))
+
+    def written(tokens: Column, known: Column) -> Column:
+        code = lambda t: F.lpad(F.hex(F.lit(0x10000) + F.array_position(known, t)), 8, "0")
+        return F.decode(F.unhex(F.array_join(F.transform(tokens, code), "")), "UTF-32")
+
+    return F.element_at(F.transform(F.array(known), lambda k: F.levenshtein(written(source, k), written(target, k))), 1)
 
 
 # Spans

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -210,25 +213,52 @@ def information_gain(df: DataFrame, by: list[str], p_b: str, log_a: str, log_b:
     return df.groupBy(*by).agg(F.sum(F.col(p_b) * (F.col(log_b) - F.col(log_a))).alias("kl"))
 
 
+def _ngram_counts(items: list[str], n: int) -> Counter:
+    return Counter(zip(*(items[k:] for k in range(n)), strict=False))
+
+
+def ngram_overlap(output: Column, reference: Column, most: int) -> Column:
+    """array<struct<hit, out, ref>> for n of 1..most: clipped matches and totals of the n-grams of two arrays; null counts as empty."""
+
+    @F.arrow_udf(ArrayType(StructType([StructField(c, LongType()) for c in ("hit", "out", "ref")])))
+    def overlap(outputs: pa.Array, references: pa.Array) -> pa.Array:
+        rows = []
+        for o, r in zip(outputs.to_pylist(), references.to_pylist(), strict=True):
+            o, r, row = o or [], r or [], []
+            for n in range(1, most + 1):
+                a, b = _ngram_counts(o, n), _ngram_counts(r, n)
+                row.append({"hit": sum((a & b).values()), "out": max(0, len(o) - n + 1), "ref": max(0, len(r) - n + 1)})
+            rows.append(row)
+        return pa.array(rows, pa.list_(pa.struct([(c, pa.int64()) for c in ("hit", "out", "ref")])))
+
+    return overlap(output, reference)
+
+
+def _overlap_sums(df: DataFrame, by: list[str], output: Column, reference: Column, most: int) -> DataFrame:
+    """hit1.., out1.., ref1.. summed for each group."""
+    rows = df.select(*by, ngram_overlap(output, reference, most).alias("_o"))
+    return rows.groupBy(*by).agg(*(F.sum(F.col("_o")[n - 1][c]).alias(f"{c}{n}") for n in range(1, most + 1) for c in ("hit", "out", "ref")))
+
+
 def bleu_statistics(df: DataFrame, by: list[str], output: str, reference: str, most: int = 4) -> DataFrame:
     """Corpus BLEU from clipped n-gram counts with brevity penalty, 0 if an order never matches."""
-    grams = lambda c, n: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    count = lambda items, x: F.size(F.filter(items, lambda y: y == x))
-    columns = {}
-    for n in range(1, most + 1):
-        o, r = grams(F.col(output), n), grams(F.col(reference), n)
-        columns[f"hit{n}"] = _clipped(o, r, count)
-        columns[f"all{n}"] = F.size(o)
-    rows = df.select(*by, F.size(output).alias("out_len"), F.size(reference).alias("ref_len"), *(c.alias(k) for k, c in columns.items()))
-    sums = rows.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("out_len", "ref_len", *columns)))
-    log_p = sum((F.log(F.col(f"hit{n}") / F.col(f"all{n}")) for n in range(1, most + 1)), F.lit(0.0)) / most
-    penalty = F.when(F.col("out_len") >= F.col("ref_len"), 1.0).otherwise(F.exp(1 - F.col("ref_len") / F.col("out_len")))
+    sums = _overlap_sums(df, by, F.col(output), F.col(reference), most)
+    log_p = sum((F.log(F.col(f"hit{n}") / F.col(f"out{n}")) for n in range(1, most + 1)), F.lit(0.0)) / most
+    penalty = F.when(F.col("out1") >= F.col("ref1"), 1.0).otherwise(F.exp(1 - F.col("ref1") / F.col("out1")))
     whole = reduce(lambda a, b: a & b, [F.col(f"hit{n}") > 0 for n in range(1, most + 1)])
-    return sums.select(*by, "out_len", "ref_len", F.when(whole, 100 * penalty * F.exp(log_p)).otherwise(0.0).alias("bleu"))
-
-
-def _clipped(o: Column, r: Column, count) -> Column:
-    return F.aggregate(F.array_intersect(o, r), F.lit(0), lambda s, x: s + F.least(count(o, x), count(r, x)))
+    return sums.select(*by, F.col("out1").alias("out_len"), F.col("ref1").alias("ref_len"), F.when(whole, 100 * penalty * F.exp(log_p)).otherwise(0.0).alias("bleu"))
+
+
+def chrf_statistics(df: DataFrame, by: list[str], output: str, reference: str, *, most: int = 6, beta: float = 2.0) -> DataFrame:
+    """Corpus chrF: F-beta of the mean precision and recall of character n-grams (white space left out) over the orders that both sides have."""
+    chars = lambda c: F.filter(F.split(F.regexp_replace(c, r"\s", ""), ""), lambda x: x != "")
+    sums = _overlap_sums(df, by, chars(output), chars(reference), most)
+    both = [(F.col(f"out{n}") > 0) & (F.col(f"ref{n}") > 0) for n in range(1, most + 1)]
+    orders = sum((b.cast("int") for b in both), F.lit(0))
+    mean = lambda side: sum((F.when(b, F.col(f"hit{n}") / F.col(f"{side}{n}")).otherwise(0.0) for n, b in enumerate(both, 1)), F.lit(0.0)) / orders
+    rated = sums.select(*by, F.when(orders > 0, mean("out")).otherwise(0.0).alias("p"), F.when(orders > 0, mean("ref")).otherwise(0.0).alias("r"))
+    score = 100 * (1 + beta * beta) * F.col("p") * F.col("r") / (beta * beta * F.col("p") + F.col("r"))
+    return rated.select(*by, F.when(F.col("p") + F.col("r") > 0, score).otherwise(0.0).alias("chrf"))
 
 
 # Tests and intervals

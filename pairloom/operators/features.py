@@ -5,11 +5,14 @@ Missing entries count as 0 wherever a mean, a rank or a norm is taken.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pairloom.functions.hashing import lcg
+from pairloom.operators.blocked import every_pair, unit
 
 
 def pooled(tokens: DataFrame, row: str, k: int) -> DataFrame:
@@ -175,17 +178,25 @@ def blocked_mass(entries: DataFrame, blocked: DataFrame, row: str = "row", k: in
     return top.groupBy(row).agg((F.sum(F.when(F.col("b"), F.abs("v")).otherwise(0.0)) / F.sum(F.abs("v"))).alias("blocked_mass"))
 
 
-def uniformity(vectors: DataFrame, vector: str, key: str, *, pairs: int = 16, seed: int = 0) -> DataFrame:
-    """log of the mean of exp(-2 * squared distance) between each vector and `pairs` others by hashed order.
+def uniformity(vectors: DataFrame, vector: str, key: str, *, t: float = 2.0) -> DataFrame:
+    """(uniformity, pairs): log of the mean of exp(-t * squared distance) over all pairs of different rows, on unit vectors."""
+    schema = pa.schema([("total", pa.float64()), ("pairs", pa.int64())])
 
-    All pairs would be quadratic; each row meets the next `pairs` rows of one hashed order.
-    """
+    def step(ids: np.ndarray, part: np.ndarray, names: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+        part, rows = unit(part), unit(rows)
+        other = names[:, None] != ids[None, :]
+        near = np.exp(-t * np.maximum(2 - 2 * rows @ part.T, 0.0))
+        return [np.array([near[other].sum()]), np.array([other.sum()])]
+
+    # each pair comes from both of its rows
+    sums = every_pair(vectors, key, vector, step, schema).agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
+    return sums.select(F.log(F.col("total") / F.col("pairs")).alias("uniformity"), (F.col("pairs") / 2).cast("long").alias("pairs"))
+
+
+def alignment(pairs: DataFrame, left: str, right: str, *, power: float = 2.0) -> DataFrame:
+    """(alignment, pairs): mean distance to the power over pairs of unit vectors that belong together."""
     from pairloom.functions.vectors import dot
 
-    ordered = vectors.select(key, F.transform(vector, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(F.lit(seed), key), F.lit(64)).alias("b"), F.xxhash64(key, F.lit(seed)).alias("o"))
-    w = Window.partitionBy("b").orderBy("o", key)
-    ahead = ordered.select("v", F.array(*(F.lead("v", d).over(w) for d in range(1, pairs + 1))).alias("ahead"))
-    each = ahead.select("v", F.explode("ahead").alias("w")).where("w is not null")
-    unit = lambda x: F.transform(x, lambda y: y / F.sqrt(dot(x, x)))
-    gap = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    return each.agg(F.log(F.avg(F.exp(-2 * gap(unit(F.col("v")), unit(F.col("w")))))).alias("uniformity"), F.count("*").alias("pairs"))
+    one = lambda c: F.transform(F.col(c), lambda y: y.cast("double") / F.greatest(F.sqrt(dot(F.col(c), F.col(c))), F.lit(1e-8)))
+    gap = F.aggregate(F.zip_with(one(left), one(right), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return pairs.agg(F.avg(F.pow(F.sqrt(gap), power)).alias("alignment"), F.count("*").alias("pairs"))

@@ -114,16 +114,44 @@ def spec_rows(specs: DataFrame, scale: float) -> DataFrame:
     return rows.select("grp", F.col("d.dir").alias("dir"), part(1).alias("pos"), part(-1).alias("neg"))
 
 
-def mismatched(df: DataFrame, key: Column, value: str, into: str, *, buckets: int = 64, seed: int = 5) -> DataFrame:
-    """The value of another row: the next in a hashed order within a hashed bucket, round to its first."""
+#: Rows of a bucket within which partners are found.
+PARTNERS = 10_000
+
+
+def mismatched(df: DataFrame, key: Column, value: str, into: str, *, buckets: int | None = None, seed: int = 5) -> DataFrame:
+    """The value of another row: the next in a hashed order within a hashed bucket, round to its first.
+
+    There is a bucket for each `PARTNERS` rows unless their number is given.
+    """
     from pyspark.sql.window import Window
 
+    buckets = buckets or max(1, df.count() // PARTNERS)
     w = Window.partitionBy("_b").orderBy("_o", "_k")
     marked = df.withColumns({"_b": F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets)), "_o": uniform(key, seed), "_k": key})
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return marked.withColumn(into, F.coalesce(F.lead(value).over(w), F.first(value).over(whole))).drop("_b", "_o", "_k")
 
 
+def swapped_ids(own: Column, other: Column, key: Column, *, share: float = 0.5, seed: int = 41) -> Column:
+    """`own` ids of which a hashed choice of at most `share` makes room for as many of `other` that it does not hold."""
+    drawn = lambda ids, s: F.transform(F.array_sort(F.transform(ids, lambda f: F.struct(uniform(key * 131 + f, s).alias("u"), f.alias("f")))), lambda x: x["f"])
+    new = F.array_except(other, own)
+    n = F.least(F.floor(F.size(own) * share), F.size(new)).cast("int")
+    return F.array_sort(F.concat(F.slice(drawn(own, seed), n + 1, F.greatest(F.size(own), F.lit(1))), F.slice(drawn(new, seed + 1), F.lit(1), n)))
+
+
+def group_mean_mix(entries: DataFrame, sizes: DataFrame, row: str, group: str, *, low: float = 0.3, high: float = 0.7, seed: int = 43) -> DataFrame:
+    """(row, f, v): w of the row's own values and 1 - w of its group's means, w drawn evenly for each row; missing entries count as 0.
+
+    entries (row, group, f, v), sizes (group, n).
+    """
+    means = entries.groupBy(group, "f").agg(F.sum("v").alias("s")).join(sizes, group).select(group, "f", (F.col("s") / F.col("n")).alias("mean"))
+    w = low + (high - low) * uniform(F.col(row), seed)
+    own = entries.select(row, "f", (w * F.col("v")).alias("v"))
+    shared = entries.select(row, group).distinct().join(means, group).select(row, "f", ((1 - w) * F.col("mean")).alias("v"))
+    return own.unionByName(shared).groupBy(row, "f").agg(F.sum("v").alias("v"))
+
+
 def class_weights(tags: DataFrame, tag: str, smoothing: float = 1.0) -> DataFrame:
     """Inverse frequency of each tag, with mean 1 over the tags."""
     from pyspark.sql.window import Window

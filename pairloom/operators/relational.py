@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.functions.vectors import dot
+from pairloom.operators.blocked import every_pair, unit
 
 #: Grids of at most this many rows are joined by broadcast.
 GRID_ROWS = 100_000
@@ -66,6 +68,14 @@ def set_pairs(sets: DataFrame, group: str, key: str, items: str) -> DataFrame:
     return met.select(group, F.col(key).alias("a"), F.col("_k2").alias("b"), (F.col("_c") / (F.col("_n") + F.col("_n2") - F.col("_c"))).alias("jaccard"))
 
 
+def mean_jaccard(sets: DataFrame, group: str, key: str, items: str) -> DataFrame:
+    """(group, sets, mean_jaccard) over all pairs of a group's sets; pairs without a common item count with their 0, though none is made."""
+    total = set_pairs(sets, group, key, items).groupBy(group).agg(F.sum("jaccard").alias("_t"))
+    counted = sets.groupBy(group).agg(F.count_distinct(key).alias("sets"))
+    pairs = F.col("sets") * (F.col("sets") - 1) / 2
+    return counted.join(total, group, "left").select(group, "sets", F.when(pairs > 0, F.coalesce("_t", F.lit(0.0)) / pairs).alias("mean_jaccard"))
+
+
 def over_grid(df: DataFrame, grid: DataFrame) -> DataFrame:
     """Each row with each row of a parameter grid, whose size is checked."""
     n = grid.limit(GRID_ROWS + 1).count()
@@ -89,22 +99,31 @@ def template_slots(gaps: Column, longest: int, most: int) -> Column:
     return F.transform(F.sequence(F.lit(0), total - 1), lambda k: F.transform(places, lambda g: digit(k, g).cast("int")))
 
 
-def neighbours(vectors: DataFrame, key: str, vector: str, k: int, threshold: float, *, blocks: int = 8) -> DataFrame:
-    """(i, j, cos): the k most similar others of each vector, from the threshold on.
+def neighbours(vectors: DataFrame, key: str, vector: str, k: int, threshold: float) -> DataFrame:
+    """(i, j, cos): the k most similar others of each vector, from the threshold on; ties go to the smaller key.
 
-    Both sides are cut into blocks that meet pairwise (the work is split over blocks * blocks tasks, and
-    neither side is broadcast); ranks within a block pair bound what goes on to the final ranks.
+    Matrix products, part by part; what a part leaves is bounded by k for each row.
     """
-    unit = vectors.select(F.col(key).alias("i"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    length = F.sqrt(dot(F.col("v"), F.col("v")))
-    unit = unit.withColumn("v", F.transform("v", lambda x: x / F.greatest(length, F.lit(1e-8)))).withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)))
-    left = unit.select("i", "v", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("c"))
-    right = unit.select(F.col("i").alias("j"), F.col("v").alias("w"), F.col("b").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))
-    scored = left.join(right, ["b", "c"]).where("i <> j").select("i", "j", "c", dot(F.col("v"), F.col("w")).alias("cos")).where(F.col("cos") >= threshold)
-    first = Window.partitionBy("i", "c").orderBy(F.desc("cos"), "j")
+    schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("cos", pa.float64())])
+    margin = 1e-9  # products of matrices may differ in the last bits; what is near the edge is computed again, row by row alike
+
+    def step(ids: np.ndarray, part: np.ndarray, names: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+        part, rows = unit(part), unit(rows)
+        near = rows @ part.T
+        near[names[:, None] == ids[None, :]] = -np.inf
+        found = []
+        for name, row, line in zip(names, rows, near, strict=True):
+            edge = max(threshold, -np.partition(-line, k - 1)[k - 1] if len(line) > k else -np.inf)
+            chosen = np.flatnonzero(line >= edge - margin)
+            cos = (part[chosen] * row).sum(axis=1)
+            best = np.lexsort((ids[chosen], -cos))[:k]
+            best = best[cos[best] >= threshold]
+            found.append((np.full(len(best), name), ids[chosen][best], cos[best]))
+        return [np.concatenate(c) for c in zip(*found, strict=True)]
+
     last = Window.partitionBy("i").orderBy(F.desc("cos"), "j")
-    part = scored.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
-    return part.withColumn("r", F.row_number().over(last)).where(F.col("r") <= k).select("i", "j", "cos")
+    each = every_pair(vectors, key, vector, step, schema)
+    return each.withColumn("r", F.row_number().over(last)).where(F.col("r") <= k).select("i", "j", "cos")
 
 
 def retrieve(queries: DataFrame, pool: DataFrame, group: str, m: int) -> DataFrame:

@@ -9,17 +9,35 @@ from pyspark.sql.window import Window
 from pairloom.functions.hashing import lcg
 
 
-def number_rows(df: DataFrame, *order: str | Column, into: str = "idx", start: int = 0, within: list[str] | None = None) -> DataFrame:
-    """Consecutive numbers in the given order.
+#: Rows that one task numbers, ranges at most, and sampled keys for each range.
+NUMBERED, RANGES, SAMPLED = 500_000, 1_000, 50
 
-    Within groups it is one window.  Over the whole table it numbers range partitions in two steps
-    (sizes of the partitions, then ranks within them), so no task holds all rows.
+
+def number_rows(df: DataFrame, *order: str, into: str = "idx", start: int = 0, within: list[str] | None = None, numbered: int = NUMBERED) -> DataFrame:
+    """Consecutive numbers in the given (ascending) order.
+
+    Within groups, and over a table of at most `numbered` rows, it is one window.  A larger table is cut into
+    ranges of the order's values whose bounds, from a sample picked by hash, are written into the plan: the
+    range of a row follows from the row alone, however often it is computed.  Then sizes of the ranges are
+    summed and ranks taken within them.
     """
     if within:
         return df.withColumn(into, F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1 + start)
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").count()
-    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # a row for each partition
+    count = df.count()
+    ranges = min(RANGES, -(-count // numbered))
+    if ranges <= 1:
+        return df.withColumn(into, F.row_number().over(Window.orderBy(*order)) - 1 + start)
+    key = F.struct(*(F.col(c) for c in order))
+    keys = df.select(key.alias("k")).where(F.pmod(F.xxhash64(*(f"k.{c}" for c in order)), F.lit(max(1, count // (SAMPLED * ranges)))) == 0)
+    # of some SAMPLED * ranges keys, at most 16 times as many where they repeat, every so-manieth is a bound
+    sample = [r[0] for r in keys.orderBy("k").limit(16 * SAMPLED * ranges).collect()]
+    bounds = list(dict.fromkeys(tuple(sample[i * len(sample) // ranges]) for i in range(1, ranges))) if sample else []
+    types = df.select(key.alias("k")).schema["k"].dataType
+    held = F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, types, strict=True))) for b in bounds)) if bounds else None
+    part = F.size(F.filter(held, lambda b: b <= key)) if bounds else F.lit(0)
+    ranged = df.withColumn("_part", part)
+    sizes = ranged.groupBy("_part").count()  # a row for each range
+    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return ranged.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(into, F.col("_before") + F.col("_own") - 1 + start).drop("_part", "_own", "_before")
 

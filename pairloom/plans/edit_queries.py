@@ -9,6 +9,7 @@ from pairloom.functions.hashing import sql_uniform, uniform
 from pairloom.operators import alignment as A
 from pairloom.operators import features as X
 from pairloom.operators import generation as G
+from pairloom.operators import proposing as N
 
 from . import base as B
 from .registry import query
@@ -95,12 +96,13 @@ def e14_e15_gold_sites(spark, d):
     return s.select("conv_id", "turn", F.size("gold").alias("sites"), F.round(A.rate_iou(rates, F.col("gold")), 6).alias("iou"))
 
 
-@query("e16_step", f"SELECT conv_id, turn, len(src) + CAST(len(src) > 1 AS INTEGER) - CAST(len(src) > 2 AS INTEGER) AS n FROM {B.SQL_TURNS} WHERE len(src) > 0")
+@query("e16_step", f"""SELECT conv_id, turn, array_to_string(list_concat(['new'], list_concat(CASE WHEN len(src) > 1 THEN [src[2], 'new'] ELSE [] END, src[4:])), ' ') AS made FROM {B.SQL_TURNS} WHERE len(src) > 0""")
 def e16_step(spark, d):
-    t = _pairs(spark, d).where(F.size("a") > 0)
-    op = lambda kind, pos: F.struct(F.lit(kind).alias("kind"), F.lit(pos).alias("pos"), F.lit(7).cast("long").alias("tok"), F.lit(-1).alias("dst"))
+    """Word 0 replaced, one put behind word 1, word 2 taken out, and one operation beyond the end."""
+    t = B.turn_pairs(spark, d).where(F.size("src") > 0)
+    op = lambda kind, pos: F.struct(F.lit(kind).alias("kind"), F.lit(pos).alias("pos"), F.lit("new").alias("tok"), F.lit(-1).alias("dst"))
     chosen = F.array(op(A.INS, 1), op(A.DEL, 2), op(A.SUB, 0), op(A.DEL, 1000000))
-    return t.select("conv_id", "turn", F.size(A.apply_step(F.col("a"), chosen)).cast("long").alias("n"))
+    return t.select("conv_id", "turn", F.array_join(A.apply_step(F.col("src"), chosen), " ").alias("made"))
 
 
 @query("e17_e21_tags", f"SELECT conv_id, turn, len(list_filter(src, lambda w: length(w) % 4 = 2)) AS inserts, len(list_filter(src, lambda w: length(w) % 4 = 3)) AS deletes, len(src) - len(list_filter(src, lambda w: length(w) % 4 = 3)) + len(list_filter(src, lambda w: length(w) % 4 = 2)) AS cells FROM {B.SQL_TURNS}")
@@ -223,6 +225,10 @@ def t9_first_subsequence(spark, d):
     return t.select("conv_id", "turn", A.first_subsequence(F.col("src"), F.slice("src", 3, 2)).isNotNull().alias("found"))
 
 
+def _pick(u: str, n: str) -> str:
+    return f"1 + CAST(least(floor({u} * {n}), {n} - 1) AS INTEGER)"
+
+
 # Generation
 
 
@@ -237,7 +243,24 @@ def _drawn(spark, d):
     return base.withColumn("n", G.operation_count(F.col("bucket"), k)).withColumn("ops", G.operation_types(F.col("n"), k))
 
 
-@query("c6_c7_operation_counts")
+def _sql_edges(u: str, edges: list[float], values: list) -> str:
+    return "CASE " + " ".join(f"WHEN {u} < {e!r} THEN {v!r}" for e, v in zip(edges, values, strict=False)) + f" ELSE {values[-1]!r} END"
+
+
+def _running(weights: list[float]) -> list[float]:
+    out, edge, total = [], 0.0, sum(weights)
+    for w in weights[:-1]:
+        edge += w / total
+        out.append(edge)
+    return out
+
+
+_SQL_BUCKETED = f"(SELECT doc_id, {_sql_edges(sql_uniform('doc_id', 0), _running(list(G.BUCKETS.values())), list(G.BUCKETS))} AS bucket, {sql_uniform('doc_id', 1)} AS u FROM documents)"
+_SQL_COUNTED = f"""(SELECT doc_id, bucket, CASE bucket WHEN 'identity' THEN 0 WHEN 'single_op' THEN 1 WHEN 'compound_2_3' THEN {_sql_edges('u', _running([0.6**k for k in range(2)]), [2, 3])} ELSE {_sql_edges('u', _running([0.6**k for k in range(5)]), [4, 5, 6, 7, 8])} END AS n FROM {_SQL_BUCKETED})"""
+_SQL_DRAWN = f"""(SELECT doc_id, bucket, n, list_transform(range(1, n + 1), lambda i: {_sql_edges(sql_uniform('(doc_id * 31 + i)', 2), _running(list(G.OP_WEIGHTS.values())), list(G.OP_WEIGHTS))}) AS ops FROM {_SQL_COUNTED})"""
+
+
+@query("c6_c7_operation_counts", f"SELECT bucket, n, count(*) AS rows, CAST(sum(len(list_filter(ops, lambda o: o = 'REPL'))) AS BIGINT) AS repl FROM {_SQL_DRAWN} GROUP BY bucket, n")
 def c6_c7_operation_counts(spark, d):
     return _drawn(spark, d).groupBy("bucket", "n").agg(F.count("*").alias("rows"), F.sum(F.size(F.filter("ops", lambda o: o == "REPL"))).alias("repl"))
 
@@ -248,7 +271,9 @@ def c8_rejection_loop(spark, d):
     return G.first_accepted(a, "doc_id", "ok").groupBy("attempt").agg(F.count("*").alias("n"))
 
 
-@query("c9_subsets")
+@query("c9_subsets", f"""WITH d AS (SELECT doc_id, len(ops) AS n FROM {_SQL_DRAWN})
+SELECT subset_kind, count(*) AS n, CAST(sum(kept) AS BIGINT) AS kept FROM (SELECT CASE WHEN n = 0 THEN 'identity' ELSE 'full' END AS subset_kind, n AS kept FROM d
+UNION ALL SELECT 'partial', {_pick(sql_uniform('doc_id', 11), '(n - 1)')} FROM d WHERE n >= 2 AND {sql_uniform('doc_id', 13)} < 1.0 UNION ALL SELECT 'null', 0 FROM d WHERE n >= 1 AND {sql_uniform('doc_id', 14)} < 0.5) GROUP BY 1""")
 def c9_subsets(spark, d):
     out = G.subsets(_drawn(spark, d), F.col("doc_id"), "ops")
     return out.groupBy("subset_kind").agg(F.count("*").alias("n"), F.sum(F.size("kept")).alias("kept"))
@@ -377,18 +402,75 @@ def c25_class_weights(spark, d):
     return G.class_weights(B.table(spark, d, "events"), "event_type").select("event_type", "n", F.round("weight", 6).alias("weight"))
 
 
-@query("c2_c3_candidate_picks", """WITH t AS (SELECT doc_id, token, count(*) AS c FROM """ + B.SQL_TOKENS + """ GROUP BY ALL) SELECT doc_id, token FROM t QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, token) <= 4""")
-def c2_c3_candidate_picks(spark, d):
-    """The most frequent words of a document as a stand-in for a model's candidates, best first."""
-    from pyspark.sql.window import Window
+_SQL_PLACED = f"(SELECT conv_id, turn, src, conv_id * 1000 + turn AS k FROM {B.SQL_TURNS} WHERE len(src) >= 1)"
+_SQL_TRIES = "(SELECT unnest(range(0, 3)) AS try)"
+
+
+def _placed(spark, d):
+    return B.turn_pairs(spark, d).where(F.size("src") >= 1).select("conv_id", "turn", "src", (F.col("conv_id") * 1000 + F.col("turn")).alias("k"))
+
+
+def _made(t, op):
+    """Rows with an operation, each computed once."""
+    return t.select("conv_id", "turn", F.explode(F.filter(F.array(op), lambda o: o.isNotNull())).alias("op"))
+
+
+@query("c2_replacements", f"""WITH t AS (SELECT *, list_filter(range(0, len(src)), lambda i: i % 3 <> 0) AS free FROM {_SQL_PLACED}),
+p AS (SELECT conv_id, turn, src, try, k * 64 + try AS q, free[{_pick(sql_uniform('(k * 64 + try)', 21), 'len(free)')}] AS place FROM t, {_SQL_TRIES} WHERE len(free) > 0),
+c AS (SELECT *, list_filter([src[(place + 1) % len(src) + 1], 'alpha', '12', src[place + 1], '##beta', 'extraordinarilylongcandidate', 'gamma'], lambda w: regexp_matches(w, '\\p{{L}}') AND NOT starts_with(w, '##') AND lower(trim(w)) <> lower(trim(src[place + 1])) AND length(w) <= greatest(20, 3 * length(src[place + 1]))) AS found FROM p)
+SELECT conv_id, turn, CAST(place AS INTEGER) AS place, found[{_pick(sql_uniform('q', 22), 'least(len(found), 2)')}] AS payload FROM c WHERE len(found) > 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY try) = 1""")
+def c2_replacements(spark, d):
+    """Candidates of a place: the next word, some fixed ones and some that must be passed over."""
+    t = _placed(spark, d)
+    n = F.size("src")
+    fixed = lambda i: F.array(F.get("src", (i + 1) % n), F.lit("alpha"), F.lit("12"), F.get("src", i), F.lit("##beta"), F.lit("extraordinarilylongcandidate"), F.lit("gamma"))
+    places = F.sequence(F.lit(0), n - 1)
+    op = N.propose_replacement(F.col("src"), F.filter(places, lambda i: i % 3 == 0), F.transform(places, fixed), F.col("k"), top=4)
+    return _made(t, op).select("conv_id", "turn", F.col("op.start").alias("place"), "op.payload")
+
+
+@query("c3_gaps", f"""WITH s AS (SELECT conv_id, turn, k, len(src) AS n, a, a + b AS e FROM (SELECT *, unnest(range(1, len(src) - 1)) AS a FROM {_SQL_PLACED}), (SELECT unnest(range(1, 4)) AS b) WHERE b <= least(3, len(src) - a - 1)),
+f AS (SELECT *, a % 2 = 0 AS high FROM s WHERE NOT (a <= 4 AND e >= 4)),
+g AS (SELECT conv_id, turn, any_value(k) AS k, list(a ORDER BY a, e) FILTER (WHERE high) AS ha, list(e ORDER BY a, e) FILTER (WHERE high) AS he, list(a ORDER BY a, e) FILTER (WHERE NOT high) AS la, list(e ORDER BY a, e) FILTER (WHERE NOT high) AS le FROM f GROUP BY ALL),
+o AS (SELECT conv_id, turn, k, CASE WHEN {sql_uniform('k', 23)} < 0.85 AND len(ha) > 0 THEN true WHEN len(la) > 0 THEN false ELSE true END AS up, ha, he, la, le FROM g),
+z AS (SELECT conv_id, turn, k, CASE WHEN up THEN ha ELSE la END AS a, CASE WHEN up THEN he ELSE le END AS e FROM o)
+SELECT conv_id, turn, CAST(a[{_pick(sql_uniform('k', 24), 'len(a)')}] AS INTEGER) AS low, CAST(e[{_pick(sql_uniform('k', 24), 'len(a)')}] AS INTEGER) AS high FROM z""")
+def c3_gaps(spark, d):
+    t = _placed(spark, d)
+    op = N.propose_gap(F.col("src"), F.array(F.lit(4)), F.filter(F.sequence(F.lit(0), F.size("src") - 1), lambda i: i % 2 == 0), F.col("k"))
+    return _made(t, op).select("conv_id", "turn", F.col("op.start").alias("low"), F.col("op.end").alias("high"))
+
+
+#: What follows a word, best first: by its length, or nothing.
+_SQL_AFTER = "CASE WHEN {0} IS NULL OR length({0}) % 4 = 3 THEN [] WHEN length({0}) % 2 = 0 THEN ['red', '##x', 'green', 'blue'] ELSE ['tall', 'grand'] END"
+_SQL_AFTER_FOUND = f"list_filter({_SQL_AFTER}, lambda w: NOT starts_with(w, '##'))"
+
+
+def _sql_grown(step: int, last: str) -> str:
+    """The word of a step, null where growth ended."""
+    found = _SQL_AFTER_FOUND.format(last)
+    draw = f"(q * 16 + {step})"
+    return f"CASE WHEN {step} <= wanted AND {last} IS NOT NULL THEN CASE WHEN {sql_uniform(draw, 27)} < 0.5 THEN ({found})[1] ELSE ({found})[{_pick(sql_uniform(draw, 28), f'least(len({found}), 2)')}] END END"
+
 
-    counts = B.tokens(spark, d).groupBy("doc_id", "token").agg(F.count("*").alias("c"))
-    return counts.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("c"), "token"))).where("r <= 4").select("doc_id", "token")
+@query("c4_insertions", f"""WITH t AS (SELECT *, list_filter(range(1, len(src)), lambda i: i % 3 <> 0) AS free FROM {_SQL_PLACED}),
+p AS (SELECT conv_id, turn, try, k * 64 + try AS q, {_pick(sql_uniform('(k * 64 + try)', 26), '3')} AS wanted, free[{_pick(sql_uniform('(k * 64 + try)', 25), 'len(free)')}] AS place, src FROM t, {_SQL_TRIES} WHERE len(free) > 0),
+a AS (SELECT *, src[place] AS w0 FROM p), b AS (SELECT *, {_sql_grown(1, 'w0')} AS w1 FROM a), c AS (SELECT *, {_sql_grown(2, 'w1')} AS w2 FROM b), e AS (SELECT *, {_sql_grown(3, 'w2')} AS w3 FROM c)
+SELECT conv_id, turn, CAST(place AS INTEGER) AS place, concat_ws(' ', w1, w2, w3) AS payload FROM e WHERE w1 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY try) = 1""")
+def c4_insertions(spark, d):
+    t = _placed(spark, d)
+    none = F.array().cast("array<string>")
+    after = lambda w: F.when(F.length(w) % 4 == 3, none).when(F.length(w) % 2 == 0, F.array(*map(F.lit, ("red", "##x", "green", "blue")))).otherwise(F.array(*map(F.lit, ("tall", "grand"))))
+    known = F.array_distinct(F.concat("src", F.array(*map(F.lit, ("red", "green", "blue", "tall", "grand")))))
+    ranked = F.map_from_arrays(known, F.transform(known, after))
+    op = N.propose_insertion(F.col("src"), F.filter(F.sequence(F.lit(0), F.size("src") - 1), lambda i: i % 3 == 0), ranked, F.col("k"), top=4)
+    return _made(t, op).select("conv_id", "turn", F.col("op.start").alias("place"), "op.payload")
 
 
-@query("k4_k6_plan_thresholds", "SELECT user_id, count(DISTINCT event_type) AS plans FROM events WHERE value >= 60 GROUP BY user_id")
-def k4_k6_plan_thresholds(spark, d):
-    return B.table(spark, d, "events").where("value >= 60").select("user_id", "event_type").distinct().groupBy("user_id").agg(F.count("*").alias("plans"))
+@query("c23_group_mean_mix", f"""WITH w AS (SELECT DISTINCT row, grp, 0.3 + 0.4 * {sql_uniform('row', 43)} AS w FROM {B.SQL_ACTIVATIONS}), m AS (SELECT grp, f, sum(v) / any_value(n) AS mean FROM {B.SQL_ACTIVATIONS} JOIN {B.SQL_SIZES} USING (grp) GROUP BY grp, f),
+u AS (SELECT row, f, w * v AS v FROM {B.SQL_ACTIVATIONS} JOIN w USING (row) UNION ALL SELECT row, f, (1 - w) * mean FROM w JOIN m USING (grp)) SELECT row, f, round(sum(v), 6) AS v FROM u GROUP BY row, f""")
+def c23_group_mean_mix(spark, d):
+    return G.group_mean_mix(B.activations(spark, d), B.sizes(spark, d), "row", "grp").select("row", "f", F.round("v", 6).alias("v"))
 
 
 @query("k11_operation_kind", "SELECT event_id, CASE WHEN nxt > cur AND nxt > prop THEN 'DEL' WHEN cur > 0.5 THEN 'INS' ELSE 'SUB' END AS kind FROM (SELECT event_id, (event_id % 7) / 7.0 AS nxt, (event_id % 5) / 5.0 AS cur, (event_id % 3) / 3.0 AS prop FROM events)")

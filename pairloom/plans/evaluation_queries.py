@@ -63,14 +63,16 @@ def j5_j6_defaults(spark, d):
 
 
 @query("j7_control_join", """WITH a AS (SELECT user_id, event_type, max(value) AS v FROM events WHERE event_id % 2 = 0 GROUP BY ALL), c AS (SELECT user_id, event_type, max(value) AS control FROM events WHERE event_id % 2 = 1 GROUP BY ALL)
-SELECT 'matched' AS part, count(*) AS n FROM a JOIN c USING (user_id, event_type) UNION ALL SELECT 'unmatched', count(*) FROM a ANTI JOIN c USING (user_id, event_type)""")
+SELECT user_id, event_type, 'matched' AS part, round(v, 6) AS v, round(control, 6) AS control FROM a JOIN c USING (user_id, event_type) UNION ALL SELECT user_id, event_type, 'unmatched', round(v, 6), NULL FROM a ANTI JOIN c USING (user_id, event_type)""")
 def j7_control_join(spark, d):
     e = B.table(spark, d, "events")
     keys = ["user_id", "event_type"]
     a = e.where("event_id % 2 = 0").groupBy(*keys).agg(F.max("value").alias("v"))
     c = e.where("event_id % 2 = 1").groupBy(*keys).agg(F.max("value").alias("control"))
     hit, miss = J.with_control(a, c, keys)
-    return hit.agg(F.lit("matched").alias("part"), F.count("*").alias("n")).union(miss.agg(F.lit("unmatched").alias("part"), F.count("*").alias("n")))
+    value = lambda c: F.round(c, 6).alias(c)
+    matched = hit.select(*keys, F.lit("matched").alias("part"), value("v"), value("control"))
+    return matched.union(miss.select(*keys, F.lit("unmatched").alias("part"), value("v"), F.lit(None).cast("double").alias("control")))
 
 
 @query("j8_direction_by_text", f"""WITH p AS (SELECT conv_id AS idx, turn, source_text AS s1, target_text AS s2, CAST(conv_id % 3 AS VARCHAR) AS feature FROM {B.SQL_TURNS} WHERE turn = 0),
@@ -458,9 +460,29 @@ def a26_worker_merge(spark, d):
     return parts.agg(F.sum("n").alias("samples"), F.max("seen").alias("seen"))
 
 
-@query("a51_corpus_bleu")
+def _sql_overlap(out: str, ref: str, most: int) -> str:
+    """(grp, n, hit, outs, refs) of the n-grams of two list columns."""
+    grams = lambda c: f"SELECT grp, conv_id, turn, n, w[i:i + n - 1] AS g, count(*) AS c FROM (SELECT grp, conv_id, turn, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT conv_id % 5 AS grp, conv_id, turn, {c} AS w FROM {B.SQL_TURNS}), (SELECT unnest(range(1, {most + 1})) AS n) WHERE len(w) >= n) GROUP BY ALL"
+    return f"""o AS ({grams(out)}), r AS ({grams(ref)}), k AS (SELECT DISTINCT grp, n FROM (SELECT conv_id % 5 AS grp FROM {B.SQL_TURNS}), (SELECT unnest(range(1, {most + 1})) AS n)),
+z AS (SELECT k.grp, k.n, coalesce(hit, 0) AS hit, coalesce(outs, 0) AS outs, coalesce(refs, 0) AS refs FROM k LEFT JOIN (SELECT o.grp, o.n, sum(least(o.c, r.c)) AS hit FROM o JOIN r USING (conv_id, turn, n, g) GROUP BY ALL) USING (grp, n)
+LEFT JOIN (SELECT grp, n, sum(c) AS outs FROM o GROUP BY ALL) USING (grp, n) LEFT JOIN (SELECT grp, n, sum(c) AS refs FROM r GROUP BY ALL) USING (grp, n))"""
+
+
+@query("a51_corpus_bleu", f"""WITH {_sql_overlap('src', 'tgt', 4)}, l AS (SELECT grp, CAST(max(outs) FILTER (WHERE n = 1) AS BIGINT) AS out_len, CAST(max(refs) FILTER (WHERE n = 1) AS BIGINT) AS ref_len, min(hit) AS least, avg(CASE WHEN hit > 0 THEN ln(hit / outs) END) AS log_p FROM z GROUP BY grp)
+SELECT grp, out_len, ref_len, round(CASE WHEN least > 0 THEN 100 * exp(log_p) * CASE WHEN out_len >= ref_len THEN 1 ELSE exp(1 - ref_len / out_len) END ELSE 0 END, 6) AS bleu FROM l""")
 def a51_corpus_bleu(spark, d):
-    return E.bleu_statistics(B.turn_pairs(spark, d).withColumn("grp", F.col("conv_id") % 5), ["grp"], "src", "tgt")
+    found = E.bleu_statistics(B.turn_pairs(spark, d).withColumn("grp", F.col("conv_id") % 5), ["grp"], "src", "tgt")
+    return found.select("grp", "out_len", "ref_len", F.round("bleu", 6).alias("bleu"))
+
+
+_SQL_CHARS = "list_filter(string_split(regexp_replace({0}, '\\s', '', 'g'), ''), lambda x: x <> '')"
+
+
+@query("a51_corpus_chrf", f"""WITH {_sql_overlap(_SQL_CHARS.format('source_text'), _SQL_CHARS.format('target_text'), 6)}, m AS (SELECT grp, avg(hit / outs) AS p, avg(hit / refs) AS r FROM z WHERE outs > 0 AND refs > 0 GROUP BY grp)
+SELECT grp, round(CASE WHEN p + r > 0 THEN 100 * 5 * p * r / (4 * p + r) ELSE 0 END, 6) AS chrf FROM m""")
+def a51_corpus_chrf(spark, d):
+    found = E.chrf_statistics(B.turn_pairs(spark, d).withColumn("grp", F.col("conv_id") % 5), ["grp"], "source_text", "target_text")
+    return found.select("grp", F.round("chrf", 6).alias("chrf"))
 
 
 # Tests
@@ -476,10 +498,12 @@ def st1_mcnemar(spark, d):
     return E.mcnemar(pairs, ["sys_a", "sys_b"], "value_a", "value_b").select("sys_a", "sys_b", "n", "b", "c", F.round("p", 6).alias("p"))
 
 
-@query("st2_sign_test", f"SELECT event_type, count(*) FILTER (WHERE value > 40) AS up, count(*) FILTER (WHERE value < 40) AS down FROM events GROUP BY 1")
+@query("st2_sign_test", """WITH c AS (SELECT event_type, user_id % 40 AS part, count(*) FILTER (WHERE value > 40) AS up, count(*) FILTER (WHERE value < 40) AS down FROM events GROUP BY ALL),
+k AS (SELECT event_type, part, up, down, unnest(range(0, least(up, down) + 1)) AS i FROM c)
+SELECT event_type, part, up, down, round(least(1.0, 2 * sum(exp(lgamma(up + down + 1) - lgamma(i + 1) - lgamma(up + down - i + 1) - (up + down) * ln(2)))), 6) AS p FROM k GROUP BY ALL""")
 def st2_sign_test(spark, d):
-    e = B.table(spark, d, "events").withColumn("delta", F.col("value") - 40)
-    return E.sign_test(e, ["event_type"], "delta").select("event_type", "up", "down")
+    e = B.table(spark, d, "events").select("event_type", (F.col("user_id") % 40).alias("part"), (F.col("value") - 40).alias("delta"))
+    return E.sign_test(e, ["event_type", "part"], "delta").select("event_type", "part", "up", "down", F.round("p", 6).alias("p"))
 
 
 @query("st3_wilson", f"""SELECT sys, k, n, round(greatest(0, (p + z / (2 * n)) / (1 + z / n) - 1.96 * sqrt(p * (1 - p) / n + z / (4 * n * n)) / (1 + z / n)), 6) AS low, round(least(1, (p + z / (2 * n)) / (1 + z / n) + 1.96 * sqrt(p * (1 - p) / n + z / (4 * n * n)) / (1 + z / n)), 6) AS high

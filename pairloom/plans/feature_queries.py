@@ -322,9 +322,26 @@ def a45_norms(spark, d):
     return out.select("label", "n", *(F.round(c, 6).alias(c) for c in ("mean", "std", "low", "high", "median")))
 
 
-@query("a52_uniformity")
+@query("a52_uniformity", f"""WITH n AS (SELECT vec_id, list_transform(e, lambda v: v / greatest(sqrt(list_sum(list_transform(e, lambda w: w * w))), 1e-8)) AS e FROM {_SQL_DENSE})
+SELECT round(ln(avg(exp(-2 * list_sum(list_transform(list_zip(x.e, y.e), lambda p: (p[1] - p[2]) ^ 2))))), 6) AS uniformity, count(*) AS pairs FROM n x JOIN n y ON x.vec_id < y.vec_id""")
 def a52_uniformity(spark, d):
-    return X.uniformity(B.table(spark, d, "embeddings"), "embedding", "vec_id")
+    return X.uniformity(B.table(spark, d, "embeddings"), "embedding", "vec_id").select(F.round("uniformity", 6).alias("uniformity"), "pairs")
+
+
+@query("a52_alignment", f"""WITH n AS (SELECT vec_id, list_transform(e, lambda v: v / greatest(sqrt(list_sum(list_transform(e, lambda w: w * w))), 1e-8)) AS e FROM {_SQL_DENSE})
+SELECT round(avg(list_sum(list_transform(list_zip(x.e, y.e), lambda p: (p[1] - p[2]) ^ 2))), 6) AS alignment, count(*) AS pairs FROM n x JOIN n y ON y.vec_id = x.vec_id + 1""")
+def a52_alignment(spark, d):
+    v = B.table(spark, d, "embeddings").select("vec_id", "embedding")
+    pairs = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("after")), "vec_id")
+    return X.alignment(pairs, "embedding", "after").select(F.round("alignment", 6).alias("alignment"), "pairs")
+
+
+@query("a30_mean_jaccard", f"""WITH s AS (SELECT DISTINCT grp, row, f FROM {A} WHERE f < 1000), n AS (SELECT grp, row, count(*) AS n FROM s GROUP BY ALL), c AS (SELECT x.grp, x.row AS a, y.row AS b, count(*) AS c FROM s x JOIN s y ON x.grp = y.grp AND x.f = y.f AND x.row < y.row GROUP BY ALL),
+p AS (SELECT x.grp, x.row AS a, y.row AS b, x.n + y.n AS total FROM n x JOIN n y ON x.grp = y.grp AND x.row < y.row)
+SELECT p.grp, (SELECT count(*) FROM n WHERE n.grp = p.grp) AS sets, round(avg(coalesce(c / (total - c), 0)), 6) AS mean_jaccard FROM p LEFT JOIN c USING (grp, a, b) GROUP BY p.grp""")
+def a30_mean_jaccard(spark, d):
+    sets = B.activations(spark, d).groupBy("grp", "row").agg(F.collect_list("f").alias("items"))
+    return J.mean_jaccard(sets, "grp", "row", "items").select("grp", "sets", F.round("mean_jaccard", 6).alias("mean_jaccard"))
 
 
 @query("a50_context_shift", f"""WITH t AS (SELECT row, list(f) AS ids FROM (SELECT row, f, v FROM {A} QUALIFY row_number() OVER (PARTITION BY row ORDER BY v DESC, f DESC) <= 8) GROUP BY row)
@@ -365,6 +382,6 @@ def a53_contrastive_accuracy(spark, d):
     return best.agg(F.round(F.avg((F.col("other") == F.col("vec_id")).cast("int")), 6).alias("accuracy"), F.count("*").alias("n"))
 
 
-@query("f_numbering_order")
+@query("f_numbering_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS idx FROM orders")
 def f_numbering_order(spark, d):
-    return S.number_rows(B.table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey")
+    return S.number_rows(B.table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", numbered=1_000).select("o_orderkey", F.col("idx").cast("long").alias("idx"))

@@ -86,3 +86,20 @@ def vectors_from_arrays(spark: SparkSession, arrays, key: str = "f", into: str =
     import pandas as pd
 
     return spark.createDataFrame(pd.DataFrame({key: range(len(arrays)), into: arrays}))
+
+
+#: A file of arrays is read whole; larger ones are no vectors but tables.
+ARRAY_BYTES = 64 * 1024 * 1024
+
+
+def read_array(spark: SparkSession, path: str, name: str | None = None, key: str = "f", into: str = "v") -> DataFrame:
+    """A numpy vector from an .npy file, or by name from an .npz file, on any store that Spark reads."""
+    import io
+
+    import numpy as np
+
+    file = spark.read.format("binaryFile").load(path).select("length", "content").limit(1)
+    if (size := file.select("length").first()[0]) > ARRAY_BYTES:
+        raise ValueError(f"{path} has {size} bytes; at most {ARRAY_BYTES} are read")
+    found = np.load(io.BytesIO(bytes(file.first()["content"])), allow_pickle=False)
+    return vectors_from_arrays(spark, found if name is None else found[name], key, into)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -59,3 +59,33 @@ def markdown(df: DataFrame, limit: int = 1000, digits: int = 4) -> str:
     rows = df.limit(limit).collect()
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(map(shown, r)) + " |" for r in rows])
+
+
+def resume_point(spark: SparkSession, path: str, index: str, fmt: str = "json") -> tuple[int, int | None]:
+    """(rows, largest index) of what can be read of a folder of shards: broken files, truncated ones and broken lines count for nothing.
+
+    New rows go to new shards, from the index after the largest on.
+    """
+    if not table_exists(spark, path):
+        return 0, None
+    reader = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    if fmt == "json":
+        rows = reader.schema(f"`{index}` long, _broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path).where("_broken is null")
+    else:
+        rows = reader.format(fmt).load(path).select(F.col(index).cast("long").alias(index))
+    found = rows.where(F.col(index).isNotNull()).agg(F.count("*").alias("n"), F.max(index).alias("last")).first()
+    return int(found["n"]), found["last"]
+
+
+def observed(df: DataFrame, **counters) -> tuple[DataFrame, Observation]:
+    """`df` with running counters (named aggregate columns) that any action on it fills, without a pass of their own."""
+    observation = Observation()
+    return df.observe(observation, *(c.alias(name) for name, c in counters.items())), observation
+
+
+def write_tsv_report(df: DataFrame, path: str) -> None:
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
+
+
+def write_json_report(df: DataFrame, path: str) -> None:
+    df.coalesce(1).write.mode("overwrite").json(path)

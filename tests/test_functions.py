@@ -77,6 +77,16 @@ def test_numbering_is_dense(spark):
     assert all(r.idx == r.k for r in got) and len(got) == 1000
 
 
+def test_numbering_by_ranges(spark):
+    """Ranges follow from the rows: ties, nulls and text keys, and the same numbers each time."""
+    rows = [(None if k % 50 == 0 else f"w{k * 37 % 300:03d}", k % 7, k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "a string, b int, k int").repartition(5)
+    want = {r[2]: n for n, r in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2])))}
+    for numbered in (100, 1000, 10_000):
+        got = S.number_rows(df, "a", "b", "k", numbered=numbered, start=5)
+        assert {r.k: r.idx - 5 for r in got.collect()} == want == {r.k: r.idx - 5 for r in got.collect()}
+
+
 def test_nested_samples(spark):
     df = spark.range(500)
     small, large = ({r.id for r in S.shuffled_sample(df, n, F.col("id"), 3).collect()} for n in (20, 80))

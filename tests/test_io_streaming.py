@@ -85,3 +85,45 @@ def test_adaptive_weights():
     first = next(M._update(("a",), iter([pd.DataFrame({"ok": [True, False, True]})]), state))
     second = next(M._update(("a",), iter([pd.DataFrame({"ok": [True]})]), state))
     assert first.weight[0] == 1 / 3 and second.accepted[0] == 3 and second.weight[0] == 0.25
+
+
+def test_resume_point_skips_what_is_broken(spark, tmp_path):
+    import gzip
+
+    assert K.resume_point(spark, str(tmp_path / "none"), "idx") == (0, None)
+    folder = tmp_path / "shards"
+    folder.mkdir()
+    (folder / "shard-0.json").write_text('{"idx": 3}\n\n{broken\n{"other": 1}\n{"idx": 7}\n')
+    whole = gzip.compress(b"".join(b'{"idx": %d}\n' % k for k in range(100, 5000)))
+    (folder / "shard-1.json.gz").write_bytes(whole)
+    rows, last = K.resume_point(spark, str(folder), "idx")
+    assert (rows, last) == (4902, 4999)
+    (folder / "shard-2.json.gz").write_bytes(gzip.compress(b'{"idx": 9000}\n' * 100_000)[:90])
+    rows, last = K.resume_point(spark, str(folder), "idx")
+    assert rows >= 4902 and last in (4999, 9000)
+    spark.range(5).write.parquet(str(tmp_path / "p"))
+    assert K.resume_point(spark, str(tmp_path / "p"), "id", "parquet") == (5, 4)
+
+
+def test_counters_without_a_pass_of_their_own(spark):
+    df, counters = K.observed(spark.range(10), rows=F.count("*"), odd=F.count_if(F.col("id") % 2 == 1))
+    assert df.where("id < 3").count() == 3 and counters.get == {"rows": 10, "odd": 5}
+
+
+def test_arrays_from_files(spark, tmp_path):
+    import numpy as np
+    import pytest
+
+    np.save(tmp_path / "a.npy", np.array([1.5, 2.5]))
+    np.savez(tmp_path / "b.npz", x=np.array([3.0]), ids=np.array([7, 8, 9]))
+    assert [(r.f, r.v) for r in R.read_array(spark, str(tmp_path / "a.npy")).collect()] == [(0, 1.5), (1, 2.5)]
+    assert [r.v for r in R.read_array(spark, str(tmp_path / "b.npz"), "ids").collect()] == [7, 8, 9]
+    with pytest.raises(KeyError):
+        R.read_array(spark, str(tmp_path / "b.npz"), "none")
+
+
+def test_reports(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "n int, t string")
+    K.write_tsv_report(df, str(tmp_path / "t"))
+    K.write_json_report(df, str(tmp_path / "j"))
+    assert "n\tt" in next((tmp_path / "t").glob("part*")).read_text() and '"t":"a"' in next((tmp_path / "j").glob("part*")).read_text()

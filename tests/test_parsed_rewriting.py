@@ -1,0 +1,61 @@
+"""Rewriting families over hand-made parses: word/lemma/tag/dep/head."""
+
+import pytest
+
+from pairloom.operators import parsed_rewriting as P
+
+FORMS = {
+    "chase|VBZ": "chases", "chase|VBD": "chased", "chase|VBG": "chasing", "chase|VBN": "chased", "sleep|VBZ": "sleeps", "sleep|VBD": "slept", "sleep|VBG": "sleeping", "sleep|VBN": "slept", "have|VBZ": "has", "have|VBD": "had",
+    "dog|NNS": "dogs", "cat|NNS": "cats", "old|JJR": "older", "old|JJS": "oldest", "see|VBZ": "sees", "see|VBD": "saw", "break|VBZ": "breaks", "swim|VBG": "swimming", "like|VBZ": "likes", "like|VBD": "liked",
+}
+
+
+def sentence(text):
+    rows = [t.split("/") for t in text.split()]
+    return [{"text": w, "lemma": lemma, "tag": tag, "dep": dep, "head": int(h)} for w, lemma, tag, dep, h in rows]
+
+
+CHASED = "The/the/DT/det/1 dog/dog/NN/nsubj/2 chased/chase/VBD/ROOT/2 a/a/DT/det/4 cat/cat/NN/dobj/2 ././././2"
+CASES = [
+    (CHASED, {
+        ("TENSE:PAST->PRES", "The dog chases a cat."), ("TENSE:PAST->FUT", "The dog will chase a cat."), ("ASPECT:SIMPLE->PROG", "The dog was chasing a cat."), ("ASPECT:SIMPLE->PERF", "The dog had chased a cat."),
+        ("MODALITY:+MODAL", "The dog can chase a cat."), ("NUMBER:SG->PL", "The dogs chased a cat."), ("NEG:+NOT", "The dog did not chase a cat."), ("VOICE:ACT->PASS", "A cat was chased by the dog."),
+        ("INTERROG:+YESNO", "Did the dog chase a cat?"), ("INTERROG:WH-SUBJ", "What chased a cat?"), ("INTERROG:WH-OBJ", "What did the dog chase?"), ("CLEFT:+IT", "It was the dog who chased a cat."),
+        ("MORPH:SG->PL", "The dog chased some cats."), ("FUNCSWAP:DET", "This dog chased a cat."), ("FUNCSWAP:DET", "The dog chased the cat."),
+    }),
+    ("A/a/DT/det/1 cat/cat/NN/nsubjpass/3 was/be/VBD/auxpass/3 chased/chase/VBN/ROOT/3 by/by/IN/agent/3 him/he/PRP/pobj/4 ././././3", {("VOICE:PASS->ACT", "He chased a cat."), ("MODALITY", None)}),
+    ("She/she/PRP/nsubj/2 will/will/MD/aux/2 sleep/sleep/VB/ROOT/2 ././././2", {("TENSE:FUT->PRES", "She sleeps."), ("TENSE:FUT->PAST", "She slept."), ("MODALITY:-MODAL", "She sleeps."), ("MODALITY:SWAP", "She would sleep."), ("INTERROG:+YESNO", "Will she sleep?")}),
+    ("They/they/PRP/nsubj/3 do/do/VBP/aux/3 not/not/RB/neg/3 see/see/VB/ROOT/3 any/any/DT/det/5 dogs/dog/NNS/dobj/3 ././././3", {("NEG:-NOT", "They see some dogs.")}),
+    ("All/all/DT/det/1 dogs/dog/NNS/nsubj/2 are/be/VBP/ROOT/2 very/very/RB/advmod/4 old/old/JJ/acomp/2 ././././2", {("DETQ:all->every", "Every dog is very old."), ("DEGREE:-VERY", "All dogs are old."), ("NEG:+NOT", "All dogs are not very old."), ("INTERROG:+YESNO", "Are all dogs very old?")}),
+    ("He/he/PRP/nsubj/1 saw/see/VBD/ROOT/1 him/he/PRP/dobj/1 ././././1", {("ANAPHOR:+REFL", "He saw himself."), ("VOICE:ACT->PASS", None), ("FUNCSWAP:OPRON", "He saw her."), ("FUNCSWAP:SPRON", "She saw him.")}),
+    ("A/a/DT/det/1 cat/cat/NN/nsubj/2 is/be/VBZ/ROOT/2 in/in/IN/prep/2 Rome/Rome/NNP/pobj/3 ././././2", {("EXIST:+THERE", "There is a cat in Rome."), ("PPFRONT:END->FRONT", "In Rome, a cat is."), ("NUMBER:SG->PL", "Some cats are in Rome."), ("FUNCSWAP:PREP", "A cat is on Rome.")}),
+    ("There/there/EX/expl/1 is/be/VBZ/ROOT/1 a/a/DT/det/3 cat/cat/NN/attr/1 in/in/IN/prep/1 Rome/Rome/NNP/pobj/4 ././././1", {("EXIST:-THERE", "A cat is in Rome.")}),
+    ("She/she/PRP/nsubj/1 broke/break/VBD/ROOT/1 the/the/DT/det/3 vase/vase/NN/dobj/1 ././././1", {("VALENCY:CAUS->INCH", "The vase broke.")}),
+    ("Two/two/CD/nummod/1 cats/cat/NNS/nsubj/2 saw/see/VBD/ROOT/2 three/three/CD/nummod/4 cats/cat/NNS/dobj/2 ././././2", {("ELLIPSIS:-NOUN", "Two cats saw three.")}),
+    ("He/he/PRP/nsubj/1 picked/pick/VBD/ROOT/1 up/up/RP/prt/1 the/the/DT/det/4 cat/cat/NN/dobj/1 ././././1", {("PARTICLE:JOIN->SPLIT", "He picked the cat up.")}),
+    ("He/he/PRP/nsubj/1 gave/give/VBD/ROOT/1 the/the/DT/det/3 cat/cat/NN/dobj/1 to/to/IN/dative/1 Anna/Anna/NNP/pobj/4 ././././1", {("DATIVE:PP->DO", "He gave Anna the cat.")}),
+    ("He/he/PRP/nsubj/1 gave/give/VBD/ROOT/1 Anna/Anna/NNP/dative/1 the/the/DT/det/4 cat/cat/NN/dobj/1 ././././1", {("DATIVE:DO->PP", "He gave the cat to Anna.")}),
+    ("She/she/PRP/nsubj/2 quickly/quickly/RB/advmod/2 slept/sleep/VBD/ROOT/2 ././././2", {("ADVPLACE:PRE->END", "She slept quickly.")}),
+    ("He/he/PRP/nsubj/1 likes/like/VBZ/ROOT/1 to/to/TO/aux/4 boldly/boldly/RB/advmod/4 swim/swim/VB/xcomp/1 ././././1", {("TOINF:SPLIT->POST", "He likes to swim boldly.")}),
+    ("He/he/PRP/nsubj/1 likes/like/VBZ/ROOT/1 to/to/TO/aux/3 swim/swim/VB/xcomp/1 ././././1", {("NONFIN:INF->GER", "He likes swimming.")}),
+    ("He/he/PRP/nsubj/1 knows/know/VBZ/ROOT/1 that/that/IN/mark/4 I/I/PRP/nsubj/4 sleep/sleep/VBP/ccomp/1 ././././1", {("COMPZR:-THAT", "He knows I sleep.")}),
+    ("He/he/PRP/nsubj/1 knows/know/VBZ/ROOT/1 I/I/PRP/nsubj/3 sleep/sleep/VBP/ccomp/1 ././././1", {("COMPZR:+THAT", "He knows that I sleep.")}),
+]
+
+
+def test_families(spark):
+    schema = "k int, parse array<struct<text:string,lemma:string,tag:string,dep:string,head:int>>"
+    df = spark.createDataFrame([(k, sentence(t)) for k, (t, _) in enumerate(CASES)] + [(100, []), (101, None)], schema)
+    got = {r.k: {(p.t_type, p.out_text) for p in r.p} for r in df.select("k", P.parsed_proposals(df["parse"], FORMS).alias("p")).collect()}
+    assert got[0] == CASES[0][1] and got[100] == got[101] == set()
+    for k, (_, want) in enumerate(CASES):
+        assert {w for w in want if w[1] is not None} <= got[k], (k, got[k])
+    families = {f for k in range(len(CASES)) for f in [p.family for r in df.where(f"k = {k}").select(P.parsed_proposals(df["parse"], FORMS).alias("p")).collect() for p in r.p]}
+    assert families == set(P.PARSED_FAMILIES)
+
+
+@pytest.mark.parametrize(("there", "back"), [("The dog will chase a cat.", "TENSE:FUT->PAST")])
+def test_round_trip(there, back):
+    s = "The/the/DT/det/1 dog/dog/NN/nsubj/3 will/will/MD/aux/3 chase/chase/VB/ROOT/3 a/a/DT/det/5 cat/cat/NN/dobj/3 ././././3"
+    made = P.Sentence(*([t[c] for t in sentence(s)] for c in ("text", "lemma", "tag", "dep", "head")), FORMS)
+    assert P.render(made, dict(P.tense(made))[back]) == "The dog chased a cat."

@@ -59,3 +59,44 @@ def test_compound(spark):
     assert [(x.xs, x.xe, x.ps, x.pe, x.gap) for x in r.r] == [(None, None, 3, 4, None), (0, 1, 0, 1, None), (2, 3, None, None, 2)]
     assert r.g.tags == [1, 0, 2, 3, 0, 0] and r.g.input[0] == -1 and r.g.input[2] == -2
     assert r.b.text == "uno two three four five six"
+
+
+def test_fill_modes():
+    import pytest
+
+    from pairloom.functions.specs import FillMode
+
+    assert FillMode.parse("parallel") == FillMode("parallel", 1) and FillMode.parse("cmlm8") == FillMode("cmlm", 8) and FillMode.parse("seq-conf").mode == "seq-conf"
+    for text in ("cmlm", "cmlm0", "parallel3", "other"):
+        with pytest.raises(ValueError, match="fill mode"):
+            FillMode.parse(text)
+
+
+def test_token_distance_against_a_table(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [([rng.choice(["a", "bb", "é", "日本", ""]) for _ in range(rng.randint(0, 12))], [rng.choice(["a", "bb", "é", "x"]) for _ in range(rng.randint(0, 12))]) for _ in range(200)]
+    rows += [([f"w{k}" for k in range(1500)], [f"w{k}" for k in range(3, 1503)]), (None, ["a"])]
+
+    def plain(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, line[0] = line[0], i
+            for j, y in enumerate(b, 1):
+                last, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, last + (x != y))
+        return line[-1]
+
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(rows)], "k int, a array<string>, b array<string>")
+    got = {r.k: r.d for r in df.select("k", A.token_distance(F.col("a"), F.col("b")).alias("d")).collect()}
+    assert got == {k: None if a is None else plain(a, b) for k, (a, b) in enumerate(rows)}
+
+
+def test_swapped_ids(spark):
+    from pairloom.operators import generation as G
+
+    df = spark.createDataFrame([(k, list(range(10)), list(range(5, 5 + k))) for k in range(12)], "k int, own array<int>, other array<int>")
+    for r in df.select("k", "own", "other", G.swapped_ids(F.col("own"), F.col("other"), F.col("k")).alias("s")).collect():
+        new = set(r.other) - set(r.own)
+        gone = set(r.own) - set(r.s)
+        assert len(set(r.s)) == 10 and set(r.s) - set(r.own) <= new and len(gone) == min(5, len(new))
