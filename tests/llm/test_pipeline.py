@@ -49,3 +49,39 @@ def test_stages(spark, tmp_path):
 
 def test_run_equals_stages(spark):
     assert C.run(spark, DATA).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+ODD = [(1, None), (2, ""), (3, "  \n "), (4, "Two words"), (5, "two WORDS"), (5, "another text of the same id, with words enough to differ from all"), (6, "a b c d e f 4282026678195914 g"), (6, "a b c d e f 4282026678195914 g"), (None, "no id here at all, but a text"), (7, "x " * 300_000)]
+
+
+def _odd(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t) if t is not None else None, "clash", 1.0, 2) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _contamination string, _score double, salt int")
+
+
+def test_stages_with_odd_input(spark):
+    want = {
+        "toxicity": ODD,
+        "near_duplicates": [r for r in ODD if r != (5, "two WORDS") and r[0] != 5],
+        "decontamination": ODD,
+        "pii": ODD,
+    }
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, _odd(spark, ODD), DATA)
+        assert out.columns == C.COLUMNS
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        if name == "pii":
+            assert [i for i, _ in got] == [i for i, _ in ODD] and got[6] == got[7] != ODD[6] and got[:6] == ODD[:6] and got[8:] == ODD[8:]
+        else:
+            assert sorted(map(str, got)) == sorted(map(str, want[name])), name
+    packed = C.pack_sequences(spark, _odd(spark, ODD), DATA).collect()
+    assert {r.doc_id for r in packed} == {i for i, _ in ODD} and sum(r.length for r in packed if r.doc_id in (1, 2)) == 2 and len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    _odd(spark, []).select(C.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    assert C.run(spark, str(tmp_path)).count() == 0
+    rows = _odd(spark, ODD[:4])
+    for name, stage in C.STAGES[:3]:
+        assert stage(spark, rows, str(tmp_path)).count() == 4, name
