@@ -8,7 +8,8 @@ it is applied as often as the counts allow, at one go, and removed.  A pattern
 therefore uses up at least one length (to below its need), which bounds the
 number of patterns by a multiple of the capacity.  Pieces then take places by their rank
 within (length, salt); a length has as many salts as its count asks for, so that a task
-ranks about `PER_SALT` pieces, however many there are of one length.
+ranks about `PER_SALT` pieces, or a `SALT_SHARE`-th of all, however many there are of
+one length.
 
 Defined results: a null or empty text is the end id alone; a very long one is cut,
 whole, into pieces; rows of one doc_id and repeated rows are packed each for itself;
@@ -30,8 +31,8 @@ from pyspark.sql.window import Window
 
 from .shared import BROADCAST_IDS, stash
 
-#: Pieces of one length that one task ranks.
-PER_SALT = 50_000
+#: Pieces of one length and salt that one task ranks: so many, or this share of all pieces if that is more (which bounds the salts).
+PER_SALT, SALT_SHARE = 1_000, 100_000
 #: Fixed value: the pre-tokenizer's pattern of byte-level vocabularies of this kind.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -205,6 +206,7 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, per_salt: int = PER_SALT) -
     held_pieces = stash(pieces.withColumn("own", F.monotonically_increasing_id()), "pieces")
     counts = {int(r[0]): int(r[1]) for r in held_pieces.groupBy("length").agg(F.count("*")).collect()}  # at most capacity rows
     places = plan(counts, capacity)
+    per_salt = max(per_salt, sum(counts.values()) // SALT_SHARE)
     many = {k: -(-n // per_salt) for k, n in counts.items() if n > per_salt}  # at most capacity values
     salts = F.coalesce(F.create_map(*(F.lit(x) for pair in many.items() for x in pair))[F.col("length").cast("int")], F.lit(1)) if many else F.lit(1)
     salted = held_pieces.withColumn("salt", F.pmod(F.xxhash64("own"), salts).cast("int"))
