@@ -53,8 +53,8 @@ from .components import components
 from .shared import BROADCAST_IDS, binary, stash
 from .wordhash import _STEP, mix, shingle_set
 
-#: Hash orders whose minima make the cells of step 2.
-ORDERS = 3
+#: Hash orders whose minima make the cells of step 2, and rows of one block of these.
+ORDERS, FAMILY = 3, 128
 #: Rows and shingles of one block of a cell.
 BLOCK, BLOCK_SHINGLES = 1024, 524_288
 #: A shingle that the tasks' counts show this often has its cell cut by counts.
@@ -633,7 +633,7 @@ def ngram_jaccard_join(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     # 2. trees of families
     keyed = classes.select("rep", "n", "map", F.posexplode("keys").alias("o", "key"))
     cells = keyed.groupBy("o", "key").agg(F.count("*").alias("g")).where("g > 1")
-    block = F.pmod(F.xxhash64("rep", "o"), F.ceil(F.col("g") / BLOCK))
+    block = F.pmod(F.xxhash64("rep", "o"), F.ceil(F.col("g") / FAMILY))
     dealt = keyed.join(cells, ["o", "key"]).select("o", "key", block.alias("block"), "rep", "n", "map")
     pairs = dealt.repartition("o", "key", "block").sortWithinPartitions("o", "key", "block").mapInArrow(_families(percent), "o int, key long, block long, a long, b long")
     asked = pairs.groupBy("a", "b").agg(F.min(F.struct(F.col("key").alias("component"), F.col("o").cast("long").alias("i"), F.col("block").alias("j"))).alias("u")).select("u.*", "a", "b")

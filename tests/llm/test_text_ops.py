@@ -96,7 +96,7 @@ def test_jaccard_hot_group(spark, monkeypatch, hot, families):
         for _ in range(rng.randint(0, 3)):
             t[rng.randint(0, 59)] = f"y{rng.randint(0, 999)}"
         rows.append((i, " ".join(t)))
-    for name, value in (("BLOCK", 64), ("BLOCK_SHINGLES", 64 * 40), ("HOT_CELL", hot)):
+    for name, value in (("BLOCK", 64), ("FAMILY", 64), ("BLOCK_SHINGLES", 64 * 40), ("HOT_CELL", hot)):
         monkeypatch.setattr(J, name, value)
     if not families:
         empty = pa.schema([("o", pa.int32()), ("key", pa.int64()), ("block", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
