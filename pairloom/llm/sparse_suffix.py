@@ -38,7 +38,7 @@ from .shared import BROADCAST_IDS, binary, keep_ids, stash
 from .wordhash import SPACE_WORDS, gram_hashes, word_hashes
 
 #: Rows of suffixes with equal first words that one task compares.
-HOT = 4_000
+HOT = 2_000
 #: Groups up to this size compare all pairs where neighbours do not settle a suffix.
 SMALL = 12
 #: Bits of a place within a cut of a text, and windows of a cut.
@@ -260,6 +260,9 @@ def repeated_passages(docs: DataFrame, *, text: str = "text", doc_id: str = "doc
         value = F.expr(f"sha2(concat_ws('|', key, back, substring_index(concat(left, ' '), ' ', back), substring_index(concat(right, ' '), ' ', {int(least)} - back)), 256)")
         windows = exploded.select(value.alias("value"), "doc_id", "places", "back")
         several = windows.groupBy("value").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("value")
+        # written first: a shuffled join of two plain sides is one that adaptive execution can split where a window is hot
+        several = stash(several, "several")
+        several = F.broadcast(several) if several.count() <= BROADCAST_IDS else several
         spans = spans.union(windows.join(several, "value", "left_semi").select("doc_id", "places", "back").mapInArrow(_spans(least), "doc_id long, start int, end int"))
 
     spans = stash(spans.distinct(), "spans")
