@@ -464,6 +464,47 @@ def test_licences(spark):
     assert [x.licence for x in by[3, "Apache-2.0"].licences] == ["Apache-2.0", "CC-BY-NC-4.0"] and by[2, "GPL-3.0"].score == 1.0
 
 
+def test_licences_odd_input(spark):
+    schema = "doc_id long, text string, licences string, hits int"
+    assert L.scan_licences(spark.createDataFrame([], schema)).count() == 0
+    notice = "Released under the MIT License."
+    rows = [(1, None), (1, notice), (1, notice), (None, notice), (2, " \n\n "), (3, "x" * 1_000_000), (4, f"{'word ' * 200_000}\n{notice}\n{'line ' * 9}\n" * 2), (5, "* - *")]
+    got = L.scan_licences(spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], schema)).collect()
+    assert [(r.doc_id, r.licence) for r in got] == [(1, None), (1, "MIT"), (1, "MIT"), (None, "MIT"), (2, None), (3, None), (4, "MIT"), (5, None)]
+
+
+def _plain_licence(text):
+    """By every passage and every template."""
+    words = lambda t: re.findall(r"[^\W\d_]+|\d+(?:\.\d+)*", t.lower())
+    grams = lambda w: {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)} or set(w)
+    best = {}
+    for passage in {*re.split(r"\n", text), *re.split(r"\n{2,}", text), text}:
+        a = grams(words(passage))
+        scored = [(-2 * len(a & b) / (len(a) + len(b)), name) for name, texts in L.TEMPLATES.items() for b in [grams(words(t)) for t in texts] if a and 2 * len(a & b) >= 0.8 * (len(a) + len(b)) - 1e-12]
+        if scored:
+            score, name = min(scored)
+            best[name] = max(best.get(name, 0), -score)
+    free = {n: x for n, x in best.items() if L.WITHIN.get(n) not in best}
+    return (sorted(best), min(((-x, n) for n, x in free.items()), default=(None, None))[1])
+
+
+def test_licences_against_brute_force(spark):
+    rng = random.Random(12)
+    notices = [t for texts in L.NOTICES.values() for t in texts if len(t.split()) < 60]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            w = rng.choice(notices).split()
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = rng.choice(["thing", "the", "2.0", ""])
+            parts.append(rng.choice(["", "Some prose.\n", "\n\n"]) + " ".join(w))
+        texts.append(rng.choice(["\n", "\n\n", " "]).join(parts))
+    got = L.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    want = [_plain_licence(t) for t in texts]
+    assert [([x.licence for x in r.licences], r.licence) for r in got] == want and sum(bool(n) for n, _ in want) > 20
+
+
 def test_licences_of_long_passages(spark):
     notice = "Released under the MIT License."
     rows = [(1, " ".join([notice] * 30)), (2, "* " * 200 + notice + " - - -" * 200), (3, " ".join(f"w{k}" for k in range(20_000)))]
