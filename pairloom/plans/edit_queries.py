@@ -160,7 +160,18 @@ def e30_partial_application(spark, d):
     return p.select("conv_id", "turn", F.size(A.partial_application(F.col("ops"), F.col("a"), F.col("b"), F.col("fire"))).alias("n"))
 
 
-@query("e31_token_distance")
+# One row of the edit table for each source word: what deletion and substitution give, then insertions as a minimum over the cells before.
+DISTANCE = f"""WITH RECURSIVE pairs AS (SELECT conv_id, turn, src, tgt FROM {B.SQL_TURNS}),
+filled AS (
+  SELECT conv_id, turn, src, tgt, 0 AS i, range(len(tgt) + 1) AS cells FROM pairs
+  UNION ALL
+  SELECT conv_id, turn, src, tgt, i + 1, list_transform(step, lambda c, j: list_min(list_transform(step[:j], lambda x, k: x + j - k)))
+  FROM (SELECT *, [i + 1] || list_transform(range(1, len(tgt) + 1), lambda j: least(cells[j + 1] + 1, cells[j] + CAST(src[i + 1] <> tgt[j] AS BIGINT))) AS step FROM filled WHERE i < len(src))
+)
+SELECT conv_id, turn, CAST(cells[-1] AS INTEGER) AS distance FROM filled WHERE i = len(src)"""
+
+
+@query("e31_token_distance", DISTANCE)
 def e31_token_distance(spark, d):
     return B.turn_pairs(spark, d).select("conv_id", "turn", A.token_distance("src", "tgt").alias("distance"))
 
