@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import text as T
 from pairloom.functions import vectors as V
+from pairloom.functions.hashing import sql_lcg, sql_uniform
 from pairloom.operators import evaluation as E
 from pairloom.operators import features as X
 from pairloom.operators import relational as J
@@ -356,7 +357,14 @@ def w13_v20_weighted_pooling(spark, d):
     return B.activations(spark, d).groupBy("row").agg(F.round(F.sum(F.col("v") * (F.col("f") + 1)) / F.sum(F.col("f") + 1), 6).alias("weighted"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.max_by("v", "f"), 6).alias("last"))
 
 
-@query("v7_v8_v21_sampled_control")
+SAMPLED = f"""WITH top AS (SELECT * FROM {A} WHERE v > 0 QUALIFY row_number() OVER (PARTITION BY row ORDER BY v DESC, f) <= 32),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY {sql_lcg('row * 64 + f', 6)}, f) AS o FROM top),
+kept AS (SELECT * FROM drawn WHERE o <= least(floor(exp({sql_uniform('row', 5)} * ln(33.0))), 32)),
+control AS (SELECT vec_id AS row, i, row_number() OVER (PARTITION BY vec_id ORDER BY {sql_lcg('vec_id * 64 + i', 8)}, i) AS o FROM embeddings, (SELECT unnest(range(64)) AS i))
+SELECT k.row, k.f, round(k.v, 6) AS v, CAST(c.i AS INTEGER) AS control_f FROM kept k JOIN control c ON c.row = k.row AND c.o = k.o"""
+
+
+@query("v7_v8_v21_sampled_control", SAMPLED)
 def v7_v8_v21_sampled_control(spark, d):
     """Training sub-sample of each vector (k by a log-uniform draw) and a control of the same magnitudes on random ids."""
     from pyspark.sql.window import Window

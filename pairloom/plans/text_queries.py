@@ -335,7 +335,18 @@ def h1_h3_draws(spark, d):
     return B.documents(spark, d).select("doc_id", lcg(k, 9).alias("draw"), F.round(uniform(k, 9), 9).alias("u"), (uniform(k, 9) < 0.5).alias("coin"))
 
 
-@query("h1_crc")
+# The checksum bit by bit: each byte enters the remainder, then eight shifts by the reflected polynomial 0xEDB88320.
+CHECKSUM = """WITH RECURSIVE keys AS (SELECT DISTINCT lang, source, hex(encode(concat_ws('|', lang, source))) AS bytes FROM documents),
+bits AS (
+  SELECT lang, source, bytes, 0 AS i, CAST(4294967295 AS BIGINT) AS crc FROM keys
+  UNION ALL
+  SELECT lang, source, bytes, i + 1, CASE WHEN mixed % 2 = 1 THEN xor(mixed >> 1, CAST(3988292384 AS BIGINT)) ELSE mixed >> 1 END
+  FROM (SELECT *, CASE WHEN i % 8 = 0 THEN xor(crc, CAST('0x' || substr(bytes, i // 4 + 1, 2) AS BIGINT)) ELSE crc END AS mixed FROM bits WHERE i < 4 * length(bytes))
+)
+SELECT d.doc_id, xor(b.crc, CAST(4294967295 AS BIGINT)) AS crc FROM documents d JOIN bits b ON b.lang IS NOT DISTINCT FROM d.lang AND b.source IS NOT DISTINCT FROM d.source AND b.i = 4 * length(b.bytes)"""
+
+
+@query("h1_crc", CHECKSUM)
 def h1_crc(spark, d):
     return B.documents(spark, d).select("doc_id", crc_of(F.col("lang"), F.col("source")).alias("crc"))
 
