@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.functions.hashing import lcg
+from pairloom.functions.hashing import uniform
 from pairloom.operators.blocked import every_pair, unit
 
 
@@ -160,15 +160,33 @@ def generic_features(entries: DataFrame, sizes: DataFrame, *, effect: float, rel
     return out.where((F.col("groups") >= least) & (F.col("same") >= consistent * F.col("groups"))).select("f", "groups", (F.col("same") / F.col("groups")).alias("consistency"))
 
 
-def split_half_stability(entries: DataFrame, sizes: DataFrame, repeats: int, r: int, group: str = "grp") -> DataFrame:
-    """(grp, repeat, overlap): share of the r best features by PS that both halves of a hashed split pick."""
-    each = entries.where("positive").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    each = each.withColumn("half", F.pmod(lcg(F.col("row") + F.col("repeat") * 104729), F.lit(2)))
-    counts = each.groupBy(group, "repeat", "half", "f").agg(F.count_distinct("row").alias("c"))
-    order = Window.partitionBy(group, "repeat", "half").orderBy(F.desc("c"), "f")
-    top = counts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= r)
-    both = top.groupBy(group, "repeat", "f").agg(F.count_distinct("half").alias("h"))
-    return both.groupBy(group, "repeat").agg((F.count_if(F.col("h") == 2) / F.lit(float(r))).alias("overlap"))
+def split_half_stability(entries: DataFrame, members: DataFrame, repeats: int, r: int, group: str = "grp", *, least: int = 8) -> DataFrame:
+    """(grp, repeat, in_sample, out_of_sample, overlap) of the r best features by FRC on the first half of a hashed split.
+
+    in_sample is their mean FRC on that half, out_of_sample on the other (0 for a feature that no
+    positive row there has), overlap the share of r that is among the r best of both. Ties go to the smaller id.
+    entries (grp, f, row, positive), members (grp, row, positive): every row, with or without entries;
+    groups of fewer than `least` positive rows are left out. A half without negative rows has PN 1.
+    """
+
+    def split(df: DataFrame) -> DataFrame:
+        each = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+        # the high bit: the low one of a congruence only alternates
+        half = F.when(uniform(F.col("row") * (2 * F.col("repeat") + 1)) < 0.5, 0).otherwise(1)
+        return each.withColumn("part", F.struct(F.col(group).alias("g"), F.col("repeat").alias("repeat"), half.alias("half")))
+
+    enough = members.groupBy(group).agg(F.count_if("positive").alias("n")).where(F.col("n") >= least).select(group)
+    sizes = split(members.join(enough, group)).groupBy("part").agg(F.count_if("positive").alias("n_pos"), F.greatest(F.count_if(~F.col("positive")), F.lit(1)).alias("n_neg"))
+    scores = sufficiency(split(entries), sizes, "part").withColumn("score", F.round("frc", 9))
+    order = Window.partitionBy("part").orderBy(F.desc("score"), "f")
+    placed = scores.withColumn("rank", F.row_number().over(order)).select("part.*", "f", "frc", "rank")
+    of = lambda half, name: F.max(F.when(F.col("half") == half, F.col(name)))
+    both = placed.groupBy("g", "repeat", "f").agg(of(0, "rank").alias("here"), of(0, "frc").alias("inside"), of(1, "rank").alias("there"), of(1, "frc").alias("outside"))
+    return (
+        both.where(F.col("here") <= r)
+        .groupBy(F.col("g").alias(group), "repeat")
+        .agg(F.avg("inside").alias("in_sample"), F.avg(F.coalesce("outside", F.lit(0.0))).alias("out_of_sample"), (F.count_if(F.col("there") <= r) / F.lit(float(r))).alias("overlap"))
+    )
 
 
 def blocked_mass(entries: DataFrame, blocked: DataFrame, row: str = "row", k: int = 8) -> DataFrame:

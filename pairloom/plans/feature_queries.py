@@ -280,9 +280,22 @@ def st10_generic_features(spark, d):
     return out.select("f", "groups", F.round("consistency", 6).alias("consistency"))
 
 
-@query("st7_split_half_stability")
+STABILITY = f"""WITH m AS (SELECT g.label AS grp, e.vec_id AS row, e.label = g.label AS positive FROM embeddings e, (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= 8) g),
+h AS (SELECT *, CASE WHEN {sql_uniform('row * (2 * repeat + 1)')} < 0.5 THEN 0 ELSE 1 END AS half FROM m, (SELECT unnest(range(20)) AS repeat)),
+n AS (SELECT grp, repeat, half, count(*) FILTER (WHERE positive) AS n_pos, greatest(count(*) FILTER (WHERE NOT positive), 1) AS n_neg FROM h GROUP BY ALL),
+c AS (SELECT h.grp, repeat, half, a.f, count(*) FILTER (WHERE positive) AS pos, count(*) FILTER (WHERE NOT positive) AS neg FROM h JOIN {A} a USING (row) GROUP BY ALL HAVING pos > 0),
+s AS (SELECT grp, repeat, half, f, pos / n_pos AS ps, 1 - neg / n_neg AS pn, CASE WHEN ps + pn > 0 THEN 2 * ps * pn / (ps + pn) ELSE 0 END AS frc FROM c JOIN n USING (grp, repeat, half)),
+k AS (SELECT *, row_number() OVER (PARTITION BY grp, repeat, half ORDER BY round(frc, 9) DESC, f) AS rank FROM s),
+t AS (SELECT x.grp, x.repeat, avg(x.frc) AS i, avg(coalesce(y.frc, 0)) AS o, count(*) FILTER (WHERE y.rank <= 10) / 10 AS v FROM (FROM k WHERE half = 0 AND rank <= 10) x LEFT JOIN (FROM k WHERE half = 1) y USING (grp, repeat, f) GROUP BY ALL)
+SELECT grp, count(*) AS repeats, round(avg(i), 6) AS in_sample, round(avg(o), 6) AS out_of_sample, round(avg(v), 6) AS overlap FROM t GROUP BY grp"""
+
+
+@query("st7_split_half_stability", STABILITY)
 def st7_split_half_stability(spark, d):
-    return X.split_half_stability(_one_vs_rest(spark, d), B.sizes(spark, d), 20, 10)
+    e = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("row"), "label")
+    members = e.withColumn("grp", F.explode(F.array(*map(F.lit, range(10))))).select("grp", "row", (F.col("label") == F.col("grp")).alias("positive"))
+    each = X.split_half_stability(_one_vs_rest(spark, d), members, 20, 10).groupBy("grp")
+    return each.agg(F.count("*").alias("repeats"), *(F.round(F.avg(c), 6).alias(c) for c in ("in_sample", "out_of_sample", "overlap")))
 
 
 @query("c18_blocked_mass", f"SELECT row, round(sum(CASE WHEN f % 5 = 0 THEN abs(v) ELSE 0 END) / sum(abs(v)), 6) AS blocked_mass FROM (SELECT * FROM {A} QUALIFY row_number() OVER (PARTITION BY row ORDER BY abs(v) DESC, f) <= 8) GROUP BY row")

@@ -98,3 +98,38 @@ def test_rewrites_round_trip(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
     found = G.proposals(df, "text")
     assert {r.family for r in G.round_trips(found, "k", "text").collect()} == {"TOUGH", "INVERSION", "QUOTINV", "CONTRACT", "SPLITJOIN"}
+
+
+def test_split_half_stability_against_a_plain_version(spark):
+    from pairloom.operators.features import split_half_stability
+
+    def half(key):
+        x = key % 2**31
+        for _ in range(2):
+            x = (x * 1103515245 + 12345) % 2**31
+        return 0 if x / 2**31 < 0.5 else 1
+
+    # group "few" has too few positive rows; rows 40 to 44 have no entry
+    members = [(g, row, row % 3 == 0 if g == "big" else row < 5) for g in ("big", "few") for row in range(45)]
+    entries = [(g, f, row, positive) for g, row, positive in members for f in range(6) if row < 40 and (row * 7 + f * f) % (f + 2) == 0]
+    repeats, r = 3, 2
+
+    def scores(repeat, side):
+        part = [(row, positive) for g, row, positive in members if g == "big" and half(row * (2 * repeat + 1)) == side]
+        n_pos, n_neg = sum(p for _, p in part), max(1, sum(not p for _, p in part))
+        out = {}
+        for f in range(6):
+            rows = {row: positive for g, x, row, positive in entries if g == "big" and x == f}
+            pos, neg = sum(rows.get(row) is True for row, _ in part), sum(rows.get(row) is False for row, _ in part)
+            ps, pn = (pos / n_pos if n_pos else 0), 1 - neg / n_neg
+            if pos:
+                out[f] = 2 * ps * pn / (ps + pn) if ps + pn else 0.0
+        return out, sorted(out, key=lambda f: (-round(out[f], 9), f))[:r]
+
+    expected = {}
+    for repeat in range(repeats):
+        (here, top), (there, other) = scores(repeat, 0), scores(repeat, 1)
+        expected[repeat] = (sum(here[f] for f in top) / len(top), sum(there.get(f, 0.0) for f in top) / len(top), len(set(top) & set(other)) / r)
+    out = split_half_stability(spark.createDataFrame(entries, "grp string, f int, row long, positive boolean"), spark.createDataFrame(members, "grp string, row long, positive boolean"), repeats, r).collect()
+    assert {x["grp"] for x in out} == {"big"}
+    assert {x["repeat"]: tuple(round(x[c], 9) for c in ("in_sample", "out_of_sample", "overlap")) for x in out} == {k: tuple(round(x, 9) for x in v) for k, v in expected.items()}
