@@ -101,8 +101,8 @@ class Words:
         return " ".join(self.data[self.start[k] : self.end[k]].tobytes().decode() for k in range(at, at + n))
 
 
-def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words]]:
-    """Words of about `BATCH_BYTES` of text of one language."""
+def _by_language(batches: Iterator[pa.RecordBatch], batch_bytes: int) -> Iterator[tuple[str, Words]]:
+    """Words of about `batch_bytes` of text of one language."""
     held: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
     total = 0
@@ -111,10 +111,10 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words
             held.setdefault(lang, []).append(text)
             sizes[lang] = sizes.get(lang, 0) + len(text) + 1
             total += len(text) + 1
-            if sizes[lang] >= BATCH_BYTES:
+            if sizes[lang] >= batch_bytes:
                 yield lang, Words(held.pop(lang))
                 total -= sizes.pop(lang)
-            elif total >= 4 * BATCH_BYTES or len(held) > 1_000:  # many languages
+            elif total >= 4 * batch_bytes or len(held) > 1_000:  # many languages
                 for name in list(held):
                     yield name, Words(held.pop(name))
                 sizes.clear()
@@ -129,7 +129,7 @@ def cells_of(lang: str, hashes: np.ndarray, row: int, width: int) -> np.ndarray:
     return (mix(hashes ^ salt) & np.uint64(width - 1)).astype(np.int64)
 
 
-def _sketched(width: int, longest: int):
+def _sketched(width: int, longest: int, batch_bytes: int):
     """Blocks of the sketch: (row, block, bits of the cells, places and further counts); and (-1, 0, language, words)."""
     schema = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("bits", pa.binary()), ("places", pa.binary()), ("more", pa.binary()), ("lang", pa.string()), ("words", pa.int64())])
     block = min(BLOCK, width)
@@ -153,7 +153,7 @@ def _sketched(width: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
         size = 0
-        for lang, words in _by_language(batches):
+        for lang, words in _by_language(batches, batch_bytes):
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((-1, 0, b"", b"", b"", lang, len(words)), schema.types, strict=True)], schema=schema)
             hashes = np.concatenate([words.grams(n)[1] for n in range(2, longest + 1)])
             for row in range(ROWS):
@@ -202,7 +202,7 @@ def sketch_bits(texts: DataFrame, width: int, least: int, longest: int) -> tuple
     if least > 255:
         least = 255  # counts of one batch are cut there: a lower bar lets more through, never less
     ddl = "row int, block int, bits binary, places binary, more binary, lang string, words long"
-    found = stash(texts.mapInArrow(_sketched(width, longest), ddl), "sketch")
+    found = stash(texts.mapInArrow(_sketched(width, longest, BATCH_BYTES), ddl), "sketch")
     parts = max(1, min(ROWS * width // BLOCK, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     dealt = found.where("row >= 0").select("row", "block", "bits", "places", "more").repartition(parts, "row", "block").sortWithinPartitions("row", "block")
     bits = np.zeros((ROWS, width // 8), np.uint8)
@@ -224,7 +224,7 @@ def _passes(bits: np.ndarray, lang: str, hashes: np.ndarray, width: int) -> np.n
 WORD, PHRASE, STRETCH = 0, 1, 2
 
 
-def _found(held, width: int, longest: int, buckets: int):
+def _found(held, width: int, longest: int, buckets: int, batch_bytes: int):
     """(kind, lang, bucket, text, n): words with counts, phrases that may be frequent, and the stretches that hold them."""
     schema = pa.schema([("kind", pa.int32()), ("lang", pa.string()), ("bucket", pa.int32()), ("text", pa.string()), ("n", pa.int64())])
 
@@ -234,7 +234,7 @@ def _found(held, width: int, longest: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
-        for lang, words in _by_language(batches):
+        for lang, words in _by_language(batches, batch_bytes):
             if not len(words):
                 continue
             _, first, counts = np.unique(words.hash, return_index=True, return_counts=True)
@@ -281,13 +281,13 @@ def compile_automaton(phrases: list[str]):
     return automaton
 
 
-def _scanned():
+def _scanned(most_patterns: int, unit_bytes: int):
     """(lang, phrase, n) from rows (unit, lang, text), each unit's phrases (lang null) before its stretches."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def counted(phrases: list[str], texts: dict[str, list[str]]) -> Iterator[pa.RecordBatch]:
-        for cut in range(0, len(phrases), PATTERNS):
-            own = phrases[cut : cut + PATTERNS]
+        for cut in range(0, len(phrases), most_patterns):
+            own = phrases[cut : cut + most_patterns]
             automaton = compile_automaton(own)
             for lang, parts in texts.items():
                 n = np.zeros(len(own), np.int64)
@@ -311,7 +311,7 @@ def _scanned():
                     continue
                 texts.setdefault(lang, []).append(text)
                 size += len(text)
-                if size >= 2 * UNIT_BYTES:  # bounds memory, whatever the salts did
+                if size >= 2 * unit_bytes:  # bounds memory, whatever the salts did
                     yield from counted(phrases, texts)
                     texts, size = {}, 0
         if texts:
@@ -330,11 +330,10 @@ def phrase_counts(texts: DataFrame, *, least: int = 10, longest: int = 3) -> tup
     hot = min(sum(int(np.unpackbits(row[k : k + (1 << 20)]).sum()) for k in range(0, width // 8, 1 << 20)) for row in bits)
     buckets = max(1, -(-hot // PATTERNS))
     held = spark.sparkContext.broadcast(bits)
-    found = stash(texts.mapInArrow(_found(held, width, longest, buckets), "kind int, lang string, bucket int, text string, n long"), "phrases")
+    found = stash(texts.mapInArrow(_found(held, width, longest, buckets, BATCH_BYTES), "kind int, lang string, bucket int, text string, n long"), "phrases")
     patterns = stash(found.where(F.col("kind") == PHRASE).select("bucket", "text").distinct(), "patterns")
     # collected: a row for each bucket, of which there is one for each `PATTERNS` cells of the sketch
     volume = {r["bucket"]: r["v"] for r in found.where(F.col("kind") == STRETCH).groupBy("bucket").agg(F.sum("n").alias("v")).collect()}
-    salts = {b: max(1, -(-v // UNIT_BYTES)) for b, v in volume.items()}
     words_by_lang = words.groupBy("lang").agg(F.sum("words").alias("n"))
     single = stash(found.where(F.col("kind") == WORD).groupBy("lang", F.col("text").alias("phrase")).agg(F.sum("n").alias("n")), "words")
     units, table = 0, []
@@ -348,7 +347,7 @@ def phrase_counts(texts: DataFrame, *, least: int = 10, longest: int = 3) -> tup
     each = F.explode(F.sequence("first", F.col("first") + F.col("salts") - 1)).alias("unit")
     known = patterns.join(at, "bucket").select(each, F.lit(None).cast("string").alias("lang"), "text")
     dealt = known.unionByName(lines).repartition(max(1, units), "unit").sortWithinPartitions("unit", F.col("lang").asc_nulls_first())
-    counts = dealt.mapInArrow(_scanned(), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    counts = dealt.mapInArrow(_scanned(PATTERNS, UNIT_BYTES), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     return stash(counts.where(F.col("n") >= least), "frequent"), single, words_by_lang
 
 
