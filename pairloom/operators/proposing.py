@@ -103,3 +103,42 @@ def propose_insertion(words: Column, claimed: Column, ranked: Column, key: Colum
 
     both = F.struct(free.alias("free"), ranked.alias("ranked"))
     return _let(both, lambda b: F.when(F.size(b["free"]) > 0, _tries(lambda k: attempt(k, b["free"], b["ranked"]), key, tries)))
+
+
+#: Reasons for which a compound draw is given up.
+TOO_SHORT, UNSUITABLE = "too_short_sentence", "ops_unsuitable"
+
+
+def claimed_places(op: Column) -> Column:
+    """Places that an operation takes from later ones: its words, and the word behind words that are taken out."""
+    last = F.when(op["kind"] == "ins", op["end"]).otherwise(op["start"])
+    return F.sequence(op["start"], last)
+
+
+def compound_draw(words: Column, types: Column, candidates: Column, high: Column, ranked: Column, key: Column, *, least_words: int = 3, top: int = 10) -> Column:
+    """struct(ops, reason): operations of the given types (REPL, INS, DEL) drawn one after the other, each kept off the places of the earlier.
+
+    A fold over the types with the places claimed so far as its state; the draws of the i-th operation are keyed by 8 * key + i.
+    With the first operation that finds no place the draw is given up: no operations, and a reason (null otherwise).
+    """
+    nothing = F.array().cast("array<struct<kind:string,start:int,end:int,payload:string>>")
+
+    def step(state: Column, item: Column) -> Column:
+        own, claimed = key * 8 + item["i"], state["claimed"]
+        proposed = (
+            F.when(item["type"] == "REPL", propose_replacement(words, claimed, candidates, own, top=top))
+            .when(item["type"] == "INS", propose_gap(words, claimed, high, own))
+            .otherwise(propose_insertion(words, claimed, ranked, own, top=top))
+        )
+
+        def taken(op: Column) -> Column:
+            return F.when(op.isNull(), F.struct(state["ops"].alias("ops"), claimed.alias("claimed"), F.lit(UNSUITABLE).alias("reason"))).otherwise(
+                F.struct(F.concat(state["ops"], F.array(op)).alias("ops"), F.concat(claimed, claimed_places(op)).alias("claimed"), F.lit(None).cast("string").alias("reason"))
+            )
+
+        return F.when(state["reason"].isNotNull(), state).otherwise(_let(proposed, taken))
+
+    short = F.when(F.size(words) < least_words, TOO_SHORT)
+    begin = F.struct(nothing.alias("ops"), F.array().cast("array<int>").alias("claimed"), short.alias("reason"))
+    items = F.transform(types, lambda t, i: F.struct(t.alias("type"), i.alias("i")))
+    return F.aggregate(items, begin, step, lambda s: F.struct(F.when(s["reason"].isNull(), s["ops"]).otherwise(nothing).alias("ops"), s["reason"].alias("reason")))
