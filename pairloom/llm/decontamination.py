@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binary, stash
+from .shared import binary, fresh, stash
 from .wordhash import _STEP, ALNUM_WORDS, hash_spans, mix, spans
 
 #: Benchmark windows that are searched for at once (some 400 bytes each in a task).
@@ -45,7 +45,7 @@ def words_of(text: bytes | None) -> tuple[bytes, np.ndarray, np.ndarray]:
 class WuManber:
     """Patterns of one length: tuples of words (bytes) and the items that each stands for."""
 
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], list[int]]):
+    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], set[int]]):
         self.length, self.block = length, min(2, length)
         self.patterns = list(patterns.items())
         text = b" ".join(b" ".join(p) for p, _ in self.patterns)
@@ -88,7 +88,7 @@ class WuManber:
 
 def _parts(benchmark: DataFrame, window: int) -> Iterator[list[WuManber]]:
     """Searchers for the benchmark, in parts of bounded size; at least one."""
-    found: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
+    found: dict[int, dict[tuple[bytes, ...], set[int]]] = {}
     size = 0
     for item, text in benchmark.toLocalIterator():
         data, start, end = words_of(bytes(text) if text is not None else None)
@@ -98,9 +98,9 @@ def _parts(benchmark: DataFrame, window: int) -> Iterator[list[WuManber]]:
                 yield [WuManber(n, p) for n, p in sorted(found.items())]
                 found, size = {}, 0
             words = tuple(data[a:b] for a, b in zip(start[k : k + length].tolist(), end[k : k + length].tolist(), strict=True))
-            owners = found.setdefault(length, {}).setdefault(words, [])
+            owners = found.setdefault(length, {}).setdefault(words, set())
             if item not in owners:
-                owners.append(item)
+                owners.add(item)
                 size += 1
     yield [WuManber(n, p) for n, p in sorted(found.items())]
 
@@ -152,4 +152,5 @@ def hit_count(found: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """`docs` without the documents that hold a benchmark window; its columns stay."""
-    return benchmark_hits(docs, benchmark, into="_contamination", **options).where(F.size("_contamination.items") == 0).drop("_contamination")
+    (into,) = fresh(docs, "_contamination")
+    return benchmark_hits(docs, benchmark, into=into, **options).where(F.size(F.col(into)["items"]) == 0).drop(into)

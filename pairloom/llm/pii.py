@@ -42,9 +42,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 ROUNDS = 10
 
-_EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,24}(?![A-Za-z])"
+_EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,24}(?![A-Za-z])"
 _IBAN = r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)"
 #: Countries by the length of their IBANs; in groups of four the end is not seen otherwise.
 _IBAN_LENGTHS = {
@@ -303,14 +305,15 @@ def pseudonymise(docs: DataFrame, *, text: str = "text", key: str | None = None,
     """
     key = key or session_key(docs.sparkSession)
     body = F.col(text).cast("string")
+    held, pattern = fresh(docs.withColumn(into, F.lit(None)), "_found", "_pattern")
     # only those that validate, so that what else stands in such groups is found as before
     grouped = F.when(body.rlike(r"[A-Z]{2}[0-9]{2} [A-Z0-9]{4} "), F.filter(F.regexp_extract_all(body, F.lit(_GROUPED_IBAN), F.lit(1)), _is_iban))
-    docs = docs.withColumn("_pattern", F.when(F.size(grouped) > 0, F.concat(F.lit(r"(?<!\w)(?:"), F.array_join(grouped, "|"), F.lit(rf")(?!\w)|{FOUND}"))).otherwise(F.lit(FOUND)))
-    matches = F.when(body.rlike("[0-9@]"), F.regexp_extract_all(body, F.col("_pattern"), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    judged = F.transform("_found", lambda m: F.struct(m.alias("match"), finding(m).alias("kind")))
-    made = F.transform("_found", lambda f: F.struct(f["kind"].alias("kind"), _pseudonym(key, f["match"], f["kind"], invert).alias("pseudonym")))
-    gaps = F.split(body, F.col("_pattern"), -1)
-    new = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size("_found")), "_found", lambda g, f: F.concat(g, f["pseudonym"])), ""), F.element_at(gaps, -1))
-    out = docs.withColumn("_found", F.coalesce(matches, F.array().cast("array<string>"))).withColumn("_found", judged).withColumn("_found", made)
-    out = out.withColumn(text, F.when(F.exists("_found", lambda f: f["kind"].isNotNull()), new).otherwise(body))
-    return out.withColumn(into, F.filter("_found", lambda f: f["kind"].isNotNull())).drop("_found", "_pattern")
+    docs = docs.withColumn(pattern, F.when(F.size(grouped) > 0, F.concat(F.lit(r"(?<!\w)(?:"), F.array_join(grouped, "|"), F.lit(rf")(?!\w)|{FOUND}"))).otherwise(F.lit(FOUND)))
+    matches = F.when(body.rlike("[0-9@]"), F.regexp_extract_all(body, F.col(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    judged = F.transform(held, lambda m: F.struct(m.alias("match"), finding(m).alias("kind")))
+    made = F.transform(held, lambda f: F.struct(f["kind"].alias("kind"), _pseudonym(key, f["match"], f["kind"], invert).alias("pseudonym")))
+    gaps = F.split(body, F.col(pattern), -1)
+    new = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(held)), held, lambda g, f: F.concat(g, f["pseudonym"])), ""), F.element_at(gaps, -1))
+    out = docs.withColumn(held, F.coalesce(matches, F.array().cast("array<string>"))).withColumn(held, judged).withColumn(held, made)
+    out = out.withColumn(text, F.when(F.exists(held, lambda f: f["kind"].isNotNull()), new).otherwise(body))
+    return out.withColumn(into, F.filter(held, lambda f: f["kind"].isNotNull())).drop(held, pattern)

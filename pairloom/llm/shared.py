@@ -45,3 +45,15 @@ def keep_ids(df: DataFrame, on: str, ids: DataFrame, count: int) -> DataFrame:
 def binary(name: str) -> Column:
     """The UTF-8 bytes of a text column."""
     return F.col(name).cast("string").cast("binary")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of `df` has it (letter case aside)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

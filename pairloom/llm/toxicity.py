@@ -17,7 +17,8 @@ training rows: crc32(doc_id as text) mod `folds` is not 0.
 Defined results: null and empty texts have no words and get the score of an empty
 text; texts of any length are pooled whole; without labelled rows of both labels every
 score is 0; several labels of a document count as toxic when one of them does; rows of
-one labelled doc_id are texts of their own with its label; repeated rows each come out
+one labelled doc_id are texts of their own with its label (within the sample's bounds, which are on
+rows and bytes); repeated rows each come out
 with equal scores; of equally good thresholds the middle one holds; an empty table
 gives no rows.
 """
@@ -29,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window
 
 from .shared import binary
 from .wordhash import ALNUM_WORDS, hash_spans, mix, spans
 
 #: Documented bounds of the labelled sample (texts).
 TRAIN_PER_LABEL, CALIBRATE, CALIBRATE_SHARE = 2500, 3000, 4
+#: Documented bound of the bytes of each of the three samples; texts of a sixteenth of it and more are not learnt from.
+SAMPLE_BYTES = 64 << 20
 BUCKETS, DIMS, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 6
 #: Leading bytes of a word that are hashed besides the whole.
 PREFIXES = (4, 5)
@@ -180,26 +184,25 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     """Fit on labelled rows outside fold 0."""
     marked = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     marked = marked.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0).withColumn("order", F.xxhash64("doc_id", F.lit(1)))
-    pick = lambda df, n: df.orderBy("order", "doc_id").limit(n)
     kept = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(CALIBRATE_SHARE)) == 0
-    to_fit = marked.where(~kept)
-    fitted = pick(to_fit.where("y = 1"), TRAIN_PER_LABEL).union(pick(to_fit.where("y = 0"), TRAIN_PER_LABEL)).select("doc_id", "y", F.lit(True).alias("fit"))
-    chosen = fitted.union(pick(marked.where(kept), CALIBRATE).select("doc_id", "y", F.lit(False)))
-    # at most 2 * TRAIN_PER_LABEL + CALIBRATE ids
-    rows = docs.select(F.col(doc_id).alias("doc_id"), binary(text).alias("text")).join(F.broadcast(chosen), "doc_id").orderBy("fit", "doc_id")
-    fit_x, fit_y, check_x, check_y = [], [], [], []
-    for _, data, y, fit in rows.select("doc_id", "text", "y", "fit").toLocalIterator():
-        ids, language = features(bytes(data) if data is not None else None)
-        if fit:
-            fit_x.append(ids)
-            fit_y.append(y)
-        else:
-            check_x.append((ids, language))
-            check_y.append(y)
-    model, y = Cnn(), np.array(fit_y, np.float32)
+    named = marked.withColumn("sample", F.when(kept, 2).otherwise(F.col("y")))
+    most = (TRAIN_PER_LABEL, TRAIN_PER_LABEL, CALIBRATE)  # of label 0, of label 1, to calibrate on
+    pick = lambda k: named.where(F.col("sample") == k).orderBy("order", "doc_id").limit(most[k])
+    chosen = pick(0).union(pick(1)).union(pick(2))
+    # ids are bounded, so broadcast; of the rows that share them each task passes on as many as a sample may hold
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(binary(text), F.lit(b"")).alias("text")).where(F.length("text") <= SAMPLE_BYTES // 16)
+    order = Window.partitionBy("sample").orderBy("order", "doc_id", F.xxhash64("text"), "text")
+    rows = texts.join(F.broadcast(chosen), "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(most))
+    samples, sizes = ([], [], []), [0, 0, 0]
+    for k, data, y in rows.orderBy("sample", "rank").select("sample", "text", "y").toLocalIterator():
+        sizes[k] += len(data)
+        if len(samples[k]) < most[k] and sizes[k] <= SAMPLE_BYTES:
+            samples[k].append((*features(bytes(data)), y))
+    fit, check = samples[0] + samples[1], samples[2]
+    model, y = Cnn(), np.array([s[2] for s in fit], np.float32)
     if 0 < y.sum() < len(y):
-        model.fit(fit_x, y)
-        model.calibrate(check_x, np.array(check_y, np.float32))
+        model.fit([s[0] for s in fit], y)
+        model.calibrate([s[:2] for s in check], np.array([s[2] for s in check], np.float32))
     return model
 
 

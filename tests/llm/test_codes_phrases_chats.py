@@ -256,3 +256,60 @@ def test_long_texts_and_empty_tables(spark):
     made = C.format_conversations(spark.createDataFrame(rows, SCHEMA), partitions=2)
     assert {r[0]: tuple(r[1:]) for r in C.digests(made).collect()} == {c: _digest(t) for c, t in _ordered(rows).items()}
     assert C.digests(C.format_conversations(spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+# Names, bounds
+
+
+def test_user_columns_stay(spark):
+    from pairloom.llm.decontamination import decontaminate
+    from pairloom.llm.pii import pseudonymise
+
+    docs = spark.createDataFrame([(1, "mail a@b.com", "mine", "too", "three", "four")], "doc_id long, text string, _found string, _pattern string, _Found_ string, _contamination string")
+    out = pseudonymise(docs, key="k")
+    assert out.columns == [*docs.columns, "pii"]
+    row = out.first()
+    assert (row["_found"], row["_pattern"], row["_Found_"]) == ("mine", "too", "three") and row["text"].endswith("@b.com") and row["text"] != "mail a@b.com"
+    assert pseudonymise(docs.drop("_found"), key="k", into="_found").first()["_found"][0]["kind"] == "email"
+    kept = decontaminate(docs, spark.createDataFrame([(1, "other words")], "item_id long, text string"))
+    assert kept.columns == docs.columns and kept.first()["_contamination"] == "four"
+
+
+def test_long_local_parts_get_pseudonyms(spark):
+    from pairloom.llm.pii import pseudonymise
+
+    texts = ["to " + "x" * n + "@mail.example now" for n in (64, 65, 200)]
+    out = pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string"), key="k").collect()
+    for t, r in zip(texts, out, strict=True):
+        assert r.text != t and len(r.text) == len(t) and r.text.endswith("@mail.example now")
+    back = pseudonymise(spark.createDataFrame([(r.text,) for r in out], "text string"), key="k", invert=True)
+    assert [r.text for r in back.collect()] == texts
+
+
+def test_labelled_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    from pairloom.llm import toxicity as T
+
+    seen = []
+    monkeypatch.setattr(T.Cnn, "fit", lambda self, texts, labels: seen.append((len(texts), sum(map(len, texts)))))
+    monkeypatch.setattr(T.Cnn, "calibrate", lambda self, texts, labels: seen.append(len(texts)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    docs = spark.range(200).selectExpr("id as doc_id", "concat('word ', id) as text")
+    hot = spark.range(30_000).selectExpr("cast(7 as long) as doc_id", "concat('same id ', id) as text")
+    T.train(docs.union(hot), labels)
+    assert seen[0][0] <= 2 * T.TRAIN_PER_LABEL and seen[1] <= T.CALIBRATE
+    seen.clear()
+    monkeypatch.setattr(T, "SAMPLE_BYTES", 16_000)
+    T.train(docs.union(hot).selectExpr("doc_id", "concat(text, repeat(' x', 400)) as text"), labels)
+    assert seen[0][0] <= 2 * 16_000 // 800 and seen[0][1] > 0
+
+
+def test_owners_of_one_window_by_thousands(spark):
+    import time
+
+    from pairloom.llm import decontamination as D
+
+    items = spark.range(60_000).selectExpr("id as item_id", "'one two three four five six seven eight nine ten' as text")
+    began = time.time()
+    docs = spark.createDataFrame([(1, "x one two three four five six seven eight nine ten y")], "doc_id long, text string")
+    assert D.benchmark_hits(docs, items, into="f").selectExpr("size(f.items)").first()[0] == 60_000
+    assert time.time() - began < 60
