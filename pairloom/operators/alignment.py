@@ -409,6 +409,46 @@ def cached_slots(cells_input: Column, cells_target: Column, source: Column, targ
     return F.when((F.size(cells_input) == F.size(cells_target)) & (target_side(made) == target) & (source_side(made) == source), made)
 
 
+def editor_arrays(ops: Column, source: Column, target: Column, mask_id: int, ins_id: int, del_id: int) -> Column:
+    """struct(input, target): a kept token over itself, a mask over its replacement, a gap over an inserted token, a deleted token over a mark."""
+    cell = lambda x, y: F.struct(x.cast("long").alias("i"), y.cast("long").alias("t"))
+    at = lambda items, k: F.element_at(items, k + 1)
+
+    def of(o: Column) -> Column:
+        n = F.least(o["i2"] - o["i1"], o["j2"] - o["j1"])
+        kept = F.transform(_run(o["i1"], o["i2"]), lambda k: cell(at(source, k), at(source, k)))
+        changed = F.transform(_run(F.lit(0), n), lambda k: cell(F.lit(mask_id), at(target, o["j1"] + k)))
+        gone = F.transform(_run(o["i1"] + n, o["i2"]), lambda k: cell(at(source, k), F.lit(del_id)))
+        new = F.transform(_run(o["j1"] + n, o["j2"]), lambda k: cell(F.lit(ins_id), at(target, k)))
+        return F.when(o["tag"] == "equal", kept).otherwise(F.concat(changed, gone, new))
+
+    cells = F.flatten(F.transform(ops, of))
+    return F.struct(F.transform(cells, lambda c: c["i"]).alias("input"), F.transform(cells, lambda c: c["t"]).alias("target"))
+
+
+def artifact_slots(source: Column, target: Column, shown: Column, wanted: Column, ins_id: int, del_id: int) -> Column:
+    """Slots from a cached pair of editor arrays; null where the arrays do not lead from `source` to `target`.
+
+    A gap in `shown` is an insertion of what is wanted there; each other cell takes the next source token, which the mark
+    in `wanted` deletes and anything else replaces (or keeps).
+    """
+    cells = F.arrays_zip(shown.alias("i"), wanted.alias("t"))
+    none = F.lit(None).cast("long")
+    pair = lambda a, b: F.struct(a.cast("long").alias("a0"), b.cast("long").alias("a1"))
+
+    def add(state: Column, c: Column) -> Column:
+        own = F.get(source, state["at"])
+        gap = c["i"] == ins_id
+        slot = F.when(gap, pair(none, c["t"])).when(c["t"] == del_id, pair(own, none)).otherwise(pair(own, c["t"]))
+        return F.struct((state["at"] + F.when(gap, 0).otherwise(1)).alias("at"), F.concat(state["slots"], F.array(slot)).alias("slots"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a0:bigint,a1:bigint>>").alias("slots"))
+    made = F.aggregate(cells, begin, add)
+    fits = lambda m: (m["at"] == F.size(source)) & (source_side(m["slots"]) == source) & (target_side(m["slots"]) == target)
+    found = F.element_at(F.transform(F.array(made), lambda m: F.when(fits(m), m["slots"])), 1)
+    return F.when(F.size(shown) == F.size(wanted), found)
+
+
 # Text edits
 
 

@@ -9,8 +9,10 @@ from pairloom.functions.hashing import sql_uniform, uniform
 from pairloom.operators import alignment as A
 from pairloom.operators import features as X
 from pairloom.operators import generation as G
+from pairloom.operators import pairing as R
 from pairloom.operators import proposing as N
 
+from . import alignment_sql as Q
 from . import base as B
 from .registry import query
 
@@ -27,7 +29,7 @@ def _slots(spark, d):
     return _pairs(spark, d).withColumn("slots", A.slots(F.col("ops"), F.col("a"), F.col("b")))
 
 
-@query("e1_opcodes")
+@query("e1_opcodes", Q.over(Q.TURNS, "SELECT {k}, tag, CAST(i1 AS INTEGER) AS i1, CAST(i2 AS INTEGER) AS i2, CAST(j1 AS INTEGER) AS j1, CAST(j2 AS INTEGER) AS j2 FROM ops"))
 def e1_opcodes(spark, d):
     return _pairs(spark, d).select("conv_id", "turn", F.explode("ops").alias("o")).select("conv_id", "turn", "o.*")
 
@@ -38,12 +40,13 @@ def e2_e3_slots_round_trip(spark, d):
     return s.select("conv_id", "turn", F.size("src").cast("long").alias("n_src"), F.size("tgt").cast("long").alias("n_tgt"), (A.source_side(F.col("slots")) == F.col("a")).alias("source_back"), (A.target_side(F.col("slots")) == F.col("b")).alias("target_back"))
 
 
-@query("e2_slot_operations")
+@query("e2_slot_operations", Q.over(Q.TURNS, "SELECT {k}, CAST(slot AS INTEGER) AS slot, kind, a1 AS tgt FROM slots WHERE kind IS NOT NULL"))
 def e2_slot_operations(spark, d):
-    return _slots(spark, d).select("conv_id", "turn", F.explode(A.slot_operations(F.col("slots"))).alias("o")).select("conv_id", "turn", "o.*")
+    s = _pairs(spark, d).withColumn("slots", A.slots(F.col("ops"), F.col("src"), F.col("tgt")))
+    return s.select("conv_id", "turn", F.explode(A.slot_operations(F.col("slots"))).alias("o")).select("conv_id", "turn", "o.*")
 
 
-@query("e4_runs")
+@query("e4_runs", Q.over(Q.TURNS, "SELECT {k}, kind, CAST(min(slot) AS INTEGER) AS start, CAST(count(*) AS INTEGER) AS length FROM (SELECT {k}, slot, CASE kind WHEN 1 THEN 'del' ELSE 'ins' END AS kind, slot - row_number() OVER (PARTITION BY {k}, kind ORDER BY slot) AS island FROM slots WHERE kind < 2) GROUP BY {k}, kind, island"))
 def e4_runs(spark, d):
     s = _slots(spark, d)
     each = lambda kind, name: s.select("conv_id", "turn", F.explode(A.runs(F.col("slots"), kind)).alias("r")).select("conv_id", "turn", F.lit(name).alias("kind"), "r.start", F.size("r.content").alias("length"))
@@ -57,12 +60,12 @@ def e5_e6_moves(spark, d):
     return s.select("conv_id", "turn", F.explode(ops).alias("o")).select("conv_id", "turn", "o.*")
 
 
-@query("e7_move_overlap")
+@query("e7_move_overlap", Q.over(Q.TURNS, ", n AS (SELECT {k}, w, least(count(*) FILTER (WHERE kind = 1), count(*) FILTER (WHERE kind = 0)) AS n FROM (SELECT {k}, kind, coalesce(a0, a1) AS w FROM slots WHERE kind < 2) GROUP BY {k}, w) SELECT {k}, CAST(coalesce(sum(n), 0) AS INTEGER) AS overlap FROM p LEFT JOIN n USING ({k}) GROUP BY {k}"))
 def e7_move_overlap(spark, d):
     return _slots(spark, d).select("conv_id", "turn", A.move_overlap(F.col("slots")).alias("overlap"))
 
 
-@query("e8_cached_slots")
+@query("e8_cached_slots", Q.pair_gold(Q.TURNS, "SELECT {k}, CAST(count(slot) AS INTEGER) AS n_slots FROM p JOIN b USING ({k}) LEFT JOIN slots USING ({k}) WHERE NOT coalesce(bad, false) AND NOT EXISTS (SELECT 1 FROM ops WHERE tag = 'delete' AND ops.conv_id = p.conv_id AND ops.turn = p.turn) GROUP BY {k}"))
 def e8_cached_slots(spark, d):
     p = _pairs(spark, d)
     g = A.pair_gold(F.col("ops"), F.col("a"), F.col("b"), -1, -2)
@@ -89,10 +92,15 @@ def e12_e13_states(spark, d):
     return s.select("conv_id", "turn", F.size(x).alias("n"), F.size("todo").alias("pending"), F.size("marks").alias("n_marks"), near.alias("near"))
 
 
-@query("e14_e15_gold_sites")
+@query("e14_e15_gold_sites", Q.over(Q.TURNS, f""", w AS (SELECT {{k}}, slot, kind, sum((a0 IS NOT NULL)::INT) OVER (PARTITION BY {{k}} ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (a0 IS NOT NULL)::INT AS place FROM slots),
+g AS (SELECT DISTINCT {{k}}, CASE kind WHEN 0 THEN place - 1 ELSE place END AS i FROM w WHERE kind IS NOT NULL AND NOT (kind = 0 AND place = 0)),
+n AS (SELECT {{k}}, count(*) AS n FROM g GROUP BY {{k}}),
+r AS (SELECT {{k}}, i, row_number() OVER (PARTITION BY {{k}} ORDER BY {sql_uniform('(length(w) * 64 + i)', 2)} DESC, i) AS r FROM (SELECT {{k}}, unnest(src) AS w, generate_subscripts(src, 1) - 1 AS i FROM p)),
+o AS (SELECT {{k}}, count(*) AS top, count(g.i) AS met FROM r JOIN n USING ({{k}}) LEFT JOIN g USING ({{k}}, i) WHERE r <= greatest(n, 1) GROUP BY {{k}})
+SELECT {{k}}, CAST(coalesce(n, 0) AS INTEGER) AS sites, CASE WHEN n > 0 THEN round(coalesce(met, 0) / (coalesce(top, 0) + n - coalesce(met, 0)), 6) END AS iou FROM p LEFT JOIN n USING ({{k}}) LEFT JOIN o USING ({{k}})"""))
 def e14_e15_gold_sites(spark, d):
     s = _slots(spark, d).withColumn("gold", A.gold_positions(F.col("slots")))
-    rates = F.transform("a", lambda x, i: uniform(x + i, 2))
+    rates = F.transform("src", lambda w, i: uniform(F.length(w) * 64 + i, 2))
     return s.select("conv_id", "turn", F.size("gold").alias("sites"), F.round(A.rate_iou(rates, F.col("gold")), 6).alias("iou"))
 
 
@@ -115,7 +123,9 @@ def e17_e21_tags(spark, d):
     return tags.select("conv_id", "turn", count("s.ins", 1).alias("inserts"), count("s.op3", 2).alias("deletes"), F.size(cells).cast("long").alias("cells"))
 
 
-@query("e18_e20_templates")
+@query("e18_e20_templates", f"""WITH c AS (SELECT conv_id, turn, len(list_filter(t, lambda x: x = 2)) AS gaps, len(list_filter(t, lambda x: x = 1)) AS masks, len(t) - len(list_filter(t, lambda x: x = 3)) AS bodies, coalesce(list_sum(list_filter(n, lambda x: x % 4 IN (0, 2))), 0) AS kept
+FROM (SELECT conv_id, turn, list_transform(src, lambda w: length(w)) AS n, list_transform(src, lambda w: length(w) % 4) AS t FROM {B.SQL_TURNS}))
+SELECT conv_id, turn, CAST(bodies + gaps AS INTEGER) AS before, CAST(bodies + gaps + 2 AS INTEGER) AS after, CAST(kept + 5 * (masks + gaps + 2) AS BIGINT) AS total FROM c WHERE gaps > 0""")
 def e18_e20_templates(spark, d):
     t = B.turn_pairs(spark, d).withColumn("tags", F.transform("src", lambda w: F.length(w) % 4)).withColumn("s", A.split_tags(F.col("tags")))
     ids = F.transform("src", lambda w: F.length(w).cast("long"))
@@ -139,7 +149,7 @@ def e36_first_insert(spark, d):
     return B.turn_pairs(spark, d).select("conv_id", "turn", A.first_insert(F.transform("src", lambda w: F.length(w) % 4)).alias("first"))
 
 
-@query("e22_pair_gold")
+@query("e22_pair_gold", Q.pair_gold(Q.TURNS, "SELECT {k}, NOT coalesce(bad, false) AS valid, CASE WHEN NOT coalesce(bad, false) THEN coalesce(n_input, 0) END AS n_input, CASE WHEN NOT coalesce(bad, false) THEN coalesce(op_types, '') END AS op_types FROM p LEFT JOIN b USING ({k})"))
 def e22_pair_gold(spark, d):
     g = _pairs(spark, d).withColumn("g", A.pair_gold(F.col("ops"), F.col("a"), F.col("b"), -1, -2))
     return g.select("conv_id", "turn", F.col("g").isNotNull().alias("valid"), F.size("g.input").alias("n_input"), F.array_join("g.op_types", ",").alias("op_types"))
@@ -154,12 +164,54 @@ def e27_e29_splice(spark, d):
     return t.select("conv_id", "turn", A.splice(F.col("source_text"), edits).alias("edited"), change.alias("change"))
 
 
-@query("e30_partial_application")
+@query("e30_partial_application", Q.over(Q.TURNS, f"SELECT {{k}}, CAST(coalesce(sum(CASE WHEN tag <> 'equal' AND {sql_uniform('(conv_id * 997 + op)', 8)} < 0.5 THEN j2 - j1 ELSE i2 - i1 END), 0) AS INTEGER) AS n FROM p LEFT JOIN ops USING ({{k}}) GROUP BY {{k}}"))
 def e30_partial_application(spark, d):
     p = _pairs(spark, d).withColumn("fire", F.transform("ops", lambda o, i: uniform(F.col("conv_id") * 997 + i, 8) < 0.5))
     return p.select("conv_id", "turn", F.size(A.partial_application(F.col("ops"), F.col("a"), F.col("b"), F.col("fire"))).alias("n"))
 
 
+def _near(spark, d):
+    """Near copies among the sentences of the documents, with opcodes over word hashes."""
+    ids = lambda c: F.transform(c, lambda w: F.crc32(w.cast("binary")))
+    near = R.near_pairs(B.sentences(spark, d), "sentence", ["doc_id", "pos"]).withColumns({"a": ids("src"), "b": ids("tgt")})
+    return near.withColumn("ops", A.opcodes("a", "b"))
+
+
+_NEAR_IDS = ("doc_id", "pos", "other_doc_id", "other_pos")
+
+
+@query("c21_near_pairs", Q.per_pair(Q.NEAR, f"{Q.HUNKS} AS hunks, {Q.EDITOR_OPS} AS editor_ops, {Q.SIMILARITY} AS similarity"))
+def c21_near_pairs(spark, d):
+    o = F.col("ops")
+    return _near(spark, d).select(*_NEAR_IDS, A.hunk_count(o).alias("hunks"), A.editor_operations(o).alias("editor_ops"), F.round(A.similarity(o, F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+@query("e22_near_pairs", Q.pair_gold(Q.NEAR, "SELECT {k}, NOT coalesce(bad, false) AS valid, CASE WHEN NOT coalesce(bad, false) THEN coalesce(n_input, 0) END AS n_input, CASE WHEN NOT coalesce(bad, false) THEN coalesce(op_types, '') END AS op_types FROM p LEFT JOIN b USING ({k})"))
+def e22_near_pairs(spark, d):
+    g = _near(spark, d).withColumn("g", A.pair_gold(F.col("ops"), F.col("a"), F.col("b"), -1, -2))
+    return g.select(*_NEAR_IDS, F.col("g").isNotNull().alias("valid"), F.size("g.input").alias("n_input"), F.array_join("g.op_types", ",").alias("op_types"))
+
+
+_SQL_ARTIFACTS = """, e AS (SELECT {k}, unnest(CASE tag WHEN 'equal' THEN list_transform(range(i1, i2), lambda i: {'keep': true, 'ins': false, 'del': false}) WHEN 'insert' THEN list_transform(range(j1, j2), lambda j: {'keep': false, 'ins': true, 'del': false})
+ELSE list_transform(range(i1, i2), lambda i: {'keep': false, 'ins': false, 'del': i - i1 >= j2 - j1}) || list_transform(range(greatest(0, j2 - j1 - i2 + i1)), lambda j: {'keep': false, 'ins': true, 'del': false}) END) AS x FROM ops)
+SELECT {k}, CAST(count(x) AS INTEGER) AS n_slots, CAST(count(*) FILTER (WHERE x.ins) AS INTEGER) AS inserts, CAST(count(*) FILTER (WHERE x.del) AS INTEGER) AS deletes, CAST(count(*) FILTER (WHERE NOT (x.keep OR x.ins OR x.del)) AS INTEGER) AS replaced FROM p LEFT JOIN e USING ({k}) GROUP BY {k}"""
+
+
+@query("e8_near_pairs", Q.over(Q.NEAR, _SQL_ARTIFACTS))
+def e8_near_pairs(spark, d):
+    """Slots from the editor arrays of each pair: a gap for an inserted token, a mark for a deleted one."""
+    p = _near(spark, d).withColumn("cells", A.editor_arrays(F.col("ops"), F.col("a"), F.col("b"), -1, -2, -3))
+    s = p.withColumn("slots", A.artifact_slots(F.col("a"), F.col("b"), F.col("cells.input"), F.col("cells.target"), -2, -3))
+    count = lambda kind: F.size(F.filter("slots", lambda x: A.kind(x) == kind))
+    return s.where("slots is not null").select(*_NEAR_IDS, F.size("slots").alias("n_slots"), count(A.INS).alias("inserts"), count(A.DEL).alias("deletes"), count(A.SUB).alias("replaced"))
+
+
+@query("e30_near_pairs", Q.over(Q.NEAR, f"SELECT {{k}}, array_to_string(flatten(list(CASE WHEN tag <> 'equal' AND {sql_uniform('(doc_id * 997 + op)', 8)} < 0.5 THEN tgt[j1 + 1:j2] ELSE src[i1 + 1:i2] END ORDER BY op)), ' ') AS made FROM p JOIN ops USING ({{k}}) GROUP BY {{k}}"))
+def e30_near_pairs(spark, d):
+    p = _near(spark, d).withColumn("fire", F.transform("ops", lambda o, i: uniform(F.col("doc_id") * 997 + i, 8) < 0.5))
+    return p.select(*_NEAR_IDS, F.array_join(A.partial_application(F.col("ops"), F.col("src"), F.col("tgt"), F.col("fire")), " ").alias("made"))
+
+
 # One row of the edit table for each source word: what deletion and substitution give, then insertions as a minimum over the cells before.
 DISTANCE = f"""WITH RECURSIVE pairs AS (SELECT conv_id, turn, src, tgt FROM {B.SQL_TURNS}),
 filled AS (
@@ -176,27 +228,27 @@ def e31_token_distance(spark, d):
     return B.turn_pairs(spark, d).select("conv_id", "turn", A.token_distance("src", "tgt").alias("distance"))
 
 
-@query("e32_x5_x6_diff_metrics")
+@query("e32_x5_x6_diff_metrics", Q.per_pair(Q.TURNS, f"{Q.HUNKS} AS hunks, {Q.EDITOR_OPS} AS editor_ops, {Q.SIMILARITY} AS similarity, CAST(1 AS DOUBLE) AS self_iou, {Q.EDITED} AS edited"))
 def e32_x5_x6_diff_metrics(spark, d):
     p = _pairs(spark, d)
     o = F.col("ops")
     return p.select("conv_id", "turn", A.hunk_count(o).alias("hunks"), A.editor_operations(o).alias("editor_ops"), F.round(A.similarity(o, F.col("a"), F.col("b")), 6).alias("similarity"), F.round(A.location_iou(o, o), 6).alias("self_iou"), F.size(A.edited_positions(o)).alias("edited"))
 
 
-@query("e34_markup")
+@query("e34_markup", Q.per_pair(Q.TURNS, f"{Q.MARKUP} AS diff"))
 def e34_markup(spark, d):
     p = B.turn_pairs(spark, d).withColumn("ops", A.opcodes("src", "tgt"))
     return p.select("conv_id", "turn", A.markup(F.col("ops"), F.col("src"), F.col("tgt")).alias("diff"))
 
 
-@query("e37_gold_template")
+@query("e37_gold_template", Q.per_pair(Q.TURNS, f"{Q.TEMPLATE} AS template"))
 def e37_gold_template(spark, d):
     p = _pairs(spark, d)
     cells = A.gold_template(F.col("ops"), F.col("b"))
     return p.select("conv_id", "turn", F.array_join(F.transform(cells, lambda c: c["mark"]), "").alias("template"))
 
 
-@query("e38_positional_difference")
+@query("e38_positional_difference", Q.over(Q.TURNS, "SELECT {k}, CAST(sum(length(tgt[j1 + 1]) - length(src[i1 + 1])) AS BIGINT) AS difference, count(*) AS blocks FROM p JOIN ops USING ({k}) WHERE tag = 'equal' GROUP BY {k}"))
 def e38_positional_difference(spark, d):
     """Target less source word length at aligned equal positions: 0 everywhere, as a check of the positions."""
     p = _pairs(spark, d)
