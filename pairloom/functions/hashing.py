@@ -76,3 +76,17 @@ def poisson(u: Column, rate: float, most: int = 12) -> Column:
         edge += math.exp(-rate) * rate**k / math.factorial(k)
         out = F.when(u < edge, k) if out is None else out.when(u < edge, k)
     return out.otherwise(most)
+
+
+_WORDS32 = 4294967296
+
+
+def text_uniform(*parts: Column) -> Column:
+    """Draw from (0, 1), keyed by texts: the first 32 bits of their md5."""
+    digest = F.md5(F.concat_ws("|", *(p.cast("string") for p in parts)))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") + 0.5) / _WORDS32
+
+
+def sql_text_uniform(*parts: str) -> str:
+    """The same draw in DuckDB's SQL."""
+    return f"((CAST('0x' || md5(concat_ws('|', {', '.join(parts)}))[1:8] AS BIGINT) + 0.5) / {_WORDS32})"

@@ -94,3 +94,38 @@ def smallest_prefix(items: Sequence, works: Callable[[Sequence], bool]) -> list:
         if works(rest):
             kept = rest
     return kept
+
+
+def minimal_subsets(rows: DataFrame, items: str, works: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], DataFrame], *, rounds: int | None = None) -> DataFrame:
+    """`rows` with n_full, prefix (length of the shortest prefix of `items` that works) and kept (places that are left of it); all rows in step.
+
+    `items` is an array column, strongest first.  `works` gets the rows with a column `chosen` (sorted places of a trial) and
+    returns them with a column `works`; it may join what it needs.  First the whole array is tried (rows where it fails have null results), then
+    prefixes by bisection, then places are taken out one at a time, the weakest first, while what is left works; the last one stays.
+    Each round is one call for all rows (null in `chosen` where there is nothing left to try); `keep` materialises the state of a round.  There are as many
+    rounds as the longest prefix has places, and its logarithm; `rounds` bounds the former (rows that need more raise an error).
+    """
+    columns = rows.columns
+    places = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    state = rows.withColumn("n_full", F.size(items)).withColumn("chosen", places(F.col("n_full")))
+    state = works(state).withColumns({"low": F.lit(1), "high": F.when((F.col("n_full") > 0) & F.col("works"), F.col("n_full"))}).drop("works", "chosen")
+    state = keep(state)
+
+    def tried(open_: Column, chosen: Column, **then: Column) -> DataFrame:
+        """The state with the columns of `then` in the rows that are open; `works` gets null trials in the others."""
+        todo = works(state.withColumn("chosen", F.when(open_, chosen)))
+        new = {c: F.when(open_, v).otherwise(F.col(c)) for c, v in then.items()}
+        return keep(todo.withColumns(new).select(*state.columns))
+
+    bisecting = F.coalesce(F.col("low") < F.col("high"), F.lit(False))
+    while not state.where(bisecting).isEmpty():
+        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        state = tried(bisecting, places(middle), high=F.when(F.col("works"), middle).otherwise(F.col("high")), low=F.when(F.col("works"), F.col("low")).otherwise(middle + 1))
+    state = state.withColumns({"kept": F.when(F.col("high").isNotNull(), places(F.col("high"))), "next": F.col("high") - 1}).drop("low")
+    longest = state.agg(F.max("high")).first()[0] or 0
+    if rounds is not None and longest > rounds:
+        raise ValueError(f"a prefix of {longest} places needs more than {rounds} rounds")
+    open_ = F.coalesce((F.col("next") >= 0) & (F.size("kept") > 1), F.lit(False))
+    for _ in range(longest):
+        state = tried(open_, F.array_remove("kept", F.col("next")), kept=F.when(F.col("works"), F.col("chosen")).otherwise(F.col("kept")), next=F.col("next") - 1)
+    return state.select(*columns, "n_full", F.col("high").alias("prefix"), "kept")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.hashing import categorical, pick_index, truncated_geometric, uniform
+from pairloom.functions.hashing import categorical, pick_index, text_uniform, truncated_geometric, uniform
 from pairloom.operators.rewriting import contraction, each_every, inversion, quote_inversion, split_join, tough, uncleft
 
 # Fixed values.
@@ -92,6 +92,55 @@ def balanced_pick(proposals: DataFrame, key: str, seed: int = 3) -> DataFrame:
     return proposals.groupBy(key).agg(F.min_by(F.struct("family", "t_type", "out_text"), rank).alias("_p")).select(key, "_p.*")
 
 
+def weighted_pick(proposals: DataFrame, key: str, weight: Column, seed: int = 3) -> DataFrame:
+    """One proposal of each row: a family with odds by `weight` (an expression over `family`), then a type, then a proposal at even odds.
+
+    The family of the least -ln(u) / weight wins, u a draw for each row and family: one aggregation, and a family's
+    chance among those that a row offers is its share of their weights.
+    """
+    draw = lambda *c: text_uniform(F.lit(str(seed)), F.col(key), *(F.col(x) for x in c))
+    rank = F.struct((-F.log(draw("family")) / weight).alias("a"), F.col("family").alias("b"), draw("family", "t_type").alias("c"), F.col("t_type").alias("d"), draw("family", "t_type", "out_text").alias("e"), F.col("out_text").alias("f"))
+    return proposals.groupBy(key).agg(F.min_by(F.struct("family", "t_type", "out_text"), rank).alias("_p")).select(key, "_p.*")
+
+
+#: Families whose accepts are counted on the driver, at most.
+MOST_FAMILIES = 10_000
+
+
+def priority(accepts: dict[str, int], family: Column | None = None) -> Column:
+    """Weight 1 / (1 + accepts so far) of a family."""
+    if not accepts:
+        return F.lit(1.0)
+    table = F.create_map(*(x for name in sorted(accepts) for x in (F.lit(name), F.lit(1.0 / (1 + accepts[name])))))
+    return F.coalesce(F.try_element_at(table, family if family is not None else F.col("family")), F.lit(1.0))
+
+
+def count_accepts(picked: DataFrame, accepted: Column) -> dict[str, int]:
+    """Accepts of each family, of which there are `MOST_FAMILIES` at most."""
+    rows = picked.where(accepted).groupBy("family").count().limit(MOST_FAMILIES + 1).collect()
+    if len(rows) > MOST_FAMILIES:
+        raise ValueError("too many families to weigh")
+    return {r["family"]: r["count"] for r in rows}
+
+
+def adaptive_picks(proposals: DataFrame, key: str, accepted: Column, batch: str, batches: int, *, seed: int = 3) -> DataFrame:
+    """`weighted_pick` batch after batch: accepts of earlier batches lower a family's weight in the later ones.
+
+    `accepted` judges a picked row (key, family, t_type, out_text).  Within a batch all rows are drawn alike, so each batch is
+    one distributed aggregation; between batches go the accepts of each family alone.  The picks of all batches come from one last
+    plan in which the weights stand as constants, so a lost task draws again what it drew before.
+    """
+    accepts: dict[str, int] = {}
+    weight = F.lit(1.0)
+    for b in range(batches):
+        weight = F.when(F.col(batch) == b, priority(accepts)).otherwise(weight)
+        if b < batches - 1:
+            picked = weighted_pick(proposals.where(F.col(batch) == b), key, priority(accepts), seed)
+            for family, n in count_accepts(picked, accepted).items():
+                accepts[family] = accepts.get(family, 0) + n
+    return weighted_pick(proposals, key, weight, seed)
+
+
 def natural_pairs(pairs: DataFrame, low: int, high: int, most_ops: int) -> DataFrame:
     """First reason to drop a natural pair (src array, tgt array, n_ops), `ok` for none."""
     size = lambda c: F.size(c)

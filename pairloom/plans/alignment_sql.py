@@ -8,11 +8,11 @@ TURNS = ("conv_id, turn", B.SQL_TURNS)
 
 #: Near copies of sentences, as `operators.pairing.near_pairs` pairs them.
 _W = B.SQL_WORDS.format("sentence")
-_SHINGLES = "list_distinct(list_transform(range(1, greatest(len({0}) - 2, 1) + 1), lambda s: array_to_string({0}[s:s + 2], ' ')))"
+_SHINGLES = "list_distinct(list_transform(range(1, greatest(len({0}) - 1, 1) + 1), lambda s: array_to_string({0}[s:s + 1], ' ')))"
 _NEAR = f"""(SELECT * FROM (SELECT a.doc_id, a.pos, b.doc_id AS other_doc_id, b.pos AS other_pos, a.sentence AS source_text, b.sentence AS target_text, a.w AS src, b.w AS tgt, a.s AS x, b.s AS y
 FROM (SELECT DISTINCT prev, sentence FROM (SELECT sentence, lag(sentence) OVER (PARTITION BY k, h ORDER BY sentence) AS prev FROM (
-SELECT sentence, k, list_min(list_transform(s, lambda g: md5(CAST(k AS VARCHAR) || g))) AS h FROM near_texts, (VALUES (0), (1), (2)) t(k))) WHERE prev IS NOT NULL) l
-JOIN near_texts a ON a.sentence = l.prev JOIN near_texts b ON b.sentence = l.sentence) WHERE len(list_intersect(x, y)) >= 0.3 * len(list_distinct(list_concat(x, y))))"""
+SELECT sentence, k, list_min(list_transform(s, lambda g: md5(CAST(k AS VARCHAR) || g))) AS h FROM near_texts, (VALUES (0), (1), (2), (3)) t(k))) WHERE prev IS NOT NULL) l
+JOIN near_texts a ON a.sentence = l.prev JOIN near_texts b ON b.sentence = l.sentence) WHERE len(list_intersect(x, y)) >= 0.2 * len(list_distinct(list_concat(x, y))))"""
 _TEXTS = f"""near_texts AS MATERIALIZED (SELECT *, {_SHINGLES.format('w')} AS s FROM (SELECT sentence, arg_min(doc_id, (doc_id, pos)) AS doc_id, arg_min(pos, (doc_id, pos)) AS pos, {_W} AS w FROM {B.SQL_SENTENCES} GROUP BY sentence) WHERE len(w) BETWEEN 4 AND 60)"""
 NEAR = ("doc_id, pos, other_doc_id, other_pos", _NEAR)
 

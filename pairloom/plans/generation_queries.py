@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairloom.functions import text as T
-from pairloom.functions.hashing import sql_uniform
+from pairloom.functions.hashing import sql_text_uniform, sql_uniform
+from pairloom.operators import decoding as D
 from pairloom.operators import generation as G
 from pairloom.operators import proposing as N
+from pairloom.sources.lineage import materialise
 
 from . import base as B
 from .edit_queries import _SQL_AFTER_FOUND, _pick, _running, _sql_edges
@@ -86,3 +88,60 @@ def c6_compound_draws(spark, d):
 @query("c6_reasons", f"WITH RECURSIVE {_sql_compounds()} SELECT n, reason, count(*) AS rows FROM z GROUP BY n, reason")
 def c6_reasons(spark, d):
     return _compounds(spark, d).groupBy("n", F.col("drawn.reason").alias("reason")).agg(F.count("*").alias("rows"))
+
+
+# Picks whose accepts feed back
+
+BATCHES = 4
+_NAME = "CASE WHEN regexp_matches(w, '[0-9]') THEN 'NUMBER' WHEN length(w) < 4 THEN 'SHORT' WHEN length(w) < 8 THEN 'MIDDLE' ELSE 'LONG' END"
+
+
+def _word_proposals(spark, d):
+    """(k, batch, family, t_type, out_text): for each word of a turn a proposal to rewrite it, of a family by its form."""
+    c = B.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), (F.col("conv_id") % BATCHES).cast("int").alias("batch"), F.posexplode(T.words(F.lower("text"))).alias("i", "w"))
+    family = F.when(F.col("w").rlike("[0-9]"), "NUMBER").when(F.length("w") < 4, "SHORT").when(F.length("w") < 8, "MIDDLE").otherwise("LONG")
+    return c.select("k", "batch", family.alias("family"), F.concat(family, F.lit(":"), F.length("w")).alias("t_type"), F.concat("i", F.lit(":"), "w").alias("out_text"))
+
+
+def _accepted():
+    return (F.length("out_text") + F.col("k")) % 3 != 0
+
+
+def _sql_picks() -> str:
+    """Batch after batch, each with the accepts of the earlier ones."""
+    u = lambda *c: sql_text_uniform("'3'", "k", *c)
+    steps = [f"pr AS MATERIALIZED (SELECT k, batch, family, family || ':' || length(w) AS t_type, i || ':' || w AS out_text FROM (SELECT k, batch, i, w, {_NAME} AS family FROM (SELECT conv_id * 1000 + turn AS k, conv_id % {BATCHES} AS batch, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM (SELECT *, {B.SQL_WORDS.format('lower(text)')} AS w FROM conversations))))"]
+    for b in range(BATCHES):
+        before = " UNION ALL ".join(f"SELECT family FROM pick{x} WHERE (length(out_text) + k) % 3 <> 0" for x in range(b))
+        weight = f"(1.0::DOUBLE / (1 + coalesce((SELECT count(*) FROM ({before}) z WHERE z.family = o.family), 0)))" if b else "1.0::DOUBLE"
+        steps.append(f"w{b} AS MATERIALIZED (SELECT family, {weight} AS w FROM (SELECT DISTINCT family FROM pr) o)")
+        steps.append(f"pick{b} AS MATERIALIZED (SELECT k, family, t_type, out_text FROM pr JOIN w{b} USING (family) WHERE batch = {b} QUALIFY row_number() OVER (PARTITION BY k ORDER BY -ln({u('family')}) / w, family, {u('family', 't_type')}, t_type, {u('family', 't_type', 'out_text')}, out_text) = 1)")
+    return "WITH " + ",\n".join(steps) + "\n" + " UNION ALL ".join(f"SELECT k, family, t_type, out_text FROM pick{b}" for b in range(BATCHES))
+
+
+@query("c14_m8_weighted_picks", _sql_picks())
+def c14_m8_weighted_picks(spark, d):
+    return G.adaptive_picks(_word_proposals(spark, d), "k", _accepted(), "batch", BATCHES)
+
+
+# Minimal subsets
+
+_SQL_STRONGEST = f"(SELECT row, list(f ORDER BY m DESC, f) AS fs, list(m ORDER BY m DESC, f) AS ms FROM (SELECT row, f, CAST(round(v * 1000000) AS BIGINT) AS m FROM {B.SQL_ACTIVATIONS}) GROUP BY row)"
+_SQL_WORKS = "10 * list_sum(list_transform({0}, lambda x: ms[x + 1])) >= 7 * list_sum(ms) AND len(list_filter({0}, lambda x: fs[x + 1] % 3 = 0)) > 0"
+
+
+@query("k10_minimal_subsets", f"""WITH RECURSIVE t AS MATERIALIZED (SELECT * FROM {_SQL_STRONGEST}),
+w AS (SELECT row, fs, ms, len(list_filter(fs, lambda f: f % 3 = 0)) > 0 AS whole FROM t),
+p AS MATERIALIZED (SELECT row, fs, ms, len(fs) AS n_full, CASE WHEN whole THEN list_filter(range(1, len(fs) + 1), lambda n: {_SQL_WORKS.format('range(n)')})[1] END AS prefix FROM w),
+s AS (SELECT row, range(prefix) AS kept, prefix - 1 AS nxt FROM p WHERE prefix IS NOT NULL
+UNION ALL SELECT row, CASE WHEN len(kept) > 1 AND ({_SQL_WORKS.format('trial')}) THEN trial ELSE kept END, nxt - 1 FROM (SELECT s.*, fs, ms, list_filter(kept, lambda x: x <> nxt) AS trial FROM s JOIN p USING (row) WHERE nxt >= 0))
+SELECT p.row, CAST(n_full AS INTEGER) AS n_full, CAST(prefix AS INTEGER) AS prefix, array_to_string(list_transform(kept, lambda x: fs[x + 1]), ',') AS kept FROM p LEFT JOIN s ON s.row = p.row AND s.nxt < 0""")
+def k10_minimal_subsets(spark, d):
+    """The strongest activations of each vector that hold seven tenths of its mass and a feature divisible by three."""
+    a = B.activations(spark, d).select("row", F.col("f"), F.round(F.col("v") * 1_000_000).cast("long").alias("m"))
+    rows = a.groupBy("row").agg(F.array_sort(F.collect_list(F.struct((-F.col("m")).alias("m"), "f"))).alias("entries"))
+    mass = lambda places: F.aggregate(places, F.lit(0).cast("long"), lambda s, x: s - F.get("entries", x)["m"])
+    total = F.aggregate("entries", F.lit(0).cast("long"), lambda s, x: s - x["m"])
+    third = F.exists("chosen", lambda x: F.get("entries", x)["f"] % 3 == 0)
+    found = D.minimal_subsets(rows, "entries", lambda t: t.withColumn("works", (10 * mass(F.col("chosen")) >= 7 * total) & third), materialise)
+    return found.select("row", "n_full", "prefix", F.array_join(F.transform("kept", lambda x: F.get("entries", x)["f"]), ",").alias("kept"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pairloom.operators.generation import count_accepts, priority, weighted_pick
 from pairloom.sources.sinks import append_new
 
 
@@ -60,6 +61,26 @@ def adaptive_weights(stream: DataFrame) -> DataFrame:
     return stream.groupBy("family").applyInPandasWithState(_update, "family string, accepted long, weight double", "accepted long, weight double", "update", GroupStateTimeout.NoTimeout)
 
 
+def pick_by_priority(stream: DataFrame, path: str, key: str, accepted: Column, checkpoint: str, *, seed: int = 3):
+    """Start a stream of proposals (key, family, t_type, out_text) whose picks, a folder for each micro-batch, feed back into the weights of the next.
+
+    The accepts of a micro-batch are written beside its picks, and the weights of a micro-batch come from those of earlier numbers alone: one that is
+    tried again overwrites its own folders with the same rows.  All proposals of a row must come in one micro-batch.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        accepts: dict[str, int] = {}
+        if number:
+            known = spark.read.schema("family string, n long, batch long").parquet(f"{path}/accepts").where(F.col("batch") < number)
+            accepts = {r["family"]: r["n"] for r in known.groupBy("family").agg(F.sum("n").alias("n")).collect()}  # a row for each family
+        weighted_pick(batch, key, priority(accepts), seed).write.mode("overwrite").parquet(f"{path}/picks/batch={number}")
+        new = count_accepts(spark.read.parquet(f"{path}/picks/batch={number}"), accepted)
+        spark.createDataFrame(sorted(new.items()), "family string, n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/accepts/batch={number}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def epochs(df: DataFrame, shard: str, n: int) -> DataFrame:
     """Each row once for each epoch, with the shard's place in the epoch's own order."""
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("order", F.xxhash64("epoch", shard))
