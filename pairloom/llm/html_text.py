@@ -3,18 +3,20 @@
 A page is read as a sequence of blocks, each with the path of structural tags
 from the root (inline tags are left out); only what is no text at all (scripts,
 styles and other raw content, hidden elements, buttons and option lists) is passed
-over.  For each root-to-leaf path the text length, the punctuation and the text
-outside links are aggregated over its blocks and fused into one ratio.  Ratios are
+over.  For each root-to-leaf path the text outside links, its share of the page's, and
+the punctuation are aggregated over its blocks and fused into one ratio.  Ratios are
 smoothed over neighbouring blocks in page order, a neighbour counting less the more
 of its path is not shared, and averaged for each path.  What the tags,
 roles and class names of a path's elements say (menu, header, footer, sidebar,
 notice, advert, form, comments) enters as a factor, `PRIOR`: it weighs a path down
 against others, but a page whose whole text lies in such elements keeps its text.
-Paths that reach a share of the best are content paths.
+Paths that reach a share of the best are content paths, and so are paths that end in the
+tag of a content path (a paragraph elsewhere) and whose blocks are about as full.
 
-The text holds all blocks of content paths, and of the elements around these all
-other blocks that no marked element parts from them; `article` and `main` are tags
-like others.
+The text holds all blocks of content paths.  Of the elements that hold such blocks, other
+elements come back by their own ratios: where most of their text is outside links (what is marked
+counts by the factor), or where one of their paths reaches a small share of the best.  `article` and `main` are tags
+like others; a `header` within an article or section is no page header.
 
 Paths are nodes of a trie and elements point to their parents, so a page takes time
 and memory in proportion to its length, however deep it is nested.
@@ -58,9 +60,13 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table",
 LEAVES = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "blockquote", "pre"}
 
 #: Share of the best path's smoothed ratio from which a path is content.
-PATH_SHARE = 0.05
+PATH_SHARE = 0.2
+#: Share of the text of a content path's blocks from which those of another path with the same last tag are content.
+DENSE_SHARE = 0.1
+#: Share of it from which an element in a container of content comes back though its text is in links.
+RETURN_SHARE = 0.01
 #: Factor on the ratio of a path with a marked element.
-PRIOR = 0.001
+PRIOR = 0.005
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -99,6 +105,8 @@ class Page:
     above: list[int] = field(default_factory=lambda: [0])
     depth: list[int] = field(default_factory=lambda: [0])
     weighed_down: list[bool] = field(default_factory=lambda: [False])
+    #: last tag of each path
+    leaf: list[str] = field(default_factory=lambda: [""])
 
 
 def read(page: str) -> Page:
@@ -143,6 +151,7 @@ def read(page: str) -> Page:
             out.above.append(path)
             out.depth.append(out.depth[path] + 1)
             out.weighed_down.append(mark or out.weighed_down[path])
+            out.leaf.append(tag)
         own = len(out.parent)
         out.parent.append(element)
         out.container.append(out.container[element] if tag in LEAVES else own)
@@ -189,6 +198,8 @@ def read(page: str) -> Page:
                 pieces.append(" ")
             continue
         shown, mark = judge(tag, attributes)
+        if tag == "header" and open_tags["article"] + open_tags["section"] > 0:  # the headline of an article or a part of it
+            mark = judge("div", attributes)[1]
         if tag in INLINE:
             if not attributes.rstrip().endswith("/"):
                 # marked words within a line have no path of their own
@@ -226,17 +237,25 @@ def _nearness(page: Page, a: int, b: int) -> float:
     return 0.1 ** min(steps, 300)
 
 
-def path_scores(page: Page) -> dict[int, float]:
-    """Smoothed fused ratio of each path that has blocks."""
+def path_ratios(page: Page) -> tuple[dict[int, float], dict[int, float]]:
+    """(text of a block and root of its punctuation, the part of the page's text) of each path that has blocks; text in links does not count."""
     sums: dict[int, list[float]] = {}
     for text, linked, _, path in page.blocks:
-        own = sums.setdefault(path, [0, 0, 0, 0])
+        own = sums.setdefault(path, [0, 0, 0])
         own[0] += 1
-        own[1] += len(text)
-        own[2] += max(len(text) - linked, 0)
-        own[3] += len(_PUNCTUATION.findall(text))
-    fused = {p: (plain / nodes) * (1 + marks / nodes) for p, (nodes, _, plain, marks) in sums.items()}
+        own[1] += max(len(text) - linked, 0)
+        own[2] += len(_PUNCTUATION.findall(text))
+    whole = sum(plain for _, plain, _ in sums.values()) or 1
+    prior = lambda p: PRIOR if page.weighed_down[p] else 1.0
+    return {p: prior(p) * (plain / nodes) * (1 + marks / nodes) ** 0.5 for p, (nodes, plain, marks) in sums.items()}, {p: plain / whole for p, (_, plain, _) in sums.items()}
+
+
+def path_scores(page: Page) -> dict[int, float]:
+    """Smoothed fused ratio of each path that has blocks."""
+    density, share = path_ratios(page)
+    fused = {p: density[p] * share[p] for p in density}
     order = [p for *_, p in page.blocks]
+    counts = Counter(order)
     near: dict[tuple[int, int], float] = {}
     total = dict.fromkeys(fused, 0.0)
     for k, path in enumerate(order):
@@ -247,17 +266,48 @@ def path_scores(page: Page) -> dict[int, float]:
             value += near[path, other] * fused[other]
             weight += near[path, other]
         total[path] += value / weight
-    return {p: (PRIOR if page.weighed_down[p] else 1.0) * total[p] / sums[p][0] for p in fused}
+    return {p: total[p] / counts[p] for p in fused}
 
 
-def content(page: Page) -> list[str]:
-    scores = path_scores(page)
+def chosen_paths(page: Page, scores: dict[int, float]) -> set[int]:
+    """Paths that reach a share of the best score, and those that end in the tag of one of them with blocks as full of text as a share of its own."""
     best = max(scores.values(), default=0)
     chosen = {p for p, x in scores.items() if x >= PATH_SHARE * best}
+    density, _ = path_ratios(page)
+    full: dict[str, float] = {}
+    for p in chosen:
+        full[page.leaf[p]] = max(full.get(page.leaf[p], 0), density[p])
+    return chosen | {p for p in density if page.leaf[p] in LEAVES and page.leaf[p] in full and density[p] >= DENSE_SHARE * full[page.leaf[p]]}
+
+
+def returning(page: Page, scores: dict[int, float]) -> list[bool]:
+    """Of each element, whether it comes back where it stands in a container of content.
+
+    Half of its text must stand outside links (a marked element's share is multiplied by `PRIOR`), or one of
+    its paths must reach `RETURN_SHARE` of the best score (of an element that is not marked).
+    """
+    best, size = max(scores.values(), default=0), len(page.parent)
+    length, plain, reached = [0] * size, [0.0] * size, [False] * size
+    for text, linked, e, path in page.blocks:
+        length[e] += len(text)
+        plain[e] += max(len(text) - linked, 0)
+        reached[e] |= scores[path] >= RETURN_SHARE * best
+    for e in range(size - 1, 0, -1):  # children come after their parents
+        above = page.parent[e]
+        length[above] += length[e]
+        plain[above] += plain[e]
+        reached[above] |= reached[e]
+    return [reached[e] and not page.marked[e] or (PRIOR if page.marked[e] else 1.0) * plain[e] >= 0.5 * length[e] for e in range(size)]
+
+
+def content(page: Page) -> list[str]:
+    scores = path_scores(page)
+    chosen = chosen_paths(page, scores)
     containers = {page.container[e] for _, _, e, p in page.blocks if p in chosen}
+    back = returning(page, scores)
     inside = [0 in containers]
     for e in range(1, len(page.parent)):  # parents come first
-        inside.append(e in containers or inside[page.parent[e]] and not page.marked[e])
+        inside.append(e in containers or inside[page.parent[e]] and back[e])
     return [text for text, _, e, p in page.blocks if p in chosen or inside[e]]
 
 
