@@ -2,6 +2,8 @@
 
 Codebooks of full-dimensional codewords are fitted on a bounded sample: k-means
 on the residuals, codebook after codebook.
+A vector is first divided by a power of two (its largest component then lies between 1 and 2), whose
+exponent is stored, so vectors of any magnitude are coded alike.
 Every vector is encoded by a beam search over the codebooks; its code (one byte
 for each book) and the norm of its reconstruction are stored.  A query's inner
 products with all codewords make a lookup table, sums over which score all codes
@@ -9,20 +11,23 @@ products with all codewords make a lookup table, sums over which score all codes
 of the codes are compared exactly on the original vectors in double precision, and the
 best `k` of each part go on.
 
-Codes and vectors are dealt out once, into parts of bounded size; the queries, a stated
+Codes and vectors are dealt out once, into parts whose number follows from the number of rows alone (its
+root over 8, more where a part would pass `CODE_BLOCK`); the queries, a stated
 set that is smaller than the table, are sent to every part and pass through it in
-batches.  `rerank` bounds the candidates of a query in a part (it is an approximate
+batches: the shuffle grows as the rows to the power of 1.5, and beyond 300 million rows as their square.  `rerank` bounds the candidates of a query in a part (it is an approximate
 search) and is at least `k`; what recall it leaves is measured in the tests.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite
 components, or are not of the sample's most frequent length, take no part; ties
-go to the smaller id; the query's own id is no candidate; of rows with one id the
+go to the smaller id; inner products that overflow are infinite, those of no value (infinity less infinity) are
+nearest to nothing; the query's own id is no candidate; of rows with one id the
 nearest counts, and a query's rows of one id count as one query by the first of its
 vectors; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +41,7 @@ from .shared import stash
 #: Documented bound of the sample that fits the codebooks (vectors).
 SAMPLE = 16_384
 BOOKS, WORDS, BEAM = 32, 256, 4
-#: Vectors in a part of the codes at most; parts are made smaller, down to a sixteenth, while there are fewer than cores.
+#: Vectors in a part of the codes at most.
 CODE_BLOCK = 65_536
 #: Queries that are scored at a time.
 AT_ONCE = 64
@@ -91,19 +96,35 @@ class AdditiveQuantiser:
         """Squared norms of the reconstructions."""
         return (self.decode(codes) ** 2).sum(axis=1)
 
-    def scores(self, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, metric: str) -> np.ndarray:
-        """Approximate nearness (larger is nearer) from lookup tables, queries x codes."""
+    def scores(self, queries: np.ndarray, exponents: np.ndarray, codes: np.ndarray, norms: np.ndarray, powers: np.ndarray, metric: str) -> np.ndarray:
+        """Approximate nearness (larger is nearer) from lookup tables, queries x codes, each query's by a factor of its own.
+
+        Queries and codes are scaled; `exponents` and `powers` are the exponents of their scales.
+        """
         tables = np.einsum("bwd,qd->qbw", self.books, queries.astype(np.float32), optimize=True)
         total = tables[:, 0, :][:, codes[:, 0]]
         for b in range(1, len(self.books)):
             total += tables[:, b, :][:, codes[:, b]]
-        return 2 * total - norms[None, :] if metric == "l2" else total
+        top = int(powers.max(initial=0))
+        if metric == "l2":
+            # by 2 ** -2m, m the larger of the two exponents
+            high = np.maximum(exponents, top)[:, None]
+            return 2 * np.ldexp(total.astype(np.float64), exponents[:, None] + powers - 2 * high) - np.ldexp(norms.astype(np.float64)[None, :], 2 * (powers - high))
+        return np.ldexp(total.astype(np.float64), powers - top) if (powers != top).any() else total
 
 
 def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(rows, -1)
 
 
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows divided by a power of two so that their largest component lies between 1 and 2, and the exponents."""
+    powers = np.frexp(np.abs(x).max(axis=1, initial=0))[1] - 1
+    # in two steps: 2 ** -powers may pass what a double holds
+    half = powers // 2
+    return np.ldexp(np.ldexp(x, -half[:, None]), -(powers - half)[:, None]), powers
+
+
 def _encoded(held):
     schema = pa.schema([("id", pa.int64()), ("code", pa.binary()), ("norm", pa.float32()), ("exact", pa.list_(pa.float64()))])
 
@@ -112,7 +133,7 @@ def _encoded(held):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            codes = model.encode(_matrix(batch.column(1), batch.num_rows))
+            codes = model.encode(scaled(_matrix(batch.column(1), batch.num_rows))[0])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(model.norms(codes).astype(np.float32)), batch.column(1).cast(schema.types[3])], schema=schema)
 
     return run
@@ -123,8 +144,8 @@ def _best(held, k: int, rerank: int, metric: str):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def scored(model: AdditiveQuantiser, names: np.ndarray, queries: np.ndarray, held_part: tuple) -> tuple[list, list, list]:
-        ids, codes, norms, vectors = held_part
-        near = model.scores(queries, codes, norms, metric)
+        ids, codes, norms, vectors, powers = held_part
+        near = model.scores(*scaled(queries), codes, norms, powers, metric)
         q, v, s = [], [], []
         for name, query, line in zip(names.tolist(), queries, near, strict=True):
             line[ids == name] = -np.inf
@@ -135,11 +156,12 @@ def _best(held, k: int, rerank: int, metric: str):
             else:
                 chosen = np.arange(len(line))
             chosen = chosen[ids[chosen] != name]
-            if metric == "l2":
-                exact = -((vectors[chosen] - query) ** 2).sum(axis=1)
-            else:
-                exact = (vectors[chosen] * query).sum(axis=1)  # row by row alike: equal vectors get equal scores
-            first = np.lexsort((ids[chosen], -exact))
+            with np.errstate(over="ignore", invalid="ignore"):
+                if metric == "l2":
+                    exact = -((vectors[chosen] - query) ** 2).sum(axis=1)
+                else:
+                    exact = (vectors[chosen] * query).sum(axis=1)  # row by row alike: equal vectors get equal scores
+            first = np.lexsort((ids[chosen], -np.nan_to_num(exact, nan=-np.inf, posinf=np.inf, neginf=-np.inf)))
             first = first[np.sort(np.unique(ids[chosen][first], return_index=True)[1])][:k]  # the nearest of each id
             q.append(np.full(len(first), name))
             v.append(ids[chosen][first])
@@ -165,6 +187,7 @@ def _best(held, k: int, rerank: int, metric: str):
                     continue
                 if held_part is None and gathered:
                     held_part, gathered = tuple(np.concatenate(x) for x in zip(*gathered, strict=True)), []
+                    held_part = (*held_part, scaled(held_part[3])[1])
                 if held_part is None:  # a part without codes
                     continue
                 names = own.column(1).to_numpy()
@@ -176,11 +199,11 @@ def _best(held, k: int, rerank: int, metric: str):
 
 
 def valid_vectors(vectors: DataFrame, *, vec_id: str, vector: str) -> DataFrame:
-    """(vec_id, vector array<float>, exact array<double>) of the rows that take part."""
+    """(vec_id, exact array<double>) of the rows that take part."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     fine = F.forall("exact", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("exact", lambda x: x != 0)
     rows = vectors.where(F.col(vec_id).isNotNull() & (F.size(vector) > 0)).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("exact"))
-    return rows.where(F.coalesce(fine, F.lit(False))).select("vec_id", F.col("exact").cast("array<float>").alias("vector"), "exact")
+    return rows.where(F.coalesce(fine, F.lit(False)))
 
 
 def nearest_neighbours(vectors: DataFrame, is_query, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, rerank: int = 200, metric: str = "inner", code_block: int = CODE_BLOCK) -> DataFrame:
@@ -191,23 +214,24 @@ def nearest_neighbours(vectors: DataFrame, is_query, *, vec_id: str = "vec_id",
     spark = vectors.sparkSession
     rerank = max(rerank, k)
     rows = valid_vectors(vectors, vec_id=vec_id, vector=vector)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "exact").limit(SAMPLE).select("vector").collect()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "exact").limit(SAMPLE).select("exact").collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = np.bincount([len(r[0]) for r in sample])
     size = int(lengths.argmax())
-    model = AdditiveQuantiser(np.array([r[0] for r in sample if len(r[0]) == size], np.float32))
+    model = AdditiveQuantiser(scaled(np.array([r[0] for r in sample if len(r[0]) == size], np.float64))[0])
     held = spark.sparkContext.broadcast(model)
     rows = rows.where(F.size("exact") == size)
     codes = stash(rows.select("vec_id", "exact").mapInArrow(_encoded(held), "id long, code binary, norm float, exact array<double>"), "codes")
     count = codes.count()
-    parts = max(1, -(-count // code_block), min(2 * spark.sparkContext.defaultParallelism, -(-16 * count // code_block)))
+    parts = max(1, -(-count // code_block), math.isqrt(count) // 8)
     dealt = codes.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), "id", "code", "norm", "exact")
     queries = rows.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("exact").alias("exact"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")
     asked = queries.select(every, F.col("vec_id").alias("id"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("norm"), "exact")
     units = dealt.union(asked).repartition(parts, "part").sortWithinPartitions("part", F.col("code").isNull(), "id")
     found = units.mapInArrow(_best(held, k, rerank, metric), "query_id long, vec_id long, score double")
-    scored = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    rank = lambda c: F.when(F.isnan(c), float("-inf")).otherwise(F.col(c))
+    scored = found.groupBy("query_id", "vec_id").agg(F.max_by("score", rank("score")).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(rank("score").desc(), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

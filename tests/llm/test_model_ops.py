@@ -386,7 +386,7 @@ def test_neighbours_recall_and_blocks(spark):
 
 
 def test_neighbours_recall_at_size(spark):
-    """One part of more vectors than the sample that fits the codebooks: the candidates are 1 of 100."""
+    """More vectors than the sample that fits the codebooks."""
     rng = np.random.default_rng(3)
     x = rng.standard_normal((20_000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -394,6 +394,45 @@ def test_neighbours_recall_at_size(spark):
     assert _recall(spark, rows, code_block=16 * 65_536) >= 0.9
 
 
+def _same_as_brute(spark, x, metric="inner"):
+    """All neighbours of all queries in double precision, products of no value last."""
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in A.nearest_neighbours(df, lambda v: v % 20 == 0, metric=metric).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    lost = 0
+    with np.errstate(all="ignore"):
+        for q in range(0, len(x), 20):
+            near = (x * x[q]).sum(axis=1) if metric == "inner" else -((x - x[q]) ** 2).sum(axis=1)
+            near = np.where(np.isnan(near), -np.inf, near)
+            order = [k for k in np.lexsort((np.arange(len(x)), -near)).tolist() if k != q][:20]
+            lost += len(set(order) - set(got[q]))
+    return lost
+
+
+@pytest.mark.parametrize(("rows", "large"), [((3, 50, 120), 1e200), ((5,), 1e20), ((5,), 1e25), ((0, 20, 33), 1e100), ((7, 9), 1e-200), (range(400), 1e-150), (range(400), 1e140)])
+def test_neighbours_of_any_magnitude(spark, rows, large):
+    x = np.random.default_rng(4).standard_normal((400, 16))
+    x[list(rows)] *= large
+    assert _same_as_brute(spark, x) == 0
+
+
+def test_neighbours_by_distance_of_any_magnitude(spark):
+    x = np.random.default_rng(5).standard_normal((300, 8))
+    x[[3, 40, 41]] *= 1e30
+    assert _same_as_brute(spark, x, "l2") == 0
+
+
+def test_neighbours_do_not_depend_on_cores_or_partitions(spark):
+    import inspect
+
+    assert "defaultParallelism" not in inspect.getsource(A)
+    x = np.random.default_rng(6).standard_normal((3_000, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = [sorted(map(tuple, A.nearest_neighbours(df.repartition(n), lambda v: v % 20 == 0, rerank=20).collect())) for n in (1, 7)]
+    assert found[0] == found[1]
+
+
 def test_neighbours_few_or_none(spark):
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in A.nearest_neighbours(two, lambda v: v % 20 == 0).collect()] == [(0, 1, 1)]
@@ -408,7 +447,7 @@ def test_quantiser_beam_is_no_worse_than_greedy():
         codes = model.encode(x)
         errors.append(((x - model.decode(codes)) ** 2).sum())
         assert np.allclose(model.norms(codes), (model.decode(codes) ** 2).sum(axis=1))
-        assert np.allclose(model.scores(x[:3], codes, model.norms(codes), "inner"), x[:3] @ model.decode(codes).T, atol=1e-3)
+        assert np.allclose(model.scores(x[:3], np.zeros(3, int), codes, model.norms(codes), np.zeros(len(x), int), "inner"), x[:3] @ model.decode(codes).T, atol=1e-3)
     assert errors[1] <= errors[0]
 
 
