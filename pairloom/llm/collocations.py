@@ -1,53 +1,57 @@
 """Mining of phrase collocations by sketch, automata and exact scores.
 
-1. Sketch: each task hashes all phrases of two to `longest` words of its texts into the cells of a
-   count-min sketch (`ROWS` rows) and sends, block by block, the bits of touched cells and the counts of
+1. Sketch: each task hashes all words, and phrases of two to `longest` words, of its texts into the cells of a
+   count-min sketch (`ROWS` rows) and sends, block by block, the gaps between touched cells and the counts of
    those touched twice or more.  The blocks are summed by Spark; what is kept of a cell is the
-   bit "at least `least`", an upper bound's verdict on every phrase that falls into it.
-2. Candidates: phrases whose cells all have the bit are kept, once for each batch of texts, and with
-   them the stretches of text in which they lie, dealt to buckets by the hash of a phrase's first
-   two words.  The words are counted on the way.
-3. Automata: the distinct phrases of a bucket are compiled into pyahocorasick automata, each word
-   between delimiters (a space on either side; a line feed parts stretches), and the
-   stretches of the bucket are scanned, overlapping matches counted.  A bucket with much text
-   is dealt to several tasks, each with the bucket's automata.  Spark sums the counts.
+   bit "at least `least`", an upper bound's verdict on every word or phrase that falls into it.
+2. Shards: the stretches of text in which phrases lie whose cells all have the bit are dealt to shards by the hash
+   of a phrase's first two words; words are counted on the way.
+3. Automata: each shard compiles its candidates (phrases of its stretches with the bit) into pyahocorasick
+   automata, each word between delimiters (a space on either side; a line feed parts stretches), and scans
+   its stretches, overlapping matches counted.  Spark sums the counts.
 4. Thresholds: only now, on exact counts, come the least count, the scores of all cuts, the rule on
    longer candidates and the first `top` of each language.
 
-All occurrences of a phrase begin with the same two words, so lie in one bucket, and a place where
-such a phrase begins is kept in its bucket once (stretches that overlap are merged), so the counts are
-exact whatever the sketch lets through; it only saves work.  The sketch's width follows the
-number of phrases, up to `MOST_CELLS` (its bits are broadcast: `ROWS` times 64 MB); beyond some 2e9
-phrases it lets more and more of them through, and the cost approaches that of a plain count of
-distinct phrases.
+A place where a candidate begins is kept in one stretch of one shard (stretches that overlap are merged), and a shard
+counts all its candidates, so the sums are exact whatever the sketch lets through and however stretches are
+dealt.  The hash of the first two words brings the occurrences of a phrase together, so that few automata hold it;
+a shard that gets far more of a batch than others (a very common pair of words) is spread over all shards, batch by batch.
+The sketch's width follows the number of phrases, up to `MOST_CELLS` (its bits are broadcast: `ROWS` times 64 MB); beyond some 2e9
+phrases it lets more and more of them through, and the cost approaches that of a plain count of phrases.
 
 Defined results: a null text is empty, a null language is `und`; phrases do not cross the marks
 `. , ; : ! ?` and line ends; repeated rows count each for itself; other columns take no part,
-whatever their names; an empty table gives no rows.  Phrases are told apart within a batch by
-64-bit hashes (a collision there could hide a phrase).
+whatever their names; an empty table gives no rows.  Words and phrases are told apart within a batch of texts by
+64-bit hashes (a collision there could hide one).
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import BROADCAST_IDS, stash
+from .shared import stash
 from .wordhash import gram_hashes, hash_spans, mix
 
 ROWS = 2
 #: Cells of a row of the sketch at most; cells of a block that is summed by itself.
 MOST_CELLS, BLOCK = 1 << 29, 1 << 18
 #: Bytes of text that are worked on together.
-BATCH_BYTES = 1 << 22
-#: Patterns of one automaton; bytes of text that one task scans.
-PATTERNS, UNIT_BYTES = 150_000, 1 << 24
+BATCH_BYTES = 1 << 20
+#: Distinct words whose counts a task keeps before it sends them.
+KEPT_WORDS = 200_000
+#: Patterns of one automaton; bytes of text in a shard (a task goes through more in parts of twice as many).
+PATTERNS, SHARD_BYTES = 150_000, 1 << 24
+#: A batch's stretches for one shard are spread where they have so many bytes and so many times the mean.
+SPREAD_BYTES, SPREAD_TIMES = 1 << 14, 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -129,9 +133,23 @@ def cells_of(lang: str, hashes: np.ndarray, row: int, width: int) -> np.ndarray:
     return (mix(hashes ^ salt) & np.uint64(width - 1)).astype(np.int64)
 
 
+def gaps_of(places: np.ndarray) -> bytes:
+    """Sorted different places as gaps of one byte each; 255 stands for 255 places and another byte to follow."""
+    gaps = np.diff(places, prepend=-1) - 1
+    long_ = gaps // 255
+    out = np.full(len(gaps) + int(long_.sum()), 255, np.uint8)
+    out[np.cumsum(long_ + 1) - 1] = gaps % 255
+    return out.tobytes()
+
+
+def places_of(gaps: bytes) -> np.ndarray:
+    steps = np.frombuffer(gaps, np.uint8).astype(np.int64)
+    return (np.cumsum(steps) + np.cumsum(steps < 255) - 1)[steps < 255]
+
+
 def _sketched(width: int, longest: int, batch_bytes: int):
-    """Blocks of the sketch: (row, block, bits of the cells, places and further counts); and (-1, 0, language, words)."""
-    schema = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("bits", pa.binary()), ("places", pa.binary()), ("more", pa.binary()), ("lang", pa.string()), ("words", pa.int64())])
+    """Blocks of the sketch: (row, block, gaps of the touched cells, gaps of those touched again, how often more)."""
+    schema = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("once", pa.binary()), ("again", pa.binary()), ("more", pa.binary())])
     block = min(BLOCK, width)
 
     def blocks(row: int, cells: np.ndarray) -> pa.RecordBatch:
@@ -139,23 +157,15 @@ def _sketched(width: int, longest: int, batch_bytes: int):
         cuts = np.searchsorted(cells, np.arange(0, width + 1, block))
         out = []
         for b in np.flatnonzero(np.diff(cuts)):
-            own, n = cells[cuts[b] : cuts[b + 1]] - b * block, np.minimum(counts[cuts[b] : cuts[b + 1]], 255)
-            if len(own) * 5 < block // 8:  # few: all by their places
-                bits, extra, more = b"", own, n
-            else:
-                touched = np.zeros(block, bool)
-                touched[own] = True
-                again = n > 1
-                bits, extra, more = np.packbits(touched).tobytes(), own[again], n[again] - 1
-            out.append((row, int(b), bits, extra.astype("<u4").tobytes(), more.astype(np.uint8).tobytes(), None, None))
+            own, n = cells[cuts[b] : cuts[b + 1]].astype(np.int64) - b * block, np.minimum(counts[cuts[b] : cuts[b + 1]], 255)
+            out.append((row, int(b), gaps_of(own), gaps_of(own[n > 1]), (n[n > 1] - 1).astype(np.uint8).tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
         size = 0
         for lang, words in _by_language(batches, batch_bytes):
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((-1, 0, b"", b"", b"", lang, len(words)), schema.types, strict=True)], schema=schema)
-            hashes = np.concatenate([words.grams(n)[1] for n in range(2, longest + 1)])
+            hashes = np.concatenate([words.grams(n)[1] for n in range(1, longest + 1)])
             for row in range(ROWS):
                 held[row].append(cells_of(lang, hashes, row, width).astype(np.uint32))
             size += len(hashes)
@@ -182,14 +192,13 @@ def _summed(width: int, least: int):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*current, np.packbits(total >= least).tobytes()), schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            for row, number, bits, places, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row, number, once, again, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (row, number) != current:
                     if current is not None:
                         yield closed()
                     current, total = (row, number), np.zeros(block, np.uint16)
-                if bits:
-                    total += np.unpackbits(np.frombuffer(bits, np.uint8), count=block)
-                total[np.frombuffer(places, "<u4")] += np.frombuffer(more, np.uint8)
+                total[places_of(once)] += 1
+                total[places_of(again)] += np.frombuffer(more, np.uint8)
                 np.minimum(total, 0x7FFF, out=total)
         if current is not None:
             yield closed()
@@ -197,20 +206,19 @@ def _summed(width: int, least: int):
     return run
 
 
-def sketch_bits(texts: DataFrame, width: int, least: int, longest: int) -> tuple[np.ndarray, DataFrame]:
-    """(packed bits of each row of the sketch, stashed (lang, words) of all batches); texts (lang, text) without nulls."""
+def sketch_bits(texts: DataFrame, width: int, least: int, longest: int) -> np.ndarray:
+    """The packed bits of each row of the sketch; texts (lang, text) without nulls."""
     if least > 255:
         least = 255  # counts of one batch are cut there: a lower bar lets more through, never less
-    ddl = "row int, block int, bits binary, places binary, more binary, lang string, words long"
-    found = stash(texts.mapInArrow(_sketched(width, longest, BATCH_BYTES), ddl), "sketch")
+    found = texts.mapInArrow(_sketched(width, longest, BATCH_BYTES), "row int, block int, once binary, again binary, more binary")
     parts = max(1, min(ROWS * width // BLOCK, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = found.where("row >= 0").select("row", "block", "bits", "places", "more").repartition(parts, "row", "block").sortWithinPartitions("row", "block")
+    dealt = found.repartition(parts, "row", "block").sortWithinPartitions("row", "block")
     bits = np.zeros((ROWS, width // 8), np.uint8)
     step = min(BLOCK, width) // 8
     # collected: a bit for each cell, ROWS * MOST_CELLS / 8 bytes at most
     for r in dealt.mapInArrow(_summed(width, least), "row int, block int, bits binary").toLocalIterator():
         bits[r["row"], r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)
-    return bits, found.where("row = -1").select("lang", "words")
+    return bits
 
 
 def _passes(bits: np.ndarray, lang: str, hashes: np.ndarray, width: int) -> np.ndarray:
@@ -221,51 +229,60 @@ def _passes(bits: np.ndarray, lang: str, hashes: np.ndarray, width: int) -> np.n
     return ok
 
 
-WORD, PHRASE, STRETCH = 0, 1, 2
+def owners(pairs: np.ndarray, shards: int) -> np.ndarray:
+    """The shard that counts the phrases that begin with these pairs of words."""
+    return (mix(pairs ^ np.uint64(0xB0C7)) % np.uint64(shards)).astype(np.int64)
 
 
-def _found(held, width: int, longest: int, buckets: int, batch_bytes: int):
-    """(kind, lang, bucket, text, n): words with counts, phrases that may be frequent, and the stretches that hold them."""
-    schema = pa.schema([("kind", pa.int32()), ("lang", pa.string()), ("bucket", pa.int32()), ("text", pa.string()), ("n", pa.int64())])
+def _stretches(held, width: int, longest: int, shards: int, batch_bytes: int):
+    """(shard, lang, owner, text, n): words that may be frequent with their counts, the number of all words (with an empty text), and stretches (n null) of the `owner` among the shards."""
+    schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("owner", pa.int32()), ("text", pa.string()), ("n", pa.int64())])
 
-    def rows(kind: int, lang: str, bucket, text: list[str], n) -> pa.RecordBatch:
-        size = len(text)
-        return pa.RecordBatch.from_arrays([pa.array([kind] * size, pa.int32()), pa.array([lang] * size), pa.array(bucket, pa.int32()), pa.array(text, pa.string()), pa.array(n, pa.int64())], schema=schema)
+    def rows(lang: str, shard, owner, text: list[str], n: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([lang] * len(text), pa.string()), pa.array(owner, pa.int32()), pa.array(text, pa.string()), pa.array(n, pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
-        for lang, words in _by_language(batches, batch_bytes):
+        counted: dict[str, Counter] = defaultdict(Counter)
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for name, counter in counted.items():
+                yield rows(name, [zlib.crc32(w.encode()) % shards for w in counter], [-1] * len(counter), list(counter), list(counter.values()))
+            counted.clear()
+
+        for number, (lang, words) in enumerate(_by_language(batches, batch_bytes)):
             if not len(words):
                 continue
             _, first, counts = np.unique(words.hash, return_index=True, return_counts=True)
-            for cut in range(0, len(first), 100_000):
-                part = slice(cut, cut + 100_000)
-                yield rows(WORD, lang, [-1] * len(first[part]), [words.text(k, 1) for k in first[part].tolist()], counts[part])
+            own = counted[lang]
+            fine = _passes(bits, lang, gram_hashes(words.hash, 1)[first], width)
+            for k, n in zip(first[fine].tolist(), counts[fine].tolist(), strict=True):
+                own[words.text(k, 1)] += n
+            own[""] += len(words)
+            if sum(map(len, counted.values())) > KEPT_WORDS:
+                yield from flushed()
             at, hashes = words.grams(2)
-            bucket = np.full(len(words), -1, np.int64)
-            bucket[at] = (mix(hashes ^ np.uint64(0xB0C7)) % np.uint64(buckets)).astype(np.int64)
+            shard = np.full(len(words), -1, np.int64)
+            shard[at] = owners(hashes, shards)
             pairs = []
             for n in range(2, longest + 1):
-                place, own = words.grams(n)
-                fine = _passes(bits, lang, own, width)
-                place, own = place[fine], own[fine]
-                if not len(place):
-                    continue
-                _, once = np.unique(own, return_index=True)
-                once = place[once]
-                for cut in range(0, len(once), 100_000):
-                    part = once[cut : cut + 100_000]
-                    yield rows(PHRASE, lang, bucket[part], [words.text(k, n) for k in part.tolist()], [0] * len(part))
-                pairs += [bucket[place] * len(words) + place + k for k in range(n)]
-            if not pairs:
-                continue
+                place, hashes = words.grams(n)
+                place = place[_passes(bits, lang, hashes, width)]
+                pairs += [shard[place] * len(words) + place + k for k in range(n)]
             pairs = np.unique(np.concatenate(pairs))
+            if not len(pairs):
+                continue
             owner, index = np.divmod(pairs, len(words))
             before = np.ones(len(index), bool)
             before[1:] = (owner[1:] != owner[:-1]) | (index[1:] != index[:-1] + 1) | (words.piece[index[1:]] != words.piece[index[:-1]])
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]])
-            stretches = [words.copied(index[a:b], before[a:b]).decode() + "\n" for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield rows(STRETCH, lang, owner[cuts[:-1]], stretches, [len(s) for s in stretches])
+            texts = [words.copied(index[a:b], before[a:b]).decode() + "\n" for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            to = owner[cuts[:-1]]
+            sizes = np.array([len(t) for t in texts])
+            large = (sizes >= SPREAD_BYTES) & (sizes >= SPREAD_TIMES * sizes.sum() / shards)
+            salt = zlib.crc32(texts[0].encode()) + number
+            yield rows(lang, np.where(large, (to + salt) % shards, to), to, texts, [None] * len(texts))
+        yield from flushed()
 
     return run
 
@@ -281,74 +298,78 @@ def compile_automaton(phrases: list[str]):
     return automaton
 
 
-def _scanned(most_patterns: int, unit_bytes: int):
-    """(lang, phrase, n) from rows (unit, lang, text), each unit's phrases (lang null) before its stretches."""
+def _scanned(held, width: int, longest: int, shards: int, most_patterns: int, shard_bytes: int):
+    """(lang, phrase, n) from rows (shard, lang, owner, text, n) sorted by shard: words pass, the candidates that are an owner's are counted in its stretches."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
-    def counted(phrases: list[str], texts: dict[str, list[str]]) -> Iterator[pa.RecordBatch]:
+    def candidates(lang: str, owner: int, texts: list[str]) -> list[str]:
+        words = Words([t.encode() for t in texts])
+        found, mine = [], np.zeros(len(words), bool)
+        at, hashes = words.grams(2)
+        mine[at] = owners(hashes, shards) == owner
+        for n in range(2, longest + 1):
+            place, hashes = words.grams(n)
+            place, hashes = place[mine[place]], hashes[mine[place]]
+            fine = _passes(held.value, lang, hashes, width)
+            _, first = np.unique(hashes[fine], return_index=True)
+            found += [words.text(k, n) for k in place[fine][first].tolist()]
+        return found
+
+    def counted(lang: str, owner: int, texts: list[str]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, None] = {}
+        part, size = [], 0
+        for text in texts:
+            part.append(text)
+            size += len(text)
+            if size >= 1 << 20:
+                known.update(dict.fromkeys(candidates(lang, owner, part)))
+                part, size = [], 0
+        if part:
+            known.update(dict.fromkeys(candidates(lang, owner, part)))
+        phrases = list(known)
         for cut in range(0, len(phrases), most_patterns):
             own = phrases[cut : cut + most_patterns]
             automaton = compile_automaton(own)
-            for lang, parts in texts.items():
-                n = np.zeros(len(own), np.int64)
-                for text in parts:
-                    found = np.fromiter((v for _, v in automaton.iter(text)), np.int64)
-                    n += np.bincount(found, minlength=len(own))
-                hit = np.flatnonzero(n)
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit)), pa.array([own[k] for k in hit.tolist()]), pa.array(n[hit])], schema=schema)
+            n = np.zeros(len(own), np.int64)
+            for text in texts:
+                n += np.bincount(np.fromiter((v for _, v in automaton.iter(text)), np.int64), minlength=len(own))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own, pa.string()), pa.array(n)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, phrases, texts, size = None, [], {}, 0
+        shard, texts, size = None, {}, 0
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            for (lang, owner), parts in texts.items():
+                yield from counted(lang, owner, parts)
+
         for batch in batches:
-            for number, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if number != unit:
-                    if texts:
-                        yield from counted(phrases, texts)
-                    unit, phrases, texts, size = number, [], {}, 0
-                if lang is None:
-                    phrases.append(text)
-                    continue
-                texts.setdefault(lang, []).append(text)
+            words = batch.column(4).is_valid()
+            if pc.any(words).as_py():
+                own = batch.filter(words)
+                yield pa.RecordBatch.from_arrays([own.column(1), own.column(3), own.column(4)], schema=schema)
+            for number, lang, owner, text in zip(*(c.to_pylist() for c in batch.filter(pc.invert(words)).columns[:4]), strict=True):
+                if number != shard or size >= 2 * shard_bytes:  # the latter bounds memory, whatever the hashes did
+                    yield from closed()
+                    shard, texts, size = number, {}, 0
+                texts.setdefault((lang, owner), []).append(text)
                 size += len(text)
-                if size >= 2 * unit_bytes:  # bounds memory, whatever the salts did
-                    yield from counted(phrases, texts)
-                    texts, size = {}, 0
-        if texts:
-            yield from counted(phrases, texts)
+        yield from closed()
 
     return run
 
 
-def phrase_counts(texts: DataFrame, *, least: int = 10, longest: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """((lang, phrase, n) of all phrases of 2 to `longest` words with n >= least, (lang, phrase, n) of all words, (lang, n)); texts (lang, text) without nulls."""
+def phrase_counts(texts: DataFrame, *, least: int = 10, longest: int = 3) -> DataFrame:
+    """(lang, phrase, n): words, phrases of 2 to `longest` words with n >= least, and with an empty phrase the number of all words; texts (lang, text) without nulls."""
     spark = texts.sparkSession
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    phrases = max(1, chars // 6 * (longest - 1))
+    phrases = max(1, chars // 6 * longest)
     width = min(MOST_CELLS, max(1 << 16, 1 << (phrases // 8).bit_length()))
-    bits, words = sketch_bits(texts, width, least, longest)
-    hot = min(sum(int(np.unpackbits(row[k : k + (1 << 20)]).sum()) for k in range(0, width // 8, 1 << 20)) for row in bits)
-    buckets = max(1, -(-hot // PATTERNS))
-    held = spark.sparkContext.broadcast(bits)
-    found = stash(texts.mapInArrow(_found(held, width, longest, buckets, BATCH_BYTES), "kind int, lang string, bucket int, text string, n long"), "phrases")
-    patterns = stash(found.where(F.col("kind") == PHRASE).select("bucket", "text").distinct(), "patterns")
-    # collected: a row for each bucket, of which there is one for each `PATTERNS` cells of the sketch
-    volume = {r["bucket"]: r["v"] for r in found.where(F.col("kind") == STRETCH).groupBy("bucket").agg(F.sum("n").alias("v")).collect()}
-    words_by_lang = words.groupBy("lang").agg(F.sum("words").alias("n"))
-    single = stash(found.where(F.col("kind") == WORD).groupBy("lang", F.col("text").alias("phrase")).agg(F.sum("n").alias("n")), "words")
-    units, table = 0, []
-    for b, v in sorted(volume.items()):
-        salts = max(1, -(-v // UNIT_BYTES))
-        table.append((b, units, salts))
-        units += salts
-    at = spark.createDataFrame(table, "bucket int, first int, salts int")
-    at = F.broadcast(at) if len(table) <= BROADCAST_IDS else at
-    lines = found.where(F.col("kind") == STRETCH).join(at, "bucket").select((F.col("first") + F.pmod(F.xxhash64("text"), "salts").cast("int")).alias("unit"), "lang", "text")
-    each = F.explode(F.sequence("first", F.col("first") + F.col("salts") - 1)).alias("unit")
-    known = patterns.join(at, "bucket").select(each, F.lit(None).cast("string").alias("lang"), "text")
-    dealt = known.unionByName(lines).repartition(max(1, units), "unit").sortWithinPartitions("unit", F.col("lang").asc_nulls_first())
-    counts = dealt.mapInArrow(_scanned(PATTERNS, UNIT_BYTES), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return stash(counts.where(F.col("n") >= least), "frequent"), single, words_by_lang
+    held = spark.sparkContext.broadcast(sketch_bits(texts, width, least, longest))
+    shards = max(1, -(-chars // SHARD_BYTES))
+    lines = texts.mapInArrow(_stretches(held, width, longest, shards, BATCH_BYTES), "shard int, lang string, owner int, text string, n long")
+    dealt = lines.repartition(shards, "shard").sortWithinPartitions("shard")
+    counts = dealt.mapInArrow(_scanned(held, width, longest, shards, PATTERNS, SHARD_BYTES), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return stash(counts.where((F.col("n") >= least) | (F.col("phrase") == "")), "frequent")
 
 
 def whole_score(a, part, rest):
@@ -365,13 +386,14 @@ def mine_collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang"
     A phrase is dropped if a longer candidate that holds it has at least `share` percent of its count.
     """
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    frequent, single, sizes = phrase_counts(texts, least=least, longest=longest)
+    known = phrase_counts(texts, least=least, longest=longest)
+    sizes = known.where("phrase = ''").select("lang", "n")
+    frequent = known.where(F.col("phrase").contains(" "))
     words = F.split("phrase", " ")
     cut = lambda w, k: F.array_join(F.slice(w, 1, k), " ")
     rest = lambda w, k: F.array_join(F.slice(w, k + 1, F.size(w)), " ")
     cuts = frequent.withColumn("w", words).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("w") - 1)))
     cuts = cuts.select("lang", "phrase", F.col("n").alias("a"), "k", cut(F.col("w"), F.col("k")).alias("first"), rest(F.col("w"), F.col("k")).alias("rest"))
-    known = frequent.unionByName(single)
     with_l = cuts.join(known.select("lang", F.col("phrase").alias("first"), F.col("n").alias("l")), ["lang", "first"])
     with_r = with_l.join(known.select("lang", F.col("phrase").alias("rest"), F.col("n").alias("r")), ["lang", "rest"])
     scored = with_r.withColumn("score", whole_score(F.col("a"), F.col("l"), F.col("r")))

@@ -142,7 +142,7 @@ def test_collocations_equal_plain_counts(spark, monkeypatch, seed, patterns, uni
     rows = _texts(seed)
     if patterns:
         monkeypatch.setattr(P, "PATTERNS", patterns)
-        monkeypatch.setattr(P, "UNIT_BYTES", unit)
+        monkeypatch.setattr(P, "SHARD_BYTES", unit)
         monkeypatch.setattr(P, "BATCH_BYTES", batch)
     df = spark.createDataFrame(rows, "text string, lang string").selectExpr("*", "1 as n", "2 as phrase", "3 as bucket")
     got = sorted(tuple(r) for r in P.mine_collocations(df).collect())
@@ -156,6 +156,30 @@ def test_collocations_are_exact_when_the_sketch_lets_all_through(spark, monkeypa
     assert got == _plain_phrases(rows)
 
 
+def test_gaps_lead_back_to_places():
+    rng = np.random.default_rng(2)
+    for size, count in ((10, 0), (10, 10), (5_000, 3), (1 << 18, 900), (1 << 18, 60_000)):
+        places = np.sort(rng.choice(size, count, replace=False))
+        assert P.places_of(P.gaps_of(places)).tolist() == places.tolist()
+    assert P.places_of(P.gaps_of(np.array([254, 255, 510, 766]))).tolist() == [254, 255, 510, 766]
+
+
+def test_sketch_lets_few_rare_phrases_through(spark):
+    """The bits of the merged sketch are those of plain counts of its cells."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 400)) for _ in range(60)) for _ in range(800)] + ["one common phrase"] * 30
+    df = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").repartition(5)
+    width = 1 << 16
+    bits = P.sketch_bits(df, width, 10, 3)
+    for row in range(P.ROWS):
+        total = np.zeros(width, np.int64)
+        for t in texts:
+            words = P.Words([t.encode()])
+            for n in (1, 2, 3):
+                np.add.at(total, P.cells_of("en", words.grams(n)[1], row, width), 1)
+        assert (np.unpackbits(bits[row]).astype(bool) == (total >= 10)).all()
+
+
 def test_collocations_of_one_hot_phrase_and_of_nothing(spark):
     rows = [("same words here " * 500, "en")] * 30 + [("same words", "de")] * 10
     got = sorted(tuple(r) for r in P.mine_collocations(spark.createDataFrame(rows, "text string, lang string")).collect())
