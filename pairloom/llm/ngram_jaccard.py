@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .shared import BROADCAST_IDS, binary, stash
+from .shared import BROADCAST_IDS, binary, released, stash
 from .wordhash import _STEP, mix, shingle_set
 
 #: Hash orders whose minima make the cells of step 2, and rows of one block of these.
@@ -517,7 +517,7 @@ def _degrees(label: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     units = placed.where("size > 2").select(F.col("node").alias("doc_id"), "component", "block", partner)
     wanted = units.select("doc_id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     held = _texts(docs, wanted).select("component", "i", "j", "side", "doc_id", "text")
-    parts = held.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "doc_id").mapInArrow(_counts(n, percent), "rep long, n_links long")
+    parts = held.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "doc_id").mapInArrow(released(_counts(n, percent)), "rep long, n_links long")
     return two.union(parts.groupBy("rep").agg(F.sum("n_links").alias("n_links")))
 
 
@@ -584,7 +584,7 @@ def _cut(cells: DataFrame) -> DataFrame:
 def _by_unit(units: DataFrame, payload: DataFrame, search) -> DataFrame:
     """(a, b) that `search` finds in the units; payload (rep, map)."""
     rows = units.join(payload, "rep").select("token", "i", "j", "side", "n", "rep", "component", "map", "first")
-    return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(search, "a long, b long").distinct()
+    return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(released(search), "a long, b long").distinct()
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -603,7 +603,7 @@ def _verify(asked: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
     wanted = asked.select(*unit, F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     held = _texts(docs, wanted).select(*unit, F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     rows = held.unionByName(asked.select(*unit, F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("text")))
-    return rows.repartition(*unit).sortWithinPartitions(*unit, "kind", "a", "b").mapInArrow(_verified(n, percent), "a long, b long").distinct()
+    return rows.repartition(*unit).sortWithinPartitions(*unit, "kind", "a", "b").mapInArrow(released(_verified(n, percent)), "a long, b long").distinct()
 
 
 def _grouped(pairs: DataFrame) -> DataFrame:
@@ -624,7 +624,7 @@ def ngram_jaccard_join(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), binary(text).alias("text"))
     schema = "kind byte, doc_id long, n int, sig binary, keys array<long>, map binary"
-    profiles = stash(docs.mapInArrow(_profiles(n, percent), schema), "profiles")
+    profiles = stash(docs.mapInArrow(released(_profiles(n, percent)), schema), "profiles")
     rows = profiles.where("kind = 0")
     filled = rows.where("n > 0 and doc_id is not null")
     one = F.min(F.struct("doc_id", "n", "keys", "map")).alias("one")
@@ -635,7 +635,7 @@ def ngram_jaccard_join(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     cells = keyed.groupBy("o", "key").agg(F.count("*").alias("g")).where("g > 1")
     block = F.pmod(F.xxhash64("rep", "o"), F.ceil(F.col("g") / FAMILY))
     dealt = keyed.join(cells, ["o", "key"]).select("o", "key", block.alias("block"), "rep", "n", "map")
-    pairs = dealt.repartition("o", "key", "block").sortWithinPartitions("o", "key", "block").mapInArrow(_families(percent), "o int, key long, block long, a long, b long")
+    pairs = dealt.repartition("o", "key", "block").sortWithinPartitions("o", "key", "block").mapInArrow(released(_families(percent)), "o int, key long, block long, a long, b long")
     asked = pairs.groupBy("a", "b").agg(F.min(F.struct(F.col("key").alias("component"), F.col("o").cast("long").alias("i"), F.col("block").alias("j"))).alias("u")).select("u.*", "a", "b")
     links = stash(_verify(asked, docs, n, percent), "links")
     found = components(links)
@@ -645,12 +645,12 @@ def ngram_jaccard_join(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     found_often = np.array([r[0] for r in top.select("token").collect()], np.int64).view(np.uint64)[::-1]  # the most frequent last
     by_value = np.argsort(found_often)
     frequent = found_often[by_value], by_value
-    prefixes = docs.mapInArrow(_prefixes(n, percent, frequent), "doc_id long, n int, tokens array<long>, first int")
+    prefixes = docs.mapInArrow(released(_prefixes(n, percent, frequent)), "doc_id long, n int, tokens array<long>, first int")
     members = stash(classes.select("rep").distinct().join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component")), "members")
     prefixes = prefixes.join(members.withColumnRenamed("rep", "doc_id"), "doc_id")
     cells = prefixes.select(F.posexplode("tokens").alias("at", "token"), "n", F.col("doc_id").alias("rep"), "component", "first").select("token", "n", "rep", "component", (F.col("at") < F.col("first")).alias("first"))
     cells = stash(cells, "cells")
-    often = cells.select("token").mapInArrow(_often, "token long, times long")
+    often = cells.select("token").mapInArrow(released(_often), "token long, times long")
     hot = stash(often.groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= HOT_CELL).select("token"), "hot")
     n_hot = hot.count()
     few = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
@@ -658,7 +658,7 @@ def ngram_jaccard_join(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     sized = apart.withColumn("size", F.count("*").over(Window.partitionBy("token")))
     large = _cut(sized.where(F.col("size") > large_cell).drop("size"))
     large = stash(large.union(_hot_units(cells.join(few, "token", "left_semi"), percent)) if n_hot else large, "large")
-    sets = _texts(docs, large.select(F.col("rep").alias("doc_id")).distinct()).select("doc_id", "text").mapInArrow(_sets(n), "doc_id long, tokens binary").toDF("rep", "map")
+    sets = _texts(docs, large.select(F.col("rep").alias("doc_id")).distinct()).select("doc_id", "text").mapInArrow(released(_sets(n)), "doc_id long, tokens binary").toDF("rep", "map")
     more = stash(_by_unit(large, sets, _search_large(percent)), "links")
     merged = components(more.join(members.toDF("a", "ca"), "a").join(members.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).toDF("component", "merged")
     small = sized.where(F.col("size") <= large_cell).join(merged, "component", "left").select("token", "n", "rep", F.coalesce("merged", "component").alias("component"), "first")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import BROADCAST_IDS, stash
+from .shared import BROADCAST_IDS, released, stash
 
 #: Pieces of one length and salt that one task ranks: so many, or this share of all pieces if that is more (which bounds the salts).
 PER_SALT, SALT_SHARE = 1_000, 100_000
@@ -120,7 +120,7 @@ def _pieces(path: str, capacity: int, end_id: int):
 def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): whole documents, longer ones cut, the first piece taking what is over."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_pieces(tokenizer, capacity, end_id), _PIECE_SQL)
+    return rows.mapInArrow(released(_pieces(tokenizer, capacity, end_id)), _PIECE_SQL)
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:
@@ -221,4 +221,4 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, per_salt: int = PER_SALT) -
     def run(batches):
         yield from _placed(held.value)(batches)
 
-    return ranked.mapInArrow(run, f"{_PIECE_SQL}, sequence_id long, offset long")
+    return ranked.mapInArrow(released(run), f"{_PIECE_SQL}, sequence_id long, offset long")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,26 @@ def keep_ids(df: DataFrame, on: str, ids: DataFrame, count: int) -> DataFrame:
     return df.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, on, "left_semi")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers stay for later stages, and several share an executor's bound."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc alone has it
+        trim(0)
+
+
+def released(run):
+    """The function over batches, with freed memory given back when a task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def binary(name: str) -> Column:
     """The UTF-8 bytes of a text column."""
     return F.col(name).cast("string").cast("binary")

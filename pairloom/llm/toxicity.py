@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from .shared import binary
+from .shared import binary, give_back
 from .wordhash import ALNUM_WORDS, hash_spans, mix, spans
 
 #: Documented bounds of the labelled sample (texts).
@@ -212,6 +212,8 @@ def score_toxicity(docs: DataFrame, model: Cnn, *, text: str = "text", into: str
 
     @F.arrow_udf(DoubleType())
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array([held.value.score(t.as_py()) for t in texts], pa.float64())
+        found = pa.array([held.value.score(t.as_py()) for t in texts], pa.float64())
+        give_back()
+        return found
 
     return docs.withColumn(into, score(binary(text)))
