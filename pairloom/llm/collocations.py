@@ -365,7 +365,8 @@ def phrase_counts(texts: DataFrame, *, least: int = 10, longest: int = 3) -> Dat
     phrases = max(1, chars // 6 * longest)
     width = min(MOST_CELLS, max(1 << 16, 1 << (phrases // 8).bit_length()))
     held = spark.sparkContext.broadcast(sketch_bits(texts, width, least, longest))
-    shards = max(1, -(-chars // SHARD_BYTES))
+    # smaller ones where there would be fewer than partitions
+    shards = max(1, -(-chars // SHARD_BYTES), min(-(-16 * chars // SHARD_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     lines = texts.mapInArrow(_stretches(held, width, longest, shards, BATCH_BYTES), "shard int, lang string, owner int, text string, n long")
     dealt = lines.repartition(shards, "shard").sortWithinPartitions("shard")
     counts = dealt.mapInArrow(_scanned(held, width, longest, shards, PATTERNS, SHARD_BYTES), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
