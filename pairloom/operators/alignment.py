@@ -1,7 +1,7 @@
 """Alignment of token pairs and the algebra of edit operations.
 
 Opcodes (tag, i1, i2, j1, j2) come from recursive longest-matching blocks, which
-has no native form, so one Arrow function makes them; all that follows from
+has no native form, so one Arrow function makes them, with numpy over the pairs of equal tokens; all that follows from
 opcodes or slots is native.  A slot is struct(a0, a1), null for a blank; kinds are
 0 insert, 1 delete, 2 substitute, 3 move.
 """
@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import difflib
 import re
+from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,17 +25,64 @@ OPCODES = ArrayType(StructType([StructField("tag", StringType()), *(StructField(
 _OPCODES = pa.list_(pa.struct([("tag", pa.string()), *((x, pa.int32()) for x in ("i1", "i2", "j1", "j2"))]))
 
 
+#: Equal pairs of tokens that are held at once (some 20 bytes each); beyond, the standard library's matcher, slower in less memory.
+MOST_CELLS = 20_000_000
+
+
+def matching_blocks(a: list, b: list) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, length) of the longest run of equal tokens, the first of equals in a and then in b, and so on to its left and right.
+
+    All pairs of equal tokens are cells of a matrix, held as arrays sorted by place in a, then in b.  How far a run goes on from
+    a cell is read off its diagonal once; within a part of the matrix it is cut at the part's edge.
+    """
+    where: dict = {}
+    for j, token in enumerate(b):
+        where.setdefault(token, []).append(j)
+    columns = [where.get(token, ()) for token in a]
+    sizes = np.array([len(c) for c in columns], np.int64)
+    if not sizes.sum():
+        return []
+    if sizes.sum() > MOST_CELLS:
+        return [m for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m[2]]
+    i, j = np.repeat(np.arange(len(a)), sizes), np.concatenate([np.array(c, np.int64) for c in columns if len(c)])
+    order = np.lexsort((i, i - j))
+    di, dj = i[order], j[order]
+    ends = np.flatnonzero(np.append((np.diff(di - dj) != 0) | (np.diff(di) != 1), True))
+    run = np.empty(len(i), np.int64)
+    run[order] = di[ends][np.searchsorted(ends, np.arange(len(i)))] - di + 1
+    found, parts = [], [(len(a), len(b), np.arange(len(i)))]
+    while parts:
+        high_a, high_b, cells = parts.pop()
+        if not len(cells):
+            continue
+        own_i, own_j = i[cells], j[cells]
+        length = np.minimum(run[cells], np.minimum(high_a - own_i, high_b - own_j))
+        k = int(np.argmax(length))  # the first of equals
+        x, y, n = int(own_i[k]), int(own_j[k]), int(length[k])
+        found.append((x, y, n))
+        parts.append((x, y, cells[(own_i < x) & (own_j < y)]))
+        parts.append((high_a, high_b, cells[(own_i >= x + n) & (own_j >= y + n)]))
+    return sorted(found)
+
+
+def opcode_rows(a: list, b: list) -> list[tuple[str, int, int, int, int]]:
+    """(tag, i1, i2, j1, j2) that lead from a to b: equal blocks, and what lies between them."""
+    out, x, y = [], 0, 0
+    for i, j, n in [*matching_blocks(a, b), (len(a), len(b), 0)]:
+        if x < i or y < j:
+            out.append(("replace" if x < i and y < j else "delete" if x < i else "insert", x, i, y, j))
+        if n:
+            out.append(("equal", i, i + n, j, j + n))
+        x, y = i + n, j + n
+    return out
+
+
 @F.arrow_udf(OPCODES)
 def _opcodes(source: pa.Array, target: pa.Array) -> pa.Array:
     """Opcodes of two token arrays; null if either is null."""
-    out = []
-    for a, b in zip(source, target, strict=True):
-        if not (a.is_valid and b.is_valid):
-            out.append(None)
-            continue
-        found = difflib.SequenceMatcher(None, a.as_py(), b.as_py(), autojunk=False).get_opcodes()
-        out.append([dict(zip(("tag", "i1", "i2", "j1", "j2"), op, strict=True)) for op in found])
-    return pa.array(out, _OPCODES)
+    names = ("tag", "i1", "i2", "j1", "j2")
+    rows = [[dict(zip(names, op, strict=True)) for op in opcode_rows(a, b)] if a is not None and b is not None else None for a, b in zip(source.to_pylist(), target.to_pylist(), strict=True)]
+    return pa.array(rows, _OPCODES)
 
 
 #: Marked so that the optimizer keeps it in a projection of its own: it must not end up inside a lambda, or run twice.
@@ -495,6 +544,34 @@ def _words_with_offsets(texts: pa.Array) -> pa.Array:
 words_with_offsets = _words_with_offsets.asNondeterministic()
 
 
+def subword_offsets(path: str):
+    """An Arrow function from texts to array<struct<w, cs, ce>>: the tokens of the tokenizer file at `path` with their character offsets.
+
+    Tokens that share a character (pieces of its bytes) have the same offsets; special tokens that the file adds have none (0, 0).  A null text
+    gives null, an empty one the special tokens alone.  The file is read once in each worker.
+    """
+
+    @F.arrow_udf(_WORDS)
+    def tokens(texts: pa.Array) -> pa.Array:
+        tokenizer = _tokenizer(path)
+        given = texts.to_pylist()
+        encoded = iter(tokenizer.encode_batch([t for t in given if t is not None], add_special_tokens=True))
+        rows = []
+        for t in given:
+            found = next(encoded) if t is not None else None
+            rows.append(None if found is None else [{"w": w, "cs": cs, "ce": ce} for w, (cs, ce) in zip(found.tokens, found.offsets, strict=True)])
+        return pa.array(rows, pa.list_(pa.struct([("w", pa.string()), ("cs", pa.int32()), ("ce", pa.int32())])))
+
+    return tokens.asNondeterministic()
+
+
+@lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(path)
+
+
 def _special(token: Column) -> Column:
     return (token["cs"] == 0) & (token["ce"] == 0)
 

@@ -13,10 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pairloom.functions.text import let
+
 # Fixed values.
 TOUGH_ADJECTIVES = ("hard", "easy", "difficult", "tough", "impossible", "simple")
 SPEECH_VERBS = ("said", "asked", "replied", "shouted", "whispered", "added", "answered", "explained")
@@ -86,36 +89,36 @@ def _ending(words: Column, place: Column, run: Run) -> Column:
     return F.transform(words, lambda w, i: (i >= place) & run.until(w) & follows(i))
 
 
-def _matched(words: Column, rule: Rule) -> tuple[Column, dict[str, Column]]:
-    """Whether the parts cover the words, and the text of each part."""
-    place: Column = F.lit(0)
-    tests, found = [], {}
-    for k, part in enumerate(rule.parts):
+def _matched(words: Column, rule: Rule, then: Callable[[Column, dict[str, Column]], Column]) -> Column:
+    """then(whether the parts cover the words, the text of each part); the end of each run is computed once and bound to a name."""
+
+    def step(k: int, place: Column, tests: list[Column], found: dict[str, Column]) -> Column:
+        if k == len(rule.parts):
+            return then(reduce(lambda x, y: x & y, [*tests, place == F.size(words)]), found)
+        part = rule.parts[k]
         if isinstance(part, One):
             word = _at(words, place)
-            tests.append(F.lower(word).isin(*(w.lower() for w in part.among)) if part.among else word.rlike(r"^\w+$"))
-            found[part.name] = word
-            place = place + 1
-            continue
-        behind = len(rule.parts) - k - 1
+            test = F.lower(word).isin(*(w.lower() for w in part.among)) if part.among else word.rlike(r"^\w+$")
+            return step(k + 1, place + 1, [*tests, test], found | {part.name: word})
         if part.until is not None:
             here = _ending(words, place, part)
             last = F.array_position(F.reverse(here), True) if part.greedy else F.array_position(here, True)
-            end = F.when(last > 0, F.size(words) - last + 1 if part.greedy else last).otherwise(-1)
+            end = let(last, lambda x: F.when(x > 0, F.size(words) - x + 1 if part.greedy else x).otherwise(-1).cast("int"))
         else:
-            end = F.size(words) - behind
-        length = (end - place).cast("int")
-        taken = F.slice(words, F.greatest(place + 1, F.lit(1)).cast("int"), F.greatest(length, F.lit(0)))
-        tests.append((length >= part.least) & (length <= (part.most or 1 << 30)))
-        if part.every is not None:
-            tests.append(F.forall(taken, part.every))
-        found[part.name] = F.array_join(taken, " ")
-        place = end
-    tests.append(place == F.size(words))
-    whole = tests[0]
-    for t in tests[1:]:
-        whole = whole & t
-    return whole, found
+            end = F.size(words) - (len(rule.parts) - k - 1)
+
+        def run(both: Column) -> Column:
+            place, end = both["place"], both["end"]
+            length = end - place
+            taken = F.slice(words, F.greatest(place + 1, F.lit(1)), F.greatest(length, F.lit(0)))
+            own = [(length >= part.least) & (length <= (part.most or 1 << 30))]
+            if part.every is not None:
+                own.append(F.forall(taken, part.every))
+            return step(k + 1, end, [*tests, *own], found | {part.name: F.array_join(taken, " ")})
+
+        return let(F.struct(place.cast("int").alias("place"), end.alias("end")), run)
+
+    return step(0, F.lit(0), [], {})
 
 
 def _piece(name: str, found: dict[str, Column]) -> Column:
@@ -131,15 +134,19 @@ def _made(test: Column, kind: str, family: str, text: Column) -> Column:
 
 
 def apply_rule(text: Column, rule: Rule) -> Column:
-    """array<struct<t_type, family, out_text>> of none or one."""
+    """array<struct<t_type, family, out_text>> of none or one; the cheap tests of the whole text come first."""
     body = F.regexp_replace(text, r"\.$", "") if rule.stop else text
-    test, found = _matched(F.split(body, " "), rule)
-    if rule.stop:
-        test = test & text.endswith(".")
-    if rule.also is not None:
-        test = test & rule.also(text)
-    joined = F.concat_ws(" ", *(_piece(name, found) for name in rule.target))
-    return _made(test, rule.kind, rule.family, F.concat(joined, F.lit("." if rule.stop else "")))
+
+    def made(test: Column, found: dict[str, Column]) -> Column:
+        joined = F.concat_ws(" ", *(_piece(name, found) for name in rule.target))
+        return _made(test, rule.kind, rule.family, F.concat(joined, F.lit("." if rule.stop else "")))
+
+    whole = let(F.split(body, " "), lambda words: _matched(words, rule, made))
+    cheap = [text.endswith(".")] if rule.stop else []
+    cheap += [rule.also(text)] if rule.also is not None else []
+    if not cheap:
+        return whole
+    return F.when(reduce(lambda x, y: x & y, cheap), whole).otherwise(F.array().cast("array<struct<t_type:string,family:string,out_text:string>>"))
 
 
 def _ends(mark: str) -> Test:
@@ -188,14 +195,12 @@ def uncleft(text: Column) -> Column:
 def split_join(text: Column) -> Column:
     """A, and B.  <->  A. B.  (split where each part has three words or more)."""
     split, join = (apply_rule(text, next(r for r in RULES if r.kind == k)) for k in ("SPLIT:,and->.", "JOIN:.->,and"))
-    words = F.split(text, " ")
     end = {",": Run("left", until=_ends(","), before="and"), ".": Run("left", until=_ends("."))}
-    first = lambda mark: F.array_position(_ending(words, F.lit(0), end[mark]), True).cast("int")
 
     def put(p: Column, mark: str, between: str) -> Column:
         """The two parts with another mark between them; they are joined by a space so far."""
-        cut = F.length(F.array_join(F.slice(words, 1, F.greatest(first(mark), F.lit(0))), " ")) - 1
-        return p.withField("out_text", F.concat(F.substr(p["out_text"], F.lit(1), cut), F.lit(between), F.substr(p["out_text"], cut + 2)))
+        left = lambda words: let(F.array_position(_ending(words, F.lit(0), end[mark]), True).cast("int"), lambda k: F.length(F.array_join(F.slice(words, 1, F.greatest(k, F.lit(0))), " ")) - 1)
+        return let(let(F.split(text, " "), left), lambda cut: p.withField("out_text", F.concat(F.substr(p["out_text"], F.lit(1), cut), F.lit(between), F.substr(p["out_text"], cut + 2))))
 
     return F.concat(F.transform(split, lambda p: put(p, ",", ". ")), F.transform(join, lambda p: put(p, ".", ", and ")))
 

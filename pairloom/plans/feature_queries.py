@@ -214,10 +214,9 @@ def w2_ranked_selection(spark, d):
 @query("st5_auroc_sparse", f"""WITH dense AS (SELECT g.label AS grp, e.vec_id, e.label = g.label AS positive, generate_subscripts(e.embedding, 1) - 1 AS f, unnest(e.embedding) AS x FROM embeddings e, (SELECT DISTINCT label FROM embeddings) g),
 v AS (SELECT grp, f, positive, CASE WHEN CAST(x AS DOUBLE) > 0.1 THEN CAST(x AS DOUBLE) ELSE 0 END AS v FROM dense),
 r AS (SELECT grp, f, positive, rank() OVER (PARTITION BY grp, f ORDER BY v) + (count(*) OVER (PARTITION BY grp, f, v) - 1) / 2.0 AS r FROM v)
-SELECT grp, f, round((sum(r) FILTER (WHERE positive) - count(*) FILTER (WHERE positive) * (count(*) FILTER (WHERE positive) + 1) / 2.0) / (count(*) FILTER (WHERE positive) * count(*) FILTER (WHERE NOT positive)), 6) AS auroc FROM r WHERE f < 16 GROUP BY grp, f""")
+SELECT grp, f, round((sum(r) FILTER (WHERE positive) - count(*) FILTER (WHERE positive) * (count(*) FILTER (WHERE positive) + 1) / 2.0) / (count(*) FILTER (WHERE positive) * count(*) FILTER (WHERE NOT positive)), 6) AS auroc FROM r GROUP BY grp, f""")
 def st5_auroc_sparse(spark, d):
-    entries = _one_vs_rest(spark, d).where("f < 16")
-    return X.sparse_auroc(entries, _class_sizes(spark, d)).select("grp", "f", F.round("auroc", 6).alias("auroc"))
+    return X.sparse_auroc(_one_vs_rest(spark, d), _class_sizes(spark, d)).select("grp", "f", F.round("auroc", 6).alias("auroc"))
 
 
 @query("st5_auroc_dense", """WITH v AS (SELECT l.quality = 1 AS positive, CAST(d.n_chars AS DOUBLE) AS v, d.lang FROM documents d JOIN labels l USING (doc_id)),

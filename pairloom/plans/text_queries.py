@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from pairloom.functions import text as T
@@ -29,6 +31,14 @@ def f1_sentences(spark, d):
     return B.sentences(spark, d).select("doc_id", "pos", "sentence")
 
 
+_SQL_SPLIT = "list_filter(list_transform(regexp_extract_all(text, '" + T.SQL_SPLITTER.replace("'", "''") + "'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+
+
+@query("f1_split_sentences", f"SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT doc_id, {_SQL_SPLIT} AS s FROM documents)")
+def f1_split_sentences(spark, d):
+    return B.documents(spark, d).select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
+
+
 @query("f2_sentence_length_filter", f"SELECT doc_id, count(*) AS n, min(length(sentence)) AS shortest, max(length(sentence)) AS longest FROM {B.SQL_SENTENCES} WHERE length(sentence) BETWEEN 16 AND 2000 GROUP BY doc_id")
 def f2_sentence_length_filter(spark, d):
     kept = S.eligible(B.sentences(spark, d), F.length("sentence"), 16, 2000)
@@ -156,6 +166,22 @@ def s3_shard_assignment(spark, d):
     return each[0].union(each[1]).union(each[2])
 
 
+WORKERS, EPOCHS, RESUMED = 3, 2, 100
+_SQL_KEY = "CAST('0x' || md5('7|' || epoch || '|{0}')[1:8] AS BIGINT) % n"
+
+
+@query("s3_epoch_order", f"""WITH k AS (SELECT epoch, n, list_filter(range({_SQL_KEY.format('a')}, {_SQL_KEY.format('a')} + n + 1), lambda x: gcd(x, n) = 1)[1] AS a, {_SQL_KEY.format('b')} AS b FROM (SELECT count(*) AS n FROM part), (SELECT unnest(range({EPOCHS})) AS epoch)),
+p AS (SELECT epoch, (i * a + b) % n AS position, p_partkey FROM k, (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part))
+SELECT CAST(epoch AS INTEGER) AS epoch, CAST(position % {WORKERS} AS INTEGER) AS worker, position // {WORKERS} AS step, p_partkey, resumed FROM p, (VALUES (false), (true)) r(resumed) WHERE NOT resumed OR (epoch = 1 AND position % {WORKERS} = 1 AND position // {WORKERS} >= {RESUMED})""")
+def s3_epoch_order(spark, d):
+    """What three workers read in two epochs, parts standing for shards, and what one of them reads after it was resumed."""
+    parts = S.number_rows(B.table(spark, d, "part").select("p_partkey"), "p_partkey", into="index")
+    order = R.ShardOrder(parts.count(), seed=7)
+    steps = [order.steps(spark, e, w, WORKERS).withColumn("resumed", F.lit(False)) for e in range(EPOCHS) for w in range(WORKERS)]
+    steps.append(order.steps(spark, 1, 1, WORKERS, first=RESUMED).withColumn("resumed", F.lit(True)))
+    return reduce(lambda x, y: x.unionByName(y), steps).join(parts, "index").select("epoch", "worker", "step", "p_partkey", "resumed")
+
+
 @query("s5_last_row_per_key", "SELECT user_id, max_by(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
 def s5_last_row_per_key(spark, d):
     from pairloom.operators.relational import last_per_key
@@ -168,11 +194,10 @@ def s6_language_rows(spark, d):
     return R.language_rows(B.documents(spark, d), "en", "doc_id", column="lang").select("doc_id", "idx")
 
 
-@query("s7_instruction_pairs", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'fluency' ELSE 'paraphrase' END AS t_type, doc_id % 2 = 1 AS reversible, substr(text, 1, 40) AS src FROM documents WHERE doc_id % 5 <> 0")
+@query("s7_instruction_pairs", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'fluency' ELSE 'paraphrase' END AS t_type, doc_id % 2 = 1 AS reversible, text AS src FROM documents WHERE doc_id % 5 <> 0")
 def s7_instruction_pairs(spark, d):
     docs = B.documents(spark, d)
-    head = F.substring("text", 1, 40)
-    made = docs.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit("no instruction")).otherwise(F.concat(F.lit("Fix this: "), head)).alias("src"), F.when(F.col("doc_id") % 2 == 0, "fluency").otherwise("paraphrase").alias("task"), F.col("doc_id").cast("string").alias("tgt"))
+    made = docs.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit("no instruction")).otherwise(F.concat(F.lit("Fix this: "), "text")).alias("src"), F.when(F.col("doc_id") % 2 == 0, "fluency").otherwise("paraphrase").alias("task"), F.col("doc_id").cast("string").alias("tgt"))
     return R.instruction_pairs(made, ["fluency", "paraphrase"]).select(F.col("tgt").cast("long").alias("doc_id"), "t_type", "reversible", "src")
 
 
@@ -183,11 +208,11 @@ def s11_first_description(spark, d):
     return R.descriptions(made)
 
 
-@query("s13_ragged_arrays", f"SELECT doc_id, list(token ORDER BY pos) AS token FROM {B.SQL_TOKENS} WHERE pos < 20 GROUP BY doc_id")
+@query("s13_ragged_arrays", f"SELECT doc_id, list(token ORDER BY pos) AS token FROM {B.SQL_TOKENS} GROUP BY doc_id")
 def s13_ragged_arrays(spark, d):
     from pairloom.sources.sinks import ragged
 
-    return ragged(B.tokens(spark, d).where("pos < 20"), "doc_id", "pos", ["token"])
+    return ragged(B.tokens(spark, d), "doc_id", "pos", ["token"])
 
 
 @query("s9_json_object_table", "SELECT event_id, key, CAST(json_extract(props, '$.' || key) AS INTEGER) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
@@ -199,9 +224,9 @@ def s9_json_object_table(spark, d):
 
 
 @query("x1_x4_exact_variants", f"""SELECT conv_id, turn, lower(trim(regexp_replace(source_text, '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(upper(source_text) || ' ', '\\s+', ' ', 'g'))) AS folded,
- trim(regexp_replace(source_text, '\\s+', ' ', 'g')) = trim(regexp_replace(target_text, '\\s+', ' ', 'g')) AS spaces, trim(source_text) = trim(source_text || '  ') AS stripped FROM {B.SQL_TURNS} WHERE NOT regexp_matches(source_text, '[^\\x00-\\x7F]')""")
+ trim(regexp_replace(source_text, '\\s+', ' ', 'g')) = trim(regexp_replace(target_text, '\\s+', ' ', 'g')) AS spaces, trim(source_text) = trim(source_text || '  ') AS stripped FROM {B.SQL_TURNS}""")
 def x1_x4_exact_variants(spark, d):
-    t = B.turn_pairs(spark, d).where(~F.col("source_text").rlike(r"[^\x00-\x7F]"))
+    t = B.turn_pairs(spark, d)
     s = F.col("source_text")
     return t.select("conv_id", "turn", T.exact_casefold(s, F.concat(F.upper(s), F.lit(" "))).alias("folded"), T.exact_spaces(s, F.col("target_text")).alias("spaces"), T.exact_strip(s, F.concat(s, F.lit("  "))).alias("stripped"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,3 +106,37 @@ def read_array(spark: SparkSession, path: str, name: str | None = None, key: str
         raise ValueError(f"{path} has {size} bytes; at most {ARRAY_BYTES} are read")
     found = np.load(io.BytesIO(bytes(file.first()["content"])), allow_pickle=False)
     return vectors_from_arrays(spark, found if name is None else found[name], key, into)
+
+
+class ShardOrder:
+    """A keyed permutation of n shards for each epoch that is computed, not sorted: i -> (a * i + b) mod n, a prime to n.
+
+    `position` and `index` are inverse to each other, so a worker finds the shard at any step of its own without a
+    table of the order, and a resumed worker starts where it left off.  a and b come from md5 of (seed, epoch).
+    """
+
+    def __init__(self, n: int, seed: int = 0):
+        if not 0 < n < 1 << 31:
+            raise ValueError("a permutation needs 1 to 2**31 - 1 shards")
+        self.n, self.seed = n, seed
+
+    def keys(self, epoch: int) -> tuple[int, int]:
+        draw = lambda name: int(hashlib.md5(f"{self.seed}|{epoch}|{name}".encode()).hexdigest()[:8], 16)
+        a = draw("a") % self.n
+        while math.gcd(a, self.n) != 1:
+            a += 1
+        return a, draw("b") % self.n
+
+    def position(self, index: Column, epoch: int) -> Column:
+        a, b = self.keys(epoch)
+        return F.pmod(index.cast("long") * a + b, F.lit(self.n))
+
+    def index(self, position: Column, epoch: int) -> Column:
+        a, b = self.keys(epoch)
+        return F.pmod(F.pmod(position.cast("long") - b, F.lit(self.n)) * pow(a, -1, self.n), F.lit(self.n))
+
+    def steps(self, spark: SparkSession, epoch: int, worker: int, workers: int, first: int = 0) -> DataFrame:
+        """(epoch, worker, step, index) of the shards that a worker reads from its step `first` on: positions worker, worker + workers, ..."""
+        count = max(0, -(-(self.n - worker) // workers))
+        steps = spark.range(first, max(first, count)).withColumnRenamed("id", "step")
+        return steps.select(F.lit(epoch).alias("epoch"), F.lit(worker).alias("worker"), "step", self.index(F.col("step") * workers + worker, epoch).alias("index"))
