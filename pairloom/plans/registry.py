@@ -37,4 +37,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import compound_queries, edit_queries, evaluation_queries, feature_queries, generation_queries, spec_queries, text_queries  # noqa: F401
+    from . import compound_queries, edit_queries, evaluation_queries, feature_queries, generation_queries, io_queries, spec_queries, text_queries  # noqa: F401

@@ -49,14 +49,26 @@ def write_manifest(spark: SparkSession, path: str, **facts) -> None:
     spark.createDataFrame([{k: str(v) for k, v in facts.items()}]).coalesce(1).write.mode("overwrite").json(path)
 
 
+#: Rows of a report in one file; a larger table is no report, and `write_shards` writes it.
+REPORT_ROWS = 1_000_000
+
+
+def _one_file(df: DataFrame) -> DataFrame:
+    if df.limit(REPORT_ROWS + 1).count() > REPORT_ROWS:
+        raise ValueError(f"a report holds {REPORT_ROWS} rows at most")
+    return df.coalesce(1)
+
+
 def write_csv_report(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    _one_file(df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def markdown(df: DataFrame, limit: int = 1000, digits: int = 4) -> str:
-    """A bounded result as a Markdown table, null as a dash."""
+    """A bounded result as a Markdown table, null as a dash; a result of more than `limit` rows is an error."""
     shown = lambda v: "—" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
-    rows = df.limit(limit).collect()
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a table of more than {limit} rows is no report")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(map(shown, r)) + " |" for r in rows])
 
@@ -84,8 +96,8 @@ def observed(df: DataFrame, **counters) -> tuple[DataFrame, Observation]:
 
 
 def write_tsv_report(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
+    _one_file(df).write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
 
 
 def write_json_report(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)
+    _one_file(df).write.mode("overwrite").json(path)

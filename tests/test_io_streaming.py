@@ -40,6 +40,8 @@ def test_shards_and_report(spark, tmp_path):
     K.write_shards(spark.range(10).coalesce(1), str(tmp_path / "s"), 4)
     assert len(list((tmp_path / "s").glob("part-*"))) == 3
     assert K.markdown(spark.createDataFrame([("a", None)], "x string, y double")).splitlines()[-1] == "| a | — |"
+    with pytest.raises(ValueError, match="rows"):
+        K.markdown(spark.range(5), limit=4)
 
 
 def _events(spark, tmp_path):
