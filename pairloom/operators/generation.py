@@ -229,10 +229,10 @@ def proposals(df: DataFrame, text: str, families: list[str] | None = None) -> Da
 
 
 def round_trips(found: DataFrame, key: str, text: str) -> DataFrame:
-    """Proposals whose own family leads back to the text."""
-    back = proposals(found.select(key, F.col(text).alias("_x"), F.col("out_text").alias("_y"), F.col("family").alias("_f")).distinct(), "_y")
-    good = back.where("family = _f and out_text = _x").select(key, F.col("_y").alias("out_text"), "family").distinct()
-    return found.join(good, [key, "out_text", "family"], "left_semi")
+    """Proposals whose own family leads back to the text; the second rewrite is made on the rows found alone."""
+    back = F.concat(*(rewrite(F.col("out_text")) for rewrite in FAMILIES.values()))
+    good = F.exists(back, lambda p: (p["family"] == F.col("family")) & (p["out_text"] == F.col(text)))
+    return found.where(F.coalesce(good, F.lit(False)))
 
 
 def composed(found: DataFrame, key: str, text: str) -> DataFrame:

@@ -11,6 +11,8 @@ All of it is native: arrays of words, their positions, slices and joins.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -146,7 +148,11 @@ def apply_rule(text: Column, rule: Rule) -> Column:
     cheap += [rule.also(text)] if rule.also is not None else []
     if not cheap:
         return whole
-    return F.when(reduce(lambda x, y: x & y, cheap), whole).otherwise(F.array().cast("array<struct<t_type:string,family:string,out_text:string>>"))
+    return F.when(reduce(lambda x, y: x & y, cheap), whole).otherwise(_none())
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<t_type:string,family:string,out_text:string>>")
 
 
 def _ends(mark: str) -> Test:
@@ -163,14 +169,14 @@ _PLAIN = lambda w: ~w.rlike("[.!?]$")
 
 RULES: tuple[Rule, ...] = (
     Rule("TOUGH:IT->RAISED", "TOUGH", (One("it", ("It",)), _BE, _ADJECTIVE, One("to", ("to",)), One("verb"), Run("thing")), ("thing^", "be", "adjective", "to", "verb"), also=lambda t: t.startswith("It ")),
-    Rule("TOUGH:RAISED->IT", "TOUGH", (Run("thing", least=1), _BE, _ADJECTIVE, One("to", ("to",)), One("verb")), ("It", "be", "adjective", "to", "verb", "thing_"), also=lambda t: ~t.startswith("It ")),
+    Rule("TOUGH:RAISED->IT", "TOUGH", (Run("thing", least=1), _BE, _ADJECTIVE, One("to", ("to",)), One("verb")), ("It", "be", "adjective", "to", "verb", "thing_"), also=lambda t: ~t.startswith("It ") & t.rlike(" (?:is|was) (?:" + "|".join(TOUGH_ADJECTIVES) + ") to ")),
     Rule("INV:IF->AUX", "INVERSION", (One("if", ("If",)), One("who"), One("aux", ("had", "were")), Run("condition", until=_ends(",")), Run("main")), ("aux^", "who", "condition", "main"), stop=False, also=lambda t: t.startswith("If ")),
     Rule("INV:AUX->IF", "INVERSION", (One("aux", ("Had", "Were")), One("who"), Run("condition", until=_ends(",")), Run("main")), ("If", "who", "aux_", "condition", "main"), stop=False, also=lambda t: t.rlike("^(Had|Were) ")),
     Rule("CLEFT:-IT", "CLEFT", (One("it", ("It",)), _BE, Run("subject", until=lambda w: w == "who", least=2), Run("rest")), ("subject^", "rest"), stop=False, also=lambda t: t.startswith("It ")),
     Rule("QI:VS->SV", "QUOTINV", (_QUOTE, _SPEECH, _NAME), ("quote", "name", "verb"), also=_quoted),
     Rule("QI:SV->VS", "QUOTINV", (_QUOTE, _NAME, _SPEECH), ("quote", "verb", "name"), also=_quoted),
-    Rule("SPLIT:,and->.", "SPLITJOIN", (Run("left", until=_ends(","), before="and", least=3, every=_PLAIN), One("and", ("and",)), Run("right", least=3, every=_PLAIN)), ("left-", "right^")),
-    Rule("JOIN:.->,and", "SPLITJOIN", (Run("left", until=_ends(".")), Run("right", every=_PLAIN)), ("left-", "right_")),
+    Rule("SPLIT:,and->.", "SPLITJOIN", (Run("left", until=_ends(","), before="and", least=3, every=_PLAIN), One("and", ("and",)), Run("right", least=3, every=_PLAIN)), ("left-", "right^"), also=lambda t: t.contains(", and ")),
+    Rule("JOIN:.->,and", "SPLITJOIN", (Run("left", until=_ends(".")), Run("right", every=_PLAIN)), ("left-", "right_"), also=lambda t: t.contains(". ")),
 )
 
 
@@ -212,7 +218,8 @@ def _cased(pairs: Sequence[tuple[str, str]]) -> dict[str, str]:
 
 def substitution(text: Column, table: dict[str, tuple[str, str]], family: str) -> Column:
     """A proposal for each form of `table` (form -> (other form, kind)) that occurs, at its first place; forms have one or two words."""
-    known = F.create_map(*(F.lit(x) for form, (other, kind) in table.items() for x in (form, f"{kind}\t{other}")))
+    # one literal: a map of constants is folded once, and takes no call for each entry to build
+    known = F.from_json(F.lit(json.dumps({form: f"{kind}\t{other}" for form, (other, kind) in table.items()})), "map<string,string>")
     words = F.transform(F.split(text, " "), lambda w: F.struct(F.regexp_extract(w, r"^(\W*)", 1).alias("head"), F.regexp_extract(w, r"^\W*(.*?)\W*$", 1).alias("core"), F.regexp_extract(w, r"^\W*.*?(\W*)$", 1).alias("tail")))
 
     def places(words: Column) -> Column:
@@ -233,7 +240,9 @@ def substitution(text: Column, table: dict[str, tuple[str, str]], family: str) -
         first = lambda found: F.filter(found, lambda p: F.array_min(F.transform(F.filter(found, lambda q: q["form"] == p["form"]), lambda q: q["i"])) == p["i"])
         return F.transform(first(found), lambda p: made(words, p))
 
-    return F.flatten(F.transform(F.array(words), proposals))
+    # most texts hold none of the forms
+    some = text.rlike("|".join(re.escape(form) for form in sorted(table)))
+    return F.when(some, F.flatten(F.transform(F.array(words), proposals))).otherwise(_none())
 
 
 def contraction(text: Column, pairs: Sequence[tuple[str, str]] = CONTRACTIONS) -> Column:
