@@ -1,6 +1,7 @@
 """Licence scan by Dice coefficient over word bigrams, in DataFrame operations only.
 
-Lines, paragraphs and the whole text are normalised (lower case, words of
+Lines, paragraphs, the whole text and, wherever they stand in it, runs of words that are neighbours in
+templates too are normalised (lower case, words of
 letters, digits and dots between digits, joined by one space) and compared with
 the templates: 2 * |A n B| / (|A| + |B|) over their sets of word bigrams.  A
 coefficient of d needs sizes within [d / (2 - d), (2 - d) / d] of each other, so
@@ -113,10 +114,13 @@ def scan_licences(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id"
     factor = (2 - dice) / dice + 1e-9  # what stands exactly on a bound is compared
     most = int(max((len(g) for _, g in listed), default=0) * factor)  # distinct bigrams of a passage that can match
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    passages = F.array_distinct(F.concat(F.split(body, r"\R"), F.split(body, r"\R{2,}"), F.array(body)))
+    known = ", ".join(f"'{g}'" for g in sorted({g for _, grams in listed for g in grams})) or "''"  # words hold no quotes
+    # a word goes on with the one before where templates have the two so; what is cut off so is a passage too
+    linked = F.expr(f"transform(all_words, (w, i) -> concat(if(i > 0 and concat(get(all_words, i - 1), ' ', w) in ({known}), ' ', '\\n'), w))")
+    runs = F.filter(F.split(F.array_join(linked, ""), "\n"), lambda r: r.contains(" "))
+    passages = F.array_distinct(F.concat(F.split("body", r"\R"), F.split("body", r"\R{2,}"), F.array("body"), runs))
     worded = F.filter(F.transform(F.filter(passages, lambda p: F.length(p) > 0), words), lambda w: F.size(w) > 0)
     ready = F.filter(F.transform(worded, lambda w: F.struct(bigrams(w).alias("grams"), w.alias("words"))), lambda p: F.size(p["grams"]) <= most)
-    known = ", ".join(f"'{g}'" for g in sorted({g for _, grams in listed for g in grams})) or "''"  # words hold no quotes
     near = F.expr(f"filter(ready, p -> size(filter(p.grams, g -> g in ({known}))) * {factor!r}D >= size(p.grams))")
 
     def score(passage: Column, template: list[str]) -> Column:
@@ -130,7 +134,8 @@ def scan_licences(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id"
         return F.slice(F.array_sort(F.filter(F.array(*each), lambda s: s["score"] >= dice), _better), 1, 1)
 
     hits = F.flatten(F.transform(near, scores)) if listed else F.array().cast("array<struct<licence:string,score:double,passage:string>>")
-    out = docs.select(F.col(doc_id).alias("doc_id"), ready.alias("ready")).select("doc_id", hits.alias("hits"))
+    held = docs.select(F.col(doc_id).alias("doc_id"), body.alias("body")).withColumn("all_words", words(F.col("body")))
+    out = held.select("doc_id", ready.alias("ready")).select("doc_id", hits.alias("hits"))
     names = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["licence"])))
     best_of = lambda name: F.element_at(F.array_sort(F.filter("hits", lambda h: h["licence"] == name), _better), 1)
     out = out.select("doc_id", F.transform(names, best_of).alias("licences"))
