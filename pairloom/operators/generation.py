@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.hashing import categorical, pick_index, text_uniform, truncated_geometric, uniform
+from pairloom.functions.hashing import categorical, lcg, pick_index, text_uniform, truncated_geometric, uniform
 from pairloom.operators.rewriting import contraction, each_every, inversion, quote_inversion, split_join, tough, uncleft
 
 # Fixed values.
@@ -176,7 +176,7 @@ def mismatched(df: DataFrame, key: Column, value: str, into: str, *, buckets: in
 
     buckets = buckets or max(1, df.count() // PARTNERS)
     w = Window.partitionBy("_b").orderBy("_o", "_k")
-    marked = df.withColumns({"_b": F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets)), "_o": uniform(key, seed), "_k": key})
+    marked = df.withColumns({"_b": F.pmod(lcg(key, seed + 1), F.lit(buckets)), "_o": uniform(key, seed), "_k": key})
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return marked.withColumn(into, F.coalesce(F.lead(value).over(w), F.first(value).over(whole))).drop("_b", "_o", "_k")
 

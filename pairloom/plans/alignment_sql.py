@@ -5,6 +5,8 @@ from __future__ import annotations
 from . import base as B
 
 TURNS = ("conv_id, turn", B.SQL_TURNS)
+#: The same pairs with their words as they are written.
+WORDS = ("conv_id, turn", f"(SELECT conv_id, turn, {B.SQL_WORDS.format('source_text')} AS src, {B.SQL_WORDS.format('target_text')} AS tgt FROM {B.SQL_TURNS})")
 
 #: Near copies of sentences, as `operators.pairing.near_pairs` pairs them.
 _W = B.SQL_WORDS.format("sentence")

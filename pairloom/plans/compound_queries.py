@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from pairloom.functions import specs as P
@@ -11,6 +13,7 @@ from pairloom.operators import compound as C
 from pairloom.operators import decoding as D
 from pairloom.operators import features as X
 
+from . import alignment_sql as Q
 from . import base as B
 from .registry import query
 
@@ -60,7 +63,7 @@ def e23_t12_training_arrays(spark, d):
     return r.select("doc_id", "pos", F.size(F.filter("g.tags", lambda t: t != 0)).cast("long").alias("edits"), F.size("g.input").cast("long").alias("n_template"), F.size(pair["input"]).cast("long").alias("n_input"))
 
 
-@query("t6_opcode_ranges")
+@query("t6_opcode_ranges", Q.over(Q.WORDS, "SELECT {k}, CAST(count(*) FILTER (WHERE tag IN ('replace', 'delete')) AS INTEGER) AS x_ranges, CAST(count(*) FILTER (WHERE tag IN ('replace', 'insert')) AS INTEGER) AS xp_ranges FROM p LEFT JOIN ops USING ({k}) GROUP BY {k}"))
 def t6_opcode_ranges(spark, d):
     t = B.turn_pairs(spark, d).withColumns({"a": A.words_with_offsets(F.col("source_text")), "b": A.words_with_offsets(F.col("target_text"))})
     word = lambda c: F.transform(c, lambda w: w["w"])
@@ -126,7 +129,20 @@ def h2_row_seeds(spark, d):
     return B.documents(spark, d).select("doc_id", row_seed(F.col("doc_id"), 7).alias("a"), row_seed(F.col("doc_id"), 7, 500000).alias("b"))
 
 
-@query("e11_h4_local_firing")
+def _sql_poisson(u: str, rate: float = 0.5, most: int = 12) -> str:
+    edges, edge = [], 0.0
+    for k in range(most):
+        edge += math.exp(-rate) * rate**k / math.factorial(k)
+        edges.append(f"WHEN {u} < {edge!r} THEN {k}")
+    return f"CASE {' '.join(edges)} ELSE {most} END"
+
+
+_SLOT_KEY = "(conv_id * 65536 + turn * 1024 + slot)"
+
+
+@query("e11_h4_local_firing", f"""WITH c AS (SELECT *, {sql_uniform(_SLOT_KEY, 31)} < 0.3 AS own, {_sql_poisson(sql_uniform(_SLOT_KEY, 32))} AS l, {_sql_poisson(sql_uniform(_SLOT_KEY, 33))} AS r FROM (SELECT conv_id, turn, unnest(src) AS w, generate_subscripts(src, 1) - 1 AS slot FROM {B.SQL_TURNS}) WHERE length(w) % 4 = 2),
+h AS (SELECT DISTINCT c.conv_id, c.turn, c.slot FROM c JOIN c o ON o.conv_id = c.conv_id AND o.turn = c.turn AND o.own AND c.slot >= o.slot - o.l AND c.slot < o.slot + o.r + 1)
+SELECT conv_id, turn, count(*) AS ops, count(*) FILTER (WHERE own) AS own, count(*) FILTER (WHERE h.slot IS NOT NULL) AS fired FROM c LEFT JOIN h USING (conv_id, turn, slot) GROUP BY conv_id, turn""")
 def e11_h4_local_firing(spark, d):
     """Firing that spreads: each operation fires at its own time and carries Poisson many slots on each side with it."""
     from pairloom.functions.hashing import poisson

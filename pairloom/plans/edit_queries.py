@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairloom.functions import vectors as V
-from pairloom.functions.hashing import sql_uniform, uniform
+from pairloom.functions.hashing import sql_lcg, sql_uniform, uniform
 from pairloom.operators import alignment as A
 from pairloom.operators import features as X
 from pairloom.operators import generation as G
@@ -79,7 +79,15 @@ def e9_e10_firing(spark, d):
     return B.table(spark, d, "events").select("event_id", F.round(V.kappa(t), 6).alias("kappa"), (uniform(F.col("event_id"), 21) < V.kappa(t)).alias("fires"))
 
 
-@query("e12_e13_states")
+@query("e12_e13_states", Q.over(Q.TURNS, f""", f AS (SELECT *, kind IS NOT NULL AND {sql_uniform('(conv_id * 4096 + slot)', 5)} < 0.5 AS fired FROM slots),
+s AS (SELECT *, CASE WHEN fired THEN a1 ELSE a0 END IS NOT NULL AS shown FROM f),
+b AS (SELECT *, count(*) FILTER (WHERE shown) OVER (PARTITION BY {{k}} ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - shown::INT AS before FROM s),
+m AS (SELECT DISTINCT {{k}}, CASE WHEN kind = 1 THEN before - 1 ELSE before END AS spot FROM b WHERE fired AND NOT (kind = 1 AND before = 0)),
+t AS (SELECT {{k}}, count(*) FILTER (WHERE kind > 0) + count(DISTINCT before) FILTER (WHERE kind = 0 AND before > 0) AS pending FROM b WHERE kind IS NOT NULL AND NOT fired GROUP BY {{k}}),
+n AS (SELECT {{k}}, count(*) FILTER (WHERE shown) AS n FROM b GROUP BY {{k}}),
+a AS (SELECT {{k}}, count(*) AS near FROM m JOIN n USING ({{k}}), (VALUES (-1), (1)) d(step) WHERE spot + step >= 0 AND spot + step < n GROUP BY {{k}})
+SELECT {{k}}, CAST(coalesce(n, 0) AS INTEGER) AS n, CAST(coalesce(pending, 0) AS INTEGER) AS pending, CAST(coalesce(n_marks, 0) AS INTEGER) AS n_marks, CAST(coalesce(near, 0) AS INTEGER) AS near
+FROM p LEFT JOIN n USING ({{k}}) LEFT JOIN t USING ({{k}}) LEFT JOIN (SELECT {{k}}, count(*) AS n_marks FROM m GROUP BY {{k}}) USING ({{k}}) LEFT JOIN a USING ({{k}})"""))
 def e12_e13_states(spark, d):
     """Size of the state, pending operations and marks of each pair, each operation fired by a hashed coin."""
     s = _slots(spark, d)
@@ -448,7 +456,8 @@ def c22_spec_rows(spark, d):
     return both.select("grp", "dir", "f", F.round("v", 6).alias("v"))
 
 
-@query("c23_mismatched_partner")
+@query("c23_mismatched_partner", f"""WITH b AS (SELECT doc_id, {sql_lcg('doc_id', 6)} % (SELECT greatest(1, count(*) // {G.PARTNERS}) FROM documents) AS b, {sql_uniform('doc_id', 5)} AS o FROM documents)
+SELECT doc_id, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS partner FROM b WINDOW w AS (PARTITION BY b ORDER BY o, doc_id)""")
 def c23_mismatched_partner(spark, d):
     out = G.mismatched(B.documents(spark, d).select("doc_id", "lang"), F.col("doc_id"), "doc_id", "partner")
     return out.select("doc_id", "partner")
