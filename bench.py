@@ -14,7 +14,7 @@ sys.path.insert(0, ROOT)
 HEADLINE = [
     "f3_quality_sentences", "f16_shuffled_split", "c16_unigrams", "c15_slor", "x8_sari", "e32_x5_x6_diff_metrics", "a4_a6_distribution", "a5_grouping_sets", "a21_frc", "st5_auroc_sparse",
     "a22_a23_spec_summary", "a25_v16_moments_weights", "j9_outer_chain", "j12_set_pairs", "j15_neighbours", "a40_threshold_choice", "st1_mcnemar", "w5_e4_islands", "c12_round_trips",
-    "a52_uniformity", "e31_token_distance", "c2_replacements", "op1_ngram_jaccard", "op2_pii", "op3_html_text", "op4_decontamination", "op5_licences", "op6_url_filter", "op7_packing", "op8_ann", "op9_repeated_passages", "op10_toxicity", "pipeline",
+    "a52_uniformity", "e31_token_distance", "c2_replacements", "op1_ngram_jaccard", "op2_pii", "op3_html_text", "op4_decontamination", "op5_licences", "op6_url_filter", "op7_packing", "op8_ann", "op9_repeated_passages", "op10_toxicity", "op11_vector_codes", "op12_collocations", "op13_chat_format", "pipeline", "c6_compound_draws", "c14_m8_weighted_picks", "c21_near_pairs", "k10_minimal_subsets", "f1_split_sentences",
 ]
 
 
