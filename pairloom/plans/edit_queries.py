@@ -274,6 +274,16 @@ def t1_words_with_offsets(spark, d):
     return c.select("conv_id", "turn", F.size("w").cast("long").alias("n"), F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + x["ce"] - x["cs"]).alias("chars"))
 
 
+@query("t2_subword_spans")
+def t2_subword_spans(spark, d):
+    """Tokens of a public vocabulary file, and those that the first word of each turn covers."""
+    import public_tokenizers
+
+    c = B.table(spark, d, "conversations").withColumns({"tokens": A.subword_offsets(public_tokenizers.path("byte_bpe_50k.json"))("text"), "w": A.words_with_offsets(F.col("text"))})
+    span = A.span_to_tokens(F.col("tokens"), F.get("w", 0)["cs"], F.get("w", 0)["ce"])
+    return c.select("conv_id", "turn", F.size("tokens").alias("n_tokens"), F.size("w").alias("n_words"), (span["te"] - span["ts"]).alias("pieces"))
+
+
 @query("t3_t5_spans", f"""WITH w AS (SELECT conv_id, turn, {B.SQL_WORDS.format('text')} AS w, text FROM conversations), p AS (SELECT conv_id, turn, w, list_transform(range(1, len(w) + 1), lambda i: i) AS i, text FROM w WHERE len(w) >= 4 AND NOT contains(text, chr(10)) AND NOT contains(text, '  ') AND text = trim(text))
 SELECT conv_id, turn, 1 AS first, 2 AS at, 2 AS overlapping FROM p""")
 def t3_t5_spans(spark, d):

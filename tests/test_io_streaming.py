@@ -1,4 +1,5 @@
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from pairloom.sources import readers as R
