@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairloom.functions import text as T
+from pairloom.functions import vectors as V
 from pairloom.functions.hashing import sql_text_uniform, sql_uniform
 from pairloom.operators import decoding as D
 from pairloom.operators import generation as G
@@ -145,3 +146,46 @@ def k10_minimal_subsets(spark, d):
     third = F.exists("chosen", lambda x: F.get("entries", x)["f"] % 3 == 0)
     found = D.minimal_subsets(rows, "entries", lambda t: t.withColumn("works", (10 * mass(F.col("chosen")) >= 7 * total) & third), materialise)
     return found.select("row", "n_full", "prefix", F.array_join(F.transform("kept", lambda x: F.get("entries", x)["f"]), ",").alias("kept"))
+
+
+# Small ones that stand alone
+
+@query("x9_lower_tokens", f"SELECT doc_id, len(w) AS n, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {B.SQL_WORDS.format('lower(text)')} AS w FROM documents)")
+def x9_lower_tokens(spark, d):
+    t = B.documents(spark, d).select("doc_id", T.words(F.lower("text")).alias("w"))
+    return t.select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
+@query("v26_sparse_and_dense", "SELECT vec_id, len(list_filter(e, lambda x: x > 0.1)) AS entries, list_transform(e, lambda x: CASE WHEN x > 0.1 THEN CAST(x AS DOUBLE) ELSE 0.0 END) AS back FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)")
+def v26_sparse_and_dense(spark, d):
+    """Dense to sparse above a threshold and back."""
+    e = B.table(spark, d, "embeddings").select("vec_id", V.sparse(V.jump_relu(F.transform("embedding", lambda x: x.cast("double")), 0.1)).alias("m"))
+    return e.select("vec_id", F.size("m").cast("long").alias("entries"), V.dense(F.col("m"), 64).alias("back"))
+
+
+@query("v18_lens_bias", """WITH p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CASE WHEN label = 0 THEN 2.0 ELSE CAST(embedding[2] AS DOUBLE) END AS y FROM embeddings)
+SELECT vec_id, round(0.5 * (x - avg(x) OVER w) / stddev_pop(x) OVER w, 6) AS bias, CASE WHEN label = 0 THEN NULL ELSE round(0.5 * (y - avg(y) OVER w) / stddev_pop(y) OVER w, 6) END AS flat FROM p WINDOW w AS (PARTITION BY label)""")
+def v18_lens_bias(spark, d):
+    """Two projections standardised within each label; one label's second projection does not vary."""
+    e = B.table(spark, d, "embeddings").select("vec_id", "label", F.get("embedding", 0).cast("double").alias("x"), F.when(F.col("label") == 0, 2.0).otherwise(F.get("embedding", 1).cast("double")).alias("y"))
+    moments = e.groupBy("label").agg(F.avg("x").alias("mx"), F.stddev_pop("x").alias("sx"), F.avg("y").alias("my"), F.stddev_pop("y").alias("sy"))
+    c = F.col
+    return e.join(moments, "label").select("vec_id", F.round(V.lens_bias(c("x"), c("mx"), c("sx"), 0.5), 6).alias("bias"), F.round(V.lens_bias(c("y"), c("my"), c("sy"), 0.5), 6).alias("flat"))
+
+
+@query("w7_running_position", "SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN sum(CASE WHEN length(text) > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) - 1 END AS position FROM conversations")
+def w7_running_position(spark, d):
+    """Place of each long turn among the long turns of its conversation."""
+    from pyspark.sql.window import Window
+
+    long_ = F.when(F.length("text") > 200, 1)
+    before = F.count(long_).over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    return B.table(spark, d, "conversations").select("conv_id", "turn", F.when(long_.isNotNull(), before).alias("position"))
+
+
+@query("k6_fixpoint", "WITH RECURSIVE r AS (SELECT p_partkey, CAST(p_partkey AS BIGINT) AS x FROM part UNION ALL SELECT p_partkey, CASE WHEN x % 2 = 0 THEN x // 2 ELSE x // 3 END FROM r WHERE x > 7) SELECT p_partkey, min(x) AS x FROM r GROUP BY p_partkey")
+def k6_fixpoint(spark, d):
+    """Numbers halved or cut to a third until none is above seven; as many rounds as the largest needs."""
+    p = B.table(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("long").alias("x"))
+    smaller = F.when(F.col("x") <= 7, F.col("x")).when(F.col("x") % 2 == 0, F.floor(F.col("x") / 2)).otherwise(F.floor(F.col("x") / 3))
+    return D.to_fixpoint(p, lambda df: df.withColumn("x", smaller), 64, materialise)
