@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,18 +49,17 @@ def write_manifest(spark: SparkSession, path: str, **facts) -> None:
     spark.createDataFrame([{k: str(v) for k, v in facts.items()}]).coalesce(1).write.mode("overwrite").json(path)
 
 
-#: Rows of a report in one file; a larger table is no report, and `write_shards` writes it.
+#: Rows of a report in one file; a larger table is written in parallel, in files of at most so many rows.
 REPORT_ROWS = 1_000_000
 
 
-def _one_file(df: DataFrame) -> DataFrame:
-    if df.limit(REPORT_ROWS + 1).count() > REPORT_ROWS:
-        raise ValueError(f"a report holds {REPORT_ROWS} rows at most")
-    return df.coalesce(1)
+def _report(df: DataFrame) -> DataFrameWriter:
+    whole = df.limit(REPORT_ROWS + 1).count() <= REPORT_ROWS
+    return (df.coalesce(1) if whole else df).write.mode("overwrite").option("maxRecordsPerFile", REPORT_ROWS)
 
 
 def write_csv_report(df: DataFrame, path: str) -> None:
-    _one_file(df).write.mode("overwrite").option("header", True).csv(path)
+    _report(df).option("header", True).csv(path)
 
 
 def markdown(df: DataFrame, limit: int = 1000, digits: int = 4) -> str:
@@ -96,8 +95,8 @@ def observed(df: DataFrame, **counters) -> tuple[DataFrame, Observation]:
 
 
 def write_tsv_report(df: DataFrame, path: str) -> None:
-    _one_file(df).write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
+    _report(df).option("header", True).option("sep", "\t").csv(path)
 
 
 def write_json_report(df: DataFrame, path: str) -> None:
-    _one_file(df).write.mode("overwrite").json(path)
+    _report(df).json(path)

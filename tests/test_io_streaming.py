@@ -130,3 +130,14 @@ def test_reports(spark, tmp_path):
     K.write_tsv_report(df, str(tmp_path / "t"))
     K.write_json_report(df, str(tmp_path / "j"))
     assert "n\tt" in next((tmp_path / "t").glob("part*")).read_text() and '"t":"a"' in next((tmp_path / "j").glob("part*")).read_text()
+
+
+def test_reports_of_more_rows_than_a_file_holds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "REPORT_ROWS", 4)
+    df = spark.range(10).selectExpr("id", "string(id) as t")
+    for write, name in ((K.write_csv_report, "c"), (K.write_tsv_report, "t"), (K.write_json_report, "j")):
+        write(df, str(tmp_path / name))
+    read = spark.read.schema("id long, t string").option("header", True)
+    same = sorted(df.collect())
+    assert sorted(read.csv(str(tmp_path / "c")).collect()) == same == sorted(read.option("sep", "\t").csv(str(tmp_path / "t")).collect())
+    assert sorted(read.json(str(tmp_path / "j")).select("id", "t").collect()) == same
