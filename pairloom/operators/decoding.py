@@ -67,9 +67,10 @@ def choose_operations(rates: DataFrame, row: str, *, step: float, threshold: flo
     if coin is not None:
         return single.where(coin < chance)
     w = Window.partitionBy(row)
-    mass = F.sum(F.col("rate") * step).over(w)
+    strongest = w.orderBy(F.desc("rate"), "pos")
+    mass = F.sum(F.col("rate") * step).over(strongest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # added up in one order: its last bits decide at whole numbers
     quota = F.when(mass >= 1, F.floor(mass)).when(mass > floor, 1).otherwise(0)
-    return single.withColumn("_q", quota).withColumn("_k", F.row_number().over(w.orderBy(F.desc("rate"), "pos"))).where("_k <= _q").drop("_q", "_k")
+    return single.withColumn("_q", quota).withColumn("_k", F.row_number().over(strongest)).where("_k <= _q").drop("_q", "_k")
 
 
 def operation_kind(next_: Column, current: Column, proposed: Column, likely: float = 0.5) -> Column:

@@ -100,3 +100,12 @@ def test_swapped_ids(spark):
         new = set(r.other) - set(r.own)
         gone = set(r.own) - set(r.s)
         assert len(set(r.s)) == 10 and set(r.s) - set(r.own) <= new and len(gone) == min(5, len(new))
+
+
+def test_quota_is_summed_from_the_strongest_rate_on(spark):
+    values = [0.61, 0.57, 0.12, 0.7]  # 2 from the strongest on, a little less in this order
+    added = lambda rates: 0.0 + rates[0] + rates[1] + rates[2] + rates[3]
+    assert added(sorted(values, reverse=True)) == 2 > added(values)
+    rates = spark.createDataFrame([(u, p, "x", r) for u in range(50) for p, r in enumerate(values)], "u int, pos int, kind string, rate double")
+    chosen = D.choose_operations(rates, "u", step=1.0).groupBy("u").count().collect()
+    assert len(chosen) == 50 and {r["count"] for r in chosen} == {2}
