@@ -124,7 +124,8 @@ def m1_stream_appends(spark, d):
     o = B.table(spark, d, "orders").select("o_orderkey", "o_custkey")
     o.write.option("maxRecordsPerFile", 5_000).parquet(f"{path}/in")
     o.where("o_orderkey % 2 = 0").write.mode("append").parquet(f"{path}/in")
+    at_once = M.files_for(spark, f"{path}/in", batches=4, least=4)
     for run in range(2):
-        stream = M.file_stream(spark, f"{path}/in", o.schema, files_per_trigger=4)
+        stream = M.file_stream(spark, f"{path}/in", o.schema, files_per_trigger=at_once)
         M.append_once(stream, f"{path}/out", "o_orderkey", f"{path}/checkpoint-{run}").awaitTermination()
     return spark.read.parquet(f"{path}/out").groupBy("o_orderkey", "o_custkey").agg(F.count("*").cast("int").alias("times"))

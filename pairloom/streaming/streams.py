@@ -17,6 +17,14 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(path)
 
 
+def files_for(spark: SparkSession, path: str, batches: int, least: int = 1, fmt: str = "parquet") -> int:
+    """Files a trigger with which the files there come in so many micro-batches at most.
+
+    Each micro-batch of `append_once` compares its keys with the whole table so far; with a fixed number of files a trigger, that work is quadratic.
+    """
+    return max(least, -(-len(spark.read.format(fmt).load(path).inputFiles()) // batches))
+
+
 def append_once(stream: DataFrame, path: str, key: str, checkpoint: str):
     """Start an append of rows with new keys: a batch that is tried again adds nothing."""
     return stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, path, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

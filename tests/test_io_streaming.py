@@ -141,3 +141,13 @@ def test_reports_of_more_rows_than_a_file_holds(spark, tmp_path, monkeypatch):
     same = sorted(df.collect())
     assert sorted(read.csv(str(tmp_path / "c")).collect()) == same == sorted(read.option("sep", "\t").csv(str(tmp_path / "t")).collect())
     assert sorted(read.json(str(tmp_path / "j")).select("id", "t").collect()) == same
+
+
+def test_micro_batches_do_not_grow_with_the_files(spark, tmp_path):
+    spark.range(900).withColumn("x", F.col("id") % 7).repartition(9).write.option("maxRecordsPerFile", 10).parquet(str(tmp_path / "in"))
+    schema = "id long, x long"
+    stream = M.file_stream(spark, str(tmp_path / "in"), schema, files_per_trigger=M.files_for(spark, str(tmp_path / "in"), batches=3))
+    M.append_once(stream, str(tmp_path / "out"), "id", str(tmp_path / "check")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 900
+    assert len([p for p in (tmp_path / "check" / "commits").iterdir() if p.name.isdigit()]) == 3
+    assert M.files_for(spark, str(tmp_path / "in"), batches=1000, least=4) == 4
