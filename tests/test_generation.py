@@ -218,3 +218,11 @@ def test_shard_orders_are_permutations(spark, n):
     assert [r["index"] for r in order.steps(spark, 1, 1, 3, first=2).orderBy("step").collect()] == read[1][2:]
     with pytest.raises(ValueError):
         ShardOrder(0)
+
+
+def test_near_pairs_of_a_large_group_are_those_of_its_whole_order(spark):
+    texts = [f"common start of each text w{k * 7919 % 3000} w{k}" for k in range(3000)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, t string")
+    found = lambda together: {(p.id, p.other_id) for p in R.near_pairs(df, "t", ["id"], least=0.0, together=together).collect()}
+    whole = found(10**6)
+    assert len(whole) >= 2000 and found(100) == whole
