@@ -8,8 +8,10 @@ to delete it).  Words are struct(w, cs, ce).
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from pairloom.functions.text import let
 from pairloom.operators.alignment import span_to_tokens, splice, token_at
@@ -100,9 +102,9 @@ def token_ranges(words: Column, ops: Column, places: Column, x_tokens: Column, x
         o, place = z["o"], z["p"]
         x = span_to_tokens(x_tokens, F.element_at(words, o["ws"] + 1)["cs"], F.element_at(words, F.greatest(o["we"], F.lit(1)))["ce"])
         p = span_to_tokens(xp_tokens, place, place + F.length(o["payload"]))
-        none = F.lit(None).cast("int")
-        x_of, p_of = (lambda k: F.when(o["op"] != "del", x[k]).otherwise(none)), (lambda k: F.when(o["op"] != "ins", p[k]).otherwise(none))
-        return F.struct(o["op"].alias("op"), x_of("ts").alias("xs"), x_of("te").alias("xe"), p_of("ts").alias("ps"), p_of("te").alias("pe"), F.when(o["op"] == "ins", token_at(xp_tokens, place)).alias("gap"))
+        both = F.struct(F.when(o["op"] != "del", x).alias("x"), F.when(o["op"] != "ins", p).alias("p"))
+        gap = F.when(o["op"] == "ins", token_at(xp_tokens, place))
+        return let(both, lambda b: F.struct(o["op"].alias("op"), b["x"]["ts"].alias("xs"), b["x"]["te"].alias("xe"), b["p"]["ts"].alias("ps"), b["p"]["te"].alias("pe"), gap.alias("gap")))
 
     def checked(r: Column) -> Column:
         bad = lambda t: ((t["op"] != "del") & t["xs"].isNull()) | ((t["op"] != "ins") & t["ps"].isNull()) | ((t["op"] == "ins") & t["gap"].isNull()) | ((t["op"] == "repl") & (t["pe"] - t["ps"] != t["xe"] - t["xs"]))
@@ -111,28 +113,55 @@ def token_ranges(words: Column, ops: Column, places: Column, x_tokens: Column, x
     return let(F.transform(F.arrays_zip(ops.alias("o"), places.alias("p")), of), checked)
 
 
+_GOLD = StructType([StructField("tags", ArrayType(IntegerType())), StructField("input", ArrayType(LongType())), StructField("target", ArrayType(LongType()))])
+_GOLD_ARROW = pa.struct([("tags", pa.list_(pa.int32())), ("input", pa.list_(pa.int64())), ("target", pa.list_(pa.int64()))])
+
+
+def gold_row(ranges: list[dict], x: list, xp: list, mask_id: int, ins_id: int, del_id: int) -> dict | None:
+    """tags, input and target of one text, as in `compound_gold`."""
+    own, gaps = [None] * len(xp), {}
+    for op in ("repl", "del"):
+        for t in ranges:
+            if t["op"] == op and t["ps"] is not None and t["pe"] is not None:
+                for k in range(max(t["ps"], 0), min(t["pe"], len(xp))):
+                    own[k] = own[k] or t
+    for t in ranges:
+        if t["op"] == "ins" and t["gap"] is not None:
+            gaps.setdefault(t["gap"], t)
+    tags, cells = [], []
+    for k, token in enumerate(xp):
+        t, gap = own[k], gaps.get(k)
+        if t and t["op"] == "repl" and t["xs"] is None or gap and None in (gap["xs"], gap["xe"]):
+            return None
+        tags.append((1 if t["op"] == "repl" else 3) if t else 2 if gap else 0)
+        if t:
+            cells.append((mask_id, x[t["xs"] + k - t["ps"]]) if t["op"] == "repl" else (token, del_id))
+            continue
+        if gap:
+            cells.extend((ins_id, missing) for missing in x[gap["xs"] : gap["xe"]])
+        cells.append((token, token))
+    if tags.count(2) != sum(t["op"] == "ins" for t in ranges) or [t for _, t in cells if t != del_id] != x:
+        return None
+    return {"tags": tags, "input": [i for i, _ in cells], "target": [t for _, t in cells]}
+
+
+@F.arrow_udf(_GOLD)
+def _gold(ranges: pa.Array, x_ids: pa.Array, xp_ids: pa.Array, mask_id: pa.Array, ins_id: pa.Array, del_id: pa.Array) -> pa.Array:
+    rows = zip(*(c.to_pylist() for c in (ranges, x_ids, xp_ids, mask_id, ins_id, del_id)), strict=True)
+    return pa.array([None if None in row[:3] else gold_row(*row) for row in rows], _GOLD_ARROW)
+
+
+_gold_once = _gold.asNondeterministic()
+
+
 def compound_gold(ranges: Column, x_ids: Column, xp_ids: Column, mask_id: int, ins_id: int, del_id: int) -> Column:
     """struct(tags, input, target) over the edited text's tokens from known token ranges.
 
     Tags are 0 keep, 1 replace, 2 insert before, 3 delete.  Null if an insertion meets another edit or the
     target without its deletions is not the original.
     """
-
-    def made(r: Column) -> Column:
-        covering = lambda k, op: F.try_element_at(F.filter(r, lambda t: (t["op"] == op) & (t["ps"] <= k) & (k < t["pe"])), F.lit(1))
-        gap_at = lambda k: F.try_element_at(F.filter(r, lambda t: (t["op"] == "ins") & (t["gap"] == k)), F.lit(1))
-        tag = lambda k: F.when(covering(k, "repl").isNotNull(), 1).when(covering(k, "del").isNotNull(), 3).when(gap_at(k).isNotNull(), 2).otherwise(0)
-        cell = lambda i, t: F.struct(i.cast("long").alias("i"), t.cast("long").alias("t"))
-        missing = lambda k: F.transform(F.slice(x_ids, gap_at(k)["xs"] + 1, gap_at(k)["xe"] - gap_at(k)["xs"]), lambda t: cell(F.lit(ins_id), t))
-        own = lambda x, k: F.when(tag(k) == 1, cell(F.lit(mask_id), F.element_at(x_ids, covering(k, "repl")["xs"] + 1 + k - covering(k, "repl")["ps"]))).when(tag(k) == 3, cell(x, F.lit(del_id))).otherwise(cell(x, x))
-        cells = F.flatten(F.transform(xp_ids, lambda x, k: F.when(tag(k) == 2, F.concat(missing(k), F.array(own(x, k)))).otherwise(F.array(own(x, k)))))
-        return F.struct(F.transform(xp_ids, lambda x, k: tag(k)).alias("tags"), F.transform(cells, lambda c: c["i"]).alias("input"), F.transform(cells, lambda c: c["t"]).alias("target"))
-
-    def checked(g: Column) -> Column:
-        whole = F.filter(g["target"], lambda t: t != del_id) == F.transform(x_ids, lambda x: x.cast("long"))
-        return F.when(whole & (F.size(F.filter(g["tags"], lambda t: t == 2)) == F.size(F.filter(ranges, lambda t: t["op"] == "ins"))), g)
-
-    return F.when(ranges.isNotNull(), let(let(ranges, made), checked))
+    ids = lambda c: c.cast("array<bigint>")
+    return _gold_once(ranges, ids(x_ids), ids(xp_ids), *(F.lit(v).cast("long") for v in (mask_id, ins_id, del_id)))
 
 
 def editor_pair(xp_ids: Column, input_: Column, target: Column, sep_id: int, del_id: int, bos_id: int, ignore: int = -100) -> Column:

@@ -20,8 +20,10 @@ from .registry import query
 
 def _plain(spark, d):
     """Sentences of at least ten words with single spaces, and three operations on each."""
-    s = B.sentences(spark, d).select("doc_id", "pos", F.col("sentence").alias("text")).withColumn("words", A.words_with_offsets(F.col("text")))
-    s = s.where((F.size("words") >= 10) & ~F.col("text").rlike(r"\s\s|[^\S ]"))
+    s = B.sentences(spark, d).select("doc_id", "pos", F.col("sentence").alias("text"))
+    # ten words need nine spaces: most sentences are left out before their words are looked for
+    s = s.where((F.regexp_count("text", F.lit(r"(?U)[\s\x1c-\x1f]")) >= 9) & ~F.col("text").rlike(r"\s\s|[^\S ]"))
+    s = s.withColumn("words", A.words_with_offsets(F.col("text"))).where(F.size("words") >= 10)
     op = lambda kind, ws, we, payload: F.struct(F.lit(kind).alias("op"), F.lit(ws).alias("ws"), F.lit(we).alias("we"), F.lit(payload).cast("string").alias("payload"))
     ops = F.array(op("repl", 1, 2, "blue"), op("repl", 1, 2, "red"), op("ins", 3, 5, None), op("del", 5, 5, "near"), op("del", 7, 7, "very"))
     return s.withColumn("ops", C.compatible(ops)).withColumn("made", C.apply_compound(F.col("text"), F.col("words"), F.col("ops")))

@@ -61,6 +61,19 @@ def test_compound(spark):
     assert r.b.text == "uno two three four five six"
 
 
+def test_compound_steps_are_planned_once(spark, tmp_path):
+    """Sentences too short for ten words do not reach the word function, and gold arrays are made in one pass over the tokens."""
+    from pairloom.plans.compound_queries import e23_t12_training_arrays
+
+    words = " ".join(f"w{i}" for i in range(12))
+    spark.createDataFrame([(1, "en", "s", f"Too short. {words}. {words.replace(' ', chr(160))}.")], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = e23_t12_training_arrays(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("_gold(") < plan.index("_words_with_offsets(") < plan.index("(?U)[")
+    assert [(r.pos, r.edits, r.n_template) for r in found.collect()][:1] == [(1, 3, 13)]
+    assert C.gold_row([{"op": "ins", "xs": 0, "xe": 1, "ps": None, "pe": None, "gap": 0}, {"op": "repl", "xs": 1, "xe": 2, "ps": 0, "pe": 1, "gap": None}], [1, 2], [3], -1, -2, -3) is None
+
+
 def test_fill_modes():
     import pytest
 
