@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pairloom.functions.hashing import lcg
+from pairloom.functions.text import let
 
 
 #: Rows that one task numbers, ranges at most, and sampled keys for each range.
 NUMBERED, RANGES, SAMPLED = 500_000, 1_000, 50
 
 
+def _place(bounds: list[Column], key: Column) -> Column:
+    """Number of the ascending bounds that do not pass the key: first among every so-manieth, then within what lies between two of these."""
+    step = max(1, math.isqrt(len(bounds)))
+    upto = lambda held: F.size(F.filter(held, lambda b: b <= key))
+    within = lambda n: (n - 1) * step + upto(F.slice(F.array(*bounds), (n - 1) * step + 1, step))
+    return let(upto(F.array(*bounds[::step])), lambda n: F.when(n > 0, within(n)).otherwise(0))
+
+
 def number_rows(df: DataFrame, *order: str, into: str = "idx", start: int = 0, within: list[str] | None = None, numbered: int = NUMBERED) -> DataFrame:
     """Consecutive numbers in the given (ascending) order.
 
@@ -33,8 +44,8 @@ def number_rows(df: DataFrame, *order: str, into: str = "idx", start: int = 0, w
     sample = [r[0] for r in keys.orderBy("k").limit(16 * SAMPLED * ranges).collect()]
     bounds = list(dict.fromkeys(tuple(sample[i * len(sample) // ranges]) for i in range(1, ranges))) if sample else []
     types = df.select(key.alias("k")).schema["k"].dataType
-    held = F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, types, strict=True))) for b in bounds)) if bounds else None
-    part = F.size(F.filter(held, lambda b: b <= key)) if bounds else F.lit(0)
+    written = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, types, strict=True))) for b in bounds]
+    part = _place(written, key) if bounds else F.lit(0)
     ranged = df.withColumn("_part", part)
     sizes = ranged.groupBy("_part").count()  # a row for each range
     before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
