@@ -1,6 +1,6 @@
 """Every row against every row, in blocks: parts of the table as matrices, through which all rows pass in batches.
 
-What a task holds is one part; what is sent is the table once for each part.  The work is quadratic by
+What a task holds is one part; what is sent is the table once for each part, and once for each share of the passing rows.  The work is quadratic by
 definition, so its results must be bounded: the best of each row, or sums.
 """
 
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: Rows of a part, and rows that pass through it at a time.
 PART, AT_ONCE = 16_384, 256
 
+#: Rows that pass through a part in one task.
+PASSING = 8 * PART
+
 #: (ids, matrix) of the part and of some rows that pass through it -> columns of the result.
 Step = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
 
@@ -53,9 +56,12 @@ def every_pair(vectors: DataFrame, key: str, vector: str, step: Step, schema: pa
     rows = vectors.where(F.col(key).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     count = rows.count()
     parts = max(1, -(-count // part), min(spark.sparkContext.defaultParallelism, -(-16 * count // part)))
-    dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.lit(False).alias("passing"), "id", "v")
-    passing = rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(True).alias("passing"), "id", "v")
-    units = dealt.union(passing).repartition(parts, "part").sortWithinPartitions("part", "passing")
+    shares = max(1, -(-count // PASSING))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    # a unit is a part with a share of the passing rows, each in a task of its own, so that no task grows with the table
+    dealt = rows.withColumn("share", every(shares)).select((F.pmod(F.xxhash64("id"), F.lit(parts)) * shares + F.col("share")).alias("part"), F.lit(False).alias("passing"), "id", "v")
+    passing = rows.withColumn("own", every(parts)).select((F.col("own") * shares + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shares))).alias("part"), F.lit(True).alias("passing"), "id", "v")
+    units = dealt.union(passing).repartitionById(parts * shares, F.col("part").cast("int")).sortWithinPartitions("part", "passing")
     return units.mapInArrow(_through(step, schema), ", ".join(f"{f.name} {({'int64': 'long', 'double': 'double'})[str(f.type)]}" for f in schema))
 
 

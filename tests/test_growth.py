@@ -38,3 +38,22 @@ def test_retrieve_in_blocks_against_a_plain_version(spark, monkeypatch):
     assert {(r.qid, r.f, round(r.value, 6)) for r in J.retrieve(queries, pool, "grp", 3).collect()} == want
     monkeypatch.setattr(J, "CELLS", 4_000_000)
     assert J._projections(queries, pool, "grp", 3).where("qid = 0").count() <= 3 * 4  # the best of each block, of 16 rows
+
+
+def test_parts_and_shares_have_tasks_of_their_own(spark, monkeypatch):
+    import numpy as np
+
+    from pairloom.operators import blocked
+    from pairloom.operators import features as X
+
+    monkeypatch.setattr(blocked, "PASSING", 8)
+    vectors = [(i, [float(i % 5 + 1), float(i % 3), 1.0]) for i in range(32)] + [(3, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(vectors, "k long, v array<double>")
+    x = np.array([v for _, v in vectors])
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    other = np.array([[a != b for b, _ in vectors] for a, _ in vectors])
+    found = X.uniformity(df, "v", "k").first()
+    assert found.pairs == other.sum() // 2 and abs(found.uniformity - np.log(np.exp(-2 * ((x[:, None] - x[None]) ** 2).sum(-1))[other].mean())) < 1e-9
+    units = blocked.every_pair(df, "k", "v", lambda *a: [np.array([0.0]), np.array([0])], __import__("pyarrow").schema([("total", "float64"), ("pairs", "int64")]))
+    assert "RepartitionById" in units._jdf.queryExecution().toString() or "REPARTITION" in units._jdf.queryExecution().executedPlan().toString().upper()
+    assert units.count() >= 5  # at least a call for each share of a part
