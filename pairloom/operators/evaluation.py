@@ -173,9 +173,11 @@ def minimal_k(df: DataFrame, key: str, k: str, exact: str) -> DataFrame:
 
 def threshold_choice(df: DataFrame, key: str, k: str, gain: str, values: list[str], thresholds: list[float]) -> DataFrame:
     """For each threshold the smallest k whose gain reaches it, else the largest; means of `values` there."""
-    each = df.withColumn("tau", F.explode(F.array(*map(F.lit, thresholds))))
-    chosen = each.groupBy("tau", key).agg(F.coalesce(F.min(F.when(F.col(gain) >= F.col("tau"), F.col(k))), F.max(k)).alias(k))
-    return each.join(chosen, ["tau", key, k]).groupBy("tau").agg(*(F.avg(v).alias(v) for v in values), F.avg(k).alias("mean_k"))
+    own = Window.partitionBy(key)
+    chosen = {f"_k{i}": F.coalesce(F.min(F.when(F.col(gain) >= tau, F.col(k))).over(own), F.max(k).over(own)) for i, tau in enumerate(thresholds)}
+    rows = df.where(F.col(key).isNotNull()).select(key, k, gain, *values).withColumns(chosen)
+    met = F.filter(F.array(*(F.when(F.col(k) == F.col(f"_k{i}"), F.lit(tau)) for i, tau in enumerate(thresholds))), lambda tau: tau.isNotNull())
+    return rows.select(k, *values, F.explode(met).alias("tau")).groupBy("tau").agg(*(F.avg(v).alias(v) for v in values), F.avg(k).alias("mean_k"))
 
 
 def oracle_rows(df: DataFrame, key: str, order: list[str], system: str) -> DataFrame:

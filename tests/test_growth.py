@@ -57,3 +57,13 @@ def test_parts_and_shares_have_tasks_of_their_own(spark, monkeypatch):
     units = blocked.every_pair(df, "k", "v", lambda *a: [np.array([0.0]), np.array([0])], __import__("pyarrow").schema([("total", "float64"), ("pairs", "int64")]))
     assert "RepartitionById" in units._jdf.queryExecution().toString() or "REPARTITION" in units._jdf.queryExecution().executedPlan().toString().upper()
     assert units.count() >= 5  # at least a call for each share of a part
+
+
+def test_threshold_choice_without_a_join(spark):
+    from pairloom.operators import evaluation as E
+
+    rows = [(1, 1, 0.01, 1.0), (1, 2, 0.06, 3.0), (1, 2, 0.0, 5.0), (2, 1, None, 7.0), (2, 4, 0.01, 9.0), (None, 1, 0.9, 50.0)]
+    df = spark.createDataFrame(rows, "key int, k int, gain double, v double")
+    found = E.threshold_choice(df, "key", "k", "gain", ["v"], [0.005, 0.05])
+    assert {(r.tau, r.v, r.mean_k) for r in found.collect()} == {(0.005, 5.0, 2.5), (0.05, 17 / 3, 8 / 3)}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
