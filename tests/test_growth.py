@@ -67,3 +67,43 @@ def test_threshold_choice_without_a_join(spark):
     found = E.threshold_choice(df, "key", "k", "gain", ["v"], [0.005, 0.05])
     assert {(r.tau, r.v, r.mean_k) for r in found.collect()} == {(0.005, 5.0, 2.5), (0.05, 17 / 3, 8 / 3)}
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_opcodes_and_moves_hold_no_objects_of_a_whole_batch(spark):
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from pairloom.operators import alignment as A
+
+    rng = random.Random(4)
+    words = [[rng.randint(0, 9) for _ in range(100)] for _ in range(400)]
+    source, target = pa.array([*words, None], pa.list_(pa.int64())), pa.array([*words[1:], words[0], [1]], pa.list_(pa.int64()))
+    tracemalloc.start()
+    try:
+        made = A._opcodes.func(source, target)
+        assert tracemalloc.get_traced_memory()[1] < 4e6 and made[-1].as_py() is None  # an object for each opcode is over 10 MB
+        slots = [[(k, A.DEL if (k // 3) % 2 else A.INS, x) for k, x in enumerate(row)] for row in words]
+        kinds = lambda row, kind: [{"start": row[k][0], "content": [x for *_, x in row[k : k + 3]]} for k in range(0, 99, 3) if row[k][1] == kind]
+        ops_type = pa.list_(pa.struct([("slot", pa.int32()), ("kind", pa.int32()), ("tgt", pa.int64())]))
+        run_type = pa.list_(pa.struct([("start", pa.int32()), ("content", pa.list_(pa.int64()))]))
+        ops = pa.array([[{"slot": k, "kind": kind, "tgt": x if kind == A.INS else None} for k, kind, x in row[:99]] for row in slots] + [None], ops_type)
+        gone, new = (pa.array([kinds(row, kind) for row in slots] + [None], run_type) for kind in (A.DEL, A.INS))
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        moved = A.with_moves.func(ops, gone, new, pa.array([*words, None], pa.list_(pa.int64())))
+        assert tracemalloc.get_traced_memory()[1] - before < 8e6
+    finally:
+        tracemalloc.stop()
+    assert moved[-1].as_py() is None
+    for row, d, i, own, out in zip(ops.to_pylist()[:-1], gone.to_pylist(), new.to_pylist(), words, moved.to_pylist(), strict=False):
+        to, free = {}, [(r["start"], r["content"]) for r in i]
+        for r in d:  # all runs are of one length
+            hit = next((f for f in free if f[1] == r["content"]), None)
+            if hit:
+                free.remove(hit)
+                to |= {r["start"] + x: hit[0] + x for x in range(3)}
+        want = [{"slot": o["slot"], "kind": A.MOV, "tgt": own[o["slot"]], "dst": to[o["slot"]]} if o["slot"] in to else {**o, "dst": None} for o in row if o["slot"] not in to.values()]
+        assert out == want
+    assert any(o["kind"] == A.MOV for row in moved.to_pylist()[:-1] for o in row)
