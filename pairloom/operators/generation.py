@@ -221,13 +221,23 @@ def register_family(name: str, function) -> None:
     FAMILIES[name] = function
 
 
-def proposals(df: DataFrame, text: str, families: list[str] | None = None) -> DataFrame:
-    """A row for each proposal that changes the text; blank ones are dropped."""
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly, some tasks for each core: a scan is cut by bytes, of which a sentence has few for the time its rewrites take."""
+    spark = df.sparkSession
+    return df.repartition(min(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _rewritten(df: DataFrame, text: str, families: list[str] | None = None) -> DataFrame:
     chosen = [FAMILIES[n](F.col(text)) for n in families or FAMILIES]
     out = df.withColumn("_p", F.explode(F.concat(*chosen))).select(*df.columns, "_p.*")
     return out.where((F.col("out_text") != F.col(text)) & (F.trim("out_text") != ""))
 
 
+def proposals(df: DataFrame, text: str, families: list[str] | None = None) -> DataFrame:
+    """A row for each proposal that changes the text; blank ones are dropped."""
+    return _rewritten(_spread(df), text, families)
+
+
 def round_trips(found: DataFrame, key: str, text: str) -> DataFrame:
     """Proposals whose own family leads back to the text; the second rewrite is made on the rows found alone."""
     back = F.concat(*(rewrite(F.col("out_text")) for rewrite in FAMILIES.values()))
@@ -237,6 +247,6 @@ def round_trips(found: DataFrame, key: str, text: str) -> DataFrame:
 
 def composed(found: DataFrame, key: str, text: str) -> DataFrame:
     """Second rewrites of other families on first ones, named a+b, that do not lead back to the text."""
-    second = proposals(found.select(key, F.col(text).alias("_x"), F.col("out_text").alias("_y"), F.col("family").alias("_f"), F.col("t_type").alias("_t")), "_y")
+    second = _rewritten(found.select(key, F.col(text).alias("_x"), F.col("out_text").alias("_y"), F.col("family").alias("_f"), F.col("t_type").alias("_t")), "_y")
     kept = second.where("family <> _f and out_text <> _x")
     return kept.select(key, F.col("_x").alias(text), F.concat_ws("+", "_t", "t_type").alias("t_type"), F.concat_ws("+", "_f", "family").alias("family"), "out_text")

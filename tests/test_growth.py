@@ -107,3 +107,13 @@ def test_opcodes_and_moves_hold_no_objects_of_a_whole_batch(spark):
         want = [{"slot": o["slot"], "kind": A.MOV, "tgt": own[o["slot"]], "dst": to[o["slot"]]} if o["slot"] in to else {**o, "dst": None} for o in row if o["slot"] not in to.values()]
         assert out == want
     assert any(o["kind"] == A.MOV for row in moved.to_pylist()[:-1] for o in row)
+
+
+def test_rewrites_are_dealt_evenly(spark):
+    from pairloom.operators import generation as G
+
+    texts = spark.range(400, numPartitions=1).select("id", F.lit("They do not sing every song here.").alias("text"))
+    found = G.proposals(texts, "text", ["CONTRACT", "DETQUANT"])
+    for df in (found, G.composed(found, "id", "text"), G.round_trips(found, "id", "text")):
+        parts = [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count_distinct("id").alias("n")).collect()]
+        assert sum(parts) == 400 and len(parts) == 4 and max(parts) < 150
