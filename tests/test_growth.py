@@ -117,3 +117,48 @@ def test_rewrites_are_dealt_evenly(spark):
     for df in (found, G.composed(found, "id", "text"), G.round_trips(found, "id", "text")):
         parts = [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count_distinct("id").alias("n")).collect()]
         assert sum(parts) == 400 and len(parts) == 4 and max(parts) < 150
+
+
+def test_states_make_what_landed_once_and_marks_as_before(spark):
+    """Of a pair of 3,000 words every second one is replaced; what landed is not made again for each slot."""
+    import random
+    import time
+
+    import pyarrow as pa
+
+    from pairloom.operators import alignment as A
+
+    n = 3000
+    slots = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(k.cast("long").alias("a0"), (k + k % 2).cast("long").alias("a1")))
+    ops = F.transform(A.slot_operations(F.col("slots")), lambda o: F.struct(o["slot"].alias("slot"), o["kind"].alias("kind"), o["tgt"].alias("tgt"), F.lit(None).cast("int").alias("dst")))
+    df = spark.range(4, numPartitions=1).withColumn("slots", slots).withColumn("o", ops).withColumn("fired", F.transform("o", lambda o: o["slot"] % 4 == 1))
+    begun = time.time()
+    state = df.select(A.state_tokens(F.col("slots"), A.landed(F.col("o"), F.col("fired"))).alias("s")).collect()
+    assert all(r.s == [k + (k % 4 == 1) for k in range(n)] for r in state) and time.time() - begun < 12
+
+    rng = random.Random(8)
+    states, rows, fired = [], [], []
+    for _ in range(300):
+        size = rng.randint(1, 9)
+        states.append([rng.choice((None, 5)) for _ in range(size)])
+        chosen = sorted(rng.sample(range(size), rng.randint(0, size)))
+        rows.append([{"slot": k, "kind": (kind := rng.randint(0, 3)), "tgt": rng.choice((None, 7)), "dst": rng.randrange(size) if kind == A.MOV else None} for k in chosen])
+        fired.append([rng.random() < 0.5 for _ in chosen])
+    given = pa.array([*states, None]), pa.array([*rows, None], pa.list_(pa.struct([("slot", pa.int32()), ("kind", pa.int32()), ("tgt", pa.int64()), ("dst", pa.int32())]))), pa.array([*fired, None])
+    marks, todo = A.edit_marks.func(*given).to_pylist(), A.pending.func(*given).to_pylist()
+    assert marks.pop() is None and todo.pop() is None
+    for tokens, all_ops, done, mark, left in zip(states, rows, fired, marks, todo, strict=True):
+        before = lambda slot: sum(x is not None for x in tokens[:slot])  # noqa: B023, E731
+        want, anchors, want_left = set(), set(), []
+        for number, (o, f) in enumerate(zip(all_ops, done, strict=True)):
+            here, there = before(o["slot"]), before(o["dst"]) - 1 if o["kind"] == A.MOV else None
+            if f:
+                want |= {here - 1} if o["kind"] in (A.DEL, A.MOV) else set()
+                want |= {there + 1 if o["kind"] == A.MOV else here} if o["kind"] != A.DEL else set()
+                continue
+            here -= o["kind"] == A.INS
+            if o["kind"] == A.INS and (here < 0 or here in anchors) or there is not None and there < 0:
+                continue
+            anchors |= {here} if o["kind"] == A.INS else set()
+            want_left.append({"kind": o["kind"], "pos": here, "tgt": o["tgt"], "op": number, "dst_pos": there})
+        assert mark == sorted(m for m in want if m >= 0) and left == want_left
