@@ -83,7 +83,7 @@ def test_opcodes_and_moves_hold_no_objects_of_a_whole_batch(spark):
     tracemalloc.start()
     try:
         made = A._opcodes.func(source, target)
-        assert tracemalloc.get_traced_memory()[1] < 4e6 and made[-1].as_py() is None  # an object for each opcode is over 10 MB
+        assert tracemalloc.get_traced_memory()[1] < 4e6 and made[-1].as_py() is None
         slots = [[(k, A.DEL if (k // 3) % 2 else A.INS, x) for k, x in enumerate(row)] for row in words]
         kinds = lambda row, kind: [{"start": row[k][0], "content": [x for *_, x in row[k : k + 3]]} for k in range(0, 99, 3) if row[k][1] == kind]
         ops_type = pa.list_(pa.struct([("slot", pa.int32()), ("kind", pa.int32()), ("tgt", pa.int64())]))
