@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_shards(df: DataFrame, path: str, rows_per_shard: int, fmt: str = "json") -> None:
@@ -12,10 +18,72 @@ def write_shards(df: DataFrame, path: str, rows_per_shard: int, fmt: str = "json
     (writer.option("compression", "gzip") if fmt in ("json", "csv") else writer).format(fmt).save(path)
 
 
+#: Rows that are gathered before they are packed: a worker holds so many at once, whatever the number in its task.
+GATHERED = 32_768
+
+
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(document, from, n, orders, columns): a row of lists for each document of some gathered rows (document, order, columns).
+
+    Orders that follow one another are not sent: the first of them says all.
+    """
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        codes = rows.column(0).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        if (codes[1:] < codes[:-1]).any():
+            order = np.argsort(codes, kind="stable")
+            rows, codes = rows.take(order), codes[order]
+        docs, orders, *columns = (c.combine_chunks() for c in rows.columns)
+        new = np.r_[True, codes[1:] != codes[:-1]]
+        starts = np.flatnonzero(new)
+        ends = np.r_[starts, len(codes)].astype(np.int32)
+        follow = np.zeros(len(starts), bool)
+        if pa.types.is_integer(orders.type):
+            at, known = orders.fill_null(0).to_numpy(), orders.is_valid().to_numpy(zero_copy_only=False)
+            follow = np.logical_and.reduceat((np.r_[True, at[1:] == at[:-1] + 1] | new) & known, starts)
+        lists = [pa.ListArray.from_arrays(pa.array(ends), c) for c in (orders, *columns)]
+        first = pc.if_else(pa.array(follow), orders.take(pa.array(starts)), pa.scalar(None, orders.type))
+        lists[0] = pc.if_else(pa.array(follow), pa.scalar(None, lists[0].type), lists[0])
+        n = pa.array(np.diff(ends))
+        return pa.RecordBatch.from_arrays([docs.take(pa.array(starts)), first, n, *lists], [held[0].schema.names[0], "_from", "_n", *held[0].schema.names[1:]])
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= GATHERED:
+            yield packed(held)
+            held, n = [], 0
+    if held:
+        yield packed(held)
+
+
 def ragged(tokens: DataFrame, doc: str, order: str, columns: list[str]) -> DataFrame:
-    """Per-token rows as one row of arrays for each document, in token order."""
-    packed = tokens.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("_t"))
-    return packed.select(doc, *(F.col(f"_t.{c}").alias(c) for c in columns))
+    """Per-token rows as one row of arrays for each document, in token order.
+
+    Rows of a document that lie together are packed where they lie, a column at a time; those runs are sent instead of tokens, and
+    runs that follow one another are put together without a look at their tokens.
+    """
+    names = [f"_{i}" for i in range(len(columns))]
+    rows = tokens.select(doc, *(F.col(c).alias(n) for c, n in zip([order, *columns], ["_o", *names], strict=True)))
+    kind = rows.schema["_o"].dataType
+    sent = [T.StructField("_from", kind), T.StructField("_n", T.IntegerType()), *(T.StructField(n, T.ArrayType(rows.schema[n].dataType)) for n in ("_o", *names))]
+    runs = rows.mapInArrow(_runs, T.StructType([rows.schema[doc], *sent])).repartition(doc)
+    whole = runs.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(*(f.name for f in sent)))).alias("_r"))
+    r, last = F.col("_r"), F.size("_r") - 1
+    apart = F.lit(isinstance(kind, T.IntegralType)) & F.forall(r, lambda x: x["_from"].isNotNull())
+    if isinstance(kind, T.IntegralType):
+        follow = F.forall(F.sequence(F.lit(1), last), lambda i: r[i - 1]["_from"].cast("decimal(20)") + r[i - 1]["_n"] <= r[i]["_from"])
+        apart = apart & ((last == 0) | F.when(last > 0, follow))
+        each = lambda x: F.coalesce(x["_o"], F.transform(F.sequence(F.lit(0), x["_n"] - 1), lambda i: (x["_from"] + i).cast(kind)))
+    else:
+        each = lambda x: x["_o"]
+    zipped = F.transform("_r", lambda x: F.arrays_zip(each(x), *(x[n] for n in names)))
+    packed = whole.select(doc, "_r", F.when(~apart, F.array_sort(F.flatten(zipped))).alias("_t"))
+    joined = lambda n: F.when(F.col("_t").isNull(), F.flatten(F.transform("_r", lambda x: x[n]))).otherwise(F.col("_t")[n])
+    return packed.select(doc, *(joined(n).alias(c) for c, n in zip(columns, names, strict=True)))
 
 
 def append_new(df: DataFrame, path: str, key: str) -> int:

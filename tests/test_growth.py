@@ -174,3 +174,23 @@ def test_stability_sends_counts_alone(spark):
     assert "Expand" not in plain._jdf.queryExecution().executedPlan().toString()
     repeated = X.split_half_stability(entries.union(entries), members, 3, 2)
     assert sorted(plain.collect()) == sorted(repeated.collect()) and plain.count() == 6
+
+
+def test_ragged_sends_runs_and_not_tokens(spark):
+    from pairloom.sources import sinks
+
+    words = [(d, p, f"w{p % 7}" if p % 5 else None, p / 2) for d in (3, 1, None) for p in range(400)]
+    scattered = [(9, p, f"w{p}", 0.5) for p in (4, 2, 2, None)] + [(8, 1, "b", 1.0), (7, 1, "x", 1.0), (8, 0, "a", 2.0)]
+    df = spark.createDataFrame([*words, *scattered], "d int, p int, w string, v double").coalesce(1)
+    found = sinks.ragged(df, "d", "p", ["w", "v"])
+    got = {r.d: (r.w, r.v) for r in found.collect()}
+    for d in (3, 1, None):
+        assert got[d] == ([w for k, _, w, _ in words if k == d], [v for k, _, _, v in words if k == d])
+    assert got[9] == (["wNone", "w2", "w2", "w4"], [0.5] * 4) and got[8] == (["a", "b"], [2.0, 1.0]) and got[7] == (["x"], [1.0]) and len(got) == 6
+    spread = {r.d: (r.w, r.v) for r in sinks.ragged(df.repartition(4, "p"), "d", "p", ["w", "v"]).collect()}
+    assert spread == got  # runs of a document lie among each other
+    runs = found._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[1]
+    assert "MapInArrow" in runs and "Aggregate" not in runs  # tokens are packed before they are sent
+    batch = df.toArrow().combine_chunks().to_batches()[0]
+    (made,) = sinks._runs([batch.rename_columns(["d", "_o", "_0", "_1"])])
+    assert made.num_rows == 6 and made.column("_from").to_pylist()[:3] == [0, 0, 0] and made.column("_o").to_pylist()[:3] == [None] * 3
