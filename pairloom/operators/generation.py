@@ -194,11 +194,23 @@ def group_mean_mix(entries: DataFrame, sizes: DataFrame, row: str, group: str, *
 
     entries (row, group, f, v), sizes (group, n).
     """
-    means = entries.groupBy(group, "f").agg(F.sum("v").alias("s")).join(sizes, group).select(group, "f", (F.col("s") / F.col("n")).alias("mean"))
+    means = entries.groupBy(group, "f").agg(F.sum("v").alias("s")).join(sizes, group).select(group, F.struct("f", (F.col("s") / F.col("n")).alias("mean")).alias("_m"))
+    means = means.groupBy(group).agg(F.collect_list("_m").alias("_means"))
+    # dealt out before they are gathered: a task of the scan holds no entries
+    rows = entries.select(row, group, F.struct("f", "v").alias("_e")).repartition(row).groupBy(row).agg(F.collect_list("_e").alias("_own"), F.collect_set(group).alias("_in"))
     w = low + (high - low) * uniform(F.col(row), seed)
-    own = entries.select(row, "f", (w * F.col("v")).alias("v"))
-    shared = entries.select(row, group).distinct().join(means, group).select(row, "f", ((1 - w) * F.col("mean")).alias("v"))
-    return own.unionByName(shared).groupBy(row, "f").agg(F.sum("v").alias("v"))
+    fs = F.transform("_own", lambda e: e["f"])
+    plain = (F.size("_in") <= 1) & (F.size(F.array_distinct(fs)) == F.size("_own")) & F.forall(fs, lambda f: f.isNotNull())
+    one = rows.where(plain).select(row, F.map_from_entries("_own").alias("_own"), F.get("_in", F.lit(0)).alias(group)).join(means, group, "left")
+    alone = F.transform(F.map_keys("_own"), lambda f: F.struct(f.alias("f"), F.lit(None).cast("double").alias("mean")))
+    one = one.select(row, "_own", F.inline(F.coalesce("_means", alone)))  # the means of a group have all features of its rows
+    mine, theirs = w * F.col("_own")[F.col("f")], (1 - w) * F.col("mean")
+    one = one.select(row, "f", F.coalesce(mine + theirs, theirs, mine).alias("v"))
+    # rows in several groups or with a feature twice or null, if any: all their parts are added up
+    several = rows.where(~plain)
+    own = several.select(row, F.inline("_own")).select(row, "f", (w * F.col("v")).alias("v"))
+    shared = several.select(row, F.explode("_in").alias(group)).join(means, group).select(row, F.inline("_means")).select(row, "f", ((1 - w) * F.col("mean")).alias("v"))
+    return one.unionByName(own.unionByName(shared).groupBy(row, "f").agg(F.sum("v").alias("v")))
 
 
 def class_weights(tags: DataFrame, tag: str, smoothing: float = 1.0) -> DataFrame:

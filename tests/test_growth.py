@@ -194,3 +194,31 @@ def test_ragged_sends_runs_and_not_tokens(spark):
     batch = df.toArrow().combine_chunks().to_batches()[0]
     (made,) = sinks._runs([batch.rename_columns(["d", "_o", "_0", "_1"])])
     assert made.num_rows == 6 and made.column("_from").to_pylist()[:3] == [0, 0, 0] and made.column("_o").to_pylist()[:3] == [None] * 3
+
+
+def test_group_means_are_spread_without_adding_up_all_rows(spark):
+    from collections import defaultdict
+
+    from pairloom.functions.hashing import uniform
+    from pairloom.operators import generation as G
+
+    rows = [(r, r % 3 if r % 7 else None, f, (r * 5 + f) % 11 / 4) for r in range(30) for f in range(8) if (r + f) % 3]
+    odd = [(1, 1, 4, 0.5), (2, 0, 5, 1.0), (2, 2, 0, None), (3, 0, None, 2.0), (4, 5, 1, 1.0), (40, None, 1, 0.5), (40, None, 1, 0.75)]  # a feature twice, two groups, no feature, no size, no group
+    sizes = {0: 10, 1: 9, 2: 30}
+    frame = lambda r: G.group_mean_mix(spark.createDataFrame(r, "row long, grp int, f int, v double"), spark.createDataFrame([*sizes.items()], "grp int, n long"), "row", "grp")
+    w = {r.id: 0.3 + 0.4 * r.u for r in spark.range(50).select("id", uniform(F.col("id"), 43).alias("u")).collect()}
+    for given in (rows, rows + odd):
+        means, want = defaultdict(float), defaultdict(float)
+        for _, g, f, v in given:
+            means[g, f] += (v or 0) / sizes.get(g, 1)
+        for r, _, f, v in given:
+            want[r, f] += w[r] * (v or 0)
+        for r, g in {(r, g) for r, g, *_ in given if g in sizes}:
+            for (h, f), m in means.items():
+                if h == g:
+                    want[r, f] += (1 - w[r]) * m
+        found = frame(given)
+        got = [(r.row, r.f, round(r.v, 9)) for r in found.collect()]
+        assert len(got) == len(want) and {(r, f): v for r, f, v in got} == {k: round(v, 9) for k, v in want.items()}
+    # what stands for a row of a group is made last: it is neither sent nor gathered
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
