@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.hashing import categorical, lcg, pick_index, text_uniform, truncated_geometric, uniform
 from pairloom.operators.rewriting import contraction, each_every, inversion, quote_inversion, split_join, tough, uncleft
+from pairloom.sources.lineage import materialise
 
 # Fixed values.
 OP_WEIGHTS = {"REPL": 0.60, "INS": 0.34, "DEL": 0.06}
@@ -22,11 +25,26 @@ def unigrams(tokens: DataFrame, smoothing: float = 1.0) -> DataFrame:
     return counts.join(F.broadcast(size), how="cross").select("token", F.log((F.col("c") + smoothing) / below).alias("log_prob"), F.log(smoothing / below).alias("unk_log_prob"))
 
 
+#: Fewer tokens than this can have a probability above its inverse; those are looked up where the rows lie.
+LIKELY = 262_144
+
+
+def looked_up(tokens: DataFrame, table: DataFrame) -> DataFrame:
+    """tokens (token, ...) with log_prob from a table (token, log_prob, unk_log_prob) whose probabilities sum to 1 at most; the unknown token's where it has none.
+
+    Rows of likely tokens are not sent, so that no token meets in one task.
+    """
+    table = materialise(table)
+    likely = table.where(F.col("log_prob") > -math.log(LIKELY)).select("token", "log_prob")
+    unk = table.select("unk_log_prob").limit(1)  # one row
+    rest = tokens.join(F.broadcast(likely.select("token")), "token", "left_anti").join(table.where(F.col("log_prob") <= -math.log(LIKELY)).select("token", "log_prob"), "token", "left")
+    rest = rest.join(F.broadcast(unk), how="cross").withColumn("log_prob", F.coalesce("log_prob", "unk_log_prob")).drop("unk_log_prob")
+    return tokens.join(F.broadcast(likely), "token").unionByName(rest)
+
+
 def slor(scored: DataFrame, table: DataFrame, row: str) -> DataFrame:
     """(sum of log p - sum of unigram log p) / n of each row with at least two tokens: scored (row, token, logp)."""
-    unk = table.select("unk_log_prob").limit(1)  # one row
-    joined = scored.join(table.select("token", "log_prob"), "token", "left").join(F.broadcast(unk), how="cross")
-    out = joined.groupBy(row).agg(F.count("*").alias("n"), F.sum("logp").alias("m"), F.sum(F.coalesce("log_prob", "unk_log_prob")).alias("u"))
+    out = looked_up(scored.select(row, "token", "logp"), table).groupBy(row).agg(F.count("*").alias("n"), F.sum("logp").alias("m"), F.sum("log_prob").alias("u"))
     return out.select(row, "n", F.when(F.col("n") >= 2, (F.col("m") - F.col("u")) / F.col("n")).alias("slor"))
 
 

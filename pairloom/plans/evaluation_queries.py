@@ -167,13 +167,11 @@ def j22_label_lookup(spark, d):
 @query("j23_probability_lookup", f"""WITH t AS (SELECT * FROM {B.SQL_TOKENS}), c AS (SELECT token, count(*) AS c FROM t WHERE doc_id % 2 = 0 GROUP BY token), z AS (SELECT sum(c) AS total, count(*) AS v FROM c)
 SELECT doc_id, round(avg(coalesce(ln((c + 1.0) / (total + v + 1)), ln(1.0 / (total + v + 1)))), 6) AS mean_log_prob FROM t LEFT JOIN c USING (token), z GROUP BY doc_id""")
 def j23_probability_lookup(spark, d):
-    from pairloom.operators.generation import unigrams
+    from pairloom.operators.generation import looked_up, unigrams
 
-    t = B.tokens(spark, d)
-    table = unigrams(t.where("doc_id % 2 = 0"))
-    unk = table.select("unk_log_prob").limit(1)
-    joined = t.join(table.select("token", "log_prob"), "token", "left").join(F.broadcast(unk), how="cross")
-    return joined.groupBy("doc_id").agg(F.round(F.avg(F.coalesce("log_prob", "unk_log_prob")), 6).alias("mean_log_prob"))
+    t = B.tokens(spark, d).select("doc_id", "token")
+    joined = looked_up(t, unigrams(t.where("doc_id % 2 = 0")))
+    return joined.groupBy("doc_id").agg(F.round(F.avg("log_prob"), 6).alias("mean_log_prob"))
 
 
 @query("j24_cached_reuse", "SELECT event_id FROM events WHERE event_id % 4 <> 0")

@@ -222,3 +222,26 @@ def test_group_means_are_spread_without_adding_up_all_rows(spark):
         assert len(got) == len(want) and {(r, f): v for r, f, v in got} == {k: round(v, 9) for k, v in want.items()}
     # what stands for a row of a group is made last: it is neither sent nor gathered
     assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+
+
+def test_rows_of_a_frequent_token_stay_where_they_lie(spark, monkeypatch):
+    from math import log
+
+    from pairloom.operators import generation as G
+
+    monkeypatch.setattr(G, "LIKELY", 16)
+    rows = [(i % 50, "the" if i % 2 else f"w{i % 90}", -1.0 - i % 3) for i in range(2000)] + [(50, "never", -1.0), (50, None, -2.0), (51, "the", -3.0)]
+    df = spark.createDataFrame(rows, "d long, token string, logp double").repartition(4)
+    table = G.unigrams(df.where("token <> 'never'"))
+    found = G.looked_up(df, table)
+    held = [r.n for r in found.where("token = 'the'").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(held) == 1001 and len(held) == 4 and max(held) < 300
+    known = [t for _, t, _ in rows if t not in (None, "never")]
+    below = len(known) + len(set(known)) + 1
+    p = {t: log((known.count(t) + 1) / below) for t in set(known)}
+    got = {r.d: (r.n, r.slor) for r in G.slor(df, table, "d").collect()}
+    assert len(got) == 52 and got[51] == (1, None)
+    for d in range(51):
+        own = [(t, lp) for k, t, lp in rows if k == d]
+        n, value = got[d]
+        assert n == len(own) and abs(value - sum(lp - p.get(t, log(1 / below)) for t, lp in own) / n) < 1e-9
