@@ -63,6 +63,8 @@ HOT_CELL = 1024
 FREQUENT = 262_144
 #: A task reports shingles that it saw this often.
 SEEN = 2
+#: In the choice of `FREQUENT` shingles, numbers of times below this are told apart; larger ones by 64 steps for each doubling.
+PLAIN_TIMES = 1024
 #: Documents of one block of a unit in which pairs are compared on whole sets.
 UNIT = 256
 #: Children of a tree node.
@@ -277,6 +279,34 @@ def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield counted()
 
 
+def _fitting(sizes: list[tuple[int, int]], room: int) -> tuple[int | None, int]:
+    """The first of (value, rows) that no longer fits into the room (None: all fit), and the room that is left before it."""
+    for value, rows in sizes:
+        if rows > room:
+            return value, room
+        room -= rows
+    return None, room
+
+
+def _most_frequent(profiles: DataFrame, limit: int) -> np.ndarray:
+    """At most `limit` of the shingles that tasks reported, the most frequent last.
+
+    Where they end is found by numbers of rows: of each step of times, then of each part of the last step.
+    So the driver gets the chosen ones only, not `limit` of them from each task.
+    """
+    times = F.col("times")
+    step = F.when(times < PLAIN_TIMES, times).otherwise(PLAIN_TIMES + F.floor(64 * F.log2(times / PLAIN_TIMES)))
+    often = profiles.where("kind = 1").groupBy(F.col("doc_id").alias("token")).agg(F.sum("n").alias("times"))
+    often = stash(often.select("token", "times", step.cast("int").alias("step"), F.shiftright("token", 52).cast("int").alias("part")), "often")
+    last, room = _fitting(sorted(often.groupBy("step").count().collect(), reverse=True), limit)
+    if last is not None:
+        end, _ = _fitting(sorted(often.where(F.col("step") == last).groupBy("part").count().collect()), room)
+        often = often.where((F.col("step") > last) | (F.col("step") == last) & (F.col("part") < end))
+    found = often.select("token", "times").toArrow()
+    token, seen = (found[k].to_numpy() for k in ("token", "times"))
+    return token[np.lexsort((token, -seen))[::-1]].view(np.uint64)
+
+
 def _sets(n: int):
     schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.binary())])
 
@@ -641,8 +671,7 @@ def ngram_jaccard_join(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     found = components(links)
 
     # 3. the rest, exactly
-    top = profiles.where("kind = 1").groupBy(F.col("doc_id").alias("token")).agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT)
-    found_often = np.array([r[0] for r in top.select("token").collect()], np.int64).view(np.uint64)[::-1]  # the most frequent last
+    found_often = _most_frequent(profiles, FREQUENT)
     by_value = np.argsort(found_often)
     frequent = found_often[by_value], by_value
     prefixes = docs.mapInArrow(released(_prefixes(n, percent, frequent)), "doc_id long, n int, tokens array<long>, first int")

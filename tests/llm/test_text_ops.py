@@ -161,6 +161,46 @@ def test_jaccard_counts_all_links(spark, monkeypatch, unit):
     assert got == want and [got[k] for k in range(6)] == [2, 2, 2, 1, 1, 0] and max(want.values()) > 10
 
 
+def _sent_to_driver(spark):
+    """Bytes of results by stage."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {stages.apply(k).stageId(): stages.apply(k).resultSize() for k in range(stages.size())}
+
+
+def test_jaccard_sends_the_driver_each_frequent_shingle_once(spark, monkeypatch):
+    """The driver gets FREQUENT shingles in all, not as many from each task; which of them they are changes no link."""
+    monkeypatch.setattr(J, "FREQUENT", 4000)
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(4000))) for i in range(80)]
+    rows += [(i + 100, t + " end") for i, t in rows]  # some 48,000 shingles of prefixes stand twice
+    partitions = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in partitions}
+    earlier = _sent_to_driver(spark)
+    for k, v in partitions.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.doc_id: r.component_id for r in J.ngram_jaccard_join(_frame(spark, rows).repartition(2), n=4, percent=85, count_links=False).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i % 100 for i, _ in rows}
+    largest = max(v for k, v in _sent_to_driver(spark).items() if k not in earlier)
+    assert largest < 400_000, largest
+
+
+@pytest.mark.parametrize("limit", [0, 1, 7, 300, 2000, 5000])
+def test_most_frequent_shingles_come_last(spark, limit):
+    """Short of the limit by less than the rows of one part, and none is left out that is more frequent by a step."""
+    rng = random.Random(limit)
+    times = {rng.randrange(-(2**63), 2**63): rng.choice([2, 2, 2, 3, 5, 1023, 1024, rng.randrange(1024, 10**9)]) for _ in range(3000)}
+    rows = [(1, t, n - n // 2) for t, n in times.items()] + [(1, t, n // 2) for t, n in times.items()] + [(0, 5, 10**6)]
+    got = J._most_frequent(spark.createDataFrame(rows, "kind byte, doc_id long, n int"), limit).view("int64").tolist()
+    assert got == sorted(got, key=lambda t: (times[t], -t)) and min(limit, 3000) - 8 <= len(set(got)) == len(got) <= limit
+    assert not got or max((n for t, n in times.items() if t not in set(got)), default=0) <= 1.02 * times[got[0]]
+
+
 def test_jaccard_empty(spark):
     assert J.ngram_jaccard_join(_frame(spark, [])).count() == 0
     assert J.keep_one(_frame(spark, [])).columns == SCHEMA.replace(",", "").split()[::2]
