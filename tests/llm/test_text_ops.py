@@ -6,6 +6,7 @@ import re
 from datetime import date, datetime, timedelta
 from pathlib import Path
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,7 +170,8 @@ def _sent_to_driver(spark):
     return {stages.apply(k).stageId(): stages.apply(k).resultSize() for k in range(stages.size())}
 
 
-def test_jaccard_sends_the_driver_each_frequent_shingle_once(spark, monkeypatch):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_jaccard_sends_the_driver_each_frequent_shingle_once(spark, monkeypatch, pipeline):
     """The driver gets FREQUENT shingles in all, not as many from each task; which of them they are changes no link."""
     monkeypatch.setattr(J, "FREQUENT", 4000)
     rng = random.Random(3)
@@ -181,11 +183,15 @@ def test_jaccard_sends_the_driver_each_frequent_shingle_once(spark, monkeypatch)
     for k, v in partitions.items():
         spark.conf.set(k, v)
     try:
-        got = {r.doc_id: r.component_id for r in J.ngram_jaccard_join(_frame(spark, rows).repartition(2), n=4, percent=85, count_links=False).collect()}
+        docs = _frame(spark, rows).withColumns({"source": F.lit("s"), "n_chars": F.lit(1).cast("long")}).repartition(2)
+        if pipeline:
+            assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id").collect()} == set(range(80))
+        else:
+            got = J.ngram_jaccard_join(docs, n=4, percent=85, count_links=False).collect()
+            assert {r.doc_id: r.component_id for r in got} == {i: i % 100 for i, _ in rows}
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    assert got == {i: i % 100 for i, _ in rows}
     largest = max(v for k, v in _sent_to_driver(spark).items() if k not in earlier)
     assert largest < 400_000, largest
 
